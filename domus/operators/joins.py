@@ -31,17 +31,13 @@ def null_safe_match(left: DataFrame, right: DataFrame, keys: Sequence[str],
     Both sides keep their own column names; the right side's key columns are
     dropped from the output.
     """
+    all_keys = list(keys) + list(null_safe_keys)
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in all_keys else F.col(c) for c in right.columns])
     cond = None
-    for k in keys:
-        c = left[k] == right[k]
+    for k in all_keys:
+        c = left[k].eqNullSafe(r[f"_r_{k}"]) if k in null_safe_keys else left[k] == r[f"_r_{k}"]
         cond = c if cond is None else cond & c
-    for k in null_safe_keys:
-        c = left[k].eqNullSafe(right[k])
-        cond = c if cond is None else cond & c
-    out = left.join(right, cond, how)
-    for k in list(keys) + list(null_safe_keys):
-        out = out.drop(right[k])
-    return out
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in all_keys])
 
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column],

@@ -99,3 +99,97 @@ def q_topn(spark, sf_dir):
 @register("total_count")
 def q_total(spark, sf_dir):
     return _l(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# ---------------------------------------------------------------- text exports, cleaning, parsing
+from domus.functions.parse import to_double  # noqa: E402
+from domus.functions.text import null_if_token, title_case  # noqa: E402
+from domus.operators import cleaning as cl  # noqa: E402
+from domus.operators import star as st  # noqa: E402
+from domus.operators.joins import first_per_group, null_safe_match  # noqa: E402
+from domus.schema import ACRE_TO_SQM, CLEANER_NULL_TOKENS, DEDUP_KEYS, SQFT_TO_SQM  # noqa: E402
+from domus.sources.derived import clean_csv_text, raw_listings_text  # noqa: E402
+from domus.sources.tables import table  # noqa: E402
+
+
+@register("title_case")
+def q_title(spark, sf_dir):
+    raw = raw_listings_text(spark, sf_dir)
+    return raw.select("src_pos", title_case("city").alias("city_title"), title_case("state").alias("state_title"))
+
+
+@register("null_tokens")
+def q_tokens(spark, sf_dir):
+    raw = raw_listings_text(spark, sf_dir)
+    return raw.select("src_pos", *[null_if_token(c, CLEANER_NULL_TOKENS).alias(c)
+                                   for c in ("status", "city", "state", "prev_sold_date")])
+
+
+@register("unit_conversion")
+def q_units(spark, sf_dir):
+    return cl.convert_units(raw_listings_text(spark, sf_dir)).select("src_pos", "lot_size_sqm", "house_size_sqm")
+
+
+@register("clean_listings")
+def q_clean(spark, sf_dir):
+    return cl.clean_raw(raw_listings_text(spark, sf_dir))
+
+
+@register("cleaned_csv_rows")
+def q_clean_csv(spark, sf_dir):
+    return cl.format_clean_csv(cl.clean_raw(raw_listings_text(spark, sf_dir)))
+
+
+@register("dedup_keep_first")
+def q_dedup(spark, sf_dir):
+    return first_per_group(raw_listings_text(spark, sf_dir), list(DEDUP_KEYS), ["src_pos"])
+
+
+@register("parse_listings")
+def q_parse(spark, sf_dir):
+    valid, _ = cl.parse_listings(clean_csv_text(spark, sf_dir))
+    return valid
+
+
+@register("validate_required")
+def q_rejects(spark, sf_dir):
+    _, rejects = cl.parse_listings(clean_csv_text(spark, sf_dir))
+    return rejects
+
+
+def _star(spark, sf_dir):
+    return st.star_tables(_l(spark, sf_dir))
+
+
+for _name in ("brokers", "states", "cities", "zip_codes", "listings", "estate_details", "land_data",
+              "addresses"):
+    register(f"star_{_name}")(lambda spark, sf_dir, _n=_name: _star(spark, sf_dir)[_n])
+
+
+@register("listing_details")
+def q_details(spark, sf_dir):
+    return st.listing_details(_star(spark, sf_dir))
+
+
+@register("distinct_on")
+def q_distinct_on(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+               "l_quantity", "l_extendedprice")
+    return first_per_group(li, ["l_orderkey"], ["l_partkey", "l_suppkey", "l_linenumber"])
+
+
+def parsed_records(spark, sf_dir):
+    valid, _ = cl.parse_listings(clean_csv_text(spark, sf_dir))
+    return cl.to_wide_listing(valid)
+
+
+@register("null_safe_match")
+def q_null_safe(spark, sf_dir):
+    recs = parsed_records(spark, sf_dir)
+    keys = ["brokered_by", "status", "price"]
+    firsts = first_per_group(
+        recs.select(*keys, "prev_sold_date", "street", "zip_code", F.col("listing_id").alias("first_id")),
+        keys + ["prev_sold_date"], ["street", "zip_code", "first_id"])
+    left = st.star_listings(recs)
+    return null_safe_match(left, firsts, keys, ["prev_sold_date"]) \
+        .select("listing_id", "brokered_by", "status", "price", "prev_sold_date", "street", "zip_code", "first_id")

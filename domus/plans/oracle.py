@@ -119,3 +119,198 @@ SELECT {LCOLS}, rank_in_broker FROM (
   FROM L) t WHERE rank_in_broker <= 3""")
 
 ORACLE["total_count"] = with_listings("SELECT COUNT(*) AS n_rows FROM L")
+
+
+# ---------------------------------------------------------------- text exports
+def title_sql(e: str) -> str:
+    return ("array_to_string(list_transform(regexp_extract_all(trim(" + e + "), '[A-Za-z]+|[^A-Za-z]+'), "
+            "lambda x: upper(x[1]) || lower(x[2:])), '')")
+
+
+def num_sql(e: str) -> str:
+    return (f"(CASE WHEN isnan(TRY_CAST(trim({e}) AS DOUBLE)) THEN NULL "
+            f"ELSE TRY_CAST(trim({e}) AS DOUBLE) END)")
+
+
+def strict_int_sql(e: str) -> str:
+    return f"(CASE WHEN regexp_full_match(trim({e}), '[+-]?[0-9]+') THEN TRY_CAST(trim({e}) AS INTEGER) END)"
+
+
+def ts_sql(e: str) -> str:
+    return (f"(CASE WHEN trim({e}) LIKE '%T%+%' THEN timezone('UTC', TRY_CAST(trim({e}) AS TIMESTAMPTZ)) "
+            f"ELSE TRY_CAST(trim({e}) AS TIMESTAMP) END)")
+
+
+def dirty_cte(layout: str) -> str:
+    if layout == "raw":
+        lot = "printf('%.4f', lot_size_sqm / 100.0)"
+        house = "printf('%.1f', house_size_sqm * 10.0)"
+        names = ("acre_lot", "house_size")
+    else:
+        lot = "printf('%.2f', lot_size_sqm)"
+        house = "printf('%.2f', house_size_sqm)"
+        names = ("lot_size_sqm", "house_size_sqm")
+    k = "listing_id"
+    return f"""
+dup AS (SELECT *, 0 AS _copy FROM L
+        UNION ALL SELECT * REPLACE (bed + 1 AS bed), 1 AS _copy FROM L WHERE {k} % 41 = 0),
+txt AS (
+  SELECT {k} * 2 + _copy AS src_pos,
+    CASE WHEN {k} % 53 = 0 THEN '' ELSE CAST(brokered_by AS VARCHAR) || '.0' END AS brokered_by,
+    CASE WHEN {k} % 97 = 0 THEN 'nan' WHEN {k} % 89 = 0 THEN '' ELSE status END AS status,
+    CASE WHEN {k} % 37 = 0 THEN 'nan' ELSE printf('%.2f', price) END AS price,
+    CASE WHEN bed IS NULL THEN '' WHEN {k} % 11 = 0 THEN CAST(bed AS VARCHAR) || '.0'
+         ELSE CAST(bed AS VARCHAR) END AS bed,
+    COALESCE(CAST(bath AS VARCHAR), '') AS bath,
+    CASE WHEN lot_size_sqm IS NULL THEN '' WHEN {k} % 43 = 0 THEN 'abc' ELSE {lot} END AS {names[0]},
+    printf('%.1f', street) AS street,
+    CASE WHEN {k} % 31 = 0 THEN '' WHEN {k} % 5 = 1 THEN lower(city)
+         WHEN {k} % 5 = 2 THEN ' ' || lower(city) || ' ' WHEN {k} % 5 = 3 THEN upper(city)
+         ELSE city END AS city,
+    CASE WHEN {k} % 3 = 1 THEN lower(state) ELSE state END AS state,
+    CASE WHEN {k} % 13 = 0 THEN CAST(zip_code AS VARCHAR) || '.0' ELSE CAST(zip_code AS VARCHAR) END AS zip_code,
+    CASE WHEN house_size_sqm IS NULL THEN '' ELSE {house} END AS {names[1]},
+    CASE WHEN {k} % 7 = 0 THEN '' WHEN {k} % 19 = 0 THEN 'not a date' WHEN {k} % 23 = 0 THEN '1969-05-01'
+         WHEN {k} % 29 = 0 THEN strftime(prev_sold_date, '%Y-%m-%d') || 'T00:00:00+02:00'
+         ELSE strftime(prev_sold_date, '%Y-%m-%d') END AS prev_sold_date
+  FROM dup)"""
+
+
+TOKENS = "('', 'nan', 'NaN', 'None', 'none', 'NA', 'NaT', '<NA>', 'null')"
+
+
+def tok_sql(e: str) -> str:
+    return f"(CASE WHEN trim({e}) NOT IN {TOKENS} THEN trim({e}) END)"
+
+
+def integral_sql(e: str, t: str) -> str:
+    d = num_sql(e)
+    return f"(CASE WHEN {d} = floor({d}) THEN CAST({d} AS {t}) END)"
+
+
+CLEAN_CTE = dirty_cte("raw") + f""",
+typed AS (
+  SELECT src_pos, {num_sql('brokered_by')} AS brokered_by, {tok_sql('status')} AS status,
+    {num_sql('price')} AS price, {integral_sql('bed', 'INTEGER')} AS bed,
+    {integral_sql('bath', 'INTEGER')} AS bath,
+    {num_sql('acre_lot')} * 4046.8564224 AS lot_size_sqm, {num_sql('street')} AS street,
+    CASE WHEN {tok_sql('city')} IS NOT NULL THEN {title_sql(tok_sql('city'))} END AS city,
+    {tok_sql('state')} AS state, {integral_sql('zip_code', 'BIGINT')} AS zip_code,
+    {num_sql('house_size')} * 0.09290304 AS house_size_sqm,
+    CASE WHEN year({ts_sql('prev_sold_date')}) > 1970 THEN {ts_sql('prev_sold_date')} END AS prev_sold_date
+  FROM txt),
+complete AS (
+  SELECT * FROM typed WHERE brokered_by IS NOT NULL AND status IS NOT NULL AND price IS NOT NULL
+    AND lot_size_sqm IS NOT NULL AND street IS NOT NULL AND city IS NOT NULL AND state IS NOT NULL
+    AND zip_code IS NOT NULL),
+clean AS (
+  SELECT DISTINCT ON (brokered_by, prev_sold_date, price, street, city, zip_code) *
+  FROM complete ORDER BY brokered_by, prev_sold_date, price, street, city, zip_code, src_pos)"""
+
+PARSE_CTE = dirty_cte("clean_csv") + f""",
+parsed AS (
+  SELECT src_pos, {num_sql('brokered_by')} AS brokered_by, trim(status) AS status, {num_sql('price')} AS price,
+    {num_sql('lot_size_sqm')} AS lot_size_sqm, {num_sql('street')} AS street,
+    {title_sql('city')} AS city, {title_sql('state')} AS state, {strict_int_sql('zip_code')} AS zip_code,
+    {strict_int_sql('bed')} AS bed, {strict_int_sql('bath')} AS bath,
+    {num_sql('house_size_sqm')} AS house_size_sqm,
+    CASE WHEN trim(prev_sold_date) IN ('', 'NaT', 'nan', 'None', 'NaN') THEN NULL
+         WHEN year({ts_sql('prev_sold_date')}) BETWEEN 1970 AND 2105 THEN {ts_sql('prev_sold_date')} END
+      AS prev_sold_date
+  FROM txt),
+checked AS (
+  SELECT *, array_to_string(list_filter([
+      CASE WHEN brokered_by IS NULL THEN 'brokered_by' END,
+      CASE WHEN status IS NULL OR status = '' THEN 'status' END,
+      CASE WHEN price IS NULL THEN 'price' END,
+      CASE WHEN lot_size_sqm IS NULL THEN 'lot_size_sqm' END,
+      CASE WHEN street IS NULL THEN 'street' END,
+      CASE WHEN city IS NULL OR city = '' THEN 'city' END,
+      CASE WHEN state IS NULL OR state = '' THEN 'state' END,
+      CASE WHEN zip_code IS NULL THEN 'zip_code' END], lambda x: x IS NOT NULL), ',') AS reasons
+  FROM parsed),
+recs AS (
+  SELECT src_pos AS listing_id, CAST(brokered_by AS INTEGER) AS brokered_by, status, price, lot_size_sqm,
+         street, city, state, zip_code, bed, bath, house_size_sqm, CAST(prev_sold_date AS DATE) AS prev_sold_date
+  FROM checked WHERE reasons = '')"""
+
+ORACLE["title_case"] = with_listings(f"""
+SELECT src_pos, {title_sql('city')} AS city_title, {title_sql('state')} AS state_title FROM txt""",
+                                     dirty_cte("raw"))
+
+ORACLE["null_tokens"] = with_listings(f"""
+SELECT src_pos, {tok_sql('status')} AS status, {tok_sql('city')} AS city, {tok_sql('state')} AS state,
+       {tok_sql('prev_sold_date')} AS prev_sold_date FROM txt""", dirty_cte("raw"))
+
+ORACLE["unit_conversion"] = with_listings(f"""
+SELECT src_pos, {num_sql('acre_lot')} * 4046.8564224 AS lot_size_sqm,
+       {num_sql('house_size')} * 0.09290304 AS house_size_sqm FROM txt""", dirty_cte("raw"))
+
+ORACLE["clean_listings"] = with_listings("SELECT * FROM clean", CLEAN_CTE)
+
+ORACLE["cleaned_csv_rows"] = with_listings("""
+SELECT CAST(src_pos AS VARCHAR) AS src_pos, printf('%.2f', brokered_by) AS brokered_by,
+       COALESCE(status, '') AS status, printf('%.2f', price) AS price,
+       COALESCE(CAST(bed AS VARCHAR), '') AS bed, COALESCE(CAST(bath AS VARCHAR), '') AS bath,
+       COALESCE(printf('%.2f', lot_size_sqm), '') AS lot_size_sqm, printf('%.2f', street) AS street,
+       city, state, CAST(zip_code AS VARCHAR) AS zip_code,
+       COALESCE(printf('%.2f', house_size_sqm), '') AS house_size_sqm,
+       COALESCE(strftime(prev_sold_date, '%Y-%m-%d %H:%M:%S'), '') AS prev_sold_date
+FROM clean""", CLEAN_CTE)
+
+ORACLE["dedup_keep_first"] = with_listings("""
+SELECT DISTINCT ON (brokered_by, prev_sold_date, price, street, city, zip_code) *
+FROM txt ORDER BY brokered_by, prev_sold_date, price, street, city, zip_code, src_pos""", dirty_cte("raw"))
+
+ORACLE["parse_listings"] = with_listings("""
+SELECT src_pos, brokered_by, status, price, lot_size_sqm, street, city, state, zip_code, bed, bath,
+       house_size_sqm, prev_sold_date FROM checked WHERE reasons = ''""", PARSE_CTE)
+
+ORACLE["validate_required"] = with_listings("""
+SELECT src_pos, reasons FROM checked WHERE reasons <> ''""", PARSE_CTE)
+
+# ---------------------------------------------------------------- star layout
+HASH1 = "TRY_CAST('0x' || substr(md5({0}), 1, 15) AS BIGINT)"
+
+
+def hash_sql(*parts: str) -> str:
+    return HASH1.format(" || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts))
+
+
+ORACLE["star_brokers"] = with_listings("SELECT DISTINCT brokered_by FROM L WHERE brokered_by IS NOT NULL")
+ORACLE["star_states"] = with_listings(f"""
+SELECT {hash_sql('state_name')} AS state_id, state_name
+FROM (SELECT DISTINCT state AS state_name FROM L WHERE state IS NOT NULL) s""")
+ORACLE["star_cities"] = with_listings(f"""
+SELECT {hash_sql('city_name', hash_sql('state_name'))} AS city_id, city_name, {hash_sql('state_name')} AS state_id
+FROM (SELECT DISTINCT city AS city_name, state AS state_name FROM L
+      WHERE city IS NOT NULL AND state IS NOT NULL) c""")
+ORACLE["star_zip_codes"] = with_listings("SELECT DISTINCT zip_code FROM L WHERE zip_code IS NOT NULL")
+ORACLE["star_listings"] = with_listings(
+    "SELECT listing_id, brokered_by, status, price, prev_sold_date FROM L")
+ORACLE["star_estate_details"] = with_listings("""
+SELECT listing_id, bed, bath, house_size_sqm AS house_size FROM L
+WHERE bed IS NOT NULL OR bath IS NOT NULL OR house_size_sqm IS NOT NULL""")
+ORACLE["star_land_data"] = with_listings("""
+SELECT listing_id, lot_size_sqm AS area_size_in_square_m FROM L WHERE lot_size_sqm IS NOT NULL""")
+ORACLE["star_addresses"] = with_listings(f"""
+SELECT listing_id, street, zip_code, {hash_sql('city', hash_sql('state'))} AS city_id FROM L
+WHERE street IS NOT NULL AND zip_code IS NOT NULL AND city IS NOT NULL AND state IS NOT NULL""")
+
+ORACLE["listing_details"] = with_listings("""
+SELECT listing_id, brokered_by, status, price, prev_sold_date, bed, bath, house_size_sqm, lot_size_sqm,
+       street, zip_code, city, state
+FROM L WHERE street IS NOT NULL AND zip_code IS NOT NULL AND city IS NOT NULL AND state IS NOT NULL""")
+
+ORACLE["distinct_on"] = """
+SELECT DISTINCT ON (l_orderkey) l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice
+FROM lineitem ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice"""
+
+ORACLE["null_safe_match"] = with_listings("""
+SELECT l.listing_id, l.brokered_by, l.status, l.price, l.prev_sold_date, r.street, r.zip_code, r.first_id
+FROM recs l JOIN (
+  SELECT DISTINCT ON (brokered_by, status, price, prev_sold_date)
+         brokered_by, status, price, prev_sold_date, street, zip_code, listing_id AS first_id
+  FROM recs ORDER BY brokered_by, status, price, prev_sold_date, street, zip_code, listing_id) r
+ON l.brokered_by = r.brokered_by AND l.status = r.status AND l.price = r.price
+   AND l.prev_sold_date IS NOT DISTINCT FROM r.prev_sold_date""", PARSE_CTE)

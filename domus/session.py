@@ -55,7 +55,7 @@ def get_spark(master: str | None = None, app_name: str = "domus") -> SparkSessio
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     for k, v in _REQUIRED.items():
-        if k != "spark.ui.enabled":
+        if k.startswith("spark.sql."):
             spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
     return spark
