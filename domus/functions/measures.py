@@ -42,3 +42,9 @@ def city_key(city: str | Column = "city", state: str | Column = "state") -> Colu
 def norm_text(c: str | Column) -> Column:
     """lower(trim(x)) for case-insensitive matching."""
     return F.lower(F.trim(col(c)))
+
+
+def round_half_up(c: str | Column, digits: int) -> Column:
+    """Round half-up on the decimal value (10-digit decimal first, so float noise
+    in the last bits of an aggregate cannot flip a tie)."""
+    return F.round(col(c).cast("decimal(38,10)"), digits).cast("double")

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domus.functions.measures import price_per_sqm
+from domus.functions.measures import price_per_sqm, round_half_up
 from domus.operators import usecases as uc
 from domus.sources.tables import listings_from_tables
 
@@ -72,7 +72,7 @@ def q_uc4b(spark, sf_dir):
 @register("uc5_avg_price_per_city")
 def q_uc5(spark, sf_dir):
     return uc.uc5_avg_price_per_city(_l(spark, sf_dir)) \
-        .withColumn("avg_price_per_sqm", F.round("avg_price_per_sqm", 4))
+        .withColumn("avg_price_per_sqm", round_half_up("avg_price_per_sqm", 4))
 
 
 @register("uc6_bedrooms_size")
@@ -83,7 +83,7 @@ def q_uc6(spark, sf_dir):
 @register("avg_if")
 def q_avg_if(spark, sf_dir):
     return uc.avg_if(_l(spark, sf_dir), min_price=100000.0) \
-        .withColumn("avg_price_per_sqm", F.round("avg_price_per_sqm", 4))
+        .withColumn("avg_price_per_sqm", round_half_up("avg_price_per_sqm", 4))
 
 
 @register("price_per_sqm")
@@ -193,3 +193,142 @@ def q_null_safe(spark, sf_dir):
     left = st.star_listings(recs)
     return null_safe_match(left, firsts, keys, ["prev_sold_date"]) \
         .select("listing_id", "brokered_by", "status", "price", "prev_sold_date", "street", "zip_code", "first_id")
+
+
+# ---------------------------------------------------------------- run telemetry
+from domus.operators import documents as doc  # noqa: E402
+from domus.operators import mutate as mu  # noqa: E402
+from domus.operators import quality as qa  # noqa: E402
+from domus.operators import telemetry as tm  # noqa: E402
+from domus.sources.runs import runs_from_events, samples_from_events, snapshots_from_events  # noqa: E402
+from domus.functions.measures import adjust_price  # noqa: E402
+from domus.schema import LISTING_COLUMNS  # noqa: E402
+
+
+def _records(spark, sf_dir):
+    return tm.run_records(runs_from_events(spark, sf_dir))
+
+
+@register("run_file_metadata")
+def q_file_meta(spark, sf_dir):
+    runs = runs_from_events(spark, sf_dir)
+    from domus.sources.runs import file_metadata
+    return runs.select("index", "file_name", *file_metadata(F.col("file_name")))
+
+
+@register("run_records")
+def q_run_records(spark, sf_dir):
+    return _records(spark, sf_dir)
+
+
+@register("mean_exec_by_usecase")
+def q_mean_uc(spark, sf_dir):
+    return tm.mean_exec_by_usecase(_records(spark, sf_dir))
+
+
+@register("mean_exec_by_day")
+def q_mean_day(spark, sf_dir):
+    return tm.mean_exec_by_day(_records(spark, sf_dir), 1)
+
+
+@register("metric_quartiles")
+def q_quartiles(spark, sf_dir):
+    return tm.metric_quartiles(_records(spark, sf_dir), digits=6)
+
+
+@register("usecase_catalog")
+def q_catalog(spark, sf_dir):
+    return tm.usecase_catalog(_records(spark, sf_dir))
+
+
+@register("telemetry_summary")
+def q_telemetry(spark, sf_dir):
+    return tm.telemetry_summary(samples_from_events(spark, sf_dir))
+
+
+@register("cpu_percent")
+def q_cpu(spark, sf_dir):
+    return tm.snapshot_metrics(snapshots_from_events(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- quality checks
+@register("check_status")
+def q_check_status(spark, sf_dir):
+    return qa.check_status(parsed_records(spark, sf_dir))
+
+
+@register("check_not_null")
+def q_check_not_null(spark, sf_dir):
+    return qa.check_not_null(parsed_records(spark, sf_dir), list(LISTING_COLUMNS))
+
+
+@register("check_orphans")
+def q_check_orphans(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey").withColumnRenamed("l_orderkey", "o_orderkey")
+    return qa.check_orphans(orders, lines, ["o_orderkey"])
+
+
+@register("check_foreign_keys")
+def q_check_fk(spark, sf_dir):
+    return qa.foreign_key_report(_star(spark, sf_dir))
+
+
+@register("check_unique")
+def q_check_unique(spark, sf_dir):
+    return qa.check_unique(parsed_records(spark, sf_dir), ["brokered_by", "status", "price", "prev_sold_date"])
+
+
+# ---------------------------------------------------------------- copy-on-write changes
+SNAPSHOT_END = "1998-01-01"   # target table: listings sold before this date
+BATCH_START = "1997-01-01"    # incoming batch: listings sold from this date on (one year overlaps)
+
+
+def _target_batch(spark, sf_dir):
+    lst = _l(spark, sf_dir)
+    return (lst.where(F.col("prev_sold_date") < F.lit(SNAPSHOT_END).cast("date")),
+            lst.where(F.col("prev_sold_date") >= F.lit(BATCH_START).cast("date")))
+
+
+@register("insert_if_absent")
+def q_insert_if_absent(spark, sf_dir):
+    target, batch = _target_batch(spark, sf_dir)
+    return mu.insert_if_absent(target, batch, ["listing_id"])
+
+
+@register("insert_new_count")
+def q_new_count(spark, sf_dir):
+    target, batch = _target_batch(spark, sf_dir)
+    return mu.new_keys_count(target, batch, ["listing_id"])
+
+
+@register("upsert")
+def q_upsert(spark, sf_dir):
+    target, batch = _target_batch(spark, sf_dir)
+    return mu.upsert(target, batch.withColumn("price", adjust_price(0.10)), ["listing_id"])
+
+
+@register("schema_add_drop")
+def q_schema(spark, sf_dir):
+    return mu.drop_column_if_exists(mu.add_column_if_missing(_l(spark, sf_dir), "solar_panels", "boolean"), "bath")
+
+
+# ---------------------------------------------------------------- documents
+@register("import_documents")
+def q_docs(spark, sf_dir):
+    return doc.flatten_documents(doc.to_documents(_l(spark, sf_dir)))
+
+
+@register("documents_bedrooms_size")
+def q_docs_uc6(spark, sf_dir):
+    return doc.flatten_documents(doc.documents_bedrooms_size(doc.to_documents(_l(spark, sf_dir)), 2, 150.0))
+
+
+@register("lookup_unwind")
+def q_lookup(spark, sf_dir):
+    return doc.lookup_unwind(_l(spark, sf_dir), 500, 250000.0)
+
+
+@register("uc4_json")
+def q_uc4_json(spark, sf_dir):
+    return uc.uc4_json_rows(_l(spark, sf_dir), postal_code="10500", below_avg_pct=0.10, city="nation_7")

@@ -50,6 +50,11 @@ def with_listings(body: str, extra_ctes: str = "") -> str:
 
 ORACLE: dict[str, str] = {}
 
+
+def rnd(e: str, d: int) -> str:
+    """Half-up rounding on the decimal value (matches the Spark side)."""
+    return f"CAST(ROUND(CAST({e} AS DECIMAL(38,10)), {d}) AS DOUBLE)"
+
 # ---------------------------------------------------------------- use cases
 ORACLE["listings"] = with_listings(f"SELECT {LCOLS} FROM L")
 
@@ -91,9 +96,9 @@ SELECT {LCOLS} FROM L
 WHERE lower(trim(city)) = 'nation_7' AND price > 0
 ORDER BY price ASC NULLS LAST, listing_id""")
 
-ORACLE["uc5_avg_price_per_city"] = with_listings("""
+ORACLE["uc5_avg_price_per_city"] = with_listings(f"""
 SELECT city || ', ' || state AS city_state, city, state,
-       ROUND(AVG(CAST(price AS DOUBLE) / NULLIF(lot_size_sqm, 0)), 4) AS avg_price_per_sqm
+       {rnd('AVG(CAST(price AS DOUBLE) / NULLIF(lot_size_sqm, 0))', 4)} AS avg_price_per_sqm
 FROM L
 WHERE lot_size_sqm > 0 AND price > 0 AND city IS NOT NULL AND state IS NOT NULL
 GROUP BY city, state
@@ -103,10 +108,9 @@ ORDER BY state, city""")
 ORACLE["uc6_bedrooms_size"] = with_listings(f"""
 SELECT {LCOLS} FROM L WHERE bed > 2 AND house_size_sqm < 150.0""")
 
-ORACLE["avg_if"] = with_listings("""
+ORACLE["avg_if"] = with_listings(f"""
 SELECT city, state,
-       ROUND(AVG(CAST(price AS DOUBLE) / NULLIF(lot_size_sqm, 0))
-             FILTER (WHERE lot_size_sqm > 0 AND price > 100000.0), 4) AS avg_price_per_sqm,
+       {rnd('AVG(CAST(price AS DOUBLE) / NULLIF(lot_size_sqm, 0)) FILTER (WHERE lot_size_sqm > 0 AND price > 100000.0)', 4)} AS avg_price_per_sqm,
        COUNT(*) FILTER (WHERE lot_size_sqm > 0 AND price > 100000.0) AS n_eligible
 FROM L GROUP BY city, state""")
 
@@ -314,3 +318,140 @@ FROM recs l JOIN (
   FROM recs ORDER BY brokered_by, status, price, prev_sold_date, street, zip_code, listing_id) r
 ON l.brokered_by = r.brokered_by AND l.status = r.status AND l.price = r.price
    AND l.prev_sold_date IS NOT DISTINCT FROM r.prev_sold_date""", PARSE_CTE)
+
+
+# ---------------------------------------------------------------- run telemetry
+_METHODS = ", ".join(f"'{m}'" for m in (
+    "usecase1_filter_properties", "usecase2_update_prices", "usecase3_add_solar_panels",
+    "usecase4_price_analysis", "usecase5_average_price_per_city", "usecase6_filter_by_bedrooms_and_size",
+    "usecase7_bulk_import"))
+_FILE_RE = r"'^([^_]+)_(\d{2}-\d{2}-\d{4})_Run(\d+)'"
+
+RUNS_CTE = f"""WITH runs AS (
+  SELECT event_id AS "index", strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS run_id, event_type AS database,
+         [{_METHODS}][user_id % 7 + 1] AS usecase,
+         value AS execution_time_s, CAST(trunc(value * 1000) AS BIGINT) AS execution_time_ms,
+         value * 1.5 AS avg_cpu_percent, value * 2.0 AS peak_cpu_percent,
+         CAST(user_id + 1000 AS DOUBLE) AS avg_mem_mb, CAST(user_id + 1200 AS DOUBLE) AS peak_mem_mb,
+         event_type || '_' || strftime(ts, '%d-%m-%Y') || '_Run' || CAST(event_id % 12 + 1 AS VARCHAR) || '.jsonl'
+           AS file_name
+  FROM events),
+meta AS (
+  SELECT *, regexp_extract(file_name, {_FILE_RE}, 1) AS file_database,
+         CAST(strptime(regexp_extract(file_name, {_FILE_RE}, 2), '%d-%m-%Y') AS DATE) AS run_date,
+         TRY_CAST(regexp_extract(file_name, {_FILE_RE}, 3) AS INTEGER) AS run_number
+  FROM runs),
+recs AS (
+  SELECT database, strptime(run_id, '%Y-%m-%dT%H:%M:%S.%f') AS "timestamp",
+         TRY_CAST(right(split_part(usecase, '_', 1), 1) AS INTEGER) AS usecase_number,
+         regexp_replace(regexp_replace(usecase, '^[^_]*_?', ''), '_', ' ', 'g') AS usecase_name,
+         execution_time_s, execution_time_ms, avg_cpu_percent, peak_cpu_percent, avg_mem_mb, peak_mem_mb,
+         file_database, run_date, run_number
+  FROM meta)
+"""
+
+ORACLE["run_file_metadata"] = RUNS_CTE + """
+SELECT "index", file_name, file_database, run_date, run_number FROM meta"""
+ORACLE["run_records"] = RUNS_CTE + "SELECT * FROM recs"
+ORACLE["mean_exec_by_usecase"] = RUNS_CTE + f"""
+SELECT usecase_name, database, {rnd('AVG(execution_time_s)', 4)} AS mean_execution_time_s
+FROM recs GROUP BY usecase_name, database"""
+ORACLE["mean_exec_by_day"] = RUNS_CTE + f"""
+SELECT CAST("timestamp" AS DATE) AS date_only, database, {rnd('AVG(execution_time_s)', 4)} AS mean_exec_time_s
+FROM recs WHERE usecase_number = 1 GROUP BY 1, 2 ORDER BY 1, 2"""
+ORACLE["metric_quartiles"] = RUNS_CTE + f""",
+long AS (UNPIVOT (SELECT database, execution_time_s, peak_cpu_percent, avg_mem_mb FROM recs)
+         ON execution_time_s, peak_cpu_percent, avg_mem_mb INTO NAME metric VALUE v)
+SELECT database, metric, {rnd('MIN(v)', 6)} AS "min", {rnd('quantile_cont(v, 0.25)', 6)} AS q1,
+       {rnd('quantile_cont(v, 0.5)', 6)} AS median, {rnd('quantile_cont(v, 0.75)', 6)} AS q3,
+       {rnd('MAX(v)', 6)} AS "max"
+FROM long GROUP BY database, metric"""
+ORACLE["usecase_catalog"] = RUNS_CTE + """
+SELECT DISTINCT usecase_number, usecase_name,
+       'uc ' || CAST(usecase_number AS VARCHAR) || ': ' ||
+       CASE usecase_number WHEN 1 THEN 'Filtering Query Properties' WHEN 2 THEN 'Bulk Update'
+            WHEN 3 THEN 'Schema Evolution' WHEN 4 THEN 'Analytical Query' WHEN 5 THEN 'Aggregation'
+            WHEN 6 THEN 'Filtering Query Bedrooms and Size' WHEN 7 THEN 'Bulk Import' END AS label
+FROM recs ORDER BY usecase_number, usecase_name"""
+ORACLE["telemetry_summary"] = f"""
+SELECT event_type AS system, CAST(ts AS DATE) AS day,
+       {rnd('AVG(value)', 2)} AS avg_cpu, {rnd('MAX(value)', 2)} AS peak_cpu,
+       {rnd('AVG(CAST(user_id AS DOUBLE))', 2)} AS avg_mem, {rnd('MAX(CAST(user_id AS DOUBLE))', 2)} AS peak_mem,
+       {rnd('(MAX(event_id * 4096) - MIN(event_id * 4096)) / 1048576.0', 2)} AS total_blkio_mb,
+       COUNT(*) AS samples
+FROM events GROUP BY 1, 2"""
+ORACLE["cpu_percent"] = """
+WITH s AS (
+  SELECT event_id, CAST(round(value * 1000000) AS BIGINT) AS cpu_delta, (user_id % 5) * 10000000 AS sys_delta,
+         COALESCE(NULLIF(CASE WHEN user_id % 7 <> 0 THEN CAST(user_id % 4 AS INTEGER) END, 0), 1) AS cpus,
+         user_id * 1048576 AS mem_usage, event_id * 512 + user_id * 100 AS blk
+  FROM events)
+SELECT event_id,
+       CASE WHEN sys_delta > 0 AND cpu_delta > 0 THEN (cpu_delta / sys_delta) * cpus * 100.0 ELSE 0.0 END
+         AS cpu_percent,
+       mem_usage / 1048576.0 AS mem_mb, blk AS blkio_bytes
+FROM s"""
+
+# ---------------------------------------------------------------- quality checks
+ORACLE["check_status"] = with_listings("""
+SELECT status, COUNT(*) AS n_rows FROM recs
+WHERE status IS NOT NULL AND status NOT IN ('for_sale', 'ready_to_build', 'sold') GROUP BY status""", PARSE_CTE)
+ORACLE["check_not_null"] = with_listings("""
+SELECT column_name, n_null FROM (UNPIVOT (
+  SELECT COUNT(*) FILTER (WHERE listing_id IS NULL) AS listing_id,
+         COUNT(*) FILTER (WHERE brokered_by IS NULL) AS brokered_by,
+         COUNT(*) FILTER (WHERE status IS NULL) AS status,
+         COUNT(*) FILTER (WHERE price IS NULL) AS price,
+         COUNT(*) FILTER (WHERE lot_size_sqm IS NULL) AS lot_size_sqm,
+         COUNT(*) FILTER (WHERE street IS NULL) AS street,
+         COUNT(*) FILTER (WHERE city IS NULL) AS city,
+         COUNT(*) FILTER (WHERE state IS NULL) AS state,
+         COUNT(*) FILTER (WHERE zip_code IS NULL) AS zip_code,
+         COUNT(*) FILTER (WHERE bed IS NULL) AS bed,
+         COUNT(*) FILTER (WHERE bath IS NULL) AS bath,
+         COUNT(*) FILTER (WHERE house_size_sqm IS NULL) AS house_size_sqm,
+         COUNT(*) FILTER (WHERE prev_sold_date IS NULL) AS prev_sold_date
+  FROM recs) ON COLUMNS(*) INTO NAME column_name VALUE n_null)""", PARSE_CTE)
+ORACLE["check_orphans"] = """
+SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)"""
+ORACLE["check_foreign_keys"] = """
+SELECT relation, CAST(n AS BIGINT) AS n_orphans FROM (VALUES ('cities.state_id -> states', 0), ('listings.brokered_by -> brokers', 0),
+  ('estate_details.listing_id -> listings', 0), ('land_data.listing_id -> listings', 0),
+  ('addresses.listing_id -> listings', 0), ('addresses.zip_code -> zip_codes', 0),
+  ('addresses.city_id -> cities', 0)) t(relation, n)"""
+ORACLE["check_unique"] = with_listings("""
+SELECT brokered_by, status, price, prev_sold_date, COUNT(*) AS n_rows FROM recs
+GROUP BY brokered_by, status, price, prev_sold_date HAVING COUNT(*) > 1""", PARSE_CTE)
+
+# ---------------------------------------------------------------- copy-on-write changes
+_TGT = "prev_sold_date < DATE '1998-01-01'"
+_NEW = "prev_sold_date >= DATE '1997-01-01'"
+ORACLE["insert_if_absent"] = with_listings(f"""
+SELECT {LCOLS} FROM L WHERE {_TGT}
+UNION ALL
+SELECT {LCOLS} FROM L WHERE {_NEW} AND listing_id NOT IN (SELECT listing_id FROM L WHERE {_TGT})""")
+ORACLE["insert_new_count"] = with_listings(f"""
+SELECT COUNT(*) AS n_new FROM (SELECT DISTINCT listing_id FROM L WHERE {_NEW}) b
+WHERE listing_id NOT IN (SELECT listing_id FROM L WHERE {_TGT})""")
+ORACLE["upsert"] = with_listings(f"""
+SELECT {LCOLS} FROM L WHERE {_TGT} AND listing_id NOT IN (SELECT listing_id FROM L WHERE {_NEW})
+UNION ALL
+SELECT listing_id, brokered_by, status,
+       CAST(CAST(CAST(price AS DECIMAL(16,2)) * CAST(1.1 AS DECIMAL(7,1)) AS DECIMAL(16,2)) AS DOUBLE) AS price,
+       lot_size_sqm, street, city, state, zip_code, bed, bath, house_size_sqm, prev_sold_date
+FROM L WHERE {_NEW}""")
+ORACLE["schema_add_drop"] = with_listings("""
+SELECT listing_id, brokered_by, status, price, lot_size_sqm, street, city, state, zip_code, bed,
+       house_size_sqm, prev_sold_date, CAST(NULL AS BOOLEAN) AS solar_panels FROM L""")
+
+# ---------------------------------------------------------------- documents
+_DOC = ("listing_id, brokered_by, status, price, prev_sold_date, bed, bath, house_size_sqm AS house_size, "
+        "lot_size_sqm AS area_size_in_square_m, street, zip_code, lower(city) AS city, lower(state) AS state")
+ORACLE["import_documents"] = with_listings(f"SELECT {_DOC} FROM L")
+ORACLE["documents_bedrooms_size"] = with_listings(f"SELECT {_DOC} FROM L WHERE bed > 2 AND house_size_sqm < 150.0")
+ORACLE["lookup_unwind"] = with_listings(f"""
+SELECT {', '.join('L.' + c.strip() for c in LCOLS.split(','))}, g.n_listings
+FROM (SELECT city, state, COUNT(*) AS n_listings FROM L WHERE city IS NOT NULL AND state IS NOT NULL
+      GROUP BY city, state HAVING COUNT(*) > 500) g
+JOIN L ON L.city = g.city AND L.state = g.state AND L.price IS NOT NULL AND L.price < 250000.0""")
