@@ -37,13 +37,13 @@ def convert_units(raw: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- full clean
-def clean_raw(raw: DataFrame, order_col: str = "src_pos", narrow: bool = False) -> DataFrame:
+def clean_raw(raw: DataFrame, order_cols=("src_pos",), narrow: bool = False) -> DataFrame:
     """Raw realtor export -> cleaned listings.
 
     Steps: unit conversion; date parse to UTC, years <= 1970 dropped to NULL;
     null tokens on text fields; city title case; drop rows missing a
     mandatory field; numeric typing (beds/baths/zip integral); keep the first
-    row (by ``order_col``) of each duplicate group on the six dedup keys,
+    row (by ``order_cols``, the source position) of each duplicate group on the six dedup keys,
     nulls comparing equal.  ``narrow`` reproduces float32 storage of the
     money/area columns (lossy above 2^24).
     """
@@ -59,8 +59,9 @@ def clean_raw(raw: DataFrame, order_col: str = "src_pos", narrow: bool = False)
 
     lot = F.col("lot_size_sqm").cast("float").cast("double") if narrow else F.col("lot_size_sqm")
     house = F.col("house_size_sqm").cast("float").cast("double") if narrow else F.col("house_size_sqm")
+    order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     typed = df.select(
-        F.col(order_col),
+        *order_cols,
         num("brokered_by").alias("brokered_by"),
         status.alias("status"),
         num("price").alias("price"),
@@ -75,7 +76,7 @@ def clean_raw(raw: DataFrame, order_col: str = "src_pos", narrow: bool = False)
         sold.alias("prev_sold_date"),
     )
     complete = typed.dropna(subset=list(REQUIRED_FIELDS))
-    return first_per_group(complete, list(DEDUP_KEYS), [order_col])
+    return first_per_group(complete, list(DEDUP_KEYS), order_cols)
 
 
 def format_clean_csv(clean: DataFrame) -> DataFrame:
