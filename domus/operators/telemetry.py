@@ -68,12 +68,12 @@ def summarize_samples(runs: DataFrame, arr: str = "raw_samples") -> DataFrame:
 
     blk = F.transform(s, lambda x: x["blkio_bytes"])
     io = F.when(n > 0, round_half_up((F.array_max(blk) - F.array_min(blk)) / MB, 2)).otherwise(F.lit(0.0))
-    return runs.select(
-        "*",
-        avg_of("cpu_percent").alias("avg_cpu"), max_of("cpu_percent").alias("peak_cpu"),
-        avg_of("mem_mb").alias("avg_mem"), max_of("mem_mb").alias("peak_mem"),
-        io.alias("total_blkio_mb"), n.cast("bigint").alias("n_samples"),
-    )
+    # withColumns replaces a same-named column already present in the record
+    return runs.withColumns({
+        "avg_cpu": avg_of("cpu_percent"), "peak_cpu": max_of("cpu_percent"),
+        "avg_mem": avg_of("mem_mb"), "peak_mem": max_of("mem_mb"),
+        "total_blkio_mb": io, "n_samples": n.cast("bigint"),
+    })
 
 
 def explode_samples(runs: DataFrame, arr: str = "raw_samples") -> DataFrame:

@@ -25,26 +25,34 @@ class ListingsEngine:
     def __init__(self, spark: SparkSession, base_path: str):
         self.spark = spark
         self.base = base_path.rstrip("/")
+        self._current = latest_version(spark, self.base)
 
     # ------------------------------------------------------------ table state
     def table(self) -> DataFrame:
-        path = latest_version(self.spark, self.base)
-        if path is None:
+        """The newest complete version (the one this engine wrote last, or found at start)."""
+        if self._current is None:
             return self.spark.createDataFrame([], LISTING)
-        return self.spark.read.parquet(path)
+        return self.spark.read.parquet(self._current)
+
+    def _commit(self, df: DataFrame) -> None:
+        self._current = write_version(df, self.base)
 
     def reset_database(self) -> None:
-        reset_table(self.spark, self.base, LISTING)
+        self._current = reset_table(self.spark, self.base, LISTING)
 
     def get_total_count(self) -> int:
         return self.table().count()
 
     # ------------------------------------------------------------ UC7
-    def usecase7_bulk_import(self, data: DataFrame | str) -> dict[str, int]:
+    def usecase7_bulk_import(self, data: DataFrame | str, on_duplicate: str = "append") -> dict[str, int]:
         """Import cleaned-CSV text (a path or a text DataFrame with ``src_pos``).
 
         Valid rows are appended to the current table as a new clustered
-        version; rejects are counted.  Returns {'imported', 'rejected'}.
+        version; rejects are counted.  Ids derive from the file position, so
+        importing the same file again yields the same ids: ``on_duplicate=
+        "append"`` keeps both copies (plain append), ``"skip"`` drops rows
+        whose id is already in the table (anti join).  Returns
+        {'imported', 'rejected'} (imported counts parsed valid rows).
         """
         text = read_clean_csv(self.spark, data) if isinstance(data, str) else data
         if "src_file" in text.columns:
@@ -56,8 +64,12 @@ class ListingsEngine:
         parsed = parsed.observe(obs, F.count(F.when(ok, F.lit(1))).alias("imported"),
                                 F.count(F.when(~ok, F.lit(1))).alias("rejected"))
         new_rows = to_wide_listing(parsed.where(ok).drop("reasons"))
+        if on_duplicate == "skip":
+            new_rows = new_rows.join(self.table().select("listing_id"), "listing_id", "left_anti")
+        elif on_duplicate != "append":
+            raise ValueError("on_duplicate must be 'append' or 'skip'")
         combined = self.table().unionByName(new_rows, allowMissingColumns=True)
-        write_version(clustered(combined), self.base)
+        self._commit(clustered(combined))
         m = obs.get
         return {"imported": int(m["imported"]), "rejected": int(m["rejected"])}
 
@@ -86,12 +98,12 @@ class ListingsEngine:
         obs = Observation("uc2")
         updated = uc.uc2_update_prices(current, broker_id, percent_delta, limit)
         counted = updated.observe(obs, F.count(F.when(F.col("updated"), F.lit(1))).alias("n"))
-        write_version(counted.drop("updated"), self.base)
+        self._commit(counted.drop("updated"))
         return int(obs.get["n"])
 
     def usecase3_add_solar_panels(self) -> int:
         """Add/refill ``solar_panels``; returns the number of rows in the table."""
         obs = Observation("uc3")
         out = uc.uc3_add_solar_panels(self.table()).observe(obs, F.count(F.lit(1)).alias("n"))
-        write_version(out, self.base)
+        self._commit(out)
         return int(obs.get["n"])
