@@ -332,3 +332,28 @@ def q_lookup(spark, sf_dir):
 @register("uc4_json")
 def q_uc4_json(spark, sf_dir):
     return uc.uc4_json_rows(_l(spark, sf_dir), postal_code="10500", below_avg_pct=0.10, city="nation_7")
+
+
+# ---------------------------------------------------------------- streaming
+from domus.session import scratch_path  # noqa: E402
+from domus.streaming import ingest as st_ingest  # noqa: E402
+from domus.streaming import telemetry as st_tele  # noqa: E402
+
+
+@register("stream_telemetry")
+def q_stream_telemetry(spark, sf_dir):
+    """Windowed telemetry over the events file read as a stream (run to completion)."""
+    out, ckpt = scratch_path(spark, "tele-out"), scratch_path(spark, "tele-ckpt")
+    q = st_tele.telemetry_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet", out, ckpt)
+    q.awaitTermination()
+    return st_tele.latest_windows(spark, out)
+
+
+@register("stream_import")
+def q_stream_import(spark, sf_dir):
+    """Incremental import: the cleaned-CSV export as 4 files, one file per micro-batch."""
+    src, target, ckpt = (scratch_path(spark, n) for n in ("ingest-src", "ingest-target", "ingest-ckpt"))
+    clean_csv_text(spark, sf_dir).drop("src_pos").repartition(4).write.option("header", True).csv(src)
+    q = st_ingest.import_stream(spark, src, target, ckpt, max_files_per_trigger=1)
+    q.awaitTermination()
+    return spark.read.parquet(target).drop("listing_id", "batch")

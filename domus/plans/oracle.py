@@ -455,3 +455,17 @@ SELECT {', '.join('L.' + c.strip() for c in LCOLS.split(','))}, g.n_listings
 FROM (SELECT city, state, COUNT(*) AS n_listings FROM L WHERE city IS NOT NULL AND state IS NOT NULL
       GROUP BY city, state HAVING COUNT(*) > 500) g
 JOIN L ON L.city = g.city AND L.state = g.state AND L.price IS NOT NULL AND L.price < 250000.0""")
+
+
+# ---------------------------------------------------------------- streaming
+ORACLE["stream_telemetry"] = f"""
+SELECT event_type AS system, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS window_start,
+       CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY AS window_end,
+       {rnd('AVG(value)', 2)} AS avg_cpu, {rnd('MAX(value)', 2)} AS peak_cpu,
+       {rnd('AVG(CAST(user_id AS DOUBLE))', 2)} AS avg_mem, {rnd('MAX(CAST(user_id AS DOUBLE))', 2)} AS peak_mem,
+       {rnd('(MAX(event_id * 4096) - MIN(event_id * 4096)) / 1048576.0', 2)} AS total_blkio_mb,
+       COUNT(*) AS samples
+FROM events GROUP BY 1, 2, 3"""
+ORACLE["stream_import"] = with_listings("""
+SELECT brokered_by, status, price, lot_size_sqm, street, city, state, zip_code, bed, bath, house_size_sqm,
+       prev_sold_date FROM recs""", PARSE_CTE)
