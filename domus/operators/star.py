@@ -62,6 +62,19 @@ def star_addresses(listings: DataFrame) -> DataFrame:
         "listing_id", "street", "zip_code", hash_id("city", hash_id("state")).alias("city_id"))
 
 
+def resolve_city_ids(listings: DataFrame, cities: DataFrame, states: DataFrame) -> DataFrame:
+    """Natural (city, state) -> city_id by lookup in existing dimension tables.
+
+    The relational import resolves the state id with a correlated scalar
+    subquery per row; here it is two equi-joins (states, then cities on
+    (city_name, state_id)).  Both dimensions are small and are broadcast by
+    AQE from their measured size; rows whose city is unknown get NULL.
+    """
+    with_state = listings.join(states.select(F.col("state_name").alias("state"), "state_id"), "state", "left")
+    return with_state.join(cities.select(F.col("city_name").alias("city"), "state_id", "city_id"),
+                           ["city", "state_id"], "left").drop("state_id")
+
+
 def star_tables(listings: DataFrame) -> dict[str, DataFrame]:
     """All eight tables from one staging frame (write the staging once first)."""
     return {

@@ -138,6 +138,15 @@ def usecase_label(number: Column) -> Column:
     return m[number]
 
 
+def mean_exec_chart(records: DataFrame) -> DataFrame:
+    """Mean execution time per (use case, system) with display label, in contract order."""
+    m = mean_exec_by_usecase(records.select("usecase_number", "usecase_name", "database", "execution_time_s"))
+    nums = records.select("usecase_name", "usecase_number").dropDuplicates()
+    return (m.join(nums, "usecase_name")
+            .withColumn("label", usecase_label(F.col("usecase_number")))
+            .orderBy("usecase_number", "database"))
+
+
 def usecase_catalog(records: DataFrame) -> DataFrame:
     """Distinct (number, name) of use cases with display label, in contract order."""
     return (records.select("usecase_number", "usecase_name").dropDuplicates()

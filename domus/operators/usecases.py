@@ -54,6 +54,13 @@ def avg_if(listings: DataFrame, keys=("city", "state"), min_price: float = 0.0)
                  F.count(F.when(ok, F.lit(1))).alias("n_eligible")))
 
 
+# ---------------------------------------------------------------- existence checks
+def _require_any(listings: DataFrame, cond, what: str) -> None:
+    """Opt-in check (``validate=True``): raise if no row matches (a bounded probe job)."""
+    if listings.where(cond).limit(1).count() == 0:
+        raise ValueError(f"{what} not found")
+
+
 # ---------------------------------------------------------------- use cases
 def uc1_filter_properties(listings: DataFrame, min_listings: int = DEFAULT_MIN_LISTINGS,
                           max_price: float = DEFAULT_MAX_PRICE) -> DataFrame:
@@ -82,7 +89,7 @@ def first_listings_of_broker(listings: DataFrame, broker: int, limit: int,
 
 def uc2_update_prices(listings: DataFrame, broker_id: str = DEFAULT_BROKER_ID,
                       percent_delta: float = DEFAULT_PERCENT_DELTA, limit: int = DEFAULT_LIMIT,
-                      skip_null_price: bool = False) -> DataFrame:
+                      skip_null_price: bool = False, validate: bool = False) -> DataFrame:
     """Copy-on-write price change for the first ``limit`` listings of a broker.
 
     Returns the whole table with new prices and an ``updated`` flag.  The id
@@ -92,6 +99,8 @@ def uc2_update_prices(listings: DataFrame, broker_id: str = DEFAULT_BROKER_ID,
     broker = params.parse_int_text(broker_id, "broker_id")
     delta = params.check_percent_delta(percent_delta)
     n = params.check_limit(limit)
+    if validate:
+        _require_any(listings, F.col("brokered_by") == broker, f"broker {broker}")
     chosen = first_listings_of_broker(listings, broker, n, skip_null_price).withColumn("_upd", F.lit(True))
     flagged = listings.join(F.broadcast(chosen), "listing_id", "left")
     upd = F.coalesce(F.col("_upd"), F.lit(False))
@@ -112,7 +121,7 @@ def uc3_add_solar_panels(listings: DataFrame) -> DataFrame:
 
 def uc4_below_threshold(listings: DataFrame, postal_code: str = DEFAULT_POSTAL_CODE,
                         below_avg_pct: float = DEFAULT_BELOW_AVG_PCT,
-                        require_positive_price: bool = True) -> DataFrame:
+                        require_positive_price: bool = True, validate: bool = False) -> DataFrame:
     """Listings of one zip whose price/m2 is strictly below (1 - pct) x the zip average.
 
     The average is a per-zip aggregate joined back on ``zip_code`` (an
@@ -122,6 +131,8 @@ def uc4_below_threshold(listings: DataFrame, postal_code: str = DEFAULT_POSTAL_C
     """
     z = params.parse_int_text(postal_code, "postal_code")
     pct = params.check_below_avg_pct(below_avg_pct)
+    if validate:
+        _require_any(listings, F.col("zip_code") == z, f"zip code {z}")
     in_zip = eligible_for_ratio(listings.where(F.col("zip_code") == z), require_positive_price) \
         .withColumn("price_per_sqm", price_per_sqm())
     zip_avg = in_zip.groupBy("zip_code").agg(F.avg("price_per_sqm").alias("_zip_avg"))
@@ -132,12 +143,14 @@ def uc4_below_threshold(listings: DataFrame, postal_code: str = DEFAULT_POSTAL_C
 
 
 def uc4_sorted_by_city(listings: DataFrame, city: str = DEFAULT_CITY, state: str | None = None,
-                       require_positive_price: bool = True) -> DataFrame:
+                       require_positive_price: bool = True, validate: bool = False) -> DataFrame:
     """Listings of a city (case-insensitive, trimmed; optional state), cheapest first."""
     c = params.check_city(city)
     cond = norm_text("city") == c.lower()
     if state is not None and state.strip():
         cond = cond & (norm_text("state") == state.strip().lower())
+    if validate:
+        _require_any(listings, cond, f"city {c}")
     if require_positive_price:
         cond = cond & (F.col("price") > 0)
     return listings.where(cond).orderBy(F.col("price").asc_nulls_last(), "listing_id")

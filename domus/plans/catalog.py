@@ -236,6 +236,18 @@ def q_quartiles(spark, sf_dir):
     return tm.metric_quartiles(_records(spark, sf_dir), digits=6)
 
 
+@register("mean_exec_chart")
+def q_mean_chart(spark, sf_dir):
+    return tm.mean_exec_chart(_records(spark, sf_dir))
+
+
+@register("resolve_city_ids")
+def q_resolve(spark, sf_dir):
+    lst = _l(spark, sf_dir)
+    star = st.star_tables(lst)
+    return st.resolve_city_ids(lst.select("listing_id", "city", "state"), star["cities"], star["states"])
+
+
 @register("usecase_catalog")
 def q_catalog(spark, sf_dir):
     return tm.usecase_catalog(_records(spark, sf_dir))

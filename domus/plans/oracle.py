@@ -301,6 +301,9 @@ ORACLE["star_addresses"] = with_listings(f"""
 SELECT listing_id, street, zip_code, {hash_sql('city', hash_sql('state'))} AS city_id FROM L
 WHERE street IS NOT NULL AND zip_code IS NOT NULL AND city IS NOT NULL AND state IS NOT NULL""")
 
+ORACLE["resolve_city_ids"] = with_listings(f"""
+SELECT listing_id, city, state, {hash_sql('city', hash_sql('state'))} AS city_id FROM L""")
+
 ORACLE["listing_details"] = with_listings("""
 SELECT listing_id, brokered_by, status, price, prev_sold_date, bed, bath, house_size_sqm, lot_size_sqm,
        street, zip_code, city, state
@@ -366,6 +369,15 @@ SELECT database, metric, {rnd('MIN(v)', 6)} AS "min", {rnd('quantile_cont(v, 0.2
        {rnd('quantile_cont(v, 0.5)', 6)} AS median, {rnd('quantile_cont(v, 0.75)', 6)} AS q3,
        {rnd('MAX(v)', 6)} AS "max"
 FROM long GROUP BY database, metric"""
+ORACLE["mean_exec_chart"] = RUNS_CTE + f"""
+SELECT m.usecase_name, m.database, m.mean_execution_time_s, n.usecase_number,
+       CASE n.usecase_number WHEN 1 THEN 'Filtering Query Properties' WHEN 2 THEN 'Bulk Update'
+            WHEN 3 THEN 'Schema Evolution' WHEN 4 THEN 'Analytical Query' WHEN 5 THEN 'Aggregation'
+            WHEN 6 THEN 'Filtering Query Bedrooms and Size' WHEN 7 THEN 'Bulk Import' END AS label
+FROM (SELECT usecase_name, database, {rnd('AVG(execution_time_s)', 4)} AS mean_execution_time_s
+      FROM recs GROUP BY 1, 2) m
+JOIN (SELECT DISTINCT usecase_name, usecase_number FROM recs) n ON m.usecase_name = n.usecase_name
+ORDER BY n.usecase_number, m.database"""
 ORACLE["usecase_catalog"] = RUNS_CTE + """
 SELECT DISTINCT usecase_number, usecase_name,
        'uc ' || CAST(usecase_number AS VARCHAR) || ': ' ||

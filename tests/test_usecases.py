@@ -119,3 +119,14 @@ def test_division_guard_under_ansi(spark):
     from domus.functions.measures import price_per_sqm
     vals = [r[0] for r in wide(spark).select(price_per_sqm()).collect()]
     assert None in vals  # lot 0 -> NULL, no ANSI divide-by-zero error
+
+
+def test_validate_option_raises_on_unknown_keys(spark):
+    lst = wide(spark)
+    with pytest.raises(ValueError):
+        uc.uc2_update_prices(lst, broker_id="999", validate=True)
+    with pytest.raises(ValueError):
+        uc.uc4_below_threshold(lst, postal_code="99999", validate=True)
+    with pytest.raises(ValueError):
+        uc.uc4_sorted_by_city(lst, city="Nowhere", validate=True)
+    assert uc.uc4_sorted_by_city(lst, city="Nowhere").count() == 0  # default: empty result
