@@ -75,6 +75,7 @@ def uc1_filter_properties(listings: DataFrame, min_listings: int = DEFAULT_MIN_L
     qualifying = cities_with_min_listings(listings, min_listings).select("city", "state")
     return (listings.where(F.col("price") < max_price)
             .join(qualifying, ["city", "state"], "left_semi")
+            .select(*listings.columns)
             .orderBy("city", "state", "price", "listing_id"))
 
 
