@@ -157,8 +157,13 @@ def q_rejects(spark, sf_dir):
     return rejects
 
 
+def _staged_listings(spark, sf_dir):
+    from domus.session import materialize
+    return materialize(_l(spark, sf_dir), "listings-stage")
+
+
 def _star(spark, sf_dir):
-    return st.star_tables(_l(spark, sf_dir))
+    return st.star_tables(_staged_listings(spark, sf_dir))
 
 
 for _name in ("brokers", "states", "cities", "zip_codes", "listings", "estate_details", "land_data",
@@ -179,8 +184,9 @@ def q_distinct_on(spark, sf_dir):
 
 
 def parsed_records(spark, sf_dir):
+    from domus.session import materialize
     valid, _ = cl.parse_listings(clean_csv_text(spark, sf_dir))
-    return cl.to_wide_listing(valid)
+    return materialize(cl.to_wide_listing(valid), "parsed-stage")
 
 
 @register("null_safe_match")
@@ -243,7 +249,7 @@ def q_mean_chart(spark, sf_dir):
 
 @register("resolve_city_ids")
 def q_resolve(spark, sf_dir):
-    lst = _l(spark, sf_dir)
+    lst = _staged_listings(spark, sf_dir)
     star = st.star_tables(lst)
     return st.resolve_city_ids(lst.select("listing_id", "city", "state"), star["cities"], star["states"])
 

@@ -93,3 +93,16 @@ def _count():
 
 
 _counter = _count()
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage for plans that use one expensive input in several
+    branches: each branch scans the staged files (with pruning and pushdown)
+    instead of recomputing the input, and a lost executor re-reads files
+    rather than re-running the upstream joins.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
