@@ -114,23 +114,36 @@ def mean_exec_by_day(records: DataFrame, usecase_number: int) -> DataFrame:
 
 def metric_quartiles(records: DataFrame,
                      metrics=("execution_time_s", "peak_cpu_percent", "avg_mem_mb"),
-                     approx: bool = False, accuracy: int = 10000, digits: int = 6) -> DataFrame:
+                     method: str = "map", accuracy: int = 10000, digits: int = 6) -> DataFrame:
     """Box-plot statistics (min, quartiles, max) per system and metric.
 
-    Exact ``percentile`` keeps a value->count map per group (merged across
-    tasks); for high-cardinality metrics at scale ``percentile_approx`` is
-    the bounded-memory alternative (``approx=True``, a mergeable sketch with
-    relative rank error 1/accuracy).
+    ``map``: Spark's exact ``percentile`` (a value->count map per group,
+    merged across tasks; memory grows with distinct values of the largest
+    group).  ``rank``: exact quantiles from a distributed rank
+    (``ranking.exact_quantiles``), no group gathered in one task.
+    ``approx``: ``percentile_approx``, a mergeable sketch with relative rank
+    error 1/accuracy.
     """
+    from domus.operators.joins import null_safe_match
+    from domus.operators.ranking import exact_quantiles
     long = records.unpivot(["database"], list(metrics), "metric", "v")
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    q = F.percentile_approx("v", probs, accuracy) if approx else F.percentile(F.col("v"), probs)
-    return (long.groupBy("database", "metric")
-            .agg(F.min("v").alias("min"), q.alias("_q"), F.max("v").alias("max"))
-            .select("database", "metric", round_half_up("min", digits).alias("min"),
-                    round_half_up(F.col("_q")[0], digits).alias("q1"),
-                    round_half_up(F.col("_q")[1], digits).alias("median"),
-                    round_half_up(F.col("_q")[2], digits).alias("q3"), round_half_up("max", digits).alias("max")))
+    probs = (0.25, 0.5, 0.75)
+    keys = ["database", "metric"]
+    bounds = long.groupBy(*keys).agg(F.min("v").alias("min"), F.max("v").alias("max"))
+    if method == "rank":
+        qs = exact_quantiles(long, keys, "v", probs)
+        wide = qs.groupBy(*keys).pivot("prob", list(probs)).agg(F.first("value"))
+        wide = wide.select(*keys, *[F.col(f"`{c}`").alias(n) for c, n in zip(wide.columns[2:], ("_q1", "_q2", "_q3"))])
+        stats = null_safe_match(bounds, wide, [], keys)
+        q1, q2, q3 = F.col("_q1"), F.col("_q2"), F.col("_q3")
+    else:
+        arr = F.array(*[F.lit(x) for x in probs])
+        q = F.percentile_approx("v", arr, accuracy) if method == "approx" else F.percentile(F.col("v"), arr)
+        stats = long.groupBy(*keys).agg(F.min("v").alias("min"), q.alias("_q"), F.max("v").alias("max"))
+        q1, q2, q3 = F.col("_q")[0], F.col("_q")[1], F.col("_q")[2]
+    return stats.select("database", "metric", round_half_up("min", digits).alias("min"),
+                        round_half_up(q1, digits).alias("q1"), round_half_up(q2, digits).alias("median"),
+                        round_half_up(q3, digits).alias("q3"), round_half_up("max", digits).alias("max"))
 
 
 def usecase_label(number: Column) -> Column:

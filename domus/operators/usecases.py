@@ -206,15 +206,14 @@ def uc6_filter_by_bedrooms_and_size(listings: DataFrame, min_bedrooms: int = DEF
     return listings.where((F.col("bed") > n) & (F.col("house_size_sqm") < m))
 
 
-def top_n_per_broker(listings: DataFrame, n: int = DEFAULT_LIMIT) -> DataFrame:
+def top_n_per_broker(listings: DataFrame, n: int = DEFAULT_LIMIT, method: str = "auto") -> DataFrame:
     """The first ``n`` listings (ascending id) of every broker, with their rank.
 
-    ``row_number() <= n`` over a broker window is planned with a partial
-    window-group-limit before the shuffle, so a broker holding a third of the
-    rows ships at most n rows per input task.
+    Small n: ``row_number() <= n`` over a broker window, planned with a
+    partial window-group limit before the shuffle (a broker holding a third
+    of the rows ships at most n rows per input task).  Large n: the
+    distributed rank of ``ranking.top_n_per_group`` (no broker in one task).
     """
-    from pyspark.sql import Window
+    from domus.operators.ranking import top_n_per_group
     n = params.check_limit(n)
-    w = Window.partitionBy("brokered_by").orderBy("listing_id")
-    return (listings.withColumn("rank_in_broker", F.row_number().over(w))
-            .where(F.col("rank_in_broker") <= n))
+    return top_n_per_group(listings, ["brokered_by"], ["listing_id"], n, "rank_in_broker", method)

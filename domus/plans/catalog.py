@@ -96,6 +96,11 @@ def q_topn(spark, sf_dir):
     return uc.top_n_per_broker(_l(spark, sf_dir), 3)
 
 
+@register("top_n_per_broker_ranked")
+def q_topn_ranked(spark, sf_dir):
+    return uc.top_n_per_broker(_l(spark, sf_dir), 3, method="range")
+
+
 @register("total_count")
 def q_total(spark, sf_dir):
     return _l(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_rows"))
@@ -242,6 +247,11 @@ def q_quartiles(spark, sf_dir):
     return tm.metric_quartiles(_records(spark, sf_dir), digits=6)
 
 
+@register("metric_quartiles_ranked")
+def q_quartiles_ranked(spark, sf_dir):
+    return tm.metric_quartiles(_records(spark, sf_dir), method="rank", digits=6)
+
+
 @register("mean_exec_chart")
 def q_mean_chart(spark, sf_dir):
     return tm.mean_exec_chart(_records(spark, sf_dir))

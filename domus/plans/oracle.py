@@ -481,3 +481,6 @@ FROM events GROUP BY 1, 2, 3"""
 ORACLE["stream_import"] = with_listings("""
 SELECT brokered_by, status, price, lot_size_sqm, street, city, state, zip_code, bed, bath, house_size_sqm,
        prev_sold_date FROM recs""", PARSE_CTE)
+
+ORACLE["top_n_per_broker_ranked"] = ORACLE["top_n_per_broker"]
+ORACLE["metric_quartiles_ranked"] = ORACLE["metric_quartiles"]
