@@ -1,6 +1,5 @@
 """The versioned use-case engine end to end on the sf0.001 tables."""
 from domus.plans.engine import ListingsEngine
-from domus.sinks.writers import latest_version
 from domus.sources.derived import clean_csv_text
 
 SF = "/root/testdata/sf0.001"
@@ -19,11 +18,24 @@ def test_engine_flow(spark, tmpdir_path):
     ids = eng.table().select("listing_id")
     assert ids.distinct().count() == counts["imported"]
     broker = eng.table().groupBy("brokered_by").count().orderBy("count", ascending=False).first()
+    before = {r["listing_id"]: r["price"] for r in eng.table().where(f"brokered_by = {broker['brokered_by']}").collect()}
     n = eng.usecase2_update_prices(str(broker["brokered_by"]), 0.05, 3)
     assert n == min(3, broker["count"])
+    assert len(eng.current_state()["patch"]) == 1 and eng.get_total_count() == counts["imported"]
+    after = {r["listing_id"]: r["price"] for r in eng.table().where(f"brokered_by = {broker['brokered_by']}").collect()}
+    changed = sorted(i for i in before if before[i] != after[i])
+    assert changed == sorted(before)[:n]
+    # a second update of the same rows stacks on the first (newest patch wins)
+    eng.usecase2_update_prices(str(broker["brokered_by"]), 0.05, 1)
+    first = sorted(before)[0]
+    again = eng.table().where(f"listing_id = {first}").first()["price"]
+    assert again == round(round(before[first] * 1.05 + 1e-9, 2) * 1.05 + 1e-9, 2)
+    assert eng.get_total_count() == counts["imported"]
     assert eng.usecase3_add_solar_panels() == counts["imported"]
     assert "solar_panels" in eng.table().columns
-    assert latest_version(spark, f"{tmpdir_path}/tbl") == eng._current
+    assert eng.current_state()["patch"] == [] and len(eng.current_state()["base"]) == 1
+    # a fresh engine on the same folder sees the same committed state
+    assert ListingsEngine(spark, f"{tmpdir_path}/tbl").current_state() == eng.current_state()
     assert eng.usecase1_filter_properties(1, 1e12).count() == counts["imported"]
     r = eng.usecase4_price_analysis("10000", 0.1, "nation_0")
     assert r["sorted_by_city"].count() > 0
