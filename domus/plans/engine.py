@@ -22,19 +22,24 @@ import time
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from domus.functions.text import hash_id
+from domus.functions.ids import with_batch_ids
 from domus.operators import usecases as uc
 from domus.operators.cleaning import parse_listings_with_reasons, to_wide_listing
-from domus.operators.joins import first_per_group
+from domus.operators.joins import first_per_group, null_safe_match
 from domus.schema import (
     DEFAULT_BELOW_AVG_PCT, DEFAULT_BROKER_ID, DEFAULT_CITY, DEFAULT_LIMIT, DEFAULT_MAX_PRICE,
     DEFAULT_MAX_SIZE_SQM, DEFAULT_MIN_BEDROOMS, DEFAULT_MIN_LISTINGS, DEFAULT_PERCENT_DELTA,
     DEFAULT_POSTAL_CODE, LISTING,
 )
+from domus.session import materialize
 from domus.sinks.writers import clustered
 from domus.sources.files import read_clean_csv
 
-STATE_SCHEMA = "seq long, base array<string>, patch array<string>"
+STATE_SCHEMA = "seq long, base array<string>, patch array<string>, imports long"
+
+# Natural key of a listing: two rows equal on it are the same listing
+# (used by the duplicate policy of imports; NULLs compare equal).
+NATURAL_KEY = ("brokered_by", "status", "price", "prev_sold_date", "street", "zip_code", "city", "state")
 
 
 class ListingsEngine:
@@ -58,11 +63,13 @@ class ListingsEngine:
         df.write.parquet(path)
         return path
 
-    def _commit(self, base: list[str], patch: list[str]) -> None:
+    def _commit(self, base: list[str], patch: list[str], imports: int | None = None) -> None:
         seq = time.time_ns()
-        self.spark.createDataFrame([(seq, base, patch)], STATE_SCHEMA).coalesce(1) \
+        if imports is None:
+            imports = int((self._state or {}).get("imports") or 0)
+        self.spark.createDataFrame([(seq, base, patch, imports)], STATE_SCHEMA).coalesce(1) \
             .write.mode("append").json(f"{self.base}/state")
-        self._state = {"seq": seq, "base": base, "patch": patch}
+        self._state = {"seq": seq, "base": base, "patch": patch, "imports": imports}
 
     def current_state(self) -> dict | None:
         return self._state
@@ -112,31 +119,38 @@ class ListingsEngine:
 
     # ------------------------------------------------------------ UC7
     def usecase7_bulk_import(self, data: DataFrame | str, on_duplicate: str = "append") -> dict[str, int]:
-        """Import cleaned-CSV text (a path or a text DataFrame with ``src_pos``).
+        """Import cleaned-CSV text (a path, or a text DataFrame).
 
         Valid rows become a new clustered base segment; rejects are counted.
-        Ids derive from the file position, so importing the same file again
-        yields the same ids: ``on_duplicate="append"`` keeps both copies,
-        ``"skip"`` drops rows whose id is already in the table (anti join).
-        Returns {'imported', 'rejected'} (imported counts parsed valid rows).
+        Ids are (import number << 40) + dense position in the import: unique
+        by construction and identical when a task is retried.
+        ``on_duplicate="append"`` imports every valid row; ``"skip"`` keeps the
+        first row per natural key (``NATURAL_KEY``, NULLs equal) and drops
+        keys already in the table.  Returns {'imported', 'rejected'} (imported = parsed valid
+        rows before the duplicate policy).
         """
         if on_duplicate not in ("append", "skip"):
             raise ValueError("on_duplicate must be 'append' or 'skip'")
-        text = read_clean_csv(self.spark, data) if isinstance(data, str) else data
-        if "src_file" in text.columns:
-            # id from the file position: unique across files and imports, same on retry
-            text = text.withColumn("src_pos", hash_id("src_file", "src_block", "src_pos"))
-        parsed = parse_listings_with_reasons(text)
+        if isinstance(data, str):
+            text = read_clean_csv(self.spark, data)
+        else:
+            # ids need an input that re-reads in the same order: stage it once
+            text = materialize(data, "import-stage")
+        parsed = parse_listings_with_reasons(text.withColumn("src_pos", F.lit(0).cast("long")))
         obs = Observation("uc7")
         ok = F.size("reasons") == 0
         parsed = parsed.observe(obs, F.count(F.when(ok, F.lit(1))).alias("imported"),
                                 F.count(F.when(~ok, F.lit(1))).alias("rejected"))
-        new_rows = to_wide_listing(parsed.where(ok).drop("reasons"))
-        if on_duplicate == "skip" and self._state:
-            new_rows = new_rows.join(self.table().select("listing_id"), "listing_id", "left_anti")
+        import_no = int((self._state or {}).get("imports") or 0) + 1
+        new_rows = with_batch_ids(to_wide_listing(parsed.where(ok).drop("reasons")), import_no)
+        if on_duplicate == "skip":
+            new_rows = first_per_group(new_rows, list(NATURAL_KEY), ["listing_id"])
+            if self._state:
+                known = self.table().select(*NATURAL_KEY).dropDuplicates()
+                new_rows = null_safe_match(new_rows, known, [], list(NATURAL_KEY), how="left_anti")
         seg = self._segment(clustered(new_rows), "base")
         state = self._state or {"base": [], "patch": []}
-        self._commit(list(state["base"]) + [seg], list(state["patch"]))
+        self._commit(list(state["base"]) + [seg], list(state["patch"]), import_no)
         try:
             m = obs.get  # counted during the write itself
             return {"imported": int(m["imported"]), "rejected": int(m["rejected"])}

@@ -14,40 +14,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from domus.functions.text import hash_id
+from domus.functions.ids import with_batch_ids
 from domus.operators.cleaning import parse_listings_with_reasons, to_wide_listing
+from domus.operators.joins import first_per_group, null_safe_match
+from domus.plans.engine import NATURAL_KEY
 from domus.schema import CLEAN_CSV
 
 BATCH_LOG_SCHEMA = "batch_id long, imported long, rejected long, skipped long"
 
 
-def _existing_ids(spark: SparkSession, target: str, epoch_id: int) -> DataFrame | None:
-    """Ids already imported by earlier batches (not by an earlier attempt of this one)."""
+def _existing_keys(spark: SparkSession, target: str, epoch_id: int) -> DataFrame | None:
+    """Natural keys imported by earlier batches (not by an earlier attempt of this one)."""
     try:
         done = spark.read.parquet(target)
     except Exception:  # nothing written yet
         return None
-    return done.where(F.col("batch") != epoch_id).select("listing_id")
+    return done.where(F.col("batch") != epoch_id).select(*NATURAL_KEY).dropDuplicates()
 
 
 def import_stream(spark: SparkSession, source_dir: str, target: str, checkpoint: str,
-                  max_files_per_trigger: int = 1, available_now: bool = True):
-    """Start the streaming import; returns the ``StreamingQuery``."""
+                  max_files_per_trigger: int = 1, available_now: bool = True, on_duplicate: str = "append"):
+    """Start the streaming import; returns the ``StreamingQuery``.
+
+    ``on_duplicate="append"`` imports every valid row (a replayed batch still
+    overwrites its own directory, so replays never duplicate);
+    ``"skip"`` keeps one row per natural key: the first inside a batch, and
+    none whose key an earlier batch imported.
+    """
+    if on_duplicate not in ("append", "skip"):
+        raise ValueError("on_duplicate must be 'append' or 'skip'")
     text = (spark.readStream.schema(CLEAN_CSV).option("header", True)
             .option("maxFilesPerTrigger", max_files_per_trigger).csv(source_dir)
             .select("*", F.col("_metadata.file_path").alias("src_file"),
                     F.col("_metadata.file_block_start").alias("src_block")))
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        # id from (file, block, row within the micro-batch partition): files are
-        # read whole per batch, so a replay of the same batch yields the same ids
-        positioned = batch.withColumn("src_pos", hash_id("src_file", "src_block", F.monotonically_increasing_id()))
-        parsed = parse_listings_with_reasons(positioned)
+        # ids: (batch number << 40) + dense position; a replayed batch reads the
+        # same files in the same order, so it gets the same ids
+        parsed = parse_listings_with_reasons(batch.withColumn("src_pos", F.lit(0).cast("long")))
         ok = F.size("reasons") == 0
-        rows = to_wide_listing(parsed.where(ok).drop("reasons"))
-        existing = _existing_ids(spark, target, epoch_id)
-        if existing is not None:
-            rows = rows.join(existing, "listing_id", "left_anti")
+        rows = with_batch_ids(to_wide_listing(parsed.where(ok).drop("reasons")), epoch_id + 1)
+        if on_duplicate == "skip":
+            rows = first_per_group(rows, list(NATURAL_KEY), ["listing_id"])
+            existing = _existing_keys(spark, target, epoch_id)
+            if existing is not None:
+                rows = null_safe_match(rows, existing, [], list(NATURAL_KEY), how="left_anti")
         obs = Observation(f"import_batch_{epoch_id}")
         rows.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite") \
             .parquet(f"{target.rstrip('/')}/batch={epoch_id}")

@@ -40,9 +40,11 @@ def test_engine_flow(spark, tmpdir_path):
     r = eng.usecase4_price_analysis("10000", 0.1, "nation_0")
     assert r["sorted_by_city"].count() > 0
     assert eng.usecase5_average_price_per_city().count() > 0
-    # the same file again: same ids; "skip" keeps the table unchanged, "append" duplicates
+    # the same file again: "skip" drops rows already present by natural key,
+    # "append" adds them with new ids (ids never collide)
+    # (the n listings whose price UC2 changed no longer match their original row)
     eng.usecase7_bulk_import(csv, on_duplicate="skip")
-    assert eng.get_total_count() == counts["imported"]
+    assert eng.get_total_count() == counts["imported"] + n
     eng.usecase7_bulk_import(csv)
-    assert eng.get_total_count() == 2 * counts["imported"]
-    assert eng.table().select("listing_id").distinct().count() == counts["imported"]
+    assert eng.get_total_count() == 2 * counts["imported"] + n
+    assert eng.table().select("listing_id").distinct().count() == 2 * counts["imported"] + n

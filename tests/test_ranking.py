@@ -40,3 +40,11 @@ def test_exact_quantiles_match_percentile(spark):
         for p, x in zip(probs, r["q"]):
             assert abs(got[(r["k"], p)] - x) < 1e-9
     assert len(got) == len(ref) * len(probs)
+
+
+def test_batch_ids_dense_and_unique(spark):
+    from domus.functions.ids import LOW_BITS, with_batch_ids
+    df = spark.range(0, 5000, numPartitions=7).select((F.col("id") * 3).alias("x"))
+    out = with_batch_ids(df, 5, "rid").collect()
+    ids = sorted(r["rid"] for r in out)
+    assert ids == [(5 << LOW_BITS) + i for i in range(5000)]

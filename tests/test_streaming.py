@@ -29,6 +29,18 @@ def test_import_stream_batches_and_restart(spark, tmpdir_path):
     assert spark.read.parquet(target).select("listing_id").distinct().count() == n_valid
 
 
+def test_import_stream_skip_keeps_one_row_per_natural_key(spark, tmpdir_path):
+    from domus.plans.engine import NATURAL_KEY
+    src, target, ckpt = (f"{tmpdir_path}/{n}" for n in ("src", "target", "ckpt"))
+    text = clean_csv_text(spark, SF)
+    valid, _ = cl.parse_listings(text)
+    keys = cl.to_wide_listing(valid).select(*NATURAL_KEY).distinct().count()
+    text.drop("src_pos").repartition(3).write.option("header", True).csv(src)
+    ingest.import_stream(spark, src, target, ckpt, on_duplicate="skip").awaitTermination()
+    out = spark.read.parquet(target)
+    assert out.count() == keys == out.select(*NATURAL_KEY).distinct().count()
+
+
 def test_telemetry_stream_watermark_drops_late_rows(spark, tmpdir_path):
     src, out, ckpt = (f"{tmpdir_path}/{n}" for n in ("events", "out", "ckpt"))
     ts = dt.datetime
