@@ -107,12 +107,11 @@ def q_total(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- text exports, cleaning, parsing
-from domus.functions.parse import to_double  # noqa: E402
 from domus.functions.text import null_if_token, title_case  # noqa: E402
 from domus.operators import cleaning as cl  # noqa: E402
 from domus.operators import star as st  # noqa: E402
 from domus.operators.joins import first_per_group, null_safe_match  # noqa: E402
-from domus.schema import ACRE_TO_SQM, CLEANER_NULL_TOKENS, DEDUP_KEYS, SQFT_TO_SQM  # noqa: E402
+from domus.schema import CLEANER_NULL_TOKENS, DEDUP_KEYS  # noqa: E402
 from domus.sources.derived import clean_csv_text, raw_listings_text  # noqa: E402
 from domus.sources.tables import table  # noqa: E402
 
