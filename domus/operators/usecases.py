@@ -19,6 +19,10 @@ from domus.schema import (
 )
 
 
+# Largest id set (rows) a price update broadcasts; a parameter bound, not data-dependent.
+BROADCAST_ID_LIMIT = 1_000_000
+
+
 # ---------------------------------------------------------------- aggregates
 def cities_with_min_listings(listings: DataFrame, min_listings: int = DEFAULT_MIN_LISTINGS) -> DataFrame:
     """(city, state, n_listings) for groups with more than ``min_listings`` rows.
@@ -94,8 +98,9 @@ def uc2_update_prices(listings: DataFrame, broker_id: str = DEFAULT_BROKER_ID,
     """Copy-on-write price change for the first ``limit`` listings of a broker.
 
     Returns the whole table with new prices and an ``updated`` flag.  The id
-    set is a top-k of at most ``limit`` rows, so broadcasting it is bounded by
-    the parameter; the big side is never shuffled.
+    set is a top-k of at most ``limit`` rows: up to ``BROADCAST_ID_LIMIT``
+    it is broadcast (the big side is never shuffled); above, the join is left
+    to AQE, which decides from the measured size.
     """
     broker = params.parse_int_text(broker_id, "broker_id")
     delta = params.check_percent_delta(percent_delta)
@@ -103,7 +108,7 @@ def uc2_update_prices(listings: DataFrame, broker_id: str = DEFAULT_BROKER_ID,
     if validate:
         _require_any(listings, F.col("brokered_by") == broker, f"broker {broker}")
     chosen = first_listings_of_broker(listings, broker, n, skip_null_price).withColumn("_upd", F.lit(True))
-    flagged = listings.join(F.broadcast(chosen), "listing_id", "left")
+    flagged = listings.join(F.broadcast(chosen) if n <= BROADCAST_ID_LIMIT else chosen, "listing_id", "left")
     upd = F.coalesce(F.col("_upd"), F.lit(False))
     cols = [F.when(upd, adjust_price(delta)).otherwise(F.col("price")).alias("price") if c == "price"
             else F.col(c) for c in listings.columns]
