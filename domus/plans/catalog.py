@@ -384,3 +384,20 @@ def q_stream_import(spark, sf_dir):
     q = st_ingest.import_stream(spark, src, target, ckpt, max_files_per_trigger=2)
     q.awaitTermination()
     return spark.read.parquet(target).drop("listing_id", "batch")
+
+
+# ---------------------------------------------------------------- SQL forms
+from domus.plans import sql as sq  # noqa: E402
+
+
+@register("uc1_sql")
+def q_uc1_sql(spark, sf_dir):
+    sq.register_views(spark, _l(spark, sf_dir), prefix="q_uc1_")
+    return sq.uc1_sql(spark, 500, 250000.0, view="q_uc1_listings_wide")
+
+
+@register("uc5_sql")
+def q_uc5_sql(spark, sf_dir):
+    sq.register_views(spark, _l(spark, sf_dir), prefix="q_uc5_")
+    return sq.uc5_sql(spark, view="q_uc5_listings_wide") \
+        .withColumn("avg_price_per_sqm", round_half_up("avg_price_per_sqm", 4))

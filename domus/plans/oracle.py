@@ -484,3 +484,6 @@ SELECT brokered_by, status, price, lot_size_sqm, street, city, state, zip_code,
 
 ORACLE["top_n_per_broker_ranked"] = ORACLE["top_n_per_broker"]
 ORACLE["metric_quartiles_ranked"] = ORACLE["metric_quartiles"]
+
+ORACLE["uc1_sql"] = ORACLE["uc1_filter_properties"]
+ORACLE["uc5_sql"] = ORACLE["uc5_avg_price_per_city"]

@@ -1,5 +1,7 @@
 """Plan-shape assertions: no Python in the hot path, no cartesian products,
 filters and column pruning reach the Parquet scan, bounded window top-k."""
+import re
+
 import pytest
 
 import __spark_entry__ as E
@@ -12,12 +14,47 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def bracket_groups(line: str) -> int:
+    """Number of top-level [...] groups after the operator name."""
+    depth, groups = 0, 0
+    for ch in line:
+        if ch == "[":
+            if depth == 0:
+                groups += 1
+            depth += 1
+        elif ch == "]":
+            depth -= 1
+    return groups
+
+
+def unpartitioned_windows(p: str) -> list[str]:
+    """Window operators printed as ``Window [exprs], [order]`` (no partition spec)."""
+    return [ln for ln in p.splitlines()
+            if re.search(r"(^|[ +\-:*])Window \[", ln) and bracket_groups(ln.split("Window ", 1)[1]) < 3]
+
+
+def test_window_detector(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    df = spark.range(10).withColumn("k", F.col("id") % 2)
+    bad = plan(df.withColumn("r", F.row_number().over(Window.orderBy("id"))))
+    good = plan(df.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("id"))))
+    assert unpartitioned_windows(bad) and not unpartitioned_windows(good)
+
+
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_no_python_udf_and_no_cartesian(spark, name):
     p = plan(E.queries()[name](spark, SF))
     assert "PythonUDF" not in p and "BatchEvalPython" not in p and "ArrowEvalPython" not in p
     assert "CartesianProduct" not in p
     assert "BroadcastNestedLoopJoin" not in p
+    # no window without a partition spec (it would put every row in one task)
+    assert not unpartitioned_windows(p)
+
+
+def test_sql_form_plans_as_semi_join(spark):
+    p = plan(E.queries()["uc1_sql"](spark, SF))
+    assert "LeftSemi" in p
 
 
 def test_pushdown_and_pruning_on_parquet(spark, tmpdir_path):
