@@ -122,8 +122,8 @@ class ListingsEngine:
         """Import cleaned-CSV text (a path, or a text DataFrame).
 
         Valid rows become a new clustered base segment; rejects are counted.
-        Ids are (import number << 40) + dense position in the import: unique
-        by construction and identical when a task is retried.
+        Ids are (import number << 40) + position of the input row in the
+        import: unique by construction and identical when a task is retried.
         ``on_duplicate="append"`` imports every valid row; ``"skip"`` keeps the
         first row per natural key (``NATURAL_KEY``, NULLs equal) and drops
         keys already in the table.  Returns {'imported', 'rejected'} (imported = parsed valid
@@ -136,13 +136,16 @@ class ListingsEngine:
         else:
             # ids need an input that re-reads in the same order: stage it once
             text = materialize(data, "import-stage")
-        parsed = parse_listings_with_reasons(text.withColumn("src_pos", F.lit(0).cast("long")))
+        import_no = int((self._state or {}).get("imports") or 0) + 1
+        # ids over the input rows (the counting pass reads no columns); rejected
+        # rows leave gaps, valid rows keep unique ids
+        text = with_batch_ids(text, import_no, "src_pos")
+        parsed = parse_listings_with_reasons(text)
         obs = Observation("uc7")
         ok = F.size("reasons") == 0
         parsed = parsed.observe(obs, F.count(F.when(ok, F.lit(1))).alias("imported"),
                                 F.count(F.when(~ok, F.lit(1))).alias("rejected"))
-        import_no = int((self._state or {}).get("imports") or 0) + 1
-        new_rows = with_batch_ids(to_wide_listing(parsed.where(ok).drop("reasons")), import_no)
+        new_rows = to_wide_listing(parsed.where(ok).drop("reasons"))
         if on_duplicate == "skip":
             new_rows = first_per_group(new_rows, list(NATURAL_KEY), ["listing_id"])
             if self._state:

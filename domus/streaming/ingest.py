@@ -49,14 +49,14 @@ def import_stream(spark: SparkSession, source_dir: str, target: str, checkpoint:
                     F.col("_metadata.file_block_start").alias("src_block")))
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        # ids: (batch number << 40) + dense position; a replayed batch reads the
-        # same files in the same order, so it gets the same ids
-        parsed = parse_listings_with_reasons(batch.withColumn("src_pos", F.lit(0).cast("long")))
+        # ids: (batch number << 40) + position of the input row; a replayed
+        # batch reads the same files in the same order, so it gets the same ids
+        parsed = parse_listings_with_reasons(with_batch_ids(batch, epoch_id + 1, "src_pos"))
         ok = F.size("reasons") == 0
         obs = Observation(f"import_batch_{epoch_id}")
         parsed_obs = parsed.observe(obs, F.count(F.when(ok, F.lit(1))).alias("valid"),
                                     F.count(F.when(~ok, F.lit(1))).alias("rejected"))
-        rows = with_batch_ids(to_wide_listing(parsed_obs.where(ok).drop("reasons")), epoch_id + 1)
+        rows = to_wide_listing(parsed_obs.where(ok).drop("reasons"))
         if on_duplicate == "skip":
             rows = first_per_group(rows, list(NATURAL_KEY), ["listing_id"])
             existing = _existing_keys(spark, target, epoch_id)
