@@ -177,7 +177,8 @@ def uc4_json_rows(listings: DataFrame, postal_code: str = DEFAULT_POSTAL_CODE,
     """Both UC4 result lists as JSON documents, one row per listing.
 
     Columns: ``part`` ('below_threshold' / 'sorted_by_city'), ``sort_value``
-    (price per m2 / price), ``listing_id``, ``doc`` (JSON object).  Ordering by
+    (price per m2 / price), ``listing_id``, ``doc`` (JSON object, NULL fields
+    written as ``null``).  Ordering by
     (part, sort_value, listing_id) gives the two lists; they are never
     gathered into one row, so a zip or city with millions of listings stays
     distributed.
@@ -187,7 +188,8 @@ def uc4_json_rows(listings: DataFrame, postal_code: str = DEFAULT_POSTAL_CODE,
 
     def as_docs(df: DataFrame, part: str, sort_col: str) -> DataFrame:
         return df.select(F.lit(part).alias("part"), F.col(sort_col).alias("sort_value"), "listing_id",
-                         F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("doc"))
+                         F.to_json(F.struct(*[F.col(c) for c in df.columns]),
+                                   {"ignoreNullFields": "false"}).alias("doc"))
 
     return as_docs(bt, "below_threshold", "price_per_sqm").unionByName(as_docs(sc, "sorted_by_city", "price"))
 

@@ -487,3 +487,16 @@ ORACLE["metric_quartiles_ranked"] = ORACLE["metric_quartiles"]
 
 ORACLE["uc1_sql"] = ORACLE["uc1_filter_properties"]
 ORACLE["uc5_sql"] = ORACLE["uc5_avg_price_per_city"]
+
+_JSON_L = ", ".join(f"{c.strip()} := {c.strip()}" for c in LCOLS.split(","))
+ORACLE["uc4_json"] = with_listings(f"""
+SELECT 'below_threshold' AS part, price_per_sqm AS sort_value, listing_id,
+       CAST(to_json(struct_pack({_JSON_L}, price_per_sqm := price_per_sqm)) AS VARCHAR) AS doc
+FROM (SELECT *, CAST(price AS DOUBLE) / NULLIF(lot_size_sqm, 0) AS price_per_sqm,
+             AVG(CAST(price AS DOUBLE) / NULLIF(lot_size_sqm, 0)) OVER () AS zavg
+      FROM L WHERE zip_code = 10500 AND lot_size_sqm > 0 AND price > 0) z
+WHERE zavg > 0 AND price_per_sqm < zavg * (1 - 0.10)
+UNION ALL
+SELECT 'sorted_by_city' AS part, price AS sort_value, listing_id,
+       CAST(to_json(struct_pack({_JSON_L})) AS VARCHAR) AS doc
+FROM L WHERE lower(trim(city)) = 'nation_7' AND price > 0""")
