@@ -40,11 +40,15 @@ def to_long_numeric(c: str | Column) -> Column:
 def to_utc_timestamp_ntz(c: str | Column, null_tokens: Iterable[str] = ()) -> Column:
     """ISO date / date-time text -> naive UTC timestamp; offsets converted; bad -> NULL.
 
-    Parsed with the session time zone (UTC), then cast to TIMESTAMP_NTZ.
+    Independent of the session time zone: text without a zone is read as a
+    naive wall clock (``TIMESTAMP_NTZ``); text with a zone designator (Z or
+    +hh:mm) is read as an instant and converted to the UTC wall clock.
     """
     t = F.trim(_c(c))
-    ts = F.try_to_timestamp(t)
-    out = ts.cast("timestamp_ntz")
+    zoned = t.rlike(r"(Z|[+-][0-9]{2}(:?[0-9]{2})?)$") & t.rlike(r"[0-9]T|[0-9] [0-9]")
+    instant = F.try_to_timestamp(t)
+    utc = F.convert_timezone(None, F.lit("UTC"), instant.cast("timestamp_ntz"))
+    out = F.when(zoned, utc).otherwise(t.try_cast("timestamp_ntz"))
     tokens = list(null_tokens)
     return F.when(~t.isin(tokens), out) if tokens else out
 

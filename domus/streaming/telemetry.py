@@ -40,10 +40,15 @@ def windowed_summary(samples: DataFrame, window: str = "1 day", watermark: str =
                  F.count(F.lit(1)).alias("samples")))
 
 
+def _utc_wall_clock(instant: str) -> F.Column:
+    """Instant -> naive UTC wall clock, whatever the session time zone."""
+    return F.convert_timezone(None, F.lit("UTC"), F.col(instant).cast("timestamp_ntz"))
+
+
 def _finish(df: DataFrame) -> DataFrame:
     return df.select(
-        "system", F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+        "system", _utc_wall_clock("w.start").alias("window_start"),
+        _utc_wall_clock("w.end").alias("window_end"),
         round_half_up("_avg_cpu", 2).alias("avg_cpu"), round_half_up("_peak_cpu", 2).alias("peak_cpu"),
         round_half_up("_avg_mem", 2).alias("avg_mem"), round_half_up("_peak_mem", 2).alias("peak_mem"),
         round_half_up((F.col("_blk_max") - F.col("_blk_min")) / MB, 2).alias("total_blkio_mb"),
@@ -58,8 +63,11 @@ def samples_stream(spark: SparkSession, events_path: str, max_files_per_trigger:
         ev = reader.option("pathGlobFilter", name).parquet(folder)
     else:
         ev = reader.parquet(events_path)
-    # watermarks need TIMESTAMP; the session time zone is UTC, so the cast keeps the instant
-    return ev.select(F.col("event_type").alias("system"), F.col("ts").cast("timestamp").alias("ts"),
+    # watermarks need an instant (TIMESTAMP); ``ts`` is a naive UTC wall clock:
+    # move it to the session zone's wall clock first so the cast yields the UTC instant
+    session_tz = spark.conf.get("spark.sql.session.timeZone")
+    instant = F.convert_timezone(F.lit("UTC"), F.lit(session_tz), F.col("ts")).cast("timestamp")
+    return ev.select(F.col("event_type").alias("system"), instant.alias("ts"),
                      F.col("value").alias("cpu_percent"),
                      F.col("user_id").cast("double").alias("mem_mb"),
                      (F.col("event_id") * 4096).alias("blkio_bytes"))
