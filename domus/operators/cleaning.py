@@ -38,7 +38,7 @@ def convert_units(raw: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- full clean
 def clean_raw(raw: DataFrame, order_cols=("src_pos",), narrow: bool = False) -> DataFrame:
-    """Raw realtor export -> cleaned listings.
+    """Raw listing export -> cleaned listings.
 
     Steps: unit conversion; date parse to UTC, years <= 1970 dropped to NULL;
     null tokens on text fields; city title case; drop rows missing a

@@ -84,7 +84,7 @@ RAW_COLUMNS = (
     "brokered_by", "status", "price", "bed", "bath", "acre_lot", "street", "city", "state",
     "zip_code", "house_size", "prev_sold_date",
 )
-# Raw realtor export: every column read as text.
+# Raw listing export: every column read as text.
 RAW_LISTING = T.StructType([T.StructField(c, T.StringType(), True) for c in RAW_COLUMNS])
 
 CLEAN_CSV_COLUMNS = (

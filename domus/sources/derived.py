@@ -80,7 +80,7 @@ def _dirty_text(listings: DataFrame, layout: str) -> DataFrame:
 
 
 def raw_listings_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw realtor export (acres, square feet), all text, with defects."""
+    """Raw listing export (acres, square feet), all text, with defects."""
     return _dirty_text(listings_from_tables(spark, sf_dir), "raw")
 
 

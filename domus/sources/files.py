@@ -32,7 +32,7 @@ FILE_ORDER = ("src_file", "src_block", "src_pos")
 
 
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Raw realtor export; missing columns stay absent (handled by the cleaner)."""
+    """Raw listing export; missing columns stay absent (handled by the cleaner)."""
     df = spark.read.option("header", True).option("inferSchema", False).csv(path)
     known = [f.name for f in RAW_LISTING.fields]
     cols = [F.col(c).cast("string") for c in df.columns if c in known]
