@@ -1,6 +1,6 @@
 """Text-typed listing exports derived from the driver tables.
 
-The cleaning and parsing operators consume text files (the raw realtor
+The cleaning and parsing operators consume text files (the raw listing
 export, the cleaned CSV).  To run them over the given tables, these frames
 render the listing projection as text and inject the defects those operators
 exist for, by fixed rules on the listing id: blanks, "nan" tokens, mixed case
