@@ -127,7 +127,13 @@ def main():
     from domus.session import get_spark
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
-    spark = get_spark()
+    if os.environ.get("DOMUS_PLAIN_SESSION"):
+        # a session with Spark defaults only (as a caller's own session would be)
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = get_spark()
     import __spark_entry__ as E
     names = names or list(E.queries())
     bad = 0
