@@ -82,6 +82,16 @@ def explode_samples(runs: DataFrame, arr: str = "raw_samples") -> DataFrame:
         .select("database", "usecase", "run_id", "s.*")
 
 
+def device_counters(snap: DataFrame, arr: str = "blkio") -> DataFrame:
+    """One row per device counter of a snapshot (array element promoted to a row).
+
+    ``posexplode_outer`` keeps snapshots with an empty/NULL array as one row
+    with NULL position; it is a per-row generator (no shuffle).
+    """
+    return (snap.select("event_id", F.posexplode_outer(arr).alias("device_pos", "d"))
+            .select("event_id", "device_pos", F.col("d.value").alias("bytes")))
+
+
 # ---------------------------------------------------------------- S4 / S5 / P7
 def run_records(runs: DataFrame) -> DataFrame:
     """Flatten run records: timestamp, use-case number and clean name, metrics, file metadata."""

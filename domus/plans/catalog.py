@@ -278,6 +278,11 @@ def q_cpu(spark, sf_dir):
     return tm.snapshot_metrics(snapshots_from_events(spark, sf_dir))
 
 
+@register("device_counters")
+def q_devices(spark, sf_dir):
+    return tm.device_counters(snapshots_from_events(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- quality checks
 @register("check_status")
 def q_check_status(spark, sf_dir):

@@ -500,3 +500,8 @@ UNION ALL
 SELECT 'sorted_by_city' AS part, price AS sort_value, listing_id,
        CAST(to_json(struct_pack({_JSON_L})) AS VARCHAR) AS doc
 FROM L WHERE lower(trim(city)) = 'nation_7' AND price > 0""")
+
+ORACLE["device_counters"] = """
+SELECT event_id, CAST(0 AS INTEGER) AS device_pos, event_id * 512 AS bytes FROM events
+UNION ALL SELECT event_id, CAST(1 AS INTEGER), user_id * 100 FROM events
+UNION ALL SELECT event_id, CAST(2 AS INTEGER), CAST(NULL AS BIGINT) FROM events"""
