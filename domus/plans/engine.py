@@ -27,7 +27,7 @@ from domus.operators import usecases as uc
 from domus.operators.cleaning import parse_listings_with_reasons, to_wide_listing
 from domus.operators.joins import first_per_group, null_safe_match
 from domus.schema import (
-    DEFAULT_BELOW_AVG_PCT, DEFAULT_BROKER_ID, DEFAULT_CITY, DEFAULT_LIMIT, DEFAULT_MAX_PRICE,
+    DEFAULT_BATCH_SIZE, DEFAULT_BELOW_AVG_PCT, DEFAULT_BROKER_ID, DEFAULT_CITY, DEFAULT_LIMIT, DEFAULT_MAX_PRICE,
     DEFAULT_MAX_SIZE_SQM, DEFAULT_MIN_BEDROOMS, DEFAULT_MIN_LISTINGS, DEFAULT_PERCENT_DELTA,
     DEFAULT_POSTAL_CODE, LISTING,
 )
@@ -58,9 +58,12 @@ class ListingsEngine:
             return None
         return row.asDict() if row else None
 
-    def _segment(self, df: DataFrame, kind: str) -> str:
+    def _segment(self, df: DataFrame, kind: str, max_rows_per_file: int = 0) -> str:
         path = f"{self.base}/{kind}-{time.time_ns():020d}"
-        df.write.parquet(path)
+        w = df.write
+        if max_rows_per_file:
+            w = w.option("maxRecordsPerFile", max_rows_per_file)
+        w.parquet(path)
         return path
 
     def _commit(self, base: list[str], patch: list[str], imports: int | None = None) -> None:
@@ -118,10 +121,12 @@ class ListingsEngine:
         return self.table().count()
 
     # ------------------------------------------------------------ UC7
-    def usecase7_bulk_import(self, data: DataFrame | str, on_duplicate: str = "append") -> dict[str, int]:
+    def usecase7_bulk_import(self, data: DataFrame | str, batch_size: int = DEFAULT_BATCH_SIZE,
+                             on_duplicate: str = "append") -> dict[str, int]:
         """Import cleaned-CSV text (a path, or a text DataFrame).
 
-        Valid rows become a new clustered base segment; rejects are counted.
+        Valid rows become a new clustered base segment, written in files of at
+        most ``batch_size`` rows (0 = no cap); rejects are counted.
         Ids are (import number << 40) + position of the input row in the
         import: unique by construction and identical when a task is retried.
         ``on_duplicate="append"`` imports every valid row; ``"skip"`` keeps the
@@ -151,7 +156,9 @@ class ListingsEngine:
             if self._state:
                 known = self.table().select(*NATURAL_KEY).dropDuplicates()
                 new_rows = null_safe_match(new_rows, known, [], list(NATURAL_KEY), how="left_anti")
-        seg = self._segment(clustered(new_rows), "base")
+        if not isinstance(batch_size, int) or batch_size < 0:
+            raise ValueError("batch_size must be a non-negative integer")
+        seg = self._segment(clustered(new_rows), "base", batch_size)
         state = self._state or {"base": [], "patch": []}
         self._commit(list(state["base"]) + [seg], list(state["patch"]), import_no)
         try:

@@ -1,4 +1,6 @@
 """The versioned use-case engine end to end on the sf0.001 tables."""
+from pyspark.sql import functions as F
+
 from domus.plans.engine import ListingsEngine
 from domus.sources.derived import clean_csv_text
 
@@ -12,7 +14,10 @@ def test_engine_flow(spark, tmpdir_path):
     eng = ListingsEngine(spark, f"{tmpdir_path}/tbl")
     eng.reset_database()
     assert eng.get_total_count() == 0
-    counts = eng.usecase7_bulk_import(csv)
+    counts = eng.usecase7_bulk_import(csv, batch_size=500)
+    seg = eng.current_state()["base"][-1]
+    per_file = spark.read.parquet(seg).groupBy(F.input_file_name()).count().collect()
+    assert max(r["count"] for r in per_file) <= 500 and len(per_file) >= 3
     assert counts["imported"] + counts["rejected"] == text.count()
     assert eng.get_total_count() == counts["imported"]
     ids = eng.table().select("listing_id")
