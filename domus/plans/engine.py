@@ -11,8 +11,9 @@ its data files are written, so a failed job never exposes partial data.
 * Reads apply patches: the newest patch row per id (a partial aggregate),
   anti-joined against the base and unioned.  The patch set is small; AQE
   broadcasts it from its measured size, or keeps a sort-merge join.
-* UC3 and ``compact()`` rewrite everything into one base segment (UC3 changes
-  every row anyway) and clear the patches.
+* UC3 records ``solar_panels`` as a computed column (a deterministic function
+  of the id), evaluated on read: no data is rewritten.
+* ``compact()`` rewrites base + patches + computed columns into one base.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from domus.functions.ids import with_batch_ids
 from domus.operators import usecases as uc
 from domus.operators.cleaning import parse_listings_with_reasons, to_wide_listing
+from domus.functions.measures import random_flag
 from domus.operators.joins import first_per_group, null_safe_match
 from domus.schema import (
     DEFAULT_BATCH_SIZE, DEFAULT_BELOW_AVG_PCT, DEFAULT_BROKER_ID, DEFAULT_CITY, DEFAULT_LIMIT, DEFAULT_MAX_PRICE,
@@ -35,7 +37,14 @@ from domus.session import materialize
 from domus.sinks.writers import clustered
 from domus.sources.files import read_clean_csv
 
-STATE_SCHEMA = "seq long, base array<string>, patch array<string>, imports long"
+STATE_SCHEMA = "seq long, base array<string>, patch array<string>, imports long, computed array<string>"
+
+# Columns that are a deterministic function of the stored row: recorded in the
+# table state and evaluated on read (metadata-only schema evolution);
+# ``compact()`` stores them physically.
+COMPUTED_COLUMNS = {
+    "solar_panels": lambda: random_flag("listing_id"),
+}
 
 # Natural key of a listing: two rows equal on it are the same listing
 # (used by the duplicate policy of imports; NULLs compare equal).
@@ -66,13 +75,17 @@ class ListingsEngine:
         w.parquet(path)
         return path
 
-    def _commit(self, base: list[str], patch: list[str], imports: int | None = None) -> None:
+    def _commit(self, base: list[str], patch: list[str], imports: int | None = None,
+                computed: list[str] | None = None) -> None:
         seq = time.time_ns()
+        prev = self._state or {}
         if imports is None:
-            imports = int((self._state or {}).get("imports") or 0)
-        self.spark.createDataFrame([(seq, base, patch, imports)], STATE_SCHEMA).coalesce(1) \
+            imports = int(prev.get("imports") or 0)
+        if computed is None:
+            computed = list(prev.get("computed") or [])
+        self.spark.createDataFrame([(seq, base, patch, imports, computed)], STATE_SCHEMA).coalesce(1) \
             .write.mode("append").json(f"{self.base}/state")
-        self._state = {"seq": seq, "base": base, "patch": patch, "imports": imports}
+        self._state = {"seq": seq, "base": base, "patch": patch, "imports": imports, "computed": computed}
 
     def current_state(self) -> dict | None:
         return self._state
@@ -91,12 +104,14 @@ class ListingsEngine:
 
     def _build_table(self) -> DataFrame:
         base = self._read_segments(self._state["base"])
-        if not self._state["patch"]:
-            return base
-        patches = self._read_segments(self._state["patch"])
-        latest = first_per_group(patches, ["listing_id"], [-F.col("_seq")]).drop("_seq")
-        kept = base.join(latest.select("listing_id"), "listing_id", "left_anti")
-        return kept.unionByName(latest, allowMissingColumns=True).select(*base.columns)
+        if self._state["patch"]:
+            patches = self._read_segments(self._state["patch"])
+            latest = first_per_group(patches, ["listing_id"], [-F.col("_seq")]).drop("_seq")
+            kept = base.join(latest.select("listing_id"), "listing_id", "left_anti")
+            base = kept.unionByName(latest, allowMissingColumns=True).select(*base.columns)
+        for name in self._state.get("computed") or []:
+            base = base.withColumn(name, COMPUTED_COLUMNS[name]())
+        return base
 
     def _read_segments(self, paths: list[str]) -> DataFrame:
         """Union of segments by column name; a column missing in older segments reads as NULL.
@@ -111,11 +126,11 @@ class ListingsEngine:
         return out
 
     def reset_database(self) -> None:
-        self._commit([self._segment(self.spark.createDataFrame([], LISTING), "base")], [])
+        self._commit([self._segment(self.spark.createDataFrame([], LISTING), "base")], [], computed=[])
 
     def compact(self) -> None:
-        """Rewrite base + patches into one clustered base segment."""
-        self._commit([self._segment(clustered(self.table()), "base")], [])
+        """Rewrite base + patches (+ computed columns) into one clustered base segment."""
+        self._commit([self._segment(clustered(self.table()), "base")], [], computed=[])
 
     def get_total_count(self) -> int:
         return self.table().count()
@@ -198,12 +213,15 @@ class ListingsEngine:
         return self.spark.read.parquet(seg).count()  # at most ``limit`` rows
 
     def usecase3_add_solar_panels(self) -> int:
-        """Add/refill ``solar_panels`` (a full rewrite into one base); returns the row count."""
-        obs = Observation("uc3")
-        out = uc.uc3_add_solar_panels(self.table()).observe(obs, F.count(F.lit(1)).alias("n"))
-        seg = self._segment(out, "base")
-        self._commit([seg], [])
-        try:
-            return int(obs.get["n"])
-        except Exception:  # metrics not reported: count the written files
-            return self.spark.read.parquet(seg).count()
+        """Add ``solar_panels``: a reproducible ~50% flag derived from the id.
+
+        Recorded as a computed column (no data rewritten: O(1) instead of a
+        full-table mutation); reads evaluate it, ``compact()`` stores it.
+        Re-running it keeps the same values.  Returns the number of rows.
+        """
+        computed = list(self._state.get("computed") or [])
+        if "solar_panels" not in computed:
+            computed.append("solar_panels")
+        base = [p for p in self._state["base"]]
+        self._commit(base, list(self._state["patch"]), computed=computed)
+        return self.table().count()

@@ -38,7 +38,12 @@ def test_engine_flow(spark, tmpdir_path):
     assert eng.get_total_count() == counts["imported"]
     assert eng.usecase3_add_solar_panels() == counts["imported"]
     assert "solar_panels" in eng.table().columns
-    assert eng.current_state()["patch"] == [] and len(eng.current_state()["base"]) == 1
+    assert eng.current_state()["computed"] == ["solar_panels"]  # no data rewritten
+    flags = {r["listing_id"]: r["solar_panels"] for r in eng.table().collect()}
+    eng.compact()  # stores the column physically, folds the patches
+    st = eng.current_state()
+    assert st["patch"] == [] and len(st["base"]) == 1 and st["computed"] == []
+    assert {r["listing_id"]: r["solar_panels"] for r in eng.table().collect()} == flags
     # a fresh engine on the same folder sees the same committed state
     assert ListingsEngine(spark, f"{tmpdir_path}/tbl").current_state() == eng.current_state()
     assert eng.usecase1_filter_properties(1, 1e12).count() == counts["imported"]
