@@ -106,7 +106,10 @@ class ListingsEngine:
         base = self._read_segments(self._state["base"])
         if self._state["patch"]:
             patches = self._read_segments(self._state["patch"])
-            latest = first_per_group(patches, ["listing_id"], [-F.col("_seq")]).drop("_seq")
+            if len(self._state["patch"]) == 1:
+                latest = patches.drop("_seq")  # one patch holds each id at most once
+            else:
+                latest = first_per_group(patches, ["listing_id"], [-F.col("_seq")]).drop("_seq")
             kept = base.join(latest.select("listing_id"), "listing_id", "left_anti")
             base = kept.unionByName(latest, allowMissingColumns=True).select(*base.columns)
         for name in self._state.get("computed") or []:
