@@ -17,10 +17,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Probe results per (plan, input files, bound) for this driver process: input
+# files are immutable, so a repeated probe of the same frame needs no new job.
+_PROBES: dict[tuple, bool] = {}
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """``broadcast(df)`` if df provably has <= max_rows rows, else df."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    try:
+        key = (df.semanticHash(), tuple(sorted(df.inputFiles())), max_rows)
+    except Exception:  # a frame without a stable identity: always probe
+        key = None
+    small = _PROBES.get(key) if key is not None else None
+    if small is None:
+        small = df.limit(max_rows + 1).count() <= max_rows
+        if key is not None:
+            _PROBES[key] = small
+    return F.broadcast(df) if small else df
 
 
 def null_safe_match(left: DataFrame, right: DataFrame, keys: Sequence[str],
