@@ -1,8 +1,8 @@
-"""Bulk changes as copy-on-write transforms (DataFrame -> DataFrame).
+"""Bulk changes as pure transforms (DataFrame -> DataFrame).
 
-Parquet files are immutable: an update produces the whole new table version,
-written to a new directory (``domus.sinks.writers.write_version``); the
-version being read is never overwritten.
+Parquet files are immutable: a change yields a new frame that is written to
+a new directory (``domus.sinks.writers.write_version``, or a segment of
+``ListingsEngine``); the version being read is never overwritten.
 """
 
 from __future__ import annotations

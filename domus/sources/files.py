@@ -1,8 +1,8 @@
 """File sources: raw and cleaned listing CSVs (all columns as text).
 
-The position of a row in its file (``src_pos``) is kept for keep-first
-deduplication: file path, split start and the row's ordinal inside the
-split, combined into one sortable 64-bit value per file.
+The position of a row in its file is kept for keep-first deduplication as
+three columns, ``FILE_ORDER`` = (file path, split start, row id inside the
+split); sorting by them is file order.
 """
 
 from __future__ import annotations
