@@ -65,8 +65,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; create a scratch one only if unset.
 
     On a cluster the setting names a shared folder (HDFS/S3/...), so written
-    intermediate tables and ``checkpoint()`` survive executor loss.  Only a
-    local test run without the setting gets a fresh temporary directory.
+    intermediate tables and ``checkpoint()`` survive executor loss; without
+    it a cluster run stops with an error.  Only a local run without the
+    setting gets a fresh temporary directory.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -74,6 +75,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            # a machine-local folder is not visible to other executors
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (staging tables live there)")
         configured = tempfile.mkdtemp(prefix="domus-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
