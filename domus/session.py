@@ -49,8 +49,9 @@ def get_spark(master: str | None = None, app_name: str = "domus") -> SparkSessio
             builder = builder.config(k, v)
     for k, v in _REQUIRED.items():
         builder = builder.config(k, v)
-    if submitted.get("spark.checkpoint.dir") is None:
-        # no cluster-provided shared folder (a local test run): private scratch
+    effective_master = submitted.get("spark.master") or master
+    if submitted.get("spark.checkpoint.dir") is None and effective_master.startswith("local"):
+        # a local run without a configured folder: private scratch
         builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="domus-ckpt-"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
