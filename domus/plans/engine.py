@@ -140,7 +140,7 @@ class ListingsEngine:
 
     # ------------------------------------------------------------ UC7
     def usecase7_bulk_import(self, data: DataFrame | str, batch_size: int = DEFAULT_BATCH_SIZE,
-                             on_duplicate: str = "append") -> dict[str, int]:
+                             on_duplicate: str = "append", keep_rejects: bool = False) -> dict[str, int]:
         """Import cleaned-CSV text (a path, or a text DataFrame).
 
         Valid rows become a new clustered base segment, written in files of at
@@ -179,6 +179,13 @@ class ListingsEngine:
         seg = self._segment(clustered(new_rows), "base", batch_size)
         state = self._state or {"base": [], "patch": []}
         self._commit(list(state["base"]) + [seg], list(state["patch"]), import_no)
+        self.last_rejects_path = None
+        if keep_rejects:
+            bad = parse_listings_with_reasons(text).where(~ok).select(
+                F.col("src_pos").alias("row_id"), F.array_join("reasons", ",").alias("reasons"))
+            raw = text.select(F.col("src_pos").alias("row_id"),
+                              F.to_json(F.struct(*[F.col(c) for c in text.columns if c != "src_pos"])).alias("text"))
+            self.last_rejects_path = self._segment(bad.join(raw, "row_id"), f"rejects-{import_no}")
         try:
             m = obs.get  # counted during the write itself
             return {"imported": int(m["imported"]), "rejected": int(m["rejected"])}

@@ -14,7 +14,9 @@ def test_engine_flow(spark, tmpdir_path):
     eng = ListingsEngine(spark, f"{tmpdir_path}/tbl")
     eng.reset_database()
     assert eng.get_total_count() == 0
-    counts = eng.usecase7_bulk_import(csv, batch_size=500)
+    counts = eng.usecase7_bulk_import(csv, batch_size=500, keep_rejects=True)
+    rejects = spark.read.parquet(eng.last_rejects_path)
+    assert rejects.count() == counts["rejected"] and rejects.where("reasons = ''").count() == 0
     seg = eng.current_state()["base"][-1]
     per_file = spark.read.parquet(seg).groupBy(F.input_file_name()).count().collect()
     assert max(r["count"] for r in per_file) <= 500 and len(per_file) >= 3
