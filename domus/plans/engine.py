@@ -216,6 +216,9 @@ class ListingsEngine:
     def usecase2_update_prices(self, broker_id: str = DEFAULT_BROKER_ID,
                                percent_delta: float = DEFAULT_PERCENT_DELTA, limit: int = DEFAULT_LIMIT) -> int:
         """Price change of a broker's first ``limit`` listings, written as a patch; returns rows changed."""
+        if not self._state:  # no table yet: nothing to change (parameters still checked)
+            uc.uc2_update_prices(self.table(), broker_id, percent_delta, limit)
+            return 0
         current = self.table()
         changed = uc.uc2_update_prices(current, broker_id, percent_delta, limit).where("updated").drop("updated")
         seg = self._segment(changed.withColumn("_seq", F.lit(time.time_ns())), "patch")
@@ -229,6 +232,8 @@ class ListingsEngine:
         full-table mutation); reads evaluate it, ``compact()`` stores it.
         Re-running it keeps the same values.  Returns the number of rows.
         """
+        if not self._state:
+            return 0
         computed = list(self._state.get("computed") or [])
         if "solar_panels" not in computed:
             computed.append("solar_panels")

@@ -60,3 +60,14 @@ def test_engine_flow(spark, tmpdir_path):
     eng.usecase7_bulk_import(csv)
     assert eng.get_total_count() == 2 * counts["imported"] + n
     assert eng.table().select("listing_id").distinct().count() == 2 * counts["imported"] + n
+
+
+def test_engine_without_table(spark, tmpdir_path):
+    import pytest
+    eng = ListingsEngine(spark, f"{tmpdir_path}/empty")
+    assert eng.get_total_count() == 0
+    assert eng.usecase2_update_prices("7", 0.05, 3) == 0
+    assert eng.usecase3_add_solar_panels() == 0
+    assert eng.usecase1_filter_properties(1, 1.0).count() == 0
+    with pytest.raises(ValueError):
+        eng.usecase2_update_prices("7", -2.0, 3)
