@@ -37,7 +37,8 @@ from domus.session import materialize
 from domus.sinks.writers import clustered
 from domus.sources.files import read_clean_csv
 
-STATE_SCHEMA = "seq long, base array<string>, patch array<string>, imports long, computed array<string>"
+STATE_SCHEMA = ("seq long, base array<string>, patch array<string>, imports long, computed array<string>, "
+                "row_count long")
 
 # Columns that are a deterministic function of the stored row: recorded in the
 # table state and evaluated on read (metadata-only schema evolution);
@@ -76,16 +77,19 @@ class ListingsEngine:
         return path
 
     def _commit(self, base: list[str], patch: list[str], imports: int | None = None,
-                computed: list[str] | None = None) -> None:
+                computed: list[str] | None = None, row_count: int | None = None) -> None:
         seq = time.time_ns()
         prev = self._state or {}
         if imports is None:
             imports = int(prev.get("imports") or 0)
         if computed is None:
             computed = list(prev.get("computed") or [])
-        self.spark.createDataFrame([(seq, base, patch, imports, computed)], STATE_SCHEMA).coalesce(1) \
-            .write.mode("append").json(f"{self.base}/state")
-        self._state = {"seq": seq, "base": base, "patch": patch, "imports": imports, "computed": computed}
+        if row_count is None:
+            row_count = prev.get("row_count")
+        self.spark.createDataFrame([(seq, base, patch, imports, computed, row_count)], STATE_SCHEMA) \
+            .coalesce(1).write.mode("append").json(f"{self.base}/state")
+        self._state = {"seq": seq, "base": base, "patch": patch, "imports": imports, "computed": computed,
+                       "row_count": row_count}
 
     def current_state(self) -> dict | None:
         return self._state
@@ -129,13 +133,19 @@ class ListingsEngine:
         return out
 
     def reset_database(self) -> None:
-        self._commit([self._segment(self.spark.createDataFrame([], LISTING), "base")], [], computed=[])
+        self._commit([self._segment(self.spark.createDataFrame([], LISTING), "base")], [], computed=[],
+                     row_count=0)
 
     def compact(self) -> None:
         """Rewrite base + patches (+ computed columns) into one clustered base segment."""
         self._commit([self._segment(clustered(self.table()), "base")], [], computed=[])
 
     def get_total_count(self) -> int:
+        """Rows in the table: kept in the state (imports count what they write), else counted."""
+        if not self._state:
+            return 0
+        if self._state.get("row_count") is not None:
+            return int(self._state["row_count"])
         return self.table().count()
 
     # ------------------------------------------------------------ UC7
@@ -176,9 +186,17 @@ class ListingsEngine:
                 new_rows = null_safe_match(new_rows, known, [], list(NATURAL_KEY), how="left_anti")
         if not isinstance(batch_size, int) or batch_size < 0:
             raise ValueError("batch_size must be a non-negative integer")
+        written_obs = Observation("uc7_written")
+        new_rows = new_rows.observe(written_obs, F.count(F.lit(1)).alias("n"))
         seg = self._segment(clustered(new_rows), "base", batch_size)
+        try:
+            written = int(written_obs.get["n"])
+        except Exception:  # metrics not reported: count the new segment
+            written = self.spark.read.parquet(seg).count()
         state = self._state or {"base": [], "patch": []}
-        self._commit(list(state["base"]) + [seg], list(state["patch"]), import_no)
+        before = state.get("row_count")
+        rows = None if before is None else int(before) + written
+        self._commit(list(state["base"]) + [seg], list(state["patch"]), import_no, row_count=rows)
         self.last_rejects_path = None
         if keep_rejects:
             bad = parse_listings_with_reasons(text).where(~ok).select(
@@ -242,6 +260,5 @@ class ListingsEngine:
         computed = list(self._state.get("computed") or [])
         if "solar_panels" not in computed:
             computed.append("solar_panels")
-        base = [p for p in self._state["base"]]
-        self._commit(base, list(self._state["patch"]), computed=computed)
-        return self.table().count()
+        self._commit(list(self._state["base"]), list(self._state["patch"]), computed=computed)
+        return self.get_total_count()

@@ -46,6 +46,8 @@ def test_engine_flow(spark, tmpdir_path):
     st = eng.current_state()
     assert st["patch"] == [] and len(st["base"]) == 1 and st["computed"] == []
     assert {r["listing_id"]: r["solar_panels"] for r in eng.table().collect()} == flags
+    # the kept row count equals a real count of the table
+    assert eng.get_total_count() == eng.table().count()
     # a fresh engine on the same folder sees the same committed state
     assert ListingsEngine(spark, f"{tmpdir_path}/tbl").current_state() == eng.current_state()
     assert eng.usecase1_filter_properties(1, 1e12).count() == counts["imported"]
@@ -60,6 +62,7 @@ def test_engine_flow(spark, tmpdir_path):
     eng.usecase7_bulk_import(csv)
     assert eng.get_total_count() == 2 * counts["imported"] + n
     assert eng.table().select("listing_id").distinct().count() == 2 * counts["imported"] + n
+    assert eng.get_total_count() == eng.table().count()
 
 
 def test_engine_without_table(spark, tmpdir_path):
