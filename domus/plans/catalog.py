@@ -14,9 +14,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domus.functions.measures import price_per_sqm, round_half_up
+from domus.functions.measures import adjust_price, price_per_sqm, round_half_up
+from domus.functions.text import null_if_token, title_case
+from domus.operators import cleaning as cl
+from domus.operators import documents as doc
+from domus.operators import mutate as mu
+from domus.operators import quality as qa
+from domus.operators import star as st
+from domus.operators import telemetry as tm
 from domus.operators import usecases as uc
-from domus.sources.tables import listings_from_tables
+from domus.operators.joins import first_per_group, null_safe_match
+from domus.plans import sql as sq
+from domus.schema import CLEANER_NULL_TOKENS, DEDUP_KEYS, LISTING_COLUMNS
+from domus.session import scratch_path
+from domus.sources.derived import clean_csv_text, raw_listings_text
+from domus.sources.runs import runs_from_events, samples_from_events, snapshots_from_events
+from domus.sources.tables import listings_from_tables, table
+from domus.streaming import ingest as st_ingest
+from domus.streaming import telemetry as st_tele
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,13 +122,6 @@ def q_total(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- text exports, cleaning, parsing
-from domus.functions.text import null_if_token, title_case  # noqa: E402
-from domus.operators import cleaning as cl  # noqa: E402
-from domus.operators import star as st  # noqa: E402
-from domus.operators.joins import first_per_group, null_safe_match  # noqa: E402
-from domus.schema import CLEANER_NULL_TOKENS, DEDUP_KEYS  # noqa: E402
-from domus.sources.derived import clean_csv_text, raw_listings_text  # noqa: E402
-from domus.sources.tables import table  # noqa: E402
 
 
 @register("title_case")
@@ -206,13 +214,6 @@ def q_null_safe(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- run telemetry
-from domus.operators import documents as doc  # noqa: E402
-from domus.operators import mutate as mu  # noqa: E402
-from domus.operators import quality as qa  # noqa: E402
-from domus.operators import telemetry as tm  # noqa: E402
-from domus.sources.runs import runs_from_events, samples_from_events, snapshots_from_events  # noqa: E402
-from domus.functions.measures import adjust_price  # noqa: E402
-from domus.schema import LISTING_COLUMNS  # noqa: E402
 
 
 def _records(spark, sf_dir):
@@ -367,9 +368,6 @@ def q_uc4_json(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- streaming
-from domus.session import scratch_path  # noqa: E402
-from domus.streaming import ingest as st_ingest  # noqa: E402
-from domus.streaming import telemetry as st_tele  # noqa: E402
 
 
 @register("stream_telemetry")
@@ -392,7 +390,6 @@ def q_stream_import(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- SQL forms
-from domus.plans import sql as sq  # noqa: E402
 
 
 @register("uc1_sql")
