@@ -53,9 +53,11 @@ NATURAL_KEY = ("brokered_by", "status", "price", "prev_sold_date", "street", "zi
 
 
 class ListingsEngine:
-    def __init__(self, spark: SparkSession, base_path: str):
+    def __init__(self, spark: SparkSession, base_path: str, max_patches: int = 32):
+        """``max_patches``: after this many patch segments a change compacts the table."""
         self.spark = spark
         self.base = base_path.rstrip("/")
+        self.max_patches = max_patches
         self._state = self._load_state()
         self._table: tuple[int, DataFrame] | None = None  # (state seq, DataFrame) of the current state
 
@@ -244,9 +246,12 @@ class ListingsEngine:
         seg = self._segment(patch, "patch")
         self._commit(list(self._state["base"]), list(self._state["patch"]) + [seg])
         try:
-            return int(obs.get["n"])  # counted during the write
+            n = int(obs.get["n"])  # counted during the write
         except Exception:  # metrics not reported: count the patch (at most ``limit`` rows)
-            return self.spark.read.parquet(seg).count()
+            n = self.spark.read.parquet(seg).count()
+        if len(self._state["patch"]) > self.max_patches:
+            self.compact()  # keeps the read-time merge small
+        return n
 
     def usecase3_add_solar_panels(self) -> int:
         """Add ``solar_panels``: a reproducible ~50% flag derived from the id.

@@ -74,3 +74,21 @@ def test_engine_without_table(spark, tmpdir_path):
     assert eng.usecase1_filter_properties(1, 1.0).count() == 0
     with pytest.raises(ValueError):
         eng.usecase2_update_prices("7", -2.0, 3)
+
+
+def test_auto_compaction(spark, tmpdir_path):
+    csv = f"{tmpdir_path}/in"
+    clean_csv_text(spark, SF).drop("src_pos").write.option("header", True).csv(csv)
+    eng = ListingsEngine(spark, f"{tmpdir_path}/tbl", max_patches=2)
+    eng.reset_database()
+    eng.usecase7_bulk_import(csv)
+    broker = str(eng.table().groupBy("brokered_by").count().orderBy("count", ascending=False).first()[0])
+    before = eng.table().orderBy("listing_id").collect()
+    for _ in range(3):
+        eng.usecase2_update_prices(broker, 0.01, 2)
+    st = eng.current_state()
+    assert st["patch"] == [] and len(st["base"]) == 1  # third patch triggered a compaction
+    after = eng.table().orderBy("listing_id").collect()
+    assert len(after) == len(before) == eng.get_total_count()
+    changed = [a["listing_id"] for a, b in zip(after, before) if a["price"] != b["price"]]
+    assert len(changed) == 2
