@@ -227,6 +227,17 @@ def q_file_meta(spark, sf_dir):
     return runs.select("index", "file_name", *file_metadata(F.col("file_name")))
 
 
+@register("runs_jsonl_round_trip")
+def q_runs_jsonl(spark, sf_dir):
+    """K12 + S3: run records written as JSON lines, read back with the explicit schema."""
+    from domus.sinks.writers import write_runs_jsonl
+    from domus.sources.runs import read_runs
+    path = scratch_path(spark, "runs-jsonl")
+    write_runs_jsonl(runs_from_events(spark, sf_dir).drop("file_name"), path)
+    return read_runs(spark, path).select("index", "run_id", "database", "container", "usecase", "status",
+                                         "execution_time_s", "execution_time_ms")
+
+
 @register("run_records")
 def q_run_records(spark, sf_dir):
     return _records(spark, sf_dir)
