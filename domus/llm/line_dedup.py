@@ -122,9 +122,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10,
-                batches: int = 4, fanout: int = 2) -> DataFrame:
-    """``docs`` with two columns more, n_lines and n_dropped, and ``text_col``
-    without the lines that an earlier document holds.
+                batches: int = 4, fanout: int = 2, counts: bool = True) -> DataFrame:
+    """``docs`` with ``text_col`` without the lines that an earlier document holds;
+    with ``counts`` two columns more, n_lines and n_dropped, which take the place
+    of columns of these names.
 
     A text is split at \\n; null or empty counts as one empty line, and a null
     text stays null.  A line's key has at least ``min_chars`` code points.  All
@@ -143,6 +144,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.transform(
         F.array_except(F.sequence(F.lit(0), n - 1), F.col("_gone")), lambda i: F.get("_lines", i)))
     text = F.when(~F.col("_null"), F.array_join(kept, "\n"))
-    return both.select(*[text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns],
-                       n.cast("long").alias("n_lines"),
-                       F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"))
+    extra = {"n_lines": n.cast("long"),
+             "n_dropped": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")} if counts else {}
+    return both.select(*[text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c not in extra],
+                       *[c.alias(name) for name, c in extra.items()])

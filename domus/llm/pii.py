@@ -143,9 +143,9 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     are (null texts stay null)."""
     _, spans = find_pii(docs, id_col, text_col)
     marks = spans.groupBy("doc_id", "content").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("marks")) \
-        .select(F.col("doc_id").alias("_d"), F.col("content").alias("_c"), "marks")
-    keyed = docs.withColumn("_key", F.sha2(text_or_empty(text_col).cast("binary"), 256))
+        F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_pii_marks")) \
+        .select(F.col("doc_id").alias("_pii_d"), F.col("content").alias("_pii_c"), "_pii_marks")
+    keyed = docs.withColumn("_pii_key", F.sha2(text_or_empty(text_col).cast("binary"), 256))
     text, zero = F.col(text_col), F.lit(0).cast("long")
     start = F.struct(zero.alias("at"), F.lit("").alias("out"))
 
@@ -155,8 +155,8 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
             m["end"].alias("at"), F.concat(acc["out"], gap, F.lit("["), F.upper(m["kind"]), F.lit("]")).alias("out"))) \
             .otherwise(F.struct(F.greatest(acc["at"], m["end"]).alias("at"), acc["out"].alias("out")))
 
-    done = F.aggregate("marks", start, step, lambda acc: F.concat(
+    done = F.aggregate("_pii_marks", start, step, lambda acc: F.concat(
         acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text))))
-    return keyed.join(marks, keyed[id_col].eqNullSafe(marks["_d"]) & (keyed["_key"] == marks["_c"]), "left") \
-        .withColumn(text_col, F.when(F.col("marks").isNotNull(), done).otherwise(text)) \
+    return keyed.join(marks, keyed[id_col].eqNullSafe(marks["_pii_d"]) & (keyed["_pii_key"] == marks["_pii_c"]), "left") \
+        .withColumn(text_col, F.when(F.col("_pii_marks").isNotNull(), done).otherwise(text)) \
         .select(*docs.columns)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domus.llm import bpe, line_dedup, packing, pii, secret_scan, spans, topk
+from domus.llm import bpe, line_dedup, minhash, packing, pii, secret_scan, spans, suffix, topk, toxicity, vectors
 from domus.llm.common import read, tokenizer_path
 from domus.session import scratch_path
 
@@ -25,6 +25,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", "n_lines", "n_dropped", sha("text").alias("kept_sha256"))
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf_dir, "documents"), tokenizer_path).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
@@ -32,6 +36,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha("decoded").alias("decoded_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, found = pii.find_pii(read(spark, sf_dir, "documents"))
     keys = ["doc_id", "content"]
@@ -39,6 +49,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[f"n_{k}" for k in pii.KINDS], sha("base_spans").alias("base_sha256"), "spans")
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     ledger = secret_scan.BlobLedger(spark, scratch_path(spark, "blob-ledger"))
@@ -57,6 +72,10 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=2)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -64,10 +83,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_embeddings": op2_embeddings,
     "op3_bpe": op3_bpe,
+    "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
+    "op6_suffix": op6_suffix,
     "op7_secrets": op7_secrets,
     "op8_topk": op8_topk,
+    "op9_minhash": op9_minhash,
     "op10_packing": op10_packing,
 }
 
