@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from domus.llm.common import connected_components, cut, drop, text_or_empty
+from domus.llm.common import connected_components, cut, drop, shuffle_partitions, text_or_empty
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -131,6 +131,60 @@ def _filter_pairs(pairs: DataFrame, classes: DataFrame, k: int, num: int, den: i
         .select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _across(rest: DataFrame, classes: DataFrame, k: int, num: int, den: int, sigmas: float, rows: int = 256) -> DataFrame:
+    """Distinct pairs (a, b) of list members in different components that share
+    enough retained values.  ``rest`` has value, node, n, component.  A list is
+    cut into blocks of about ``rows`` members; each task holds two blocks of a
+    list and returns only pairs whose sketches agree, so a list that many unlike
+    documents share (a passage) is compared whole without a row for each pair."""
+    floor = sketch_share(k, num, den, sigmas)
+
+    def run(t: pa.Table) -> pa.Table:
+        cols = {c: t[c].to_numpy() for c in ("value", "node", "n", "component", "own", "x", "y")}
+        sketch = t["sketch"].combine_chunks()
+        flat, cuts = sketch.values.to_numpy(), sketch.offsets.to_numpy()
+        order = np.lexsort((cols["y"], cols["x"], cols["value"]))
+        new = np.zeros(len(order), bool)
+        for c in ("value", "x", "y"):
+            new[1:] |= cols[c][order][1:] != cols[c][order][:-1]
+        out = []
+        for at in np.split(order, np.flatnonzero(new)):
+            x, y, own = cols["x"][at[0]], cols["y"][at[0]], cols["own"][at]
+            left, right = at[own == x], at[own == y]
+            if not len(left) or not len(right):
+                continue
+            n, comp, node = cols["n"], cols["component"], cols["node"]
+            m, o = n[left][:, None], n[right][None, :]
+            ok = (comp[left][:, None] != comp[right][None, :]) & (np.minimum(m, o) * den >= np.maximum(m, o) * num)
+            if x == y:
+                ok &= node[left][:, None] < node[right][None, :]
+            if not ok.any():
+                continue
+            sizes = cuts[at + 1] - cuts[at]
+            vals = np.concatenate([flat[cuts[i]:cuts[i + 1]] for i in at])
+            _, which, count = np.unique(vals, return_inverse=True, return_counts=True)
+            shared = np.flatnonzero(count[which] > 1)
+            names = np.cumsum(count > 1) - 1
+            has = np.zeros((len(at), int((count > 1).sum())), np.float32)
+            has[np.repeat(np.arange(len(at)), sizes)[shared], names[which[shared]]] = 1
+            common = has[own == x] @ has[own == y].T
+            whole = (m <= k) & (o <= k)
+            least = np.where(whole, np.ceil(num * (m + o) / (den + num)), floor)
+            i, j = np.nonzero(ok & (common >= np.minimum(least, np.ceil(num * np.maximum(m, o) / den))))
+            out.append((np.minimum(node[left[i]], node[right[j]]), np.maximum(node[left[i]], node[right[j]])))
+        a, b = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+        return pa.table({"a": a, "b": b}).group_by(["a", "b"]).aggregate([])
+
+    sizes = cut(rest.groupBy("value").agg(F.ceil(F.count("*") / rows).cast("int").alias("blocks")), "near-blocks")
+    member = rest.join(sizes, "value").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")) \
+        .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")) \
+        .withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other")
+    jobs = shuffle_partitions(rest.sparkSession) * 8
+    member = member.join(classes.select("node", "sketch"), "node") \
+        .withColumn("job", F.pmod(F.xxhash64("value", "x", "y"), F.lit(jobs).cast("long")))
+    return member.groupBy("job").applyInArrow(run, "a long, b long").distinct()
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs whose full sets reach the threshold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     phrase makes no long list.  The members of a list are first compared with
     two of it (the smallest and the largest class).  What then is in
     one component needs no more links; only pairs across components are left,
-    and all of those are compared.  Sketches may miss a pair only where sets
+    and all of those are compared, block by block.  Sketches may miss a pair only where sets
     are larger than ``k``, at a chance of ``sigmas`` standard deviations; no
     list or group is cut short.
 
@@ -213,11 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .where("x < y").select("value")
     rest = cut(placed.join(mixed, "value").join(hubs, "value").where("node <> lo and node <> hi")
                .select("value", "node", "n", "component"), "near-rest")
-    other = rest.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    across = cut(rest.withColumnsRenamed({"node": "a", "n": "na", "component": "ca"}).join(other, "value")
-                 .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-                        & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
-                 .select("a", "b").distinct(), "near-across")
+    across = cut(_across(rest, classes, k, num, den, sigmas), "near-across")
     more = links_of(across, "near2")
     if more.limit(1).count():
         labels = connected_components(links.union(more), "near2")

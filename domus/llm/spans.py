@@ -9,6 +9,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from domus.llm.common import cut
+
 Rule = tuple[str, str, tuple[str, ...]]  # kind, Java pattern, strings of which a match needs one
 
 
@@ -69,8 +71,9 @@ def span_digest(df: DataFrame, keys: Sequence[str], kinds: Sequence[str]) -> Dat
 
 def with_digest(docs: DataFrame, digest: DataFrame, keys: Sequence[str], kinds: Sequence[str]) -> DataFrame:
     """Join a digest back to all rows of ``docs``; rows without spans get zeros
-    and the empty text.  Keys match null-safely."""
-    keys = list(keys)
+    and the empty text.  Keys match null-safely.  The digest is written first,
+    so that the join can split a key that many rows share."""
+    keys, digest = list(keys), cut(digest, "span-digest")
     right = digest.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in digest.columns if c not in keys])
     cond = None
     for k in keys:

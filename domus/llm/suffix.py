@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from domus.llm.bpe import in_stretches
-from domus.llm.common import cut, text_or_empty
+from domus.llm.common import cut, drop, text_or_empty
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -334,22 +334,26 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     across = cut(anchor.groupBy("h").agg(F.min("shard").alias("s0"), F.max("shard").alias("s1")).where("s0 < s1").select("h"),
                  "suffix-across")
     lists = anchor.join(across, "h").groupBy("d", "k").agg(F.collect_set(F.struct("p", "lo", "hi")).alias("items"))
-    cells = cut(_stretches(rows, cut(lists, "suffix-lists"), length, chunk).withColumn("t", F.monotonically_increasing_id()),
+    lists = cut(lists, "suffix-lists")
+    cells = cut(_stretches(rows, lists, length, chunk).withColumn("t", F.monotonically_increasing_id()),
                 "suffix-cells")
     cores = cut(cells.groupBy("core").agg(F.count("*").alias("n_core")).where("n_core > 1"), "suffix-cores")
     fulls = cut(cells.where(F.col("full").isNotNull()).groupBy("core", "full").agg(
         F.count("*").alias("n_full"), F.min("t").alias("rep")).where("n_full > 1"), "suffix-fulls")
-    open_cells = cut(cells.join(cores, "core"), "suffix-open")
-    known = cut(open_cells.join(fulls, ["core", "full"], "left"), "suffix-known")
+    known = cut(cells.join(cores, "core").join(fulls, ["core", "full"], "left").drop("core", "full"), "suffix-known")
+    inside = cut(shards.select("d", "k", F.explode("inside").alias("x")).select("d", "k", "x.a", "x.b"), "suffix-inside")
+    drop(shards, across, lists, cells, cores, fulls)
     equal = F.col("n_full").isNotNull()
     whole = known.where(equal).select("d", "k", "a", "b")
     search = known.where(~equal | ((F.col("t") == F.col("rep")) & (F.col("n_core") > F.col("n_full")))) \
         .select("d", "k", F.struct("a", "b", F.when(equal, 2).otherwise(1).alias("w")).alias("item")) \
         .groupBy("d", "k").agg(F.collect_set("item").alias("items"))
-    fps = cut(_windows(rows, cut(search, "suffix-search"), length), "suffix-windows")
+    search = cut(search, "suffix-search")
+    fps = cut(_windows(rows, search, length), "suffix-windows")
     twice = cut(fps.groupBy("fp").agg(F.sum("w").alias("n")).where("n > 1").select("fp"), "suffix-twice")
     ends = fps.join(twice, "fp").select("d", "k", F.col("s").alias("a"), F.col("s").alias("b"))
-    inside = shards.select("d", "k", F.explode("inside").alias("x")).select("d", "k", "x.a", "x.b")
+    ends = cut(ends, "suffix-ends")
+    drop(search, fps, twice)
     return inside.union(whole).union(ends)
 
 
