@@ -7,6 +7,8 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from domus.functions.text import strip
+
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -23,9 +25,11 @@ def price_per_sqm(price: str | Column = "price", area: str | Column = "lot_size_
 
 def adjust_price(percent_delta: float, price: str | Column = "price") -> Column:
     """price * (1 + delta), rounded half-up to cents in exact decimal arithmetic."""
-    factor = Decimal(repr(1 + percent_delta))
-    scale = max(0, -factor.as_tuple().exponent)
-    factor_lit = F.lit(factor).cast(f"decimal({min(38, scale + 6)},{scale})")
+    factor = Decimal(1) + Decimal(str(percent_delta))
+    sign, digits, exponent = factor.as_tuple()
+    scale = max(0, -exponent)
+    whole = max(1, len(digits) + exponent)
+    factor_lit = F.lit(factor).cast(f"decimal({min(38, whole + scale)},{scale})")
     return (col(price).cast("decimal(16,2)") * factor_lit).cast("decimal(16,2)").cast("double")
 
 
@@ -40,8 +44,8 @@ def city_key(city: str | Column = "city", state: str | Column = "state") -> Colu
 
 
 def norm_text(c: str | Column) -> Column:
-    """lower(trim(x)) for case-insensitive matching."""
-    return F.lower(F.trim(col(c)))
+    """Lower-case text without white space at the ends, for case-insensitive matching."""
+    return F.lower(strip(col(c)))
 
 
 def round_half_up(c: str | Column, digits: int) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from domus.functions.text import strip
 from domus.schema import MAX_SOLD_YEAR, MIN_SOLD_YEAR
 
 
@@ -14,15 +15,18 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def to_double(c: str | Column) -> Column:
-    """Text -> double; blank, invalid and NaN -> NULL."""
-    d = F.trim(_c(c)).try_cast("double")
-    return F.when(~F.isnan(d), d)
+    """Text -> double; blank, invalid (also "12d", "0x1p3") and NaN -> NULL."""
+    t = strip(_c(c))
+    return F.when(t.rlike(NUMBER), t.try_cast("double"))
 
 
 def to_int_strict(c: str | Column) -> Column:
     """Text -> int, digits only ("3.0" and "abc" -> NULL, " 12 " -> 12)."""
-    t = F.trim(_c(c))
+    t = strip(_c(c))
     return F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("int"))
 
 
@@ -37,6 +41,13 @@ def to_long_numeric(c: str | Column) -> Column:
     return F.when(d == F.floor(d), d.try_cast("bigint"))
 
 
+def iso_date_text(c: str | Column) -> Column:
+    """The text if it starts with a whole ISO date, yyyyMMdd written with dashes,
+    else NULL: a year, a month or parts without leading zeros are no date."""
+    t = F.regexp_replace(strip(_c(c)), r"^([0-9]{4})([0-9]{2})([0-9]{2})(?=$|[T ])", "$1-$2-$3")
+    return F.when(t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}($|[T ])"), t)
+
+
 def to_utc_timestamp_ntz(c: str | Column, null_tokens: Iterable[str] = ()) -> Column:
     """ISO date / date-time text -> naive UTC timestamp; offsets converted; bad -> NULL.
 
@@ -44,7 +55,7 @@ def to_utc_timestamp_ntz(c: str | Column, null_tokens: Iterable[str] = ()) -> Co
     naive wall clock (``TIMESTAMP_NTZ``); text with a zone designator (Z or
     +hh:mm) is read as an instant and converted to the UTC wall clock.
     """
-    t = F.trim(_c(c))
+    t = strip(_c(c))
     zoned = t.rlike(r"(Z|[+-][0-9]{2}(:?[0-9]{2})?)$") & t.rlike(r"[0-9]T|[0-9] [0-9]")
     instant = F.try_to_timestamp(t)
     utc = F.convert_timezone(None, F.lit("UTC"), instant.cast("timestamp_ntz"))

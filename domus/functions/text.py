@@ -12,6 +12,11 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at both ends (``trim`` takes blanks only)."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def title_case(c: str | Column) -> Column:
     """trim + title case with word starts after any non-letter.
 
@@ -19,21 +24,17 @@ def title_case(c: str | Column) -> Column:
     into letter / non-letter runs and capitalizing each letter run gives
     "Winston-Salem", "O'Fallon", "1St" — the usual title-case rule.
     """
-    runs = F.regexp_extract_all(F.trim(_c(c)), F.lit(r"(\p{L}+|\P{L}+)"), 1)
+    runs = F.regexp_extract_all(strip(_c(c)), F.lit(r"(\p{L}+|\P{L}+)"), 1)
     out = F.array_join(F.transform(runs, lambda r: F.initcap(r)), "")
     return F.when(_c(c).isNotNull(), out)
 
 
 def null_if_token(c: str | Column, tokens: Iterable[str]) -> Column:
-    """trim(c), or NULL if the trimmed text is one of ``tokens``."""
-    t = F.trim(_c(c))
+    """Stripped text, or NULL if it is one of ``tokens``."""
+    t = strip(_c(c))
     return F.when(~t.isin(list(tokens)), t)
 
 
-def lower_trim(c: str | Column) -> Column:
-    return F.lower(F.trim(_c(c)))
-
-
 def hash_id(*cols: str | Column) -> Column:
     """Deterministic 60-bit id from the md5 of the '|'-joined text of ``cols``."""
     text = F.concat_ws("|", *[_c(c).cast("string") for c in cols])

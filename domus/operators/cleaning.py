@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from domus.functions.parse import (
-    to_double, to_int_numeric, to_int_strict, to_long_numeric, to_utc_timestamp_ntz, year_after,
+    iso_date_text, to_double, to_int_numeric, to_int_strict, to_long_numeric, to_utc_timestamp_ntz, year_after,
     year_between,
 )
-from domus.functions.text import null_if_token, title_case
+from domus.functions.text import null_if_token, strip, title_case
 from domus.operators.joins import first_per_group
 from domus.schema import (
     ACRE_TO_SQM, CLEANER_MIN_EXCLUSIVE_YEAR, CLEANER_NULL_TOKENS, DEDUP_KEYS, PARSER_DATE_NULL_TOKENS,
@@ -75,7 +75,11 @@ def clean_raw(raw: DataFrame, order_cols=("src_pos",), narrow: bool = False) ->
         house.alias("house_size_sqm"),
         sold.alias("prev_sold_date"),
     )
-    complete = typed.dropna(subset=list(REQUIRED_FIELDS))
+    # a mandatory field that the file doesn't have at all can't be asked of its rows
+    present = {*raw.columns, *(["lot_size_sqm"] if "acre_lot" in raw.columns else []),
+               *(["house_size_sqm"] if "house_size" in raw.columns else [])}
+    checked = [c for c in REQUIRED_FIELDS if c in present]
+    complete = typed.dropna(subset=checked) if checked else typed
     return first_per_group(complete, list(DEDUP_KEYS), order_cols)
 
 
@@ -97,10 +101,10 @@ def format_clean_csv(clean: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- record parser
 def _parse_columns(text: DataFrame) -> list[Column]:
-    sold = year_between(to_utc_timestamp_ntz(_opt(text, "prev_sold_date"), PARSER_DATE_NULL_TOKENS))
+    sold = year_between(to_utc_timestamp_ntz(iso_date_text(_opt(text, "prev_sold_date")), PARSER_DATE_NULL_TOKENS))
     return [
         to_double(_opt(text, "brokered_by")).alias("brokered_by"),
-        F.trim(_opt(text, "status")).alias("status"),
+        strip(_opt(text, "status")).alias("status"),
         to_double(_opt(text, "price")).alias("price"),
         to_double(_opt(text, "lot_size_sqm")).alias("lot_size_sqm"),
         to_double(_opt(text, "street")).alias("street"),
@@ -121,8 +125,11 @@ def _reasons() -> Column:
     def blank(c: str) -> Column:
         return F.col(c).isNull() | (F.col(c) == "")
 
+    def no_int(c: str) -> Column:
+        return F.col(c).try_cast("int").isNull()
+
     checks = [
-        ("brokered_by", missing), ("status", blank), ("price", missing), ("lot_size_sqm", missing),
+        ("brokered_by", no_int), ("status", blank), ("price", missing), ("lot_size_sqm", missing),
         ("street", missing), ("city", blank), ("state", blank), ("zip_code", missing),
     ]
     return F.array_compact(F.array(*[F.when(fn(name), F.lit(name)) for name, fn in checks]))
@@ -151,7 +158,7 @@ def to_wide_listing(records: DataFrame, id_col: str = "src_pos") -> DataFrame:
     """Typed records -> wide listing schema (id from the source position)."""
     return records.select(
         F.col(id_col).cast("bigint").alias("listing_id"),
-        F.col("brokered_by").cast("int").alias("brokered_by"),
+        F.col("brokered_by").try_cast("int").alias("brokered_by"),
         "status", "price", "lot_size_sqm", "street", "city", "state",
         F.col("zip_code").cast("int").alias("zip_code"), "bed", "bath", "house_size_sqm",
         F.col("prev_sold_date").cast("date").alias("prev_sold_date"),

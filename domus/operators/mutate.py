@@ -1,7 +1,7 @@
 """Bulk changes as pure transforms (DataFrame -> DataFrame).
 
 Parquet files are immutable: a change yields a new frame that is written to
-a new directory (``domus.sinks.writers.write_version``, or a segment of
+a new directory (a segment of
 ``ListingsEngine``); the version being read is never overwritten.
 """
 

@@ -72,26 +72,33 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value_col: str, probs: S
                     partitions: int | None = None) -> DataFrame:
     """Exact interpolated quantiles (the ``percentile`` / ``quantile_cont`` rule) per key.
 
-    Output: keys, ``prob``, ``value``.  Only the rows at the two ranks around
-    each target position are joined back -- an equi-join on (keys, rank), so
-    even a huge key touches only a handful of rows.
+    Output: keys, ``prob``, ``value``.  Equal values are counted first (inside
+    each task, then per value), so ties are one row however many there are.
+    The distinct values are range-partitioned, their counts summed up along
+    the order, and the two values around each target position picked by an
+    equi-join on the keys.
     """
     keys = list(keys)
-    vals = df.where(F.col(value_col).isNotNull()).select(*keys, F.col(value_col).alias("_v"))
-    ranked = rank_within_groups(vals, keys, ["_v"], "_r", partitions)
-    sizes = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = df.where(F.col(value_col).isNotNull()).groupBy(*keys, F.col(value_col).alias("_v")) \
+        .agg(F.count(F.lit(1)).alias("_c"))
+    ordered = materialize(counted.repartitionByRange(n, *keys, "_v").withColumn("_pid", F.spark_partition_id()),
+                          "quantile-stage")
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ordered.groupBy(*keys, "_pid").agg(F.sum("_c").alias("_sum")) \
+        .select(*keys, "_pid", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = null_safe_match(ordered.withColumn("_in", F.sum("_c").over(inside)), offsets, ["_pid"], keys) \
+        .select(*keys, "_v", (F.col("_before") + F.col("_in")).alias("_upto"), "_c")
+    sizes = ordered.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     p = F.explode(F.array(*[F.lit(float(x)) for x in probs])).alias("prob")
     targets = (sizes.select(*keys, "_n", p)
                .withColumn("_pos", (F.col("_n") - 1) * F.col("prob"))
                .withColumn("_lo", F.floor("_pos").cast("long") + 1)
-               .withColumn("_hi", F.ceil("_pos").cast("long") + 1))
-    wanted = targets.select(*keys, F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_r"))
-    picked = null_safe_match(ranked, wanted.dropDuplicates(), ["_r"], keys)
-    lo = picked.withColumnRenamed("_r", "_lo").withColumnRenamed("_v", "_vlo")
-    hi = picked.withColumnRenamed("_r", "_hi").withColumnRenamed("_v", "_vhi")
-    t = null_safe_match(targets, lo, ["_lo"], keys)
-    t = null_safe_match(t, hi, ["_hi"], keys)
-    frac = F.col("_pos") - (F.col("_lo") - 1)
-    value = F.when(F.col("_lo") == F.col("_hi"), F.col("_vlo")) \
-        .otherwise((1 - frac) * F.col("_vlo") + frac * F.col("_vhi"))
-    return t.select(*keys, "prob", value.alias("value"))
+               .withColumn("_hi", F.ceil("_pos").cast("long") + 1).drop("_n"))
+    around = null_safe_match(upto, targets, [], keys) \
+        .where((F.col("_upto") >= F.col("_lo")) & (F.col("_upto") - F.col("_c") < F.col("_hi")))
+    frac = F.first("_pos") - (F.first("_lo") - 1)
+    low, high = F.min("_v"), F.max("_v")  # the values at _lo and _hi
+    return around.groupBy(*keys, "prob").agg(
+        F.when(low == high, low).otherwise((1 - frac) * low + frac * high).alias("value"))

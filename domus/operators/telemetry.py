@@ -29,9 +29,10 @@ def cpu_percent(cpu_total="cpu_total", precpu_total="precpu_total", system_cpu="
 
 
 def blkio_total(arr: str | Column = "blkio") -> Column:
-    """Sum of per-device byte counters, NULL entries counted as 0."""
+    """Sum of per-device byte counters; a NULL entry or a missing list counts as 0."""
     a = F.col(arr) if isinstance(arr, str) else arr
-    return F.aggregate(a, F.lit(0).cast("bigint"), lambda acc, x: acc + F.coalesce(x["value"], F.lit(0)))
+    total = F.aggregate(a, F.lit(0).cast("bigint"), lambda acc, x: acc + F.coalesce(x["value"], F.lit(0)))
+    return F.coalesce(total, F.lit(0).cast("bigint"))
 
 
 def snapshot_metrics(snap: DataFrame) -> DataFrame:
@@ -124,18 +125,17 @@ def mean_exec_by_day(records: DataFrame, usecase_number: int) -> DataFrame:
 
 def metric_quartiles(records: DataFrame,
                      metrics=("execution_time_s", "peak_cpu_percent", "avg_mem_mb"),
-                     method: str = "map", accuracy: int = 10000, digits: int = 6) -> DataFrame:
+                     method: str = "rank", accuracy: int = 10000, digits: int = 6) -> DataFrame:
     """Box-plot statistics (min, quartiles, max) per system and metric.
 
-    ``map``: Spark's exact ``percentile`` (a value->count map per group,
-    merged across tasks; memory grows with distinct values of the largest
-    group).  ``rank``: exact quantiles from a distributed rank
-    (``ranking.exact_quantiles``), no group gathered in one task.
-    ``approx``: ``percentile_approx``, a mergeable sketch with relative rank
+    ``rank``: exact quantiles from distributed value counts
+    (``ranking.exact_quantiles``), no group gathered in one task.  ``approx``: ``percentile_approx``, a mergeable sketch with relative rank
     error 1/accuracy.
     """
     from domus.operators.joins import null_safe_match
     from domus.operators.ranking import exact_quantiles
+    if method not in ("rank", "approx"):
+        raise ValueError("method must be 'rank' or 'approx'")
     long = records.unpivot(["database"], list(metrics), "metric", "v")
     probs = (0.25, 0.5, 0.75)
     keys = ["database", "metric"]
@@ -148,7 +148,7 @@ def metric_quartiles(records: DataFrame,
         q1, q2, q3 = F.col("_q1"), F.col("_q2"), F.col("_q3")
     else:
         arr = F.array(*[F.lit(x) for x in probs])
-        q = F.percentile_approx("v", arr, accuracy) if method == "approx" else F.percentile(F.col("v"), arr)
+        q = F.percentile_approx("v", arr, accuracy)
         stats = long.groupBy(*keys).agg(F.min("v").alias("min"), q.alias("_q"), F.max("v").alias("max"))
         q1, q2, q3 = F.col("_q")[0], F.col("_q")[1], F.col("_q")[2]
     return stats.select("database", "metric", round_half_up("min", digits).alias("min"),

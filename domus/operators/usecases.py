@@ -115,9 +115,20 @@ def uc2_update_prices(listings: DataFrame, broker_id: str = DEFAULT_BROKER_ID,
     return flagged.select(*cols, upd.alias("updated"))
 
 
-def uc2_rows_updated(updated: DataFrame) -> int:
-    """Number of rows the update touched (min(limit, listings of the broker))."""
-    return updated.where("updated").count()
+def uc2_changed_rows(listings: DataFrame, broker_id: str = DEFAULT_BROKER_ID,
+                     percent_delta: float = DEFAULT_PERCENT_DELTA, limit: int = DEFAULT_LIMIT,
+                     skip_null_price: bool = False, validate: bool = False) -> DataFrame:
+    """Only the changed rows of ``uc2_update_prices``: one scan with the broker
+    filter pushed down and a top-k that carries all columns, no join."""
+    broker = params.parse_int_text(broker_id, "broker_id")
+    delta = params.check_percent_delta(percent_delta)
+    n = params.check_limit(limit)
+    cond = F.col("brokered_by") == broker
+    if validate:
+        _require_any(listings, cond, f"broker {broker}")
+    if skip_null_price:
+        cond = cond & F.col("price").isNotNull()
+    return listings.where(cond).orderBy("listing_id").limit(n).withColumn("price", adjust_price(delta))
 
 
 def uc3_add_solar_panels(listings: DataFrame) -> DataFrame:

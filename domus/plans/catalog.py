@@ -392,9 +392,9 @@ def q_stream_telemetry(spark, sf_dir):
 
 @register("stream_import")
 def q_stream_import(spark, sf_dir):
-    """Incremental import: the cleaned-CSV export as 4 files, two files per micro-batch."""
+    """Incremental import of the cleaned-CSV export, two files per micro-batch."""
     src, target, ckpt = (scratch_path(spark, n) for n in ("ingest-src", "ingest-target", "ingest-ckpt"))
-    clean_csv_text(spark, sf_dir).drop("src_pos").repartition(4).write.option("header", True).csv(src)
+    clean_csv_text(spark, sf_dir).drop("src_pos").write.option("header", True).csv(src)
     q = st_ingest.import_stream(spark, src, target, ckpt, max_files_per_trigger=2)
     q.awaitTermination()
     return spark.read.parquet(target).drop("listing_id", "batch")

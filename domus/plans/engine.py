@@ -1,25 +1,28 @@
 """``ListingsEngine``: the use-case contract over a versioned wide table.
 
-Table state = base segments + patch segments, recorded as one row per
-change in ``<base>/state`` (JSON lines).  A state becomes visible only after
-its data files are written, so a failed job never exposes partial data.
-
-* UC7 import writes the new rows as one more clustered base segment:
-  O(new rows), existing files are not rewritten.
-* UC2 writes only the changed rows as a patch segment (each row stamped with
-  the commit sequence): O(limit), not O(table).
-* Reads apply patches: the newest patch row per id (a partial aggregate),
-  anti-joined against the base and unioned.  The patch set is small; AQE
-  broadcasts it from its measured size, or keeps a sort-merge join.
-* UC3 records ``solar_panels`` as a computed column (a deterministic function
-  of the id), evaluated on read: no data is rewritten.
-* ``compact()`` rewrites base + patches + computed columns into one base.
+Table state = base segments + patch segments, one JSON record per version in
+``<base>/state``.  A change re-reads the newest version, writes its data
+files, and then creates the next version's record exclusively: a failed job
+never exposes partial data, and of two engines that commit at a time one sees
+the other's version and builds on it.
+
+* UC7 import writes the new rows as one more clustered base segment.
+* UC2 writes only the changed rows as a patch segment, stamped with the version.
+* Reads apply patches: the newest patch row per id, anti-joined against the
+  base and unioned.
+* UC3 records ``solar_panels`` for the segments present when it runs, evaluated
+  on read; rows imported later have NULL, before and after ``compact()``.
+* After ``max_patches`` patches they are merged into one; the base is
+  rewritten by ``compact()`` only.
 """
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +32,7 @@ from domus.operators.cleaning import parse_listings_with_reasons, to_wide_listin
 from domus.functions.measures import random_flag
 from domus.operators.joins import first_per_group, null_safe_match
 from domus.schema import (
-    DEFAULT_BATCH_SIZE, DEFAULT_BELOW_AVG_PCT, DEFAULT_BROKER_ID, DEFAULT_CITY, DEFAULT_LIMIT, DEFAULT_MAX_PRICE,
+    DEFAULT_BELOW_AVG_PCT, DEFAULT_BROKER_ID, DEFAULT_CITY, DEFAULT_LIMIT, DEFAULT_MAX_PRICE,
     DEFAULT_MAX_SIZE_SQM, DEFAULT_MIN_BEDROOMS, DEFAULT_MIN_LISTINGS, DEFAULT_PERCENT_DELTA,
     DEFAULT_POSTAL_CODE, LISTING,
 )
@@ -37,8 +40,12 @@ from domus.session import materialize
 from domus.sinks.writers import clustered
 from domus.sources.files import read_clean_csv
 
-STATE_SCHEMA = ("seq long, base array<string>, patch array<string>, imports long, computed array<string>, "
-                "row_count long")
+EMPTY = {"seq": 0, "base": [], "patch": [], "imports": 0, "computed": {}, "row_count": 0}
+
+
+class StateConflict(RuntimeError):
+    """Another writer kept committing, or left an unfinished version."""
+
 
 # Columns that are a deterministic function of the stored row: recorded in the
 # table state and evaluated on read (metadata-only schema evolution);
@@ -54,7 +61,7 @@ NATURAL_KEY = ("brokered_by", "status", "price", "prev_sold_date", "street", "zi
 
 class ListingsEngine:
     def __init__(self, spark: SparkSession, base_path: str, max_patches: int = 32):
-        """``max_patches``: after this many patch segments a change compacts the table."""
+        """``max_patches``: after this many patch segments they are merged into one."""
         self.spark = spark
         self.base = base_path.rstrip("/")
         self.max_patches = max_patches
@@ -62,38 +69,68 @@ class ListingsEngine:
         self._table: tuple[int, DataFrame] | None = None  # (state seq, DataFrame) of the current state
 
     # ------------------------------------------------------------ state
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[tuple[int, int]]:
+        """(number, bytes) of the version records, oldest first; only a missing
+        folder means no table, any other fault is raised."""
+        p, fs = self._fs(f"{self.base}/state")
+        if not fs.exists(p):
+            return []
+        names = [(f.getPath().getName(), f.getLen()) for f in fs.listStatus(p)]
+        return sorted((int(n[1:-5]), size) for n, size in names if n.startswith("v") and n.endswith(".json"))
+
+    def _record(self, seq: int) -> str:
+        return f"{self.base}/state/v{seq:020d}.json"
+
     def _load_state(self) -> dict | None:
-        try:
-            log = self.spark.read.schema(STATE_SCHEMA).json(f"{self.base}/state")
-            row = log.orderBy(F.col("seq").desc()).first()
-        except Exception:  # no state yet
+        written = [seq for seq, size in self._versions() if size]
+        if not written:
             return None
-        return row.asDict() if row else None
+        if getattr(self, "_state", None) and self._state["seq"] == written[-1]:
+            return self._state
+        p, fs = self._fs(self._record(written[-1]))
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, change, tries: int = 20) -> dict:
+        """Create the next version from the newest one; ``change`` maps a state to the
+        fields that it sets, and is asked again if another writer was first."""
+        for i in range(tries):
+            versions = self._versions()
+            if versions and not versions[-1][1]:  # being written, or left by a writer that died
+                time.sleep(0.1 * (i + 1))
+                continue
+            prev = self._load_state() or dict(EMPTY)
+            new = {**prev, **change(prev), "seq": (versions[-1][0] if versions else 0) + 1}
+            p, fs = self._fs(self._record(new["seq"]))
+            try:
+                out = fs.create(p, False)
+            except Py4JJavaError as e:
+                if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                    continue
+                raise
+            out.write(json.dumps(new).encode())
+            out.close()
+            self._state = new
+            return new
+        raise StateConflict(f"{self.base}: no version could be committed")
 
     def _segment(self, df: DataFrame, kind: str, max_rows_per_file: int = 0) -> str:
-        path = f"{self.base}/{kind}-{time.time_ns():020d}"
+        path = f"{self.base}/{kind}-{uuid.uuid4().hex}"
         w = df.write
         if max_rows_per_file:
             w = w.option("maxRecordsPerFile", max_rows_per_file)
         w.parquet(path)
         return path
 
-    def _commit(self, base: list[str], patch: list[str], imports: int | None = None,
-                computed: list[str] | None = None, row_count: int | None = None) -> None:
-        seq = time.time_ns()
-        prev = self._state or {}
-        if imports is None:
-            imports = int(prev.get("imports") or 0)
-        if computed is None:
-            computed = list(prev.get("computed") or [])
-        if row_count is None:
-            row_count = prev.get("row_count")
-        self.spark.createDataFrame([(seq, base, patch, imports, computed, row_count)], STATE_SCHEMA) \
-            .coalesce(1).write.mode("append").json(f"{self.base}/state")
-        self._state = {"seq": seq, "base": base, "patch": patch, "imports": imports, "computed": computed,
-                       "row_count": row_count}
-
     def current_state(self) -> dict | None:
+        self._state = self._load_state()
         return self._state
 
     def table(self) -> DataFrame:
@@ -102,28 +139,30 @@ class ListingsEngine:
         A state never changes once committed, so its (lazy) DataFrame is built
         once and reused by every read of that state.
         """
-        if not self._state:
+        state = self.current_state()
+        if not state or not state["base"]:
             return self.spark.createDataFrame([], LISTING)
-        if self._table is None or self._table[0] != self._state["seq"]:
-            self._table = (self._state["seq"], self._build_table())
+        if self._table is None or self._table[0] != state["seq"]:
+            self._table = (state["seq"], self._build_table(state))
         return self._table[1]
 
-    def _build_table(self) -> DataFrame:
-        base = self._read_segments(self._state["base"])
-        if self._state["patch"]:
-            patches = self._read_segments(self._state["patch"])
-            if len(self._state["patch"]) == 1:
-                latest = patches.drop("_seq")  # one patch holds each id at most once
-            else:
-                latest = first_per_group(patches, ["listing_id"], [-F.col("_seq")]).drop("_seq")
+    def _build_table(self, state: dict) -> DataFrame:
+        base = self._read_segments(state, state["base"])
+        if state["patch"]:
+            latest = self._latest_patches(state).drop("_seq")
             kept = base.join(latest.select("listing_id"), "listing_id", "left_anti")
             base = kept.unionByName(latest, allowMissingColumns=True).select(*base.columns)
-        for name in self._state.get("computed") or []:
-            base = base.withColumn(name, COMPUTED_COLUMNS[name]())
         return base
 
-    def _read_segments(self, paths: list[str]) -> DataFrame:
-        """Union of segments by column name; a column missing in older segments reads as NULL.
+    def _latest_patches(self, state: dict) -> DataFrame:
+        patches = self._read_segments(state, state["patch"])
+        if len(state["patch"]) == 1:
+            return patches  # one patch holds each id at most once
+        return first_per_group(patches, ["listing_id"], [-F.col("_seq")])
+
+    def _read_segments(self, state: dict, paths: list[str]) -> DataFrame:
+        """Union of segments by column name, with the computed columns of those that
+        have them; a column missing in a segment reads as NULL.
 
         Segments are read one by one (schema from their own footer) instead of
         a schema-merging scan, which would launch a footer job on every read.
@@ -131,27 +170,46 @@ class ListingsEngine:
         out = None
         for p in paths:
             df = self.spark.read.parquet(p)
+            for name, segments in state["computed"].items():
+                if p in segments:
+                    df = df.withColumn(name, COMPUTED_COLUMNS[name]())
             out = df if out is None else out.unionByName(df, allowMissingColumns=True)
         return out
 
+    @staticmethod
+    def _without(state: dict, old: set[str]) -> dict:
+        return {name: kept for name, segments in state["computed"].items()
+                if (kept := [p for p in segments if p not in old])}
+
     def reset_database(self) -> None:
-        self._commit([self._segment(self.spark.createDataFrame([], LISTING), "base")], [], computed=[],
-                     row_count=0)
+        seg = self._segment(self.spark.createDataFrame([], LISTING), "base")
+        self._commit(lambda s: {"base": [seg], "patch": [], "computed": {}, "row_count": 0})
 
     def compact(self) -> None:
         """Rewrite base + patches (+ computed columns) into one clustered base segment."""
-        self._commit([self._segment(clustered(self.table()), "base")], [], computed=[])
+        table, old = self.table(), self._state
+        if not old:
+            return
+        seg, gone = self._segment(clustered(table), "base"), {*old["base"], *old["patch"]}
+        self._commit(lambda s: {"base": [seg, *(p for p in s["base"] if p not in gone)],
+                                "patch": [p for p in s["patch"] if p not in gone], "computed": self._without(s, gone)})
+
+    def merge_patches(self) -> None:
+        """Rewrite all patches into one; the base stays as it is."""
+        old = self.current_state()
+        if not old or len(old["patch"]) < 2:
+            return
+        seg, gone = self._segment(self._latest_patches(old), "patch"), set(old["patch"])
+        self._commit(lambda s: {"patch": [seg, *(p for p in s["patch"] if p not in gone)],
+                                "computed": self._without(s, gone)})
 
     def get_total_count(self) -> int:
-        """Rows in the table: kept in the state (imports count what they write), else counted."""
-        if not self._state:
-            return 0
-        if self._state.get("row_count") is not None:
-            return int(self._state["row_count"])
-        return self.table().count()
+        """Rows in the table, kept in the state (imports count what they write)."""
+        state = self.current_state()
+        return int(state["row_count"]) if state else 0
 
     # ------------------------------------------------------------ UC7
-    def usecase7_bulk_import(self, data: DataFrame | str, batch_size: int = DEFAULT_BATCH_SIZE,
+    def usecase7_bulk_import(self, data: DataFrame | str, batch_size: int = 0,
                              on_duplicate: str = "append", keep_rejects: bool = False) -> dict[str, int]:
         """Import cleaned-CSV text (a path, or a text DataFrame).
 
@@ -166,12 +224,15 @@ class ListingsEngine:
         """
         if on_duplicate not in ("append", "skip"):
             raise ValueError("on_duplicate must be 'append' or 'skip'")
+        if not isinstance(batch_size, int) or batch_size < 0:
+            raise ValueError("batch_size must be a non-negative integer")
         if isinstance(data, str):
             text = read_clean_csv(self.spark, data)
         else:
             # ids need an input that re-reads in the same order: stage it once
             text = materialize(data, "import-stage")
-        import_no = int((self._state or {}).get("imports") or 0) + 1
+        # the number is taken before the ids are given out, so no two imports share it
+        import_no = self._commit(lambda s: {"imports": s["imports"] + 1})["imports"]
         # ids over the input rows (the counting pass reads no columns); rejected
         # rows leave gaps, valid rows keep unique ids
         text = with_batch_ids(text, import_no, "src_pos")
@@ -183,11 +244,9 @@ class ListingsEngine:
         new_rows = to_wide_listing(parsed.where(ok).drop("reasons"))
         if on_duplicate == "skip":
             new_rows = first_per_group(new_rows, list(NATURAL_KEY), ["listing_id"])
-            if self._state:
+            if self.current_state()["base"]:
                 known = self.table().select(*NATURAL_KEY).dropDuplicates()
                 new_rows = null_safe_match(new_rows, known, [], list(NATURAL_KEY), how="left_anti")
-        if not isinstance(batch_size, int) or batch_size < 0:
-            raise ValueError("batch_size must be a non-negative integer")
         written_obs = Observation("uc7_written")
         new_rows = new_rows.observe(written_obs, F.count(F.lit(1)).alias("n"))
         seg = self._segment(clustered(new_rows), "base", batch_size)
@@ -195,10 +254,7 @@ class ListingsEngine:
             written = int(written_obs.get["n"])
         except Exception:  # metrics not reported: count the new segment
             written = self.spark.read.parquet(seg).count()
-        state = self._state or {"base": [], "patch": []}
-        before = state.get("row_count")
-        rows = None if before is None else int(before) + written
-        self._commit(list(state["base"]) + [seg], list(state["patch"]), import_no, row_count=rows)
+        self._commit(lambda s: {"base": [*s["base"], seg], "row_count": s["row_count"] + written})
         self.last_rejects_path = None
         if keep_rejects:
             bad = parse_listings_with_reasons(text).where(~ok).select(
@@ -222,11 +278,12 @@ class ListingsEngine:
 
     def usecase4_price_analysis(self, postal_code: str = DEFAULT_POSTAL_CODE,
                                 below_avg_pct: float = DEFAULT_BELOW_AVG_PCT, city: str = DEFAULT_CITY,
-                                state: str | None = None) -> dict[str, DataFrame]:
-        return uc.uc4_price_analysis(self.table(), postal_code, below_avg_pct, city, state)
+                                state: str | None = None, **checks: bool) -> dict[str, DataFrame]:
+        """``checks``: what ``usecases.uc4_price_analysis`` takes besides."""
+        return uc.uc4_price_analysis(self.table(), postal_code, below_avg_pct, city, state, **checks)
 
-    def usecase5_average_price_per_city(self) -> DataFrame:
-        return uc.uc5_avg_price_per_city(self.table())
+    def usecase5_average_price_per_city(self, require_positive_price: bool = True) -> DataFrame:
+        return uc.uc5_avg_price_per_city(self.table(), require_positive_price)
 
     def usecase6_filter_by_bedrooms_and_size(self, min_bedrooms: int = DEFAULT_MIN_BEDROOMS,
                                              max_size: float = DEFAULT_MAX_SIZE_SQM) -> DataFrame:
@@ -234,36 +291,33 @@ class ListingsEngine:
 
     # ------------------------------------------------------------ changes
     def usecase2_update_prices(self, broker_id: str = DEFAULT_BROKER_ID,
-                               percent_delta: float = DEFAULT_PERCENT_DELTA, limit: int = DEFAULT_LIMIT) -> int:
+                               percent_delta: float = DEFAULT_PERCENT_DELTA, limit: int = DEFAULT_LIMIT,
+                               skip_null_price: bool = False, validate: bool = False) -> int:
         """Price change of a broker's first ``limit`` listings, written as a patch; returns rows changed."""
-        if not self._state:  # no table yet: nothing to change (parameters still checked)
-            uc.uc2_update_prices(self.table(), broker_id, percent_delta, limit)
+        changed = uc.uc2_changed_rows(self.table(), broker_id, percent_delta, limit, skip_null_price, validate)
+        if not self._state:  # no table yet: nothing to change (parameters are checked)
             return 0
-        current = self.table()
-        changed = uc.uc2_update_prices(current, broker_id, percent_delta, limit).where("updated").drop("updated")
+        seq = self._commit(lambda s: {})["seq"]  # later patches have higher numbers
         obs = Observation("uc2")
-        patch = changed.withColumn("_seq", F.lit(time.time_ns())).observe(obs, F.count(F.lit(1)).alias("n"))
+        patch = changed.withColumn("_seq", F.lit(seq).cast("long")).observe(obs, F.count(F.lit(1)).alias("n"))
         seg = self._segment(patch, "patch")
-        self._commit(list(self._state["base"]), list(self._state["patch"]) + [seg])
+        self._commit(lambda s: {"patch": [*s["patch"], seg]})
         try:
             n = int(obs.get["n"])  # counted during the write
         except Exception:  # metrics not reported: count the patch (at most ``limit`` rows)
             n = self.spark.read.parquet(seg).count()
         if len(self._state["patch"]) > self.max_patches:
-            self.compact()  # keeps the read-time merge small
+            self.merge_patches()  # keeps the read-time merge small
         return n
 
     def usecase3_add_solar_panels(self) -> int:
-        """Add ``solar_panels``: a reproducible ~50% flag derived from the id.
+        """Add ``solar_panels`` to the rows present: a reproducible ~50% flag of the id.
 
-        Recorded as a computed column (no data rewritten: O(1) instead of a
-        full-table mutation); reads evaluate it, ``compact()`` stores it.
-        Re-running it keeps the same values.  Returns the number of rows.
+        Recorded in the state for the segments it covers (no data rewritten),
+        evaluated on read and stored by ``compact()``; rows imported later have
+        NULL until it runs again.  Returns the number of rows.
         """
-        if not self._state:
+        if not self.current_state():
             return 0
-        computed = list(self._state.get("computed") or [])
-        if "solar_panels" not in computed:
-            computed.append("solar_panels")
-        self._commit(list(self._state["base"]), list(self._state["patch"]), computed=computed)
+        self._commit(lambda s: {"computed": {**s["computed"], "solar_panels": [*s["base"], *s["patch"]]}})
         return self.get_total_count()

@@ -507,5 +507,5 @@ UNION ALL SELECT event_id, CAST(1 AS INTEGER), user_id * 100 FROM events
 UNION ALL SELECT event_id, CAST(2 AS INTEGER), CAST(NULL AS BIGINT) FROM events"""
 
 ORACLE["runs_jsonl_round_trip"] = RUNS_CTE + """
-SELECT "index", run_id, database, database || '-mds' AS container, usecase, 'Success' AS status,
+SELECT "index", run_id, database, database || '-db' AS container, usecase, 'Success' AS status,
        execution_time_s, execution_time_ms FROM runs"""

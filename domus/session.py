@@ -24,7 +24,7 @@ _REQUIRED = {
     "spark.ui.showConsoleProgress": "false",
 }
 
-# Defaults for a local run; a cluster configuration overrides them.
+# Defaults for a local master only; on a cluster sizes belong to its configuration.
 _LOCAL_DEFAULTS = {
     "spark.sql.shuffle.partitions": "8",
     "spark.driver.memory": "8g",
@@ -32,6 +32,21 @@ _LOCAL_DEFAULTS = {
 }
 
 
+def settings_for(master: str, submitted: dict[str, str]) -> dict[str, str]:
+    """The settings that the code itself chooses: what every job relies on, and
+    for a local master the local defaults that are still unset."""
+    out = dict(_REQUIRED)
+    if master.startswith("local"):
+        out |= {k: v for k, v in _LOCAL_DEFAULTS.items() if k not in submitted}
+    return out
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists; any other fault is raised, not taken for absence."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def get_spark(master: str | None = None, app_name: str = "domus") -> SparkSession:
     """Return the active session, or build a local one with sane defaults."""
     active = SparkSession.getActiveSession()
@@ -44,12 +59,9 @@ def get_spark(master: str | None = None, app_name: str = "domus") -> SparkSessio
     submitted = SparkConf()  # what spark-submit / spark-defaults already set
     if submitted.get("spark.master") is None:
         builder = builder.master(master)
-    for k, v in _LOCAL_DEFAULTS.items():
-        if submitted.get(k) is None:
-            builder = builder.config(k, v)
-    for k, v in _REQUIRED.items():
-        builder = builder.config(k, v)
     effective_master = submitted.get("spark.master") or master
+    for k, v in settings_for(effective_master, dict(submitted.getAll())).items():
+        builder = builder.config(k, v)
     if submitted.get("spark.checkpoint.dir") is None and effective_master.startswith("local"):
         # a local run without a configured folder: private scratch
         builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="domus-ckpt-"))

@@ -1,15 +1,9 @@
 """Writers: cleaned CSV, clustered wide table, documents, star tables, run
-records, and copy-on-write table versions.
-
-Writes go to new directories; a table version becomes visible only once it
-is recorded in the table's commit log after its write job committed, so a
-lost executor or a failed job never exposes a half-written table.
+records.  Versions of the engine's table are in ``domus.plans.engine``.
 """
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,39 +80,3 @@ def read_star(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame
 def write_runs_jsonl(runs: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One JSON object per line."""
     runs.write.mode(mode).json(path)
-
-
-# ---------------------------------------------------------------- versions
-_COMMIT_SCHEMA = "path string, committed_ns long"
-
-
-def write_version(df: DataFrame, base: str, partitions: int | None = None) -> str:
-    """K7: write ``df`` as a new version directory under ``base``; returns its path.
-
-    The data is written first; only after that job has committed is one
-    row appended to ``base/commits``.  Readers take the newest committed
-    version, so a failed or half-finished write is never read.
-    """
-    spark = df.sparkSession
-    ns = time.time_ns()
-    path = f"{base.rstrip('/')}/v{ns:020d}"
-    out = df if partitions is None else df.repartition(partitions)
-    out.write.parquet(path)
-    spark.createDataFrame([(path, ns)], _COMMIT_SCHEMA).coalesce(1) \
-        .write.mode("append").json(f"{base.rstrip('/')}/commits")
-    return path
-
-
-def latest_version(spark: SparkSession, base: str) -> str | None:
-    """Newest committed version under ``base`` (None if there is none)."""
-    try:
-        log = spark.read.schema(_COMMIT_SCHEMA).json(f"{base.rstrip('/')}/commits")
-        row = log.orderBy(F.col("committed_ns").desc()).select("path").first()
-    except Exception:  # no commit log yet
-        return None
-    return row["path"] if row else None
-
-
-def reset_table(spark: SparkSession, base: str, schema) -> str:
-    """K6: a new empty version with the base schema (extra columns dropped)."""
-    return write_version(spark.createDataFrame([], schema), base)

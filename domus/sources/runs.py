@@ -53,7 +53,7 @@ def runs_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("index"),
         F.date_format("ts", RUN_ID_FORMAT).alias("run_id"),
         F.col("event_type").alias("database"),
-        F.concat(F.col("event_type"), F.lit("-mds")).alias("container"),
+        F.concat(F.col("event_type"), F.lit("-db")).alias("container"),
         F.element_at(methods, (F.col("user_id") % 7 + 1).cast("int")).alias("usecase"),
         F.lit("Success").alias("status"),
         F.col("value").alias("execution_time_s"),

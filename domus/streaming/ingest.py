@@ -1,9 +1,9 @@
 """ST1: incremental bulk import of cleaned-CSV files with Structured Streaming.
 
 New files in ``source_dir`` are picked up ``max_files_per_trigger`` at a time.
-Each micro-batch is parsed (same expressions as the batch import), rows
-whose listing id is already in the target are skipped (insert-if-absent),
-and the batch is written to ``target/batch=<epoch>`` with overwrite.  A
+Each micro-batch is parsed (same expressions as the batch import) and appended;
+with ``on_duplicate="skip"`` rows whose natural key an earlier batch imported
+are left out.  The batch is written to ``target/batch=<epoch>`` with overwrite.  A
 micro-batch replayed after a failure therefore rewrites the same directory
 (no duplicates), and the checkpoint records which files were consumed.
 Per-batch counts come from an ``Observation`` on the batch write.
@@ -19,16 +19,16 @@ from domus.operators.cleaning import parse_listings_with_reasons, to_wide_listin
 from domus.operators.joins import first_per_group, null_safe_match
 from domus.plans.engine import NATURAL_KEY
 from domus.schema import CLEAN_CSV
+from domus.session import path_exists
 
 BATCH_LOG_SCHEMA = "batch_id long, imported long, rejected long, skipped long"
 
 
 def _existing_keys(spark: SparkSession, target: str, epoch_id: int) -> DataFrame | None:
     """Natural keys imported by earlier batches (not by an earlier attempt of this one)."""
-    try:
-        done = spark.read.parquet(target)
-    except Exception:  # nothing written yet
+    if not path_exists(spark, target):  # nothing written yet
         return None
+    done = spark.read.parquet(target)
     return done.where(F.col("batch") != epoch_id).select(*NATURAL_KEY).dropDuplicates()
 
 

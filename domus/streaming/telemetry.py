@@ -1,11 +1,10 @@
 """ST2: telemetry summary over a live sample feed, per tumbling event-time window.
 
-Samples arrive as files (the events table here); a watermark bounds the
-state: a window is final once the watermark passes its end, and its state
-is dropped.  Output mode ``update`` re-emits a window whenever it changes;
-each micro-batch's rows are written to ``out/epoch=<id>`` (overwrite, so a
-replayed batch is idempotent) and ``latest_windows`` keeps the newest row
-per window — the complete, current result without a full-state sink.
+Samples arrive as files in any order.  Each micro-batch writes mergeable
+partials (sums, counts, extremes) per system and window to
+``out/epoch=<id>`` (overwrite, so a replayed batch is idempotent), and
+``latest_windows`` merges them.  No sample is ever late: a file that arrives
+long after its window still adds to it, and the stream keeps no state.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from domus.functions.measures import round_half_up
-from domus.operators.joins import first_per_group
 
 MB = 1048576.0
 
@@ -29,17 +27,26 @@ EVENTS = T.StructType([
 ])
 
 
-def windowed_summary(samples: DataFrame, window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
-    """Streaming (or batch) per-window summary of a sample feed with columns
-    system, ts, cpu_percent, mem_mb, blkio_bytes."""
-    return (samples.withWatermark("ts", watermark)
-            .groupBy(F.window("ts", window).alias("w"), "system")
-            .agg(F.avg("cpu_percent").alias("_avg_cpu"), F.max("cpu_percent").alias("_peak_cpu"),
-                 F.avg("mem_mb").alias("_avg_mem"), F.max("mem_mb").alias("_peak_mem"),
+def windowed_partials(samples: DataFrame, window: str = "1 day") -> DataFrame:
+    """Mergeable partials per window of samples with columns system, ts,
+    cpu_percent, mem_mb, blkio_bytes."""
+    return (samples.groupBy(F.window("ts", window).alias("w"), "system")
+            .agg(F.sum("cpu_percent").alias("cpu_sum"), F.count("cpu_percent").alias("cpu_n"),
+                 F.max("cpu_percent").alias("_peak_cpu"), F.sum("mem_mb").alias("mem_sum"),
+                 F.count("mem_mb").alias("mem_n"), F.max("mem_mb").alias("_peak_mem"),
                  F.max("blkio_bytes").alias("_blk_max"), F.min("blkio_bytes").alias("_blk_min"),
                  F.count(F.lit(1)).alias("samples")))
 
 
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """One row per window from any number of partials."""
+    return (partials.groupBy("w", "system")
+            .agg(F.try_divide(F.sum("cpu_sum"), F.sum("cpu_n")).alias("_avg_cpu"), F.max("_peak_cpu").alias("_peak_cpu"),
+                 F.try_divide(F.sum("mem_sum"), F.sum("mem_n")).alias("_avg_mem"), F.max("_peak_mem").alias("_peak_mem"),
+                 F.max("_blk_max").alias("_blk_max"), F.min("_blk_min").alias("_blk_min"),
+                 F.sum("samples").alias("samples")))
+
+
 def _utc_wall_clock(instant: str) -> F.Column:
     """Instant -> naive UTC wall clock, whatever the session time zone."""
     return F.convert_timezone(None, F.lit("UTC"), F.col(instant).cast("timestamp_ntz"))
@@ -56,14 +63,15 @@ def _finish(df: DataFrame) -> DataFrame:
 
 
 def samples_stream(spark: SparkSession, events_path: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """Sample feed from a folder of event files (or one named file inside a folder)."""
+    """Sample feed from a folder of event files, or from one event file."""
     reader = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", max_files_per_trigger)
-    if events_path.rstrip("/").endswith(".parquet"):
+    p = spark._jvm.org.apache.hadoop.fs.Path(events_path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile():
         folder, name = events_path.rstrip("/").rsplit("/", 1)
         ev = reader.option("pathGlobFilter", name).parquet(folder)
     else:
         ev = reader.parquet(events_path)
-    # watermarks need an instant (TIMESTAMP); ``ts`` is a naive UTC wall clock:
+    # windows need an instant (TIMESTAMP); ``ts`` is a naive UTC wall clock:
     # move it to the session zone's wall clock first so the cast yields the UTC instant
     session_tz = spark.conf.get("spark.sql.session.timeZone")
     instant = F.convert_timezone(F.lit("UTC"), F.lit(session_tz), F.col("ts")).cast("timestamp")
@@ -74,23 +82,17 @@ def samples_stream(spark: SparkSession, events_path: str, max_files_per_trigger:
 
 
 def telemetry_stream(spark: SparkSession, events_path: str, out: str, checkpoint: str,
-                     window: str = "1 day", watermark: str = "1 hour", available_now: bool = True,
-                     max_files_per_trigger: int = 1):
+                     window: str = "1 day", available_now: bool = True, max_files_per_trigger: int = 1):
     """Start the windowed telemetry stream; returns the ``StreamingQuery``."""
-    agg = windowed_summary(samples_stream(spark, events_path, max_files_per_trigger), window, watermark)
-
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        _finish(batch).withColumn("epoch", F.lit(epoch_id).cast("long")) \
-            .write.mode("overwrite").parquet(f"{out.rstrip('/')}/epoch={epoch_id}")
+        windowed_partials(batch, window).write.mode("overwrite").parquet(f"{out.rstrip('/')}/epoch={epoch_id}")
 
-    w = (agg.writeStream.outputMode("update").foreachBatch(write_batch)
+    w = (samples_stream(spark, events_path, max_files_per_trigger).writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
 def latest_windows(spark: SparkSession, out: str) -> DataFrame:
-    """Current result: the newest emitted row per (system, window)."""
-    rows = spark.read.parquet(out).withColumn("_neg_epoch", -F.col("epoch"))
-    best = first_per_group(rows.drop("epoch"), ["system", "window_start", "window_end"], ["_neg_epoch"])
-    return best.drop("_neg_epoch")
+    """Current result: one row per (system, window) over all samples so far."""
+    return _finish(merge_partials(spark.read.parquet(out)))

@@ -139,3 +139,40 @@ def test_raw_csv_file_path_equals_derived_clean(spark, tmpdir_path):
     derived = cl.clean_raw(raw).drop("src_pos")
     assert from_files.count() == derived.count()
     assert from_files.exceptAll(derived).count() == 0
+
+
+def test_parsing_survives_any_row(spark):
+    rows = [("99999999999.0", "2020-05-01", "miami"), ("12d", "20200101", "\tmiami\n"), ("7.0", "2020-05", "miami"),
+            ("0x1p3", "2020", "\u00a0x y\u00a0"), (" 8 ", "2020-1-1", "a")]
+    text = spark.createDataFrame([(i, b, "for_sale", "1.5f" if i == 4 else "10", "5", "1", c, "fl", "33101", "1", "1", "2", d)
+                                  for i, (b, d, c) in enumerate(rows)],
+                                 "src_pos long, brokered_by string, status string, price string, lot_size_sqm string, street string, "
+                                 "city string, state string, zip_code string, bed string, bath string, house_size_sqm string, "
+                                 "prev_sold_date string")
+    got = {r["src_pos"]: r for r in cl.parse_listings_with_reasons(text).collect()}
+    assert [got[i]["reasons"] for i in range(5)] == [["brokered_by"], ["brokered_by"], [], ["brokered_by"], ["price"]]
+    assert [str(got[i]["prev_sold_date"])[:10] for i in range(5)] == ["2020-05-01", "2020-01-01", "None", "None", "None"]
+    assert got[1]["city"] == "Miami" and got[3]["city"] == "X Y"
+    valid, _ = cl.parse_listings(text)
+    assert [r["listing_id"] for r in cl.to_wide_listing(valid).collect()] == [2]
+
+
+def test_absent_mandatory_column_drops_no_row(spark):
+    from domus.sources.derived import raw_listings_text
+    raw = raw_listings_text(spark, "/root/testdata/sf0.001").drop("status")
+    assert cl.clean_raw(raw).count() > 0
+
+
+def test_price_factor_is_exact(spark):
+    from domus.functions.measures import adjust_price
+    df = spark.createDataFrame([(10.0,)], "price double")
+    assert df.select(adjust_price(1e7).alias("p")).first()["p"] == 100000010.0
+    assert df.select(adjust_price(-0.005).alias("p")).first()["p"] == 9.95
+
+
+def test_sizes_are_chosen_for_a_local_master_only():
+    from domus.session import settings_for
+    assert "spark.sql.shuffle.partitions" not in settings_for("spark://host:7077", {})
+    assert "spark.driver.memory" not in settings_for("yarn", {})
+    assert settings_for("local[8]", {})["spark.sql.shuffle.partitions"] == "8"
+    assert "spark.driver.memory" not in settings_for("local[8]", {"spark.driver.memory": "4g"})

@@ -40,11 +40,11 @@ def test_engine_flow(spark, tmpdir_path):
     assert eng.get_total_count() == counts["imported"]
     assert eng.usecase3_add_solar_panels() == counts["imported"]
     assert "solar_panels" in eng.table().columns
-    assert eng.current_state()["computed"] == ["solar_panels"]  # no data rewritten
+    assert list(eng.current_state()["computed"]) == ["solar_panels"]  # no data rewritten
     flags = {r["listing_id"]: r["solar_panels"] for r in eng.table().collect()}
     eng.compact()  # stores the column physically, folds the patches
     st = eng.current_state()
-    assert st["patch"] == [] and len(st["base"]) == 1 and st["computed"] == []
+    assert st["patch"] == [] and len(st["base"]) == 1 and st["computed"] == {}
     assert {r["listing_id"]: r["solar_panels"] for r in eng.table().collect()} == flags
     # the kept row count equals a real count of the table
     assert eng.get_total_count() == eng.table().count()
@@ -87,8 +87,59 @@ def test_auto_compaction(spark, tmpdir_path):
     for _ in range(3):
         eng.usecase2_update_prices(broker, 0.01, 2)
     st = eng.current_state()
-    assert st["patch"] == [] and len(st["base"]) == 1  # third patch triggered a compaction
+    assert len(st["patch"]) == 1 and len(st["base"]) == 2  # third patch: merged into one, base as it was
     after = eng.table().orderBy("listing_id").collect()
     assert len(after) == len(before) == eng.get_total_count()
     changed = [a["listing_id"] for a, b in zip(after, before) if a["price"] != b["price"]]
     assert len(changed) == 2
+
+
+def small_csv(spark, path, n=2):
+    clean_csv_text(spark, SF).drop("src_pos").where("price <> '' and brokered_by <> ''").limit(n) \
+        .coalesce(1).write.option("header", True).csv(path)
+
+
+def test_two_engines_on_one_path(spark, tmpdir_path):
+    small_csv(spark, f"{tmpdir_path}/in")
+    a = ListingsEngine(spark, f"{tmpdir_path}/tbl")
+    a.reset_database()
+    n = a.usecase7_bulk_import(f"{tmpdir_path}/in")["imported"]
+    b, c = (ListingsEngine(spark, f"{tmpdir_path}/tbl") for _ in range(2))
+    b.usecase7_bulk_import(f"{tmpdir_path}/in")
+    c.usecase7_bulk_import(f"{tmpdir_path}/in")  # its state was loaded before b's import
+    assert a.get_total_count() == b.get_total_count() == c.get_total_count() == 3 * n == a.table().count()
+    assert a.table().select("listing_id").distinct().count() == 3 * n
+
+
+def test_uc3_covers_the_rows_present(spark, tmpdir_path):
+    small_csv(spark, f"{tmpdir_path}/in", 5)
+    for compacted in (False, True):
+        eng = ListingsEngine(spark, f"{tmpdir_path}/tbl{compacted}")
+        eng.reset_database()
+        n = eng.usecase7_bulk_import(f"{tmpdir_path}/in")["imported"]
+        assert eng.usecase3_add_solar_panels() == n
+        if compacted:
+            eng.compact()
+        eng.usecase7_bulk_import(f"{tmpdir_path}/in")
+        assert eng.table().where("solar_panels is null").count() == n == eng.table().where("solar_panels is not null").count()
+
+
+def test_unreadable_state_raises(spark, tmpdir_path):
+    import pytest
+    eng = ListingsEngine(spark, f"{tmpdir_path}/tbl")
+    eng.reset_database()
+    with open(eng._record(2).removeprefix("file:"), "w") as f:
+        f.write("not json")
+    with pytest.raises(ValueError):
+        ListingsEngine(spark, f"{tmpdir_path}/tbl")
+
+
+def test_uc2_plan_has_one_scan_and_no_join(spark, tmpdir_path):
+    from domus.operators.usecases import uc2_changed_rows
+    small_csv(spark, f"{tmpdir_path}/in", 50)
+    eng = ListingsEngine(spark, f"{tmpdir_path}/tbl")
+    eng.reset_database()
+    eng.usecase7_bulk_import(f"{tmpdir_path}/in")
+    plan = uc2_changed_rows(spark.read.parquet(eng.current_state()["base"][-1]), "7", 0.1, 5) \
+        ._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FileScan") == 1 and "EqualTo(brokered_by,7)" in plan

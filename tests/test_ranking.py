@@ -48,3 +48,12 @@ def test_batch_ids_dense_and_unique(spark):
     out = with_batch_ids(df, 5, "rid").collect()
     ids = sorted(r["rid"] for r in out)
     assert ids == [(5 << LOW_BITS) + i for i in range(5000)]
+
+
+def test_quantiles_of_one_common_value(spark):
+    """One value is 90 % of a group: it is one row of the ordered counts."""
+    df = spark.range(10000).select(F.lit(1).alias("k"), F.when(F.col("id") % 10 < 9, 5.0).otherwise(F.col("id") * 1.0).alias("v"))
+    probs = [0.0, 0.25, 0.5, 0.95, 1.0]
+    got = {r["prob"]: r["value"] for r in exact_quantiles(df, ["k"], "v", probs, 4).collect()}
+    ref = df.agg(F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).first()["q"]
+    assert all(abs(got[p] - x) < 1e-9 for p, x in zip(probs, ref))

@@ -41,17 +41,33 @@ def test_import_stream_skip_keeps_one_row_per_natural_key(spark, tmpdir_path):
     assert out.count() == keys == out.select(*NATURAL_KEY).distinct().count()
 
 
-def test_telemetry_stream_watermark_drops_late_rows(spark, tmpdir_path):
+def test_telemetry_stream_is_complete_in_any_file_order(spark, tmpdir_path):
+    """Three files, newest first, and a folder of part files give the batch result."""
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    cuts = [c[0] for c in ev.selectExpr("percentile(event_id, array(0.33, 0.66)) q").select(F.explode("q")).collect()]
+    folder = f"{tmpdir_path}/events.parquet"
+    parts = [ev.where(F.col("event_id") > cuts[1]), ev.where(F.col("event_id").between(cuts[0], cuts[1])),
+             ev.where(F.col("event_id") < cuts[0])]
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(folder)
+        telemetry.telemetry_stream(spark, folder, f"{tmpdir_path}/out", f"{tmpdir_path}/ckpt").awaitTermination()
+    telemetry.telemetry_stream(spark, f"{SF}/events.parquet", f"{tmpdir_path}/out1", f"{tmpdir_path}/ckpt1").awaitTermination()
+    got, ref = (sorted(map(tuple, telemetry.latest_windows(spark, f"{tmpdir_path}/{o}").collect())) for o in ("out", "out1"))
+    assert len(got) == len(ref) and sum(r[-1] for r in got) == ev.count()
+    for a, b in zip(got, ref):
+        assert a[:3] == b[:3] and a[-1] == b[-1]
+        assert all(abs(x - y) < 0.011 for x, y in zip(a[3:-1], b[3:-1]))
+
+
+def test_telemetry_stream_counts_late_rows(spark, tmpdir_path):
     src, out, ckpt = (f"{tmpdir_path}/{n}" for n in ("events", "out", "ckpt"))
     ts = dt.datetime
     b1 = [(1, ts(2024, 1, 1, 10), 1, "a", 1.0, None), (2, ts(2024, 1, 1, 11), 2, "a", 3.0, None)]
-    b2 = [(3, ts(2024, 1, 3, 10), 3, "a", 5.0, None),   # advances the watermark past day 1
-          (4, ts(2024, 1, 1, 12), 4, "a", 100.0, None)]  # same batch: still counted
-    b3 = [(5, ts(2024, 1, 1, 13), 5, "a", 1000.0, None)]  # late: day 1 is closed -> dropped
-    for i, rows in enumerate((b1, b2, b3)):
+    b2 = [(3, ts(2024, 1, 3, 10), 3, "a", 5.0, None)]
+    b3 = [(5, ts(2024, 1, 1, 13), 5, "a", 1000.0, None)]  # long after its day: still counted
+    for rows in (b1, b2, b3):
         spark.createDataFrame(rows, telemetry.EVENTS).coalesce(1).write.mode("append").parquet(src)
-        q = telemetry.telemetry_stream(spark, src, out, ckpt, window="1 day", watermark="1 hour")
-        q.awaitTermination()
+        telemetry.telemetry_stream(spark, src, out, ckpt, window="1 day").awaitTermination()
     res = {r["window_start"].day: r for r in telemetry.latest_windows(spark, out).collect()}
-    assert res[1]["samples"] == 3 and res[1]["peak_cpu"] == 100.0
+    assert res[1]["samples"] == 3 and res[1]["peak_cpu"] == 1000.0
     assert res[3]["samples"] == 1

@@ -53,13 +53,3 @@ def test_write_star_stages_and_round_trips(spark, tmpdir_path):
     back = st.star_to_wide(star)
     assert back.count() == lst.count()
     assert back.exceptAll(lst.select(*back.columns)).count() == 0
-
-
-def test_versions_and_reset(spark, tmpdir_path):
-    from domus.schema import LISTING
-    base = f"{tmpdir_path}/v"
-    assert w.latest_version(spark, base) is None
-    p1 = w.write_version(listings_from_tables(spark, SF), base)
-    assert w.latest_version(spark, base) == p1
-    p2 = w.reset_table(spark, base, LISTING)
-    assert w.latest_version(spark, base) == p2 and spark.read.parquet(p2).count() == 0
