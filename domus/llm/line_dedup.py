@@ -134,17 +134,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id are one document here: a line found only in them stays in each.
     """
     gone = repeated_lines(docs, id_col, text_col, min_chars, batches, fanout) \
-        .groupBy("doc_id", "content").agg(F.collect_set("pos").alias("_gone")) \
-        .select(F.col("doc_id").alias("_d"), F.col("content").alias("_c"), "_gone")
-    others = [c for c in docs.columns if c != text_col]
-    left = docs.select(*others, F.col(text_col).isNull().alias("_null"), F.xxhash64(text_or_empty(text_col)).alias("_key"),
-                       F.split(text_or_empty(text_col), "\n", -1).alias("_lines"))
-    both = left.join(gone, (left[id_col] == gone["_d"]) & (left["_key"] == gone["_c"]), "left")
-    n = F.size("_lines")
-    kept = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.transform(
-        F.array_except(F.sequence(F.lit(0), n - 1), F.col("_gone")), lambda i: F.get("_lines", i)))
-    text = F.when(~F.col("_null"), F.array_join(kept, "\n"))
+        .groupBy("doc_id", "content").agg(F.collect_set("pos").alias("gone"))
+    # the row travels as one struct, so that its names meet none of these
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"),
+                       F.col(id_col).alias("id"), F.col(text_col).isNull().alias("no_text"),
+                       F.xxhash64(text_or_empty(text_col)).alias("key"),
+                       F.split(text_or_empty(text_col), "\n", -1).alias("lines"))
+    both = left.join(gone, (left["id"] == gone["doc_id"]) & (left["key"] == gone["content"]), "left")
+    n = F.size("lines")
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(
+        F.array_except(F.sequence(F.lit(0), n - 1), F.col("gone")), lambda i: F.get("lines", i)))
+    text = F.when(~F.col("no_text"), F.array_join(kept, "\n"))
     extra = {"n_lines": n.cast("long"),
-             "n_dropped": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")} if counts else {}
-    return both.select(*[text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c not in extra],
-                       *[c.alias(name) for name, c in extra.items()])
+             "n_dropped": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")} if counts else {}
+    return both.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c)
+                         for c in docs.columns if c not in extra], *[c.alias(name) for name, c in extra.items()])
