@@ -135,10 +135,8 @@ def _across(rest: DataFrame, classes: DataFrame, k: int, num: int, den: int, sig
     """Distinct pairs (a, b) of list members in different components that share
     enough retained values.  ``rest`` has value, node, n, component.  A list is
     cut into blocks of about ``rows`` members; each task holds two blocks of a
-    list and returns only pairs whose sketches agree, so a list that many unlike
+    list and returns only pairs that the sketch of the union lets pass, so a list that many unlike
     documents share (a passage) is compared whole without a row for each pair."""
-    floor = sketch_share(k, num, den, sigmas)
-
     def run(t: pa.Table) -> pa.Table:
         cols = {c: t[c].to_numpy() for c in ("value", "node", "n", "component", "own", "x", "y")}
         sketch = t["sketch"].combine_chunks()
@@ -168,9 +166,15 @@ def _across(rest: DataFrame, classes: DataFrame, k: int, num: int, den: int, sig
             has = np.zeros((len(at), int((count > 1).sum())), np.float32)
             has[np.repeat(np.arange(len(at)), sizes)[shared], names[which[shared]]] = 1
             common = has[own == x] @ has[own == y].T
-            whole = (m <= k) & (o <= k)
-            least = np.where(whole, np.ceil(num * (m + o) / (den + num)), floor)
-            i, j = np.nonzero(ok & (common >= np.minimum(least, np.ceil(num * np.maximum(m, o) / den))))
+            # both sketches hold all values up to the lesser of their ends, so what
+            # they share there is a share of the union's sketch up to that value
+            ends = np.where(n[at] <= k, np.iinfo(np.int64).max, flat[cuts[at + 1] - 1])
+            rows_of = lambda some, limits: np.stack([
+                np.searchsorted(flat[cuts[r]:cuts[r + 1]], limits, "right") for r in some])
+            union = rows_of(left, ends[own == y]) + rows_of(right, ends[own == x]).T - common
+            whole, share = (m <= k) & (o <= k), num / den
+            slack = np.where(whole, 1e-6, sigmas * np.sqrt(union * share * (1 - share)))
+            i, j = np.nonzero(ok & (common >= union * share - slack))
             out.append((np.minimum(node[left[i]], node[right[j]]), np.maximum(node[left[i]], node[right[j]])))
         a, b = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 2
         return pa.table({"a": a, "b": b}).group_by(["a", "b"]).aggregate([])
