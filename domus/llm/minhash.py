@@ -131,62 +131,134 @@ def _filter_pairs(pairs: DataFrame, classes: DataFrame, k: int, num: int, den: i
         .select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _across(rest: DataFrame, classes: DataFrame, k: int, num: int, den: int, sigmas: float, rows: int = 256) -> DataFrame:
-    """Distinct pairs (a, b) of list members in different components that share
-    enough retained values.  ``rest`` has value, node, n, component.  A list is
-    cut into blocks of about ``rows`` members; each task holds two blocks of a
-    list and returns only pairs that the sketch of the union lets pass, so a list that many unlike
-    documents share (a passage) is compared whole without a row for each pair."""
+def _blocks(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (left, right) of the two blocks that each list of a job compares."""
+    value, own, x, y = (t[c].to_numpy() for c in ("value", "own", "x", "y"))
+    order = np.lexsort((y, x, value))
+    new = np.zeros(len(order), bool)
+    for c in (value, x, y):
+        new[1:] |= c[order][1:] != c[order][:-1]
+    for at in np.split(order, np.flatnonzero(new)):
+        left = at[own[at] == x[at[0]]]
+        right = left if x[at[0]] == y[at[0]] else at[own[at] == y[at[0]]]
+        if len(left) and len(right):
+            yield left, right
+
+
+def _may_link(n: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of left x right are in different components and of sizes that allow a link."""
+    m, o = n[left][:, None], n[right][None, :]
+    return (comp[left][:, None] != comp[right][None, :]) & (np.minimum(m, o) * den >= np.maximum(m, o) * num)
+
+
+def _common(flat: np.ndarray, cuts: np.ndarray, left: np.ndarray, right: np.ndarray, cells: int = 1 << 22) -> np.ndarray:
+    """Sizes of the intersections of left x right, from products of incidence
+    matrices of at most ``cells`` cells each."""
+    at = left if right is left else np.concatenate([left, right])
+    vals = np.concatenate([flat[cuts[i]:cuts[i + 1]] for i in at])
+    _, which, count = np.unique(vals, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count[which] > 1)
+    col = (np.cumsum(count > 1) - 1)[which[shared]]
+    row = np.repeat(np.arange(len(at)), cuts[at + 1] - cuts[at])[shared]
+    by = np.argsort(col, kind="stable")
+    row, col = row[by], col[by]
+    out = np.zeros((len(left), len(right)), np.int64)
+    width = max(1, cells // len(at))
+    for first in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+        a, b = np.searchsorted(col, [first, first + width])
+        has = np.zeros((len(at), width), np.float32)
+        has[row[a:b], col[a:b] - first] = 1
+        out += (has[:len(left)] @ has[-len(right):].T).astype(np.int64)
+    return out
+
+
+def _across(rest: DataFrame, classes: DataFrame, k: int, num: int, den: int, sigmas: float, rows: int = 256,
+            shingles: int = 1 << 20) -> DataFrame:
+    """(value, own, x, y, node, n, component): list members that may link with a
+    member in another component, by the sketch of their union.  ``rest`` has
+    value, node, n, component, posted.  A list is cut into blocks of about
+    ``rows`` members and ``shingles`` shingles; each task holds two blocks of a
+    list and returns members, not pairs, so a list that many unlike documents
+    share (a passage) is compared whole without a row for each pair.  A pair
+    counts in the list of its least common posted value only."""
     def run(t: pa.Table) -> pa.Table:
-        cols = {c: t[c].to_numpy() for c in ("value", "node", "n", "component", "own", "x", "y")}
-        sketch = t["sketch"].combine_chunks()
+        n, comp, value = (t[c].to_numpy() for c in ("n", "component", "value"))
+        sketch, posted = t["sketch"].combine_chunks(), t["posted"].combine_chunks()
         flat, cuts = sketch.values.to_numpy(), sketch.offsets.to_numpy()
-        order = np.lexsort((cols["y"], cols["x"], cols["value"]))
-        new = np.zeros(len(order), bool)
-        for c in ("value", "x", "y"):
-            new[1:] |= cols[c][order][1:] != cols[c][order][:-1]
-        out = []
-        for at in np.split(order, np.flatnonzero(new)):
-            x, y, own = cols["x"][at[0]], cols["y"][at[0]], cols["own"][at]
-            left, right = at[own == x], at[own == y]
-            if not len(left) or not len(right):
-                continue
-            n, comp, node = cols["n"], cols["component"], cols["node"]
-            m, o = n[left][:, None], n[right][None, :]
-            ok = (comp[left][:, None] != comp[right][None, :]) & (np.minimum(m, o) * den >= np.maximum(m, o) * num)
-            if x == y:
-                ok &= node[left][:, None] < node[right][None, :]
+        names, at = posted.values.to_numpy(), posted.offsets.to_numpy()
+        # both sketches of a pair hold all values up to the lesser of their ends, so what
+        # they share there is a share of the union's sketch up to that value
+        ends = np.where(n <= k, np.iinfo(np.int64).max, flat[cuts[1:] - 1])
+        keep = [np.empty(0, np.int64)]
+        for left, right in _blocks(t):
+            ok = _may_link(n, comp, left, right, num, den)
             if not ok.any():
                 continue
-            sizes = cuts[at + 1] - cuts[at]
-            vals = np.concatenate([flat[cuts[i]:cuts[i + 1]] for i in at])
-            _, which, count = np.unique(vals, return_inverse=True, return_counts=True)
-            shared = np.flatnonzero(count[which] > 1)
-            names = np.cumsum(count > 1) - 1
-            has = np.zeros((len(at), int((count > 1).sum())), np.float32)
-            has[np.repeat(np.arange(len(at)), sizes)[shared], names[which[shared]]] = 1
-            common = has[own == x] @ has[own == y].T
-            # both sketches hold all values up to the lesser of their ends, so what
-            # they share there is a share of the union's sketch up to that value
-            ends = np.where(n[at] <= k, np.iinfo(np.int64).max, flat[cuts[at + 1] - 1])
-            rows_of = lambda some, limits: np.stack([
+            common = _common(flat, cuts, left, right)
+            held = lambda some, limits: np.stack([
                 np.searchsorted(flat[cuts[r]:cuts[r + 1]], limits, "right") for r in some])
-            union = rows_of(left, ends[own == y]) + rows_of(right, ends[own == x]).T - common
-            whole, share = (m <= k) & (o <= k), num / den
+            union = held(left, ends[right]) + held(right, ends[left]).T - common
+            whole, share = (n[left][:, None] <= k) & (n[right][None, :] <= k), num / den
             slack = np.where(whole, 1e-6, sigmas * np.sqrt(union * share * (1 - share)))
-            i, j = np.nonzero(ok & (common >= union * share - slack))
-            out.append((np.minimum(node[left[i]], node[right[j]]), np.maximum(node[left[i]], node[right[j]])))
-        a, b = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 2
-        return pa.table({"a": a, "b": b}).group_by(["a", "b"]).aggregate([])
-
-    sizes = cut(rest.groupBy("value").agg(F.ceil(F.count("*") / rows).cast("int").alias("blocks")), "near-blocks")
+            ok &= common >= union * share - slack
+            if ok.any():
+                pair = left if right is left else np.concatenate([left, right])
+                lesser = [v[v < value[left[0]]] for v in (names[at[i]:at[i + 1]] for i in pair)]
+                i = np.arange(len(left))
+                j = i if right is left else np.arange(len(left), len(pair))
+                ok &= _common(np.concatenate(lesser), np.append(0, np.cumsum([len(v) for v in lesser])), i, j) == 0
+            keep += [left[ok.any(1)], right[ok.any(0)]]
+        keep = np.concatenate(keep)
+        cols = ("value", "own", "x", "y", "node", "n", "component")
+        return t.select(cols).take(pa.array(np.unique(keep)))
+
+    sizes = cut(rest.groupBy("value").agg(
+        F.ceil(F.greatest(F.count("*") / rows, F.sum("n") / shingles)).cast("int").alias("blocks")), "near-blocks")
     member = rest.join(sizes, "value").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")) \
         .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")) \
         .withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other")
     jobs = shuffle_partitions(rest.sparkSession) * 8
     member = member.join(classes.select("node", "sketch"), "node") \
         .withColumn("job", F.pmod(F.xxhash64("value", "x", "y"), F.lit(jobs).cast("long")))
-    return member.groupBy("job").applyInArrow(run, "a long, b long").distinct()
+    return member.groupBy("job").applyInArrow(
+        run, "value long, own int, x int, y int, node long, n long, component long")
+
+
+def _verify_blocks(met: DataFrame, sets: DataFrame, num: int, den: int, shingles: int = 1 << 22) -> DataFrame:
+    """(src, dst): links by the full sets inside the block pairs of ``_across``;
+    of each block pair the links that span what it connects."""
+    def run(t: pa.Table) -> pa.Table:
+        n, node, comp = (t[c].to_numpy() for c in ("n", "node", "component"))
+        sizes = np.array([len(x.as_buffer()) // 8 for x in t["shingles"]], np.int64)
+        flat = np.frombuffer(b"".join(t["shingles"].to_pylist()), np.int64)
+        cuts = np.append(0, np.cumsum(sizes))
+        src: list[int] = []
+        dst: list[int] = []
+        for left, right in _blocks(t):
+            ok = _may_link(n, comp, left, right, num, den)
+            if not ok.any():
+                continue
+            common = _common(flat, cuts, left, right)
+            ok &= den * common >= num * (n[left][:, None] + n[right][None, :] - common)
+            root: dict[int, int] = {}
+
+            def top(p: int) -> int:
+                while root.get(p, p) != p:
+                    p = root[p]
+                return p
+
+            for i, j in zip(*np.nonzero(ok)):
+                p, q = top(int(node[left[i]])), top(int(node[right[j]]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    src.append(int(node[left[i]]))
+                    dst.append(int(node[right[j]]))
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+    total = met.agg(F.sum("n")).first()[0] or 0
+    jobs = max(shuffle_partitions(met.sparkSession), total // shingles)
+    return met.join(sets, "node").withColumn("job", F.pmod(F.xxhash64("value", "x", "y"), F.lit(jobs).cast("long"))) \
+        .groupBy("job").applyInArrow(run, "src long, dst long")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -254,25 +326,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 .union(met.select(F.col("node").alias("a"), F.col("hi").alias("b"))).where("a <> b")
                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
 
-    def links_of(pairs: DataFrame, name: str) -> DataFrame:
-        close = cut(_filter_pairs(pairs, classes, k, num, den, sigmas), f"{name}-close")
-        nodes = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
-        wanted = cut(classes.select("node", "rep", "set_key").join(nodes, "node"), f"{name}-wanted")
+    def sets_of(nodes: DataFrame, name: str) -> DataFrame:
+        wanted = cut(classes.select("node", "rep", "set_key").join(nodes.distinct(), "node"), f"{name}-wanted")
         sets = cut(full_sets(docs, wanted, id_col, text_col, width), f"{name}-sets")
-        links = cut(_verify(close, sets, num, den), f"{name}-links")
-        drop(close, wanted, sets)
-        return links.toDF("src", "dst")
+        drop(wanted)
+        return sets
 
-    links = links_of(first, "near1")
+    close = cut(_filter_pairs(first, classes, k, num, den, sigmas), "near1-close")
+    sets = sets_of(close.select(F.col("a").alias("node")).union(close.select("b")), "near1")
+    links = cut(_verify(close, sets, num, den).toDF("src", "dst"), "near1-links")
+    drop(close, sets)
     labels = connected_components(links, "near1")
     placed = cut(lists.join(labels.withColumnRenamed("id", "node"), "node", "left")
                  .select("value", "node", "n", F.coalesce("component", "node").alias("component")), "near-placed")
     mixed = placed.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")) \
         .where("x < y").select("value")
+    posted = lists.groupBy("node").agg(F.collect_list("value").alias("posted"))
     rest = cut(placed.join(mixed, "value").join(hubs, "value").where("node <> lo and node <> hi")
-               .select("value", "node", "n", "component"), "near-rest")
+               .select("value", "node", "n", "component").join(posted, "node"), "near-rest")
     across = cut(_across(rest, classes, k, num, den, sigmas), "near-across")
-    more = links_of(across, "near2")
+    sets = sets_of(across.select("node"), "near2")
+    more = cut(_verify_blocks(across, sets, num, den), "near2-links")
+    drop(sets)
     if more.limit(1).count():
         labels = connected_components(links.union(more), "near2")
     drop(common, lists, hubs, first, placed, rest, across)
