@@ -172,7 +172,7 @@ def _common(flat: np.ndarray, cuts: np.ndarray, left: np.ndarray, right: np.ndar
     return out
 
 
-def _across(rest: DataFrame, classes: DataFrame, k: int, num: int, den: int, sigmas: float, rows: int = 256,
+def _across(rest: DataFrame, classes: DataFrame, k: int, num: int, den: int, sigmas: float, rows: int,
             shingles: int = 1 << 20) -> DataFrame:
     """(value, own, x, y, node, n, component): list members that may link with a
     member in another component, by the sketch of their union.  ``rest`` has
@@ -281,7 +281,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-                    percent: int = 80, k: int = 64, sigmas: float = 4.0) -> DataFrame:
+                    percent: int = 80, k: int = 64, sigmas: float = 4.0, block_rows: int = 1024) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
     Documents link with 100 * intersection >= ``percent`` * union of their
@@ -292,7 +292,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     phrase makes no long list.  The members of a list are first compared with
     two of it (the smallest and the largest class).  What then is in
     one component needs no more links; only pairs across components are left,
-    and all of those are compared, block by block.  Sketches may miss a pair only where sets
+    and all of those are compared, blocks of about ``block_rows`` against each
+    other, so a member stands in as many rows as its list has blocks.  Sketches may miss a pair only where sets
     are larger than ``k``, at a chance of ``sigmas`` standard deviations; no
     list or group is cut short.
 
@@ -344,7 +345,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posted = lists.groupBy("node").agg(F.collect_list("value").alias("posted"))
     rest = cut(placed.join(mixed, "value").join(hubs, "value").where("node <> lo and node <> hi")
                .select("value", "node", "n", "component").join(posted, "node"), "near-rest")
-    across = cut(_across(rest, classes, k, num, den, sigmas), "near-across")
+    across = cut(_across(rest, classes, k, num, den, sigmas, block_rows), "near-across")
     sets = sets_of(across.select("node"), "near2")
     more = cut(_verify_blocks(across, sets, num, den), "near2-links")
     drop(sets)
