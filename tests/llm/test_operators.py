@@ -265,8 +265,10 @@ def test_minhash(docs, odd, empty, width, k):
     assert minhash.near_duplicates(empty).count() == 0
 
 
-def test_minhash_lists_across_components(spark):
-    """Many documents share most of a long passage without being near duplicates."""
+@pytest.mark.parametrize("block_rows", [16, 1024])
+def test_minhash_lists_across_components(spark, block_rows):
+    """Many documents share most of a long passage without being near duplicates;
+    lists of several blocks find the same links as lists of one."""
     rng = random.Random(9)
     passage = " ".join(f"p{i}" for i in range(60))
     texts = [passage + " " + " ".join(f"u{d}x{i}" for i in range(22 + d % 5)) for d in range(120)]
@@ -274,7 +276,7 @@ def test_minhash_lists_across_components(spark):
     rng.shuffle(texts)
     sizes, group = brute.near_documents(texts, 2)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, width=2).collect()}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, width=2, block_rows=block_rows).collect()}
     assert got == dict(enumerate(group))
 
 
