@@ -96,22 +96,56 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) ->
     return rows.mapInArrow(run, "doc_id long, n long, set_key binary, sketch array<long>")
 
 
+class IdFilter:
+    """Bloom filter of ids: bits are set for four places of each id's hash.
+
+    It holds sixteen bits an id, but ``most_bits`` at most (8 MB): that bound
+    makes it safe to send to every task.  Beyond it the filter lets more rows
+    pass that the join after it then leaves out; it never holds back an id.
+    """
+
+    places, most_bits = 4, 1 << 26
+
+    def __init__(self, ids: DataFrame, col: str):
+        n = ids.count()
+        self.mask = min(self.most_bits, 1 << max(13, (16 * n).bit_length())) - 1
+        h = F.xxhash64(col)
+        at = [(h.bitwiseAND(self.mask) + i * F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1).cast("long")))
+              .bitwiseAND(self.mask) for i in range(self.places)]
+        words = ids.select(F.explode(F.array(*at)).alias("at")).groupBy(F.shiftright("at", 5).alias("word")) \
+            .agg(F.bit_or(F.expr("shiftleft(1L, int(at & 31))")).alias("bits")).toArrow()
+        self.words = np.zeros((self.mask + 1) >> 5, np.uint32)
+        self.words[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of these xxhash64 values of ids may be of an id inside."""
+        h = hashes.view(np.uint64)
+        step, mask = (h >> np.uint64(32)) | np.uint64(1), np.uint64(self.mask)
+        ok = np.ones(len(h), bool)
+        for i in range(self.places):
+            at = ((h & mask) + np.uint64(i) * step) & mask
+            ok &= (self.words[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & 1 == 1
+        return ok
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(node, shingles binary) for ``wanted`` (node, rep, set_key)."""
+    """(node, shingles binary) for ``wanted`` (node, rep, set_key).  Texts of other
+    documents are left out where they are read, so only wanted sets are shuffled."""
+    inside = docs.sparkSession.sparkContext.broadcast(IdFilter(wanted, "rep"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for node, key, t in zip(b.column("node").to_pylist(), b.column("set_key").to_pylist(),
-                                    b.column("text").to_pylist()):
-                s = shingle_set(t, width)
-                if set_key(s) == key:  # an id may repeat with another text
-                    out.append((node, s.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()),
-                                              pa.array([x for _, x in out], pa.binary())], names=["node", "shingles"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("rep"), text_or_empty(text_col).alias("text"))
-    found = rows.join(wanted, "rep").select("node", "set_key", "text").mapInArrow(run, "node long, shingles binary")
-    return found.dropDuplicates(["node"])
+            b = b.filter(pa.array(inside.value.may_hold(b.column("h").to_numpy())))
+            sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("rep"), pa.array([set_key(s) for s in sets], pa.binary()),
+                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "set_key", "shingles"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("rep"), text_or_empty(text_col).alias("text")) \
+        .where(F.col("rep").isNotNull()).select("rep", "text", F.xxhash64("rep").alias("h"))
+    # an id may repeat with another text, so the key of the set joins, too
+    return rows.mapInArrow(run, "rep long, set_key binary, shingles binary").join(wanted, ["rep", "set_key"]) \
+        .select("node", "shingles").dropDuplicates(["node"])
 
 
 def _filter_pairs(pairs: DataFrame, classes: DataFrame, k: int, num: int, den: int, sigmas: float) -> DataFrame:

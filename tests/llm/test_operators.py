@@ -353,3 +353,13 @@ def test_pipeline_against_plain_stages(spark, library):
     empty = docs.limit(0)
     for name, f in pipeline.STAGES:
         assert f(spark, empty, SF).count() == 0
+
+
+def test_minhash_id_filter(spark):
+    ids = spark.range(-50, 4000, 7)
+    held = minhash.IdFilter(ids, "id")
+    rows = spark.range(-5000, 20000).select("id", F.xxhash64("id").alias("h")).toPandas()
+    ok = held.may_hold(rows["h"].to_numpy())
+    inside = rows["id"].isin([r.id for r in ids.collect()]).to_numpy()
+    assert ok[inside].all() and ok[~inside].mean() < 0.02
+    assert not minhash.IdFilter(ids.limit(0), "id").may_hold(rows["h"].to_numpy()).any()
