@@ -41,6 +41,21 @@ def check_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
             .where(F.col("n_rows") > 1))
 
 
+def unique_key_report(star: dict[str, DataFrame]) -> DataFrame:
+    """V4 for every primary, hash and natural key of the star layout: how many key
+    values occur more than once (0 for a sound load)."""
+    keys = [("brokers", ["brokered_by"]), ("states", ["state_id"]), ("states", ["state_name"]),
+            ("cities", ["city_id"]), ("cities", ["city_name", "state_id"]), ("zip_codes", ["zip_code"]),
+            ("listings", ["listing_id"]), ("estate_details", ["listing_id"]), ("land_data", ["listing_id"]),
+            ("addresses", ["listing_id"])]
+    parts = [check_unique(star[t], k).agg(F.count(F.lit(1)).alias("n_repeated"))
+             .select(F.lit(f"{t}({', '.join(k)})").alias("unique_key"), "n_repeated") for t, k in keys]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def foreign_key_report(star: dict[str, DataFrame]) -> DataFrame:
     """Orphan counts for every foreign key of the star layout."""
     rels = [

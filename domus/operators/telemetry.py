@@ -110,6 +110,11 @@ def run_records(runs: DataFrame) -> DataFrame:
     )
 
 
+def runs_by_timestamp(records: DataFrame) -> DataFrame:
+    """Records from the oldest to the newest, runs without a timestamp last."""
+    return records.orderBy(F.asc_nulls_last("timestamp"), "database", "usecase_number")
+
+
 # ---------------------------------------------------------------- A8 - A12
 def mean_exec_by_usecase(records: DataFrame) -> DataFrame:
     return records.groupBy("usecase_name", "database") \

@@ -414,3 +414,6 @@ def q_uc5_sql(spark, sf_dir):
     sq.register_views(spark, _l(spark, sf_dir), prefix="q_uc5_")
     return sq.uc5_sql(spark, view="q_uc5_listings_wide") \
         .withColumn("avg_price_per_sqm", round_half_up("avg_price_per_sqm", 4))
+
+
+from domus.plans import stored  # noqa: E402,F401  (registers the queries that write and read back)

@@ -509,3 +509,48 @@ UNION ALL SELECT event_id, CAST(2 AS INTEGER), CAST(NULL AS BIGINT) FROM events"
 ORACLE["runs_jsonl_round_trip"] = RUNS_CTE + """
 SELECT "index", run_id, database, database || '-db' AS container, usecase, 'Success' AS status,
        execution_time_s, execution_time_ms FROM runs"""
+
+# ---------------------------------------------------------------- written and read back
+ORACLE["raw_csv_clean"] = with_listings("SELECT * EXCLUDE (src_pos) FROM clean", CLEAN_CTE)
+_CSV_NUM = ", ".join(f"CAST(printf('%.2f', {c}) AS DOUBLE) AS {c}"
+                     for c in ("brokered_by", "price", "lot_size_sqm", "street", "house_size_sqm"))
+ORACLE["clean_csv_parse"] = with_listings(f"""
+SELECT {_CSV_NUM}, status, {title_sql('city')} AS city, {title_sql('state')} AS state,
+       CAST(zip_code AS INTEGER) AS zip_code, bed, bath, prev_sold_date FROM clean""", CLEAN_CTE)
+ORACLE["stored_documents_bedrooms_size"] = ORACLE["documents_bedrooms_size"]
+ORACLE["stored_star_details"] = ORACLE["listing_details"]
+ORACLE["stored_star_counts"] = with_listings("""
+SELECT 'brokers' AS table_name, COUNT(DISTINCT brokered_by) AS n_rows FROM L
+UNION ALL SELECT 'states', COUNT(DISTINCT state) FROM L
+UNION ALL SELECT 'cities', COUNT(*) FROM (SELECT DISTINCT city, state FROM L WHERE city IS NOT NULL AND state IS NOT NULL) c
+UNION ALL SELECT 'zip_codes', COUNT(DISTINCT zip_code) FROM L
+UNION ALL SELECT 'listings', COUNT(*) FROM L
+UNION ALL SELECT 'estate_details', COUNT(*) FROM L
+          WHERE bed IS NOT NULL OR bath IS NOT NULL OR house_size_sqm IS NOT NULL
+UNION ALL SELECT 'land_data', COUNT(lot_size_sqm) FROM L
+UNION ALL SELECT 'addresses', COUNT(*) FROM L
+          WHERE street IS NOT NULL AND zip_code IS NOT NULL AND city IS NOT NULL AND state IS NOT NULL""")
+ORACLE["check_unique_keys"] = with_listings("""
+SELECT unique_key, CAST(n AS BIGINT) AS n_repeated FROM (VALUES ('brokers(brokered_by)', 0), ('states(state_id)', 0),
+  ('states(state_name)', 0), ('cities(city_id)', 0), ('cities(city_name, state_id)', 0), ('zip_codes(zip_code)', 0),
+  ('listings(listing_id)', (SELECT COUNT(*) FROM (SELECT 1 FROM L GROUP BY listing_id HAVING COUNT(*) > 1) d)),
+  ('estate_details(listing_id)', 0), ('land_data(listing_id)', 0), ('addresses(listing_id)', 0)) t(unique_key, n)""")
+ORACLE["engine_import"] = ORACLE["stream_import"]
+ORACLE["engine_uc2_uc3"] = with_listings("""
+SELECT brokered_by, status,
+       CASE WHEN brokered_by = 605
+            THEN CAST(CAST(CAST(price AS DECIMAL(16,2)) * CAST(1.05 AS DECIMAL(8,2)) AS DECIMAL(16,2)) AS DOUBLE)
+            ELSE price END AS price,
+       lot_size_sqm, street, city, state, zip_code, bed, bath, house_size_sqm, prev_sold_date, TRUE AS has_flag
+FROM recs""", PARSE_CTE)
+_some = "event_id % 10 <> 0"
+ORACLE["run_sample_summaries"] = f"""
+SELECT event_id AS "index",
+       CASE WHEN {_some} THEN {rnd('(value + value * 2 + value * 3) / 3', 2)} ELSE 0 END AS avg_cpu,
+       CASE WHEN {_some} THEN {rnd('value * 3', 2)} ELSE 0 END AS peak_cpu,
+       CASE WHEN {_some} THEN {rnd('CAST(user_id + 8 AS DOUBLE)', 2)} ELSE 0 END AS avg_mem,
+       CASE WHEN {_some} THEN {rnd('CAST(user_id + 16 AS DOUBLE)', 2)} ELSE 0 END AS peak_mem,
+       CASE WHEN {_some} THEN 2.0::DOUBLE ELSE 0 END AS total_blkio_mb,
+       CASE WHEN {_some} THEN 3::BIGINT ELSE 0 END AS n_samples
+FROM events"""
+ORACLE["runs_by_timestamp"] = RUNS_CTE + 'SELECT * FROM recs ORDER BY "timestamp", database, usecase_number'

@@ -67,6 +67,21 @@ def runs_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("file_name", F.concat(F.col("file_stem"), F.lit(".jsonl"))).drop("file_stem")
 
 
+def runs_with_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run record per event with the container samples taken while it ran:
+    three each, and none for every tenth run."""
+    ev = table(spark, sf_dir, "events", "event_id", "user_id", "value")
+
+    def sample(i: int) -> Column:
+        return F.struct((F.col("value") * (i + 1)).alias("cpu_percent"),
+                        (F.col("user_id") + 8 * i).cast("double").alias("mem_mb"),
+                        (F.col("event_id") * 4096 + F.lit(i * 1048576).cast("bigint")).alias("blkio_bytes"))
+
+    taken = F.array(*[sample(i) for i in range(3)])
+    return ev.select(F.col("event_id").alias("index"),
+                     F.when(F.col("event_id") % 10 != 0, taken).alias("raw_samples"))
+
+
 def samples_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Telemetry sample feed: one container sample per event."""
     ev = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
