@@ -1,16 +1,19 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-A bounded sample of labelled rows gives the examples and the terms that tell
-the classes apart; document frequencies come from all documents.  Examples
-stand in an inverted index cut into blocks, each with the largest weight of
-every term.  A query visits blocks from the highest bound down and stops when
-no block can reach its k-th neighbour, so the neighbours are exact.  Their
-distance-weighted votes, calibrated on the examples with each left out, are
-the score; the neighbours are its evidence.
+A bounded sample of labelled rows gives the examples.  Every word of a text
+counts, in examples and queries alike: its weight is its TF-IDF, document
+frequencies from all documents, times one more than its chi-square statistic
+in the examples, so that words which tell the classes apart count more and no
+word counts nothing.  Examples stand in an index cut into blocks, each with the
+largest weight of every term.  A query scores the blocks with the highest
+bounds, then those that can still reach its k-th neighbour, so the neighbours
+are exact.  Their distance-weighted votes, calibrated on the examples with each
+left out, are the score; the neighbours are its evidence.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,55 +32,107 @@ WORD = re.compile(r"[^\W_]+")
 @dataclass(frozen=True)
 class Settings:
     max_examples: int = 8192  # labelled rows that the model may be fit on, those with the least hash
-    min_df: int = 5           # examples that a term must be in
-    min_z: float = 8.0        # how far a term's share of the classes must differ, in standard errors
-    max_terms: int = 4096     # terms of the model, the most telling ones
     neighbours: int = 25
     block: int = 64
 
 
+Vector = tuple[np.ndarray, np.ndarray]  # terms, weights
+
+
+def as_vector(v: dict[int, float] | Vector) -> Vector:
+    return (np.array(list(v), np.int64), np.array(list(v.values()), float)) if isinstance(v, dict) else v
+
+
 class BlockMaxIndex:
     """Examples as unit vectors over the terms, in blocks with term maxima."""
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: list[dict[int, float]], n_terms: int,
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: list[dict[int, float] | Vector], n_terms: int,
                  block: int, k: int):
+        vectors = [as_vector(v) for v in vectors]
         # examples with the same heaviest terms stand together, so that block maxima are tight
-        order = sorted(range(len(vectors)), key=lambda i: (sorted(vectors[i], key=vectors[i].get, reverse=True), ids[i]))
-        self.ids, self.labels, self.block, self.k = ids[order], labels[order], block, k
-        n_blocks = -(-len(order) // block)
-        self.maxima = np.zeros((n_terms, n_blocks))
-        rows: list[list[int]] = [[] for _ in range(n_terms)]
-        weights: list[list[float]] = [[] for _ in range(n_terms)]
-        for row, i in enumerate(order):
-            for t, w in vectors[i].items():
-                rows[t].append(row)
-                weights[t].append(w)
-                self.maxima[t, row // block] = max(self.maxima[t, row // block], w)
-        self.rows = [np.array(r, np.int64) for r in rows]
-        self.weights = [np.array(w) for w in weights]
-        self.cuts = [np.searchsorted(r, np.arange(n_blocks + 1) * block) for r in self.rows]
-
-    def nearest(self, query: dict[int, float], skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][np.argsort(-vectors[i][1], kind="stable")].tolist(), ids[i]))
+        self.ids, self.labels, self.block, self.k, self.n_terms = ids[order], labels[order], block, k, n_terms
+        self.ends = np.append(0, np.cumsum([len(vectors[i][0]) for i in order])).astype(np.int64)
+        self.terms = np.concatenate([np.empty(0, np.int32), *(vectors[i][0] for i in order)]).astype(np.int32)
+        self.weights = np.concatenate([np.empty(0), *(vectors[i][1] for i in order)])
+        self.lists = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "lists": None}  # each task makes its own from the vectors
+
+    def _build(self) -> None:
+        """Rows and weights by term, and every block's largest weight by term."""
+        self.row = np.repeat(np.arange(len(self.ids)), np.diff(self.ends))
+        by = np.argsort(self.terms, kind="stable")
+        terms, rows, weights = self.terms[by], self.row[by], self.weights[by]
+        blocks = rows // self.block
+        new = np.flatnonzero(np.append(True, (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1]))) if len(by) else by
+        at = np.arange(self.n_terms + 1)
+        top = np.maximum.reduceat(weights, new) if len(new) else weights
+        self.lists = ((np.searchsorted(terms, at), rows, weights), (np.searchsorted(terms[new], at), blocks[new], top))
+        self.dense = np.zeros(self.n_terms)
+
+    @staticmethod
+    def _add(lists: tuple[np.ndarray, ...], t: np.ndarray, w: np.ndarray, size: int) -> np.ndarray:
+        """Sums of ``w`` times the listed weights of the terms ``t``."""
+        cuts, place, weight = lists
+        n = cuts[t + 1] - cuts[t]
+        total = int(n.sum())
+        if not total:
+            return np.zeros(size)
+        at = np.repeat(cuts[t] - (np.cumsum(n) - n), n) + np.arange(total)
+        return np.bincount(place[at], np.repeat(w, n) * weight[at], size)
+
+    def nearest(self, query: dict[int, float] | Vector, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest examples, ties to the smaller id."""
-        bounds = sum(w * self.maxima[t] for t, w in query.items())
-        rows, sims, kth = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(rows) == self.k and bounds[b] + 1e-9 < kth):
-                break
-            start = b * self.block
-            scores = np.zeros(min(self.block, len(self.ids) - start))
-            for t, w in query.items():
-                i, j = self.cuts[t][b], self.cuts[t][b + 1]
-                scores[self.rows[t][i:j] - start] += w * self.weights[t][i:j]
-            at = np.flatnonzero(scores > 0)
-            if skip is not None:
-                at = at[self.ids[at + start] != skip]
-            rows, sims = np.append(rows, at + start), np.append(sims, scores[at].round(12))
-            top = np.lexsort((self.ids[rows], -sims))[:self.k]
-            rows, sims = rows[top], sims[top]
-            kth = sims[-1] if len(sims) else 0.0
+        if self.lists is None:
+            self._build()
+        t, w = as_vector(query)
+        n = len(self.ids)
+        bounds = self._add(self.lists[1], t, w, -(-n // self.block))
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        lead = 1 + -(-self.k // self.block)
+        rows, sims = self._best(*self._score(order[:lead], t, w), skip)
+        rest = order[lead:]
+        if len(rows) == self.k:
+            rest = rest[bounds[rest] + 1e-9 >= sims[-1]]
+        if len(rest):
+            more = self._score(rest, t, w)
+            rows, sims = self._best(np.append(rows, more[0]), np.append(sims, more[1]), skip)
         return rows, sims
 
+    def _score(self, blocks: np.ndarray, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the blocks that share a term with the query, and their cosines."""
+        n, cuts = len(self.ids), self.lists[0][0]
+        start, stop = blocks * self.block, np.minimum((blocks + 1) * self.block, n)
+        if (self.ends[stop] - self.ends[start]).sum() > (cuts[t + 1] - cuts[t]).sum():
+            scores = self._add(self.lists[0], t, w, n)
+            keep = np.zeros(-(-n // self.block), bool)
+            keep[blocks] = True
+            rows = np.flatnonzero((scores > 0) & np.repeat(keep, self.block)[:n])
+            return rows, scores[rows].round(12)
+        self.dense[t] = w
+        rows, sims = [np.empty(0, np.int64)], [np.empty(0)]
+        for a, b in zip(start, stop):
+            i, j = self.ends[a], self.ends[b]
+            scores = np.bincount(self.row[i:j] - a, self.dense[self.terms[i:j]] * self.weights[i:j], b - a)
+            at = np.flatnonzero(scores > 0)
+            rows.append(at + a)
+            sims.append(scores[at].round(12))
+        self.dense[t] = 0.0
+        return np.concatenate(rows), np.concatenate(sims)
+
+    def _best(self, rows: np.ndarray, sims: np.ndarray, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
+        if skip is not None:
+            other = self.ids[rows] != skip
+            rows, sims = rows[other], sims[other]
+        if len(rows) > self.k:
+            near = sims >= np.partition(sims, len(sims) - self.k)[len(sims) - self.k]
+            rows, sims = rows[near], sims[near]
+        top = np.lexsort((self.ids[rows], -sims))[:self.k]
+        return rows[top], sims[top]
+
     def vote(self, rows: np.ndarray, sims: np.ndarray, prior: float) -> float:
         """Share of toxic neighbours, near ones counting more, drawn to ``prior``."""
         w = 1.0 / (1.05 - np.minimum(sims, 1.0))
@@ -86,26 +141,20 @@ class BlockMaxIndex:
 
 @dataclass
 class Model:
-    terms: dict[str, int]
-    idf: np.ndarray
+    terms: dict[str, int]  # the words of the examples
+    weight: np.ndarray     # IDF times chi-square and one
     index: BlockMaxIndex
-    prior: float      # share of toxic rows among all examples
-    background: float  # the same among examples without any term
+    prior: float           # share of toxic rows among all examples
+    background: float      # the same among examples without any word
     slope: float
     shift: float
 
-    def vector(self, terms: list[int], counts: list[int]) -> dict[int, float]:
-        w = {t: (1.0 + np.log(c)) * self.idf[t] for t, c in zip(terms, counts)}
-        norm = np.sqrt(sum(x * x for x in w.values()))
-        return {t: float(x / norm) for t, x in w.items()}
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> Vector:
+        """Terms and weights, not scaled to unit length."""
+        return terms, (1.0 + np.log(counts)) * self.weight[terms]
 
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, np.ndarray, np.ndarray]:
-        if not terms or not len(self.index.ids):
-            return self.background, np.empty(0, np.int64), np.empty(0)
-        rows, sims = self.index.nearest(self.vector(terms, counts))
-        if not len(rows):
-            return self.background, rows, sims
-        return self.calibrate(self.index.vote(rows, sims, self.prior)), rows, sims
+    def score(self, rows: np.ndarray, sims: np.ndarray) -> float:
+        return self.calibrate(self.index.vote(rows, sims, self.prior)) if len(rows) else self.background
 
     def calibrate(self, vote: float) -> float:
         v = min(max(vote, 1e-6), 1 - 1e-6)
@@ -132,88 +181,101 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-def term_counts(docs: DataFrame, terms: dict[str, int], id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, content, terms, counts): how often each of the model's terms is in
-    each text; content is a key of the text."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frozenset(terms)
-        for b in batches:
-            out = []
-            for text in b.column("text").to_pylist():
-                words = WORD.findall(text.lower())
-                if known.isdisjoint(words):
-                    out.append(({}))
-                else:
-                    out.append({terms[w]: n for w, n in Counter(words).items() if w in known})
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("content"), pa.array([sorted(x) for x in out], pa.list_(pa.int32())),
-                 pa.array([[x[t] for t in sorted(x)] for x in out], pa.list_(pa.int32()))],
-                names=["doc_id", "content", "terms", "counts"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("content"),
-                       text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, content long, terms array<int>, counts array<int>")
+def word_counts(texts: list[str]) -> list[Counter]:
+    return [Counter(WORD.findall(t.lower())) for t in texts]
 
 
-def example_terms(examples: DataFrame, max_terms: int, min_df: int, min_z: float) -> list[str]:
-    """The terms whose share of toxic and other examples differs most, by a
-    two-proportion z score; at most ``max_terms`` words reach the driver."""
+def document_frequencies(docs: DataFrame, text_col: str, held_words: int = 1 << 17) -> DataFrame:
+    """(word, df) of every word; counts combine in the tasks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
         for b in batches:
-            words = [sorted(set(WORD.findall(t.lower()))) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(words, pa.list_(pa.string()))],
-                                             names=["toxic", "words"])
-
-    n, n1 = examples.agg(F.count("*"), F.sum("toxic")).first()
-    if not n or not n1 or n1 == n:
-        return []
-    df = examples.select("toxic", "text").mapInArrow(run, "toxic int, words array<string>") \
-        .select("toxic", F.explode("words").alias("word")).groupBy("word") \
-        .agg(F.count("*").alias("df"), F.sum("toxic").alias("d1")).where(F.col("df") >= min_df)
-    p = F.col("df") / n
-    z = F.abs(F.col("d1") / n1 - (F.col("df") - F.col("d1")) / (n - n1)) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / (n - n1)))
-    return [r.word for r in df.where(p < 1).withColumn("z", z).where(F.col("z") >= min_z)
-            .orderBy(F.desc("z"), "word").limit(max_terms).select("word").collect()]
+            for words in word_counts(b.column("text").to_pylist()):
+                held.update(words.keys())
+                if len(held) > held_words:
+                    yield as_batch(held)
+                    held = Counter()
+        yield as_batch(held)
+
+    def as_batch(held: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())],
+                                          names=["word", "n"])
+
+    return docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "word string, n long") \
+        .groupBy("word").agg(F.sum("n").alias("df"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
-        text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model, and ``term_counts`` of all documents.
+        text_col: str = "text") -> tuple[Model, DataFrame, int]:
+    """The model, the (word, df) of all words, and the number of documents.
 
     ``labels`` (doc_id, toxic 0 or 1): rows with a null are left out, of an
-    id's several labels the largest holds.  Of the labelled rows that aren't
-    held out, those with the least hash of their id are the examples, at most
-    ``max_examples``; that bound is also what makes the example side safe to
+    id's several labels the largest holds, of its several texts the least.  Of
+    the labelled rows that aren't held out, those with the least hash of their
+    id are the examples, at most ``max_examples``; only their words reach the
+    driver, and that bound is also what makes the example side safe to
     broadcast and the index safe to send to every task.
     """
     s = settings
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))) \
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_examples), "toxic-sample")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = word_counts(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("toxic"), pa.array([list(c) for c in found], pa.list_(pa.string())),
+                 pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))],
+                names=["doc_id", "toxic", "words", "counts"])
+
     examples = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-                   .join(F.broadcast(sample), "doc_id"), "toxic-examples")
-    terms = {w: i for i, w in enumerate(example_terms(examples, s.max_terms, s.min_df, s.min_z))}
-    counts = cut(term_counts(docs, terms, id_col, text_col), "toxic-terms")
-    df = np.zeros(len(terms))
-    for t, n in counts.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # one row a term
-        df[t] = n
-    idf = np.log((counts.count() + 1) / (df + 1)) + 1.0
-    rows = counts.join(F.broadcast(sample), "doc_id").where(F.size("terms") > 0) \
-        .dropDuplicates(["doc_id"]).orderBy("doc_id").limit(s.max_examples).collect()  # a few terms of each example
+                   .join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+                   .select("doc_id", "toxic", "text")
+                   .mapInArrow(run, "doc_id long, toxic int, words array<string>, counts array<long>"), "toxic-examples")
+    dfs = cut(document_frequencies(docs, text_col), "toxic-df")
+    n_docs = docs.count()
     total, toxic = examples.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    model = Model(terms, idf, None, (toxic + 0.5) / (total + 1.0), 0.0, 1.0, 0.0)
-    bare, bare_toxic = max(0, total - len(rows)), max(0, toxic - sum(r.toxic for r in rows))
-    model.background = (bare_toxic + model.prior) / (bare + 1.0)
-    ids, y = np.array([r.doc_id for r in rows], np.int64), np.array([r.toxic for r in rows], float)
-    vectors = [model.vector(r.terms, r.counts) for r in rows]
-    model.index = BlockMaxIndex(ids, y, vectors, len(terms), s.block, s.neighbours)
+    model = Model({}, np.empty(0), None, (toxic + 0.5) / (total + 1.0), 0.0, 1.0, 0.0)
+    model.background = model.prior
+    none = np.empty(0, np.int64)
+    model.index = BlockMaxIndex(none, np.empty(0), [], 0, s.block, s.neighbours)
+    if toxic in (0, total):
+        return model, dfs, n_docs
+    words = dfs.join(examples.select(F.explode("words").alias("word")).distinct(), "word").toArrow()
+    words = words.sort_by("word")
+    model.terms = {w: i for i, w in enumerate(words["word"].to_pylist())}
+    rows = examples.toArrow().sort_by("doc_id")  # at most max_examples
+    ids, y = rows["doc_id"].to_numpy(), rows["toxic"].to_numpy().astype(float)
+    sizes = np.array([len(x) for x in rows["words"]], np.int64)
+    flat = np.array([model.terms[w] for w in rows["words"].combine_chunks().flatten().to_pylist()], np.int64)
+    counts = rows["counts"].combine_chunks().flatten().to_numpy()
+    held, bad = (np.bincount(flat, w, len(model.terms)) for w in (None, np.repeat(y, sizes)))
+    p = held / total
+    spread = p * (1 - p) * (1 / toxic + 1 / (total - toxic))
+    chi = np.where(spread > 0, (bad / toxic - (held - bad) / (total - toxic)) ** 2 / np.where(spread > 0, spread, 1.0), 0.0)
+    model.weight = idf(words["df"].to_numpy(), n_docs) * (1.0 + chi)
+    cuts = np.append(0, np.cumsum(sizes))
+    full = np.flatnonzero(sizes)
+    model.background = (y[sizes == 0].sum() + model.prior) / ((sizes == 0).sum() + 1.0)
+    vectors = []
+    for i in full:
+        at = slice(cuts[i], cuts[i + 1])
+        by = np.argsort(flat[at])
+        t, w = model.vector(flat[at][by], counts[at][by])
+        vectors.append((t, w / np.sqrt(w @ w)))
+    model.index = BlockMaxIndex(ids[full], y[full], vectors, len(model.terms), s.block, s.neighbours)
     votes = []
-    for i, v in zip(ids, vectors):
+    for i, v in zip(ids[full], vectors):
         near, sims = model.index.nearest(v, skip=int(i))
         votes.append(model.index.vote(near, sims, model.prior) if len(near) else model.prior)
-    if len(rows):
-        model.slope, model.shift = platt(np.array(votes), y)
-    return model, counts
+    if votes:
+        model.slope, model.shift = platt(np.array(votes), y[full])
+    return model, dfs, n_docs
+
+
+def idf(df: np.ndarray, n_docs: int) -> np.ndarray:
+    return np.log((n_docs + 1) / (df + 1)) + 1.0
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
@@ -221,29 +283,61 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
     """(doc_id, content, score, evidence array<struct<doc_id, cosine, toxic>>) of
     every row; content is xxhash64 of the text.
 
-    Null and empty texts, and texts without any of the model's terms, score
-    the share of toxic rows among the examples without terms.  Without
+    Null and empty texts, and texts that share no word with any example, score
+    the share of toxic rows among the examples without words.  Without
     labels, or with one class only, every row scores the prior.  Null ids and
     repeated rows are scored like others; other columns are not read.
     """
-    model, counts = fit(docs, labels, settings, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_examples and max_terms
+    model, dfs, n_docs = fit(docs, labels, settings, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_examples
+    pairs = pa.list_(pa.struct([("word", pa.string()), ("tf", pa.float64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Neighbours, with the weights of the words that examples hold; the others
+        only lengthen the query's vector, so they change no neighbour."""
+        m = shared.value
+        for b in batches:
+            near, dots, squares, others = [], [], [], []
+            for words in word_counts(b.column("text").to_pylist()):
+                at = sorted((m.terms[x], c) for x, c in words.items() if x in m.terms)
+                t, w = m.vector(np.array([x for x, _ in at], np.int64), np.array([c for _, c in at], np.int64))
+                square = float(w @ w)
+                rows, sims = m.index.nearest((t, w / np.sqrt(square))) if len(t) else (t, w)
+                near.append(rows)
+                dots.append(sims)
+                squares.append(square)
+                others.append([{"word": x, "tf": 1.0 + math.log(c)} for x, c in words.items() if x not in m.terms]
+                              if len(rows) else [])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("content"), pa.array(near, pa.list_(pa.int32())),
+                 pa.array(dots, pa.list_(pa.float64())), pa.array(squares, pa.float64()), pa.array(others, pairs)],
+                names=["doc_id", "content", "near", "sims", "square", "others"])
+
+    found = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("content"),
+                            text_or_empty(text_col).alias("text"))
+                .mapInArrow(search, "doc_id long, content long, near array<int>, sims array<double>, square double, "
+                                    "others array<struct<word: string, tf: double>>")
+                .withColumn("row", F.monotonically_increasing_id()), "toxic-found")
+    weight = F.col("tf") * (F.log((F.lit(n_docs) + 1) / (F.col("df") + 1)) + 1)
+    rest = found.select("row", F.inline("others")).join(dfs, "word").groupBy("row").agg(F.sum(weight * weight).alias("rest"))
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             scores, evidence = [], []
-            for terms, n in zip(b.column("terms").to_pylist(), b.column("counts").to_pylist()):
-                score, rows, sims = m.score(terms, n)
-                scores.append(score)
+            for near, sims, square, more in zip(*(b.column(c).to_pylist() for c in ("near", "sims", "square", "rest"))):
+                rows = np.array(near, np.int64)
+                cosines = np.array(sims) * math.sqrt(square / (square + more)) if near else np.empty(0)
+                scores.append(m.score(rows, cosines))
                 evidence.append([{"doc_id": int(m.index.ids[r]), "cosine": float(c), "toxic": int(m.index.labels[r])}
-                                 for r, c in zip(rows, sims)])
+                                 for r, c in zip(rows, cosines)])
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("content"), pa.array(scores, pa.float64()),
                                               pa.array(evidence, kind)], names=["doc_id", "content", "score", "evidence"])
 
-    return counts.mapInArrow(
-        run, "doc_id long, content long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
+    return found.drop("others").join(rest, "row", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0))) \
+        .select("doc_id", "content", "near", "sims", "square", "rest").mapInArrow(
+            vote, "doc_id long, content long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, settings: Settings = Settings(),

@@ -2,8 +2,10 @@
 column, empty and very long texts, ties, repeated rows, clashing names."""
 import math
 import random
+import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -191,6 +193,53 @@ def test_block_max_search_is_exact():
         assert np.allclose(sims, [-s for s, _ in want])
 
 
+def plain_toxicity(docs, labels, k=25):
+    """Score of each (id, text): cosines over all words with every example."""
+    words = {i: Counter(re.findall(r"[^\W_]+", (t or "").lower())) for i, t in docs}
+    df = Counter(w for c in words.values() for w in c)
+    y = {i: t for i, t in labels if i in words and zlib.crc32(str(i).encode()) % 5}
+    n, n1 = len(y), sum(y.values())
+    held, bad = Counter(w for i in y for w in words[i]), Counter(w for i in y if y[i] for w in words[i])
+
+    def weight(w):
+        p = held[w] / n
+        chi = (bad[w] / n1 - (held[w] - bad[w]) / (n - n1)) ** 2 / (p * (1 - p) * (1 / n1 + 1 / (n - n1))) if 0 < p < 1 else 0
+        return (math.log((len(docs) + 1) / (df[w] + 1)) + 1) * (1 + chi)
+    units = {}
+    for i, c in words.items():
+        v = {w: (1 + math.log(x)) * weight(w) for w, x in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        units[i] = {w: x / norm for w, x in v.items()}
+    prior = (n1 + 0.5) / (n + 1)
+
+    def vote(i, skip):
+        sims = [(round(sum(x * units[e].get(w, 0.0) for w, x in units[i].items()), 12), -e) for e in y if e != skip]
+        near = sorted((x for x in sims if x[0] > 0), reverse=True)[:k]
+        w = [1 / (1.05 - min(s, 1.0)) for s, _ in near]
+        return (sum(a for a, (_, e) in zip(w, near) if y[-e]) + prior) / (sum(w) + 1) if near else None
+    full = [i for i in y if words[i]]
+    slope, shift = toxicity.platt(np.array([prior if (v := vote(i, i)) is None else v for i in full]), np.array([float(y[i]) for i in full]))
+    bare = [y[i] for i in y if not words[i]]
+    out = {}
+    for i in words:
+        v = vote(i, None)
+        out[i] = (sum(bare) + prior) / (len(bare) + 1) if v is None else 1 / (1 + math.exp(-(slope * math.log(v / (1 - v)) + shift)))
+    return out
+
+
+def test_toxicity_reads_every_word(spark):
+    """Few examples without any decisive word: each document is still searched
+    over all its words, those that no example holds included."""
+    rows = labelled(spark, 90)
+    texts = [(i, t + f" only{i} rare{i % 40}") for i, t, _ in rows] + [(500, "idiot scum clown idiot scum"), (501, ""), (502, "unheard of")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    known = [(i, t) for i, _, t in rows if i < 60] + [(501, 0)]
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, spark.createDataFrame(known, "doc_id long, toxic int")).collect()}
+    want = plain_toxicity(texts, known)
+    assert got.keys() == want.keys() and all(abs(got[i].score - want[i]) < 1e-6 for i in want)
+    assert all(len(got[i].evidence) == 25 for i in range(90)) and len({round(got[i].score, 9) for i in range(90)}) > 45
+
+
 def span_text(found, kinds, key):
     return {r[key]: r.base_spans for r in spans.span_digest(found, [key], kinds).collect()}
 
