@@ -4,7 +4,8 @@ Random hyperplanes start a neighbour graph, rounds of neighbours-of-neighbours
 joins refine it.  A list whose neighbours all pass the threshold is saturated;
 it is enlarged to the whole component that the threshold edges connect, which
 is compared exactly, block against block.  An audit compares a sample with all
-vectors; below the wanted recall the graph gets more starting tables.
+vectors; below the wanted recall, of links or of a linked vector's links, the
+graph gets more starting tables, and in the end all vectors are compared.
 """
 
 from __future__ import annotations
@@ -235,7 +236,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     nothing, as do vectors of different lengths with each other.  Rows with a
     null id link with nothing and are kept.  Rows that repeat an id count as
     vectors each.  Refinement ends when a round adds less than a thousandth to
-    the threshold edges, or after ``rounds``.  Other columns are not read.
+    the threshold edges, or after ``rounds``.  If the audit still falls short of
+    ``recall`` after ``tries``, all vectors of a length are compared with each
+    other, block against block.  Other columns are not read.
     """
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -259,6 +262,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     n = classes.count()
     edges = cut(_audit(classes, threshold, sample), "nn-audit") if n else classes.selectExpr("node src", "node dst").limit(0)
     sampled = edges.count()
+    linked = max(1, edges.select("src").distinct().count())
+    known = edges.limit(0)
     for attempt in range(tries):
         lists = cut(_lists(_starting_pairs(classes, max(n, 1), threshold, k, miss, seed + attempt), k), "nn-lists")
         close = lists.where(F.col("sim") >= threshold - MARGIN).select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -271,14 +276,27 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
             lists, before, n_edges = better, n_edges, close.count()
             if n_edges - before <= before / 1000:
                 break
-        labels = connected_components(close.union(known) if attempt else close, "nn")
-        seen = edges.join(labels.toDF("src", "cs"), "src").join(labels.toDF("dst", "cd"), "dst").where("cs = cd").count()
-        if seen >= recall * sampled:
+        known = known.union(close)  # of all attempts
+        labels = connected_components(known, "nn")
+        seen = edges.join(labels.toDF("src", "cs"), "src").join(labels.toDF("dst", "cd"), "dst").where("cs = cd").select("src", "dst")
+        each = edges.groupBy("src").agg(F.count("*").alias("n")).join(
+            seen.groupBy("src").agg(F.count("*").alias("s")), "src", "left").agg(
+            F.sum("s").alias("s"), F.sum(F.coalesce("s", F.lit(0)) / F.col("n")).alias("share")).first()
+        whole = (each.s or 0) >= recall * sampled and (each.share or 0) >= recall * linked if sampled else True
+        if whole:
             break
-        known = close
+    if not whole:  # what the tables can't find is left to a comparison of all with all
+        labels = classes.select(F.col("node").alias("id"), F.octet_length("unit").cast("long").alias("component"))
+        counts, links = _within(labels, classes, threshold, rows=2048)
+        return _named(rows, classes, counts, links)
     # the audit's own links are true ones, too
     labels = connected_components(labels.select(F.col("id").alias("src"), F.col("component").alias("dst")).union(edges), "nn")
     counts, links = _within(labels, classes, threshold)
+    return _named(rows, classes, counts, links)
+
+
+def _named(rows: DataFrame, classes: DataFrame, counts: DataFrame, links: DataFrame) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of all rows from the exact links of the distinct vectors."""
     final = connected_components(links, "nn-final")
     named = classes.select("node", "key", "rep", "m").join(final.withColumnRenamed("id", "node"), "node", "left") \
         .withColumn("component", F.coalesce("component", "node")).join(counts, "node", "left")

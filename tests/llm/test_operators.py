@@ -102,6 +102,27 @@ def test_near_vectors(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_goes_on_until_the_audit_holds(spark, monkeypatch):
+    """Tables that find nothing leave the work to the comparison of all, and each
+    attempt adds to what the ones before it found."""
+    rng = np.random.default_rng(8)
+    rows = [list(map(float, v)) for x in rng.standard_normal((80, 32)) for v in (x, x + 0.01 * rng.standard_normal(32))]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    links, group = brute.near_vectors(rows)
+    want = {i: (links[i], group[i], group[i] == i) for i in range(len(rows))}
+    result = lambda **how: {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df, **how).collect()}
+    start = vectors._starting_pairs
+    part = lambda c, n, t, k, miss, seed, **how: start(c, n, t, k, miss, 7, **how).where(
+        F.pmod(F.xxhash64(F.least("a", "b"), F.greatest("a", "b")), F.lit(3)) == seed % 3)
+    whole = vectors._within
+    monkeypatch.setattr(vectors, "_starting_pairs", part)
+    monkeypatch.setattr(vectors, "_within", lambda l, c, t: whole(l, c, t))  # no comparison of all
+    assert result(sample=16, tries=3, rounds=0) == want
+    monkeypatch.setattr(vectors, "_within", whole)
+    monkeypatch.setattr(vectors, "_starting_pairs", lambda *a, **how: start(*a, **how).limit(0))
+    assert result(sample=16, tries=1) == want
+
+
 def test_within_compares_blocks(spark):
     """A component of several blocks is compared whole."""
     rng = np.random.default_rng(1)
