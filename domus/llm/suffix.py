@@ -333,7 +333,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     anchor = shards.select("d", "k", "shard", F.explode("anchors").alias("x")).select("d", "k", "shard", "x.*")
     across = cut(anchor.groupBy("h").agg(F.min("shard").alias("s0"), F.max("shard").alias("s1")).where("s0 < s1").select("h"),
                  "suffix-across")
-    lists = anchor.join(across, "h").groupBy("d", "k").agg(F.collect_set(F.struct("p", "lo", "hi")).alias("items"))
+    # a long text is hashed in pieces, and an anchor next to a cut owns windows on both sides of it
+    owned = anchor.join(across, "h").groupBy("d", "k", "p").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    lists = owned.groupBy("d", "k").agg(F.collect_list(F.struct("p", "lo", "hi")).alias("items"))
     lists = cut(lists, "suffix-lists")
     cells = cut(_stretches(rows, lists, length, chunk).withColumn("t", F.monotonically_increasing_id()),
                 "suffix-cells")

@@ -295,6 +295,18 @@ def test_suffix(docs, odd, empty, length, gram, chunk):
     assert suffix.remove_repeats(empty).count() == 0
 
 
+def test_suffix_anchor_across_a_piece_boundary(spark):
+    """Texts of several pieces share passages shorter than ``length`` that lie over the cuts."""
+    rng = random.Random(3)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    long = some(14000)
+    texts = [long] + [some(700) + long[at - 150:at + 150] + some(700) for at in range(700, 13000, 700)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(suffix.remove_repeats(df, shard_bytes=3000, step=700))
+    assert {d: r.n_removed for d, r in got.items()} == {d: r[1] for d, r in enumerate(brute.repeats(texts, 400))}
+    assert all(r.n_removed == 0 for r in got.values())
+
+
 def test_secrets(spark, docs, odd, empty, tmpdir_path):
     ledger = secret_scan.BlobLedger(spark, f"{tmpdir_path}/ledger")
     found = secret_scan.secret_scan(docs, ledger).withColumn("base", F.lit(True))
