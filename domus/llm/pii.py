@@ -1,17 +1,19 @@
 """Personal data by bootstrapped contextual extraction (DataFrame functions only).
 
-Base patterns find the seed entities.  The word before a seed is a lexical
-pattern; every token with a digit or an @ that follows the same word is an
-instance of that pattern.  Patterns and instances form a graph whose scores
-Spark computes in rounds: a pattern's score is the mean score of its distinct
-instances, an instance's score is that of the pattern's that vouch for it
-(noisy or).  Instances of confident patterns that no base pattern finds are
-added as spans.  Base spans always stay.
+Base patterns find the seed entities, whole spans of one or more words.  The
+word before a seed and the word after it are lexical patterns; every other
+token with a digit or an @, and every run of tokens that are numbers, is an
+unseen instance of the patterns next to it if no base span overlaps it.
+Patterns and instances form a graph whose scores Spark computes in rounds: a
+pattern's score is the mean score of its distinct instances, an instance's
+score is that of the patterns that vouch for it (noisy or), for a kind whose
+form it has.  Unseen instances of confident patterns are added as spans.  Base
+spans always stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from domus.llm.common import cut, lower_ascii, text_or_empty
@@ -25,10 +27,11 @@ KINDS = ("email", "ip", "card", "phone")
 # the same matches.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9](?:[\x20-]?[0-9])++"
 CARD_RUN = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"  # runs of 14 to 19 digits
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TOKEN = r"(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+"  # a word with a digit or an @
+NUMBER = r"[0-9][0-9().+/-]*+(?=[^\s0-9A-Za-z@]*+(?:\s|$))"  # up to a word's end, but for signs
+# numbers with a space between them, else a word with a digit or an @
+TOKEN = rf"(?<![^\s])(?:[+(]*+{NUMBER}(?:\x20[+(]*+{NUMBER})++|[^\s0-9@]*+[0-9@][^\s]*+)"
 
 
 def _digits(c: Column) -> Column:
@@ -64,41 +67,41 @@ def passes(kind: Column, value: Column) -> Column:
             .when(kind == "phone", n.between(10, 15)).otherwise(True))
 
 
-def seed_kind(token: Column) -> Column:
-    """Kind of the base entity that a single token holds or starts, else null."""
-    card = F.regexp_extract(token, CARD, 0)
-    ip = F.regexp_extract(token, IP, 0)
-    return (F.when(token.rlike(EMAIL), "email").when((ip != "") & _ip_ok(ip), "ip")
-            .when(passes(F.lit("card"), card), "card").when(token.rlike(r"^\+[0-9]"), "phone"))
+def has_form(kind: Column, token: Column) -> Column:
+    """Whether an unseen instance is written as the kind's entities are."""
+    return (F.when(kind.isin("card", "phone"), token.rlike(r"^[\x20()+./0-9-]+$"))
+            .when(kind == "ip", token.rlike(r"^[0-9A-Fa-f.:]+$") & token.rlike("[.:]"))
+            .otherwise(token.rlike("[A-Za-z]")))
 
 
-def bootstrap(tokens: DataFrame, rounds: int = 2, confidence: float = 0.9, support: int = 5) -> DataFrame:
+def bootstrap(instances: DataFrame, rounds: int = 2, confidence: float = 0.9, support: int = 5) -> DataFrame:
     """(token, kind): unseen identifiers that confident patterns vouch for.
 
-    ``tokens`` has token and pattern, one row per occurrence.  A pattern
-    counts each distinct token once, so copies of a text add nothing.  A
-    pattern is confident with a score of at least ``confidence`` and at least
-    ``support`` distinct instances found before.  Hot patterns combine inside
-    each task (sum and count), and the graph joins are plain equi-joins.
+    ``instances`` has pattern, token and seed, the kind of a base span or
+    null, one row per occurrence and pattern.  A pattern counts each distinct
+    token once, so copies of a text add nothing.  A pattern is confident with
+    a score of at least ``confidence`` and at least ``support`` distinct
+    instances found before.  Hot patterns combine inside each task (sum and
+    count), and the graph joins are plain equi-joins.
     """
-    edges = cut(tokens.select("pattern", "token").where((F.col("pattern") != "") & (F.col("token") != "")).distinct()
-                .withColumn("seed", seed_kind(F.col("token"))), "pii-edges")
-    known = edges.where(F.col("seed").isNotNull()).select("token", F.col("seed").alias("kind"),
-                                                          F.lit(1.0).alias("score")).distinct()
+    edges = cut(instances.select("pattern", "token", "seed").where((F.col("pattern") != "") & (F.col("token") != ""))
+                .distinct(), "pii-edges")
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    seeds = edges.where(F.col("seed").isNotNull()).groupBy("pattern", F.col("seed").alias("kind")) \
+        .agg(F.count("*").cast("double").alias("s"), F.count("*").alias("known"))
+    unseen = edges.where(F.col("seed").isNull()).select("pattern", "token")
+    scored = seeds
     for i in range(rounds):
-        scored = edges.select("pattern", "token").join(known, "token").groupBy("pattern", "kind") \
-            .agg(F.sum("score").alias("s"), F.count("*").alias("known"))
         good = scored.where(F.col("known") >= support).join(sizes, "pattern") \
             .select("pattern", "kind", (F.col("s") / F.col("n")).alias("p")).where(F.col("p") >= confidence)
-        fresh = edges.where(F.col("seed").isNull()).select("pattern", "token").join(good, "pattern") \
+        fresh = unseen.join(good, "pattern").where(has_form(F.col("kind"), F.col("token"))) \
             .groupBy("token", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9))))))
                                           .alias("score"))
         best = fresh.groupBy("token").agg(F.max(F.struct("score", "kind")).alias("b")) \
             .select("token", F.col("b.kind").alias("kind"), F.col("b.score").alias("score"))
         found = cut(best, f"pii-round{i}")
-        known = edges.where(F.col("seed").isNotNull()).select("token", F.col("seed").alias("kind"),
-                                                              F.lit(1.0).alias("score")).distinct().union(found)
+        more = unseen.join(found, "token").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count("*").alias("known"))
+        scored = seeds.union(more).groupBy("pattern", "kind").agg(F.sum("s").alias("s"), F.sum("known").alias("known"))
     return found.where(F.col("score") >= confidence).select("token", "kind")
 
 
@@ -120,20 +123,26 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
                .where((F.col("kind") == "token") | passes(F.col("kind"), F.col("value"))), "pii-hits")
     base = hits.where("kind <> 'token'").select("doc_id", "content", "kind", "start", "end", "value",
                                                 F.lit(True).alias("base"))
-    lead = F.length(F.regexp_extract("value", r"^[^0-9A-Za-z@+]*", 0))
-    core = F.regexp_replace(F.regexp_replace("value", r"^[^0-9A-Za-z@+]+", ""), r"[^0-9A-Za-z]+$", "")
-    tokens = hits.where("kind = 'token'").select(
-        "doc_id", "content", F.col("start") + lead, core.alias("token"),
-        lower_ascii(F.regexp_extract(F.col("before"), r"([^\s]+)\s*+$", 1)).alias("pattern")) \
-        .toDF("doc_id", "content", "start", "token", "pattern").where(F.length("token") >= 4)
-    unseen = bootstrap(tokens, rounds, confidence, support)
+    # base spans that begin before a token's end and end after its start, over the spans of one document
+    is_base = F.col("kind") != "token"
+    w = Window.partitionBy("doc_id", "content").rowsBetween(Window.unboundedPreceding, 0)
+    placed = hits.withColumn("reach", F.max(F.when(is_base, F.col("end"))).over(w.orderBy("start", ~is_base))) \
+        .withColumn("next", F.min(F.when(is_base, F.col("start"))).over(w.orderBy(F.desc("start"), ~is_base)))
+    free = placed.where(~is_base & (F.coalesce("reach", "start") <= F.col("start")) & (F.coalesce("next", "end") >= F.col("end")))
+    lead = F.length(F.regexp_extract("value", r"^[^0-9A-Za-z@+(]*", 0))
+    core = F.regexp_replace(F.regexp_replace("value", r"^[^0-9A-Za-z@+(]+", ""), r"[^0-9A-Za-z]+$", "")
+    tokens = free.select("doc_id", "content", (F.col("start") + lead).alias("start"), core.alias("token"), "before", "after")
+    normal = F.when(F.col("kind").isin("card", "phone"), _digits(F.col("value"))).otherwise(lower_ascii(F.col("value")))
+    left = F.concat(F.lit("< "), lower_ascii(F.regexp_extract("before", r"([^\s]+)\s*+$", 1)))
+    right = F.concat(F.lit("> "), lower_ascii(F.regexp_extract("after", r"^[^\s0-9A-Za-z]*+\s++([^\s]+)", 1)))
+    instances = hits.where(is_base).select(F.concat("kind", F.lit(" "), normal).alias("token"), F.col("kind").alias("seed"),
+                                           "before", "after") \
+        .union(tokens.select("token", F.lit(None).cast("string"), "before", "after")) \
+        .select("token", "seed", F.explode(F.array(left, right)).alias("pattern")).where(F.length("pattern") > 2)
+    unseen = bootstrap(instances, rounds, confidence, support)
     added = tokens.join(unseen, "token").select("doc_id", "content", "kind", "start",
                                                 (F.col("start") + F.length("token")).alias("end"),
                                                 F.col("token").alias("value"), F.lit(False).alias("base")).distinct()
-    b = base.select(F.col("doc_id").alias("_d"), F.col("content").alias("_c"), F.col("start").alias("_s"),
-                    F.col("end").alias("_e"))
-    added = added.join(b, added["doc_id"].eqNullSafe(b["_d"]) & (added["content"] == b["_c"])
-                       & (added["start"] < b["_e"]) & (b["_s"] < added["end"]), "left_anti")
     return rows, base.unionByName(added)
 
 

@@ -16,7 +16,7 @@ Rule = tuple[str, str, tuple[str, ...]]  # kind, Java pattern, strings of which
 
 def find_spans(df: DataFrame, keys: Sequence[str], rules: Sequence[Rule], text: str = "text",
                context: int = 0) -> DataFrame:
-    """(keys..., kind, start, end, value[, before]): leftmost non-overlapping
+    """(keys..., kind, start, end, value[, before, after]): leftmost non-overlapping
     matches of each rule in ``text``; start and end count code points, end
     exclusive.
 
@@ -25,7 +25,8 @@ def find_spans(df: DataFrame, keys: Sequence[str], rules: Sequence[Rule], text:
     stands before it add up to.  Lengths are summed in a window over one
     row key, so a group is one document's matches.  Rows with equal keys must
     have equal texts; they give one set of matches.  ``context`` adds the
-    last characters before a match.  Null or empty texts have no matches.
+    last characters before a match and the first ones after it, up to the
+    matches of the same rule next to it.  Null or empty texts have no matches.
     """
     keys = list(keys)
     found = []
@@ -39,15 +40,18 @@ def find_spans(df: DataFrame, keys: Sequence[str], rules: Sequence[Rule], text:
     for kind, rx, _ in rules:
         pieces = F.when(F.col("kind") == kind, F.split(F.col(text), rx, -1)).otherwise(pieces)
     rows = hits.select(*keys, "kind", F.posexplode(
-        F.arrays_zip(F.slice(pieces, 1, F.size("vals")).alias("piece"), F.col("vals").alias("value"))))
+        F.arrays_zip(F.slice(pieces, 1, F.size("vals")).alias("piece"), F.col("vals").alias("value"), *(
+            [F.transform(F.slice(pieces, 2, F.size("vals")), lambda x: F.substring(x, 1, context)).alias("after")]
+            if context else []))))
     cols = [F.length("col.piece").alias("gap"), F.col("col.value").alias("value")]
     if context:
         cols.append(F.substring(F.col("col.piece"), -context, context).alias("before"))
+        cols.append(F.coalesce("col.after", F.lit("")).alias("after"))
     rows = rows.select(*keys, "kind", "pos", *cols).distinct()
     w = Window.partitionBy(*keys, "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("value")).over(w)
     rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("value"))
-    return rows.select(*keys, "kind", "start", "end", "value", *(["before"] if context else []))
+    return rows.select(*keys, "kind", "start", "end", "value", *(["before", "after"] if context else []))
 
 
 def span_digest(df: DataFrame, keys: Sequence[str], kinds: Sequence[str]) -> DataFrame:

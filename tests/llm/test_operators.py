@@ -284,6 +284,21 @@ def test_pii_bootstrap(spark):
     assert found.where("base").count() == 30
 
 
+def test_pii_bootstrap_from_whole_spans(spark):
+    """Phones and cards written with spaces are seeds, and unseen ones of several words are found."""
+    def card(i):
+        body = f"453914880343{i:03d}"
+        return next(body + c for c in "0123456789" if brute._luhn(body + c))
+    spaced = lambda n: " ".join(n[i:i + 4] for i in range(0, 16, 4))
+    rows = [(i, f"please ring +1 (743) 555-38{i:02d} today, paid with {spaced(card(i))}, on day {i}") for i in range(30)]
+    wrong = spaced(card(7)[:-1] + str((int(card(7)[-1]) + 1) % 10))
+    rows += [(50, "please ring (743) 555 3999 today"), (51, f"paid with {wrong}, on")]
+    _, found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))
+    added = sorted((r.doc_id, r.kind, r.value) for r in found.where("not base").collect())
+    assert added == [(50, "phone", "(743) 555 3999"), (51, "card", wrong)]
+    assert found.where("base").count() == 60
+
+
 @pytest.mark.parametrize("length,gram,chunk", [(400, 128, 32), (24, 8, 5), (60, 59, 1)])
 def test_suffix(docs, odd, empty, length, gram, chunk):
     texts = make_texts()
