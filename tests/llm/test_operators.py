@@ -460,3 +460,16 @@ def test_minhash_id_filter(spark):
     inside = rows["id"].isin([r.id for r in ids.collect()]).to_numpy()
     assert ok[inside].all() and ok[~inside].mean() < 0.02
     assert not minhash.IdFilter(ids.limit(0), "id").may_hold(rows["h"].to_numpy()).any()
+
+
+def test_pipeline_rejects_toxic(spark, tmpdir_path):
+    """The toxicity stage against the plain version, on a table where documents go."""
+    import corpus_pipeline as pipeline
+    rows = labelled(spark, 200)
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t, _ in rows], "doc_id long, text string, n_chars long")
+    spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int").write.parquet(f"{tmpdir_path}/labels.parquet")
+    left = {r.doc_id for r in dict(pipeline.STAGES)["toxicity"](spark, docs, tmpdir_path).collect()}
+    want = plain_toxicity([r[:2] for r in rows], [(i, t) for i, _, t in rows])
+    assert left == {i for i, score in want.items() if score < 0.5}
+    toxic, clean = {i for i, _, t in rows if t}, {i for i, _, t in rows if not t}
+    assert len(toxic - left) >= 0.95 * len(toxic) and len(clean & left) >= 0.95 * len(clean)
