@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domus.llm import bpe, line_dedup, minhash, packing, pii, secret_scan, spans, suffix, topk, toxicity, vectors
+from domus.llm import bpe, line_dedup, merkle, minhash, packing, pii, secret_scan, spans, suffix, topk, toxicity, vectors
 from domus.llm.common import read, tokenizer_path
+from domus.llm.merkle_sql import merkle_sql
 from domus.session import scratch_path
 
 
@@ -81,6 +82,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(read(spark, sf_dir, "documents")).select(
+        "doc_id", "leaf", "subroot", "root", sha(merkle.proof_of(F.col("path"))).alias("proof_sha256"),
+        "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_embeddings": op2_embeddings,
@@ -92,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_minhash": op9_minhash,
     "op10_packing": op10_packing,
+    "op11_merkle": op11_merkle,
 }
 
 _SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -120,4 +128,5 @@ s AS (
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op11_merkle": merkle_sql(),
 }
