@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domus.llm import bpe, line_dedup, merkle, minhash, packing, pii, secret_scan, spans, suffix, topk, toxicity, vectors
+from domus.llm import (bpe, graph_index, line_dedup, merkle, minhash, packing, pii, secret_scan, spans, suffix, topk,
+                       toxicity, vectors, whitening)
 from domus.llm.common import read, tokenizer_path
 from domus.llm.merkle_sql import merkle_sql
 from domus.session import scratch_path
@@ -88,6 +89,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "folded_root", "verified")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings")) \
+        .withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op13_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_index.nearest_neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0) \
+        .select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score", "recall")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_embeddings": op2_embeddings,
@@ -100,6 +111,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_packing": op10_packing,
     "op11_merkle": op11_merkle,
+    "op12_whitening": op12_whitening,
+    "op13_ann": op13_ann,
 }
 
 _SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
