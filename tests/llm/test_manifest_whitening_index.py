@@ -106,7 +106,8 @@ def eigen(x):
 
 
 def frame(spark, vectors, ids=None):
-    rows = [(i, v, 1.5, "x") for i, v in zip(ids or range(len(vectors)), vectors)]
+    floats = [None if v is None else [None if c is None else float(c) for c in v] for v in vectors]
+    rows = [(i, v, 1.5, "x") for i, v in zip(ids or range(len(vectors)), floats)]
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, x double, component string").repartition(3)
 
 
@@ -231,7 +232,7 @@ def test_graph_reaches_every_node_and_prunes():
     assert all(len(set(g[g >= 0])) == (g >= 0).sum() for g in graph)
     line = np.array([[1, 0], [0.999, 0.0447], [0.995, 0.0999], [0, 1]], np.float32)
     kept = graph_index.robust_prune(line, np.array([0]), np.array([[1, 2, 3, 1]]), 3, 1.2)
-    assert kept.tolist() == [[1, -1, -1]]  # 1 stands for 2 and for 3
+    assert kept.tolist() == [[1, 3, -1]]  # 1 stands for 2, but is not enough closer to 3
 
 
 def test_registered_index_finds_nearly_all(spark):
