@@ -13,9 +13,13 @@ must be re-readable in the same order (files, or a staged copy).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from domus.session import materialize
+
 LOW_BITS = 40
 MAX_BATCH = (1 << (63 - LOW_BITS)) - 1
 
@@ -35,3 +39,21 @@ def with_batch_ids(df: DataFrame, batch_no: int, id_col: str = "listing_id") ->
     inside = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
     new_id = F.lit(batch_no << LOW_BITS).cast("long") + F.col("_off") + inside
     return joined.withColumn(id_col, new_id).drop("_pid", "_mid", "_off")
+
+
+def with_next_ids(df: DataFrame, order: Sequence[str], id_col: str, start: int) -> DataFrame:
+    """``df`` with dense ids from ``start`` by ascending ``order``.
+
+    The rows are range-partitioned, so none but the counts of the partitions
+    meet in one task.  They are staged with their places first, because a
+    range partitioner may cut a second evaluation elsewhere.
+    """
+    placed = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()), "next-ids")
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    firsts = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")) \
+        .select("_pid", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return placed.join(F.broadcast(firsts), "_pid") \
+        .withColumn(id_col, F.lit(start).cast("long") + F.col("_off") + F.col("_mid") - F.col("_first")) \
+        .drop("_pid", "_mid", "_first", "_off")

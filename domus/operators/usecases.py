@@ -175,16 +175,19 @@ def uc4_sorted_by_city(listings: DataFrame, city: str = DEFAULT_CITY, state: str
 
 def uc4_price_analysis(listings: DataFrame, postal_code: str = DEFAULT_POSTAL_CODE,
                        below_avg_pct: float = DEFAULT_BELOW_AVG_PCT, city: str = DEFAULT_CITY,
-                       state: str | None = None) -> dict[str, DataFrame]:
+                       state: str | None = None, require_positive_price: bool = True,
+                       validate: bool = False) -> dict[str, DataFrame]:
+    """Both parts of UC4; ``require_positive_price`` and ``validate`` hold for each."""
     return {
-        "below_threshold": uc4_below_threshold(listings, postal_code, below_avg_pct),
-        "sorted_by_city": uc4_sorted_by_city(listings, city, state),
+        "below_threshold": uc4_below_threshold(listings, postal_code, below_avg_pct, require_positive_price, validate),
+        "sorted_by_city": uc4_sorted_by_city(listings, city, state, require_positive_price, validate),
     }
 
 
 def uc4_json_rows(listings: DataFrame, postal_code: str = DEFAULT_POSTAL_CODE,
                   below_avg_pct: float = DEFAULT_BELOW_AVG_PCT, city: str = DEFAULT_CITY,
-                  state: str | None = None) -> DataFrame:
+                  state: str | None = None, require_positive_price: bool = True,
+                  validate: bool = False) -> DataFrame:
     """Both UC4 result lists as JSON documents, one row per listing.
 
     Columns: ``part`` ('below_threshold' / 'sorted_by_city'), ``sort_value``
@@ -194,8 +197,8 @@ def uc4_json_rows(listings: DataFrame, postal_code: str = DEFAULT_POSTAL_CODE,
     gathered into one row, so a zip or city with millions of listings stays
     distributed.
     """
-    bt = uc4_below_threshold(listings, postal_code, below_avg_pct)
-    sc = uc4_sorted_by_city(listings, city, state)
+    parts = uc4_price_analysis(listings, postal_code, below_avg_pct, city, state, require_positive_price, validate)
+    bt, sc = parts["below_threshold"], parts["sorted_by_city"]
 
     def as_docs(df: DataFrame, part: str, sort_col: str) -> DataFrame:
         return df.select(F.lit(part).alias("part"), F.col(sort_col).alias("sort_value"), "listing_id",

@@ -554,3 +554,53 @@ SELECT event_id AS "index",
        CASE WHEN {_some} THEN 3::BIGINT ELSE 0 END AS n_samples
 FROM events"""
 ORACLE["runs_by_timestamp"] = RUNS_CTE + 'SELECT * FROM recs ORDER BY "timestamp", database, usecase_number'
+
+# ---------------------------------------------------------------- loads into a star
+def _batch_sql(where: str, n: int, changed: bool) -> str:
+    price = ("CAST(CAST(CAST(price AS DECIMAL(16,2)) * CAST(1.10 AS DECIMAL(8,2)) AS DECIMAL(16,2)) AS DOUBLE)"
+             if changed else "price")
+    return (f"SELECT * REPLACE (CASE WHEN listing_id % {n} = 0 THEN 'withdrawn' ELSE status END AS status, "
+            f"{price} AS price, {'CAST(bed + 1 AS INTEGER)' if changed else 'bed'} AS bed) FROM L WHERE {where}")
+
+
+_KNOWN = "status IN ('for_sale', 'ready_to_build', 'sold')"
+_LOADS_CTE = f"""
+b1 AS ({_batch_sql('zip_code < 11800', 97, False)}),
+b2 AS ({_batch_sql('zip_code >= 11200', 89, True)}),
+v1 AS (SELECT * FROM b1 WHERE {_KNOWN}),
+v2 AS (SELECT * FROM b2 WHERE {_KNOWN}),
+s1 AS (SELECT state, row_number() OVER (ORDER BY state) AS state_id FROM (SELECT DISTINCT state FROM v1)),
+s2 AS (SELECT state, (SELECT count(*) FROM s1) + row_number() OVER (ORDER BY state) AS state_id
+       FROM (SELECT DISTINCT state FROM v2 WHERE state NOT IN (SELECT state FROM s1))),
+s AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2),
+c1 AS (SELECT city, state_id, row_number() OVER (ORDER BY city, state_id) AS city_id
+       FROM (SELECT DISTINCT city, state_id FROM v1 JOIN s USING (state))),
+c2 AS (SELECT city, state_id, (SELECT count(*) FROM c1) + row_number() OVER (ORDER BY city, state_id) AS city_id
+       FROM (SELECT DISTINCT city, state_id FROM v2 JOIN s USING (state)
+             WHERE (city, state_id) NOT IN (SELECT city, state_id FROM c1))),
+c AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2),
+kept AS (SELECT * FROM v1 UNION ALL SELECT * FROM v2 WHERE listing_id NOT IN (SELECT listing_id FROM v1)),
+e1 AS (SELECT * FROM v1 WHERE bed IS NOT NULL OR bath IS NOT NULL OR house_size_sqm IS NOT NULL),
+e2 AS (SELECT * FROM v2 WHERE bed IS NOT NULL OR bath IS NOT NULL OR house_size_sqm IS NOT NULL),
+e AS (SELECT * FROM e2 UNION ALL SELECT * FROM e1 WHERE listing_id NOT IN (SELECT listing_id FROM e2)),
+d AS (SELECT * FROM v2 WHERE lot_size_sqm IS NOT NULL UNION ALL SELECT * FROM v1
+      WHERE lot_size_sqm IS NOT NULL AND listing_id NOT IN (SELECT listing_id FROM v2 WHERE lot_size_sqm IS NOT NULL))"""
+
+ORACLE["star_incremental_load"] = with_listings("""
+SELECT k.listing_id, k.brokered_by, k.status, k.price, k.prev_sold_date, e.bed, e.bath, e.house_size_sqm,
+       d.lot_size_sqm, k.street, k.zip_code, k.city, k.state, c.city_id, s.state_id
+FROM kept k JOIN s ON s.state = k.state JOIN c ON c.city = k.city AND c.state_id = s.state_id
+LEFT JOIN e ON e.listing_id = k.listing_id LEFT JOIN d ON d.listing_id = k.listing_id""", _LOADS_CTE)
+
+ORACLE["star_load_counts"] = with_listings("""
+SELECT CAST(1 AS BIGINT) AS load, (SELECT count(*) FROM b1) AS n_rows,
+       (SELECT count(*) FROM b1) - (SELECT count(*) FROM v1) AS n_quarantined, (SELECT count(*) FROM v1) AS n_new,
+       CAST(0 AS BIGINT) AS n_updated, (SELECT count(*) FROM b1 WHERE status = 'withdrawn') AS n_bad_status
+UNION ALL
+SELECT 2, (SELECT count(*) FROM b2), (SELECT count(*) FROM b2) - (SELECT count(*) FROM v2),
+       (SELECT count(*) FROM v2 WHERE listing_id NOT IN (SELECT listing_id FROM v1)),
+       (SELECT count(*) FROM e2 WHERE bed IS NOT NULL AND listing_id IN (SELECT listing_id FROM e1)),
+       (SELECT count(*) FROM b2 WHERE status = 'withdrawn')
+UNION ALL
+SELECT 3, (SELECT count(*) FROM b2), (SELECT count(*) FROM b2) - (SELECT count(*) FROM v2), 0, 0,
+       (SELECT count(*) FROM b2 WHERE status = 'withdrawn')""", _LOADS_CTE)

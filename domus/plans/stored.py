@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from domus.functions.measures import adjust_price
 from domus.operators import cleaning as cl
 from domus.operators import documents as doc
 from domus.operators import quality as qa
@@ -20,6 +21,7 @@ from domus.plans.catalog import register
 from domus.plans.engine import ListingsEngine
 from domus.session import scratch_path
 from domus.sinks import writers
+from domus.sinks.star_load import Star
 from domus.sources.derived import clean_csv_text, raw_listings_text
 from domus.sources.files import FILE_ORDER, read_clean_csv, read_raw_csv
 from domus.sources.runs import runs_from_events, runs_with_samples
@@ -70,6 +72,40 @@ def q_star_counts(spark, sf_dir):
     return reduce(lambda a, b: a.union(b), counts)
 
 
+def _star_batches(spark, sf_dir):
+    """Two overlapping batches of the listings, the later one with other prices and beds;
+    some rows of each have a status that the star doesn't know."""
+    lst, k = listings_from_tables(spark, sf_dir), F.col("listing_id")
+    unknown = lambda n: F.when(k % n == 0, F.lit("withdrawn")).otherwise(F.col("status"))
+    first = lst.where("zip_code < 11800").withColumn("status", unknown(97))
+    later = lst.where("zip_code >= 11200").withColumn("status", unknown(89)) \
+        .withColumn("price", adjust_price(0.10)).withColumn("bed", F.col("bed") + 1)
+    return first, later
+
+
+@register("star_incremental_load")
+def q_star_incremental(spark, sf_dir):
+    """An overlapping batch loaded into the star of the first one; the
+    details as read back, with the ids of city and state."""
+    star = Star(spark, scratch_path(spark, "star-loads"))
+    for batch in _star_batches(spark, sf_dir):
+        star.load(batch)
+    t = star.tables()
+    ids = t["addresses"].join(t["cities"], "city_id").select("listing_id", "city_id", "state_id")
+    return st.listing_details(t).join(ids, "listing_id")
+
+
+@register("star_load_counts")
+def q_star_loads(spark, sf_dir):
+    """What each load counted; the third one is the second batch again."""
+    star = Star(spark, scratch_path(spark, "star-loads"))
+    first, later = _star_batches(spark, sf_dir)
+    for batch in (first, later, later):
+        star.load(batch)
+    bad = star.quarantine().where("reasons = 'status'").groupBy("load").agg(F.count(F.lit(1)).alias("n_bad_status"))
+    return star.loads().join(bad, "load", "left")
+
+
 @register("check_unique_keys")
 def q_unique_keys(spark, sf_dir):
     """V4: key values that a star table holds more than once, for every key."""
