@@ -7,6 +7,8 @@ with one reason per failed field instead of being dropped silently.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,9 +137,10 @@ def _reasons() -> Column:
     return F.array_compact(F.array(*[F.when(fn(name), F.lit(name)) for name, fn in checks]))
 
 
-def parse_listings_with_reasons(text: DataFrame, order_col: str = "src_pos") -> DataFrame:
-    """Typed record columns plus ``reasons`` (array of failed mandatory fields)."""
-    parsed = text.select(F.col(order_col), *_parse_columns(text))
+def parse_listings_with_reasons(text: DataFrame, order_col: str = "src_pos", keep: Sequence[str] = ()) -> DataFrame:
+    """Typed record columns plus ``reasons`` (array of failed mandatory fields) and the
+    columns to ``keep``."""
+    parsed = text.select(F.col(order_col), *_parse_columns(text), *keep)
     return parsed.withColumn("reasons", _reasons())
 
 
@@ -154,12 +157,12 @@ def parse_listings(text: DataFrame, order_col: str = "src_pos") -> tuple[DataFra
     return valid, rejects
 
 
-def to_wide_listing(records: DataFrame, id_col: str = "src_pos") -> DataFrame:
+def to_wide_listing(records: DataFrame, id_col: str = "src_pos", keep: Sequence[str] = ()) -> DataFrame:
     """Typed records -> wide listing schema (id from the source position)."""
     return records.select(
         F.col(id_col).cast("bigint").alias("listing_id"),
         F.col("brokered_by").try_cast("int").alias("brokered_by"),
         "status", "price", "lot_size_sqm", "street", "city", "state",
         F.col("zip_code").cast("int").alias("zip_code"), "bed", "bath", "house_size_sqm",
-        F.col("prev_sold_date").cast("date").alias("prev_sold_date"),
+        F.col("prev_sold_date").cast("date").alias("prev_sold_date"), *keep,
     )

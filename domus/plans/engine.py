@@ -1,275 +1,127 @@
-"""``ListingsEngine``: the use-case contract over a versioned wide table.
-
-Table state = base segments + patch segments, one JSON record per version in
-``<base>/state``.  A change re-reads the newest version, writes its data
-files, and then creates the next version's record exclusively: a failed job
-never exposes partial data, and of two engines that commit at a time one sees
-the other's version and builds on it.
-
-* UC7 import writes the new rows as one more clustered base segment.
-* UC2 writes only the changed rows as a patch segment, stamped with the version.
-* Reads apply patches: the newest patch row per id, anti-joined against the
-  base and unioned.
-* UC3 records ``solar_panels`` for the segments present when it runs, evaluated
-  on read; rows imported later have NULL, before and after ``compact()``.
-* After ``max_patches`` patches they are merged into one; the base is
-  rewritten by ``compact()`` only.
+"""``ListingsEngine``: the use-case contract over plain partitioned Parquet.
+
+The table is ``<base>/rows``, partitioned by import, kind of line and part of
+the brokers, sorted by city inside.  An import writes its own partitions and
+is seen when its record under ``<base>/imports`` is written, last.  UC2 and
+UC3 replace the partitions that hold changed rows: UC2 those of one broker's
+part, UC3, which fills a column of every row, all of them.  A table has one
+writer at a time; a reader that is replaced under asks for ``table()`` again.
 """
 
 from __future__ import annotations
 
-import json
-import time
-import uuid
-
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domus.functions.ids import with_batch_ids
+from domus import params
 from domus.operators import usecases as uc
-from domus.operators.cleaning import parse_listings_with_reasons, to_wide_listing
-from domus.functions.measures import random_flag
 from domus.operators.joins import first_per_group, null_safe_match
+from domus.operators.mutate import add_column_if_missing
 from domus.schema import (
     DEFAULT_BELOW_AVG_PCT, DEFAULT_BROKER_ID, DEFAULT_CITY, DEFAULT_LIMIT, DEFAULT_MAX_PRICE,
     DEFAULT_MAX_SIZE_SQM, DEFAULT_MIN_BEDROOMS, DEFAULT_MIN_LISTINGS, DEFAULT_PERCENT_DELTA,
-    DEFAULT_POSTAL_CODE, LISTING,
+    DEFAULT_POSTAL_CODE, LISTING, LISTING_COLUMNS,
 )
-from domus.session import materialize
-from domus.sinks.writers import clustered
-from domus.sources.files import read_clean_csv
-
-EMPTY = {"seq": 0, "base": [], "patch": [], "imports": 0, "computed": {}, "row_count": 0}
-
-
-class StateConflict(RuntimeError):
-    """Another writer kept committing, or left an unfinished version."""
-
-
-# Columns that are a deterministic function of the stored row: recorded in the
-# table state and evaluated on read (metadata-only schema evolution);
-# ``compact()`` stores them physically.
-COMPUTED_COLUMNS = {
-    "solar_panels": lambda: random_flag("listing_id"),
-}
+from domus.session import materialize, path_exists
+from domus.sinks import imports
+from domus.sinks.partitioned import change_rows, read_table, replace_partitions
 
 # Natural key of a listing: two rows equal on it are the same listing
 # (used by the duplicate policy of imports; NULLs compare equal).
 NATURAL_KEY = ("brokered_by", "status", "price", "prev_sold_date", "street", "zip_code", "city", "state")
+SOLAR = "solar_panels"
+STORED = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in LISTING.fields), f"{SOLAR} boolean", imports.ORIGIN,
+                    "import_no int, kind string, broker_part int"])
 
 
 class ListingsEngine:
-    def __init__(self, spark: SparkSession, base_path: str, max_patches: int = 32):
-        """``max_patches``: after this many patch segments they are merged into one."""
-        self.spark = spark
-        self.base = base_path.rstrip("/")
-        self.max_patches = max_patches
-        self._state = self._load_state()
-        self._table: tuple[int, DataFrame] | None = None  # (state seq, DataFrame) of the current state
-
-    # ------------------------------------------------------------ state
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, base_path: str, broker_parts: int = 16):
+        """``broker_parts``: folders of an import that its brokers are dealt to."""
+        self.spark, self.base, self.broker_parts = spark, base_path.rstrip("/"), broker_parts
 
-    def _versions(self) -> list[tuple[int, int]]:
-        """(number, bytes) of the version records, oldest first; only a missing
-        folder means no table, any other fault is raised."""
-        p, fs = self._fs(f"{self.base}/state")
-        if not fs.exists(p):
-            return []
-        names = [(f.getPath().getName(), f.getLen()) for f in fs.listStatus(p)]
-        return sorted((int(n[1:-5]), size) for n, size in names if n.startswith("v") and n.endswith(".json"))
+    # ------------------------------------------------------------ the table
+    @property
+    def rows_path(self) -> str:
+        return f"{self.base}/rows"
 
-    def _record(self, seq: int) -> str:
-        return f"{self.base}/state/v{seq:020d}.json"
+    def imports(self) -> DataFrame:
+        """Counts of each import: lines that were valid, rejected and skipped."""
+        return read_table(self.spark, f"{self.base}/imports", "import_no int, imported long, rejected long, skipped long, stored long")
 
-    def _load_state(self) -> dict | None:
-        written = [seq for seq, size in self._versions() if size]
-        if not written:
-            return None
-        if getattr(self, "_state", None) and self._state["seq"] == written[-1]:
-            return self._state
-        p, fs = self._fs(self._record(written[-1]))
-        stream = fs.open(p)
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+    def stored(self) -> DataFrame:
+        """All lines of all finished imports, with their kind and origin."""
+        last = self.imports().agg(F.max("import_no")).first()[0] or 0
+        return read_table(self.spark, self.rows_path, STORED).where(F.col("import_no") <= last)
 
-    def _commit(self, change, tries: int = 20) -> dict:
-        """Create the next version from the newest one; ``change`` maps a state to the
-        fields that it sets, and is asked again if another writer was first."""
-        for i in range(tries):
-            versions = self._versions()
-            if versions and not versions[-1][1]:  # being written, or left by a writer that died
-                time.sleep(0.1 * (i + 1))
-                continue
-            prev = self._load_state() or dict(EMPTY)
-            new = {**prev, **change(prev), "seq": (versions[-1][0] if versions else 0) + 1}
-            p, fs = self._fs(self._record(new["seq"]))
-            try:
-                out = fs.create(p, False)
-            except Py4JJavaError as e:
-                if "FileAlreadyExists" in e.java_exception.getClass().getName():
-                    continue
-                raise
-            out.write(json.dumps(new).encode())
-            out.close()
-            self._state = new
-            return new
-        raise StateConflict(f"{self.base}: no version could be committed")
+    def _listings(self) -> DataFrame:
+        """The listings with the columns that place them."""
+        return self.stored().where(F.col("kind") == imports.VALID)
 
-    def _segment(self, df: DataFrame, kind: str, max_rows_per_file: int = 0) -> str:
-        path = f"{self.base}/{kind}-{uuid.uuid4().hex}"
-        w = df.write
-        if max_rows_per_file:
-            w = w.option("maxRecordsPerFile", max_rows_per_file)
-        w.parquet(path)
-        return path
-
-    def current_state(self) -> dict | None:
-        self._state = self._load_state()
-        return self._state
+    def _has_solar(self) -> bool:
+        return path_exists(self.spark, f"{self.base}/columns/{SOLAR}")
 
     def table(self) -> DataFrame:
-        """The current table (base segments with patches applied).
+        """The listings; with ``solar_panels`` once UC3 has run (NULL in rows imported later)."""
+        return self._listings().select(*LISTING_COLUMNS, *([SOLAR] if self._has_solar() else []))
 
-        A state never changes once committed, so its (lazy) DataFrame is built
-        once and reused by every read of that state.
-        """
-        state = self.current_state()
-        if not state or not state["base"]:
-            return self.spark.createDataFrame([], LISTING)
-        if self._table is None or self._table[0] != state["seq"]:
-            self._table = (state["seq"], self._build_table(state))
-        return self._table[1]
-
-    def _build_table(self, state: dict) -> DataFrame:
-        base = self._read_segments(state, state["base"])
-        if state["patch"]:
-            latest = self._latest_patches(state).drop("_seq")
-            kept = base.join(latest.select("listing_id"), "listing_id", "left_anti")
-            base = kept.unionByName(latest, allowMissingColumns=True).select(*base.columns)
-        return base
-
-    def _latest_patches(self, state: dict) -> DataFrame:
-        patches = self._read_segments(state, state["patch"])
-        if len(state["patch"]) == 1:
-            return patches  # one patch holds each id at most once
-        return first_per_group(patches, ["listing_id"], [-F.col("_seq")])
-
-    def _read_segments(self, state: dict, paths: list[str]) -> DataFrame:
-        """Union of segments by column name, with the computed columns of those that
-        have them; a column missing in a segment reads as NULL.
-
-        Segments are read one by one (schema from their own footer) instead of
-        a schema-merging scan, which would launch a footer job on every read.
-        """
-        out = None
-        for p in paths:
-            df = self.spark.read.parquet(p)
-            for name, segments in state["computed"].items():
-                if p in segments:
-                    df = df.withColumn(name, COMPUTED_COLUMNS[name]())
-            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-        return out
-
-    @staticmethod
-    def _without(state: dict, old: set[str]) -> dict:
-        return {name: kept for name, segments in state["computed"].items()
-                if (kept := [p for p in segments if p not in old])}
+    def rejects(self, import_no: int) -> DataFrame:
+        """(src_file, line, reasons, line_text) of an import's rejected lines."""
+        return imports.rejects_with_lines(self.stored().where(F.col("import_no") == import_no))
 
     def reset_database(self) -> None:
-        seg = self._segment(self.spark.createDataFrame([], LISTING), "base")
-        self._commit(lambda s: {"base": [seg], "patch": [], "computed": {}, "row_count": 0})
-
-    def compact(self) -> None:
-        """Rewrite base + patches (+ computed columns) into one clustered base segment."""
-        table, old = self.table(), self._state
-        if not old:
-            return
-        seg, gone = self._segment(clustered(table), "base"), {*old["base"], *old["patch"]}
-        self._commit(lambda s: {"base": [seg, *(p for p in s["base"] if p not in gone)],
-                                "patch": [p for p in s["patch"] if p not in gone], "computed": self._without(s, gone)})
-
-    def merge_patches(self) -> None:
-        """Rewrite all patches into one; the base stays as it is."""
-        old = self.current_state()
-        if not old or len(old["patch"]) < 2:
-            return
-        seg, gone = self._segment(self._latest_patches(old), "patch"), set(old["patch"])
-        self._commit(lambda s: {"patch": [seg, *(p for p in s["patch"] if p not in gone)],
-                                "computed": self._without(s, gone)})
+        """Remove the table's rows, records and added columns; ids start again."""
+        for name in ("imports", "columns", "rows"):  # the records first: without them no row is seen
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def get_total_count(self) -> int:
-        """Rows in the table, kept in the state (imports count what they write)."""
-        state = self.current_state()
-        return int(state["row_count"]) if state else 0
+        return self._listings().count()  # from the files' footers
 
     # ------------------------------------------------------------ UC7
-    def usecase7_bulk_import(self, data: DataFrame | str, batch_size: int = 0,
-                             on_duplicate: str = "append", keep_rejects: bool = False) -> dict[str, int]:
+    def usecase7_bulk_import(self, data: DataFrame | str, batch_size: int = 0, on_duplicate: str = "append") -> dict[str, int]:
         """Import cleaned-CSV text (a path, or a text DataFrame).
 
-        Valid rows become a new clustered base segment, written in files of at
-        most ``batch_size`` rows (0 = no cap); rejects are counted.
-        Ids are (import number << 40) + position of the input row in the
-        import: unique by construction and identical when a task is retried.
-        ``on_duplicate="append"`` imports every valid row; ``"skip"`` keeps the
-        first row per natural key (``NATURAL_KEY``, NULLs equal) and drops
-        keys already in the table.  Returns {'imported', 'rejected'} (imported = parsed valid
-        rows before the duplicate policy).
+        One pass over the input writes valid listings, rejects and skipped
+        lines (``sinks.imports``), in files of at most ``batch_size`` rows (0 =
+        no cap).  Ids are unique by construction and the same when a task is
+        run again.  ``on_duplicate="append"`` imports every valid row; with
+        ``"skip"`` the first row per natural key (``NATURAL_KEY``, NULLs equal)
+        stays and keys already in the table are dropped, which takes a staged
+        copy.  Returns {'imported', 'rejected'}, imported before that policy.
         """
         if on_duplicate not in ("append", "skip"):
             raise ValueError("on_duplicate must be 'append' or 'skip'")
         if not isinstance(batch_size, int) or batch_size < 0:
             raise ValueError("batch_size must be a non-negative integer")
-        if isinstance(data, str):
-            text = read_clean_csv(self.spark, data)
-        else:
-            # ids need an input that re-reads in the same order: stage it once
-            text = materialize(data, "import-stage")
-        # the number is taken before the ids are given out, so no two imports share it
-        import_no = self._commit(lambda s: {"imports": s["imports"] + 1})["imports"]
-        # ids over the input rows (the counting pass reads no columns); rejected
-        # rows leave gaps, valid rows keep unique ids
-        text = with_batch_ids(text, import_no, "src_pos")
-        parsed = parse_listings_with_reasons(text)
-        obs = Observation("uc7")
-        ok = F.size("reasons") == 0
-        parsed = parsed.observe(obs, F.count(F.when(ok, F.lit(1))).alias("imported"),
-                                F.count(F.when(~ok, F.lit(1))).alias("rejected"))
-        new_rows = to_wide_listing(parsed.where(ok).drop("reasons"))
+        number = self._next_import()
+        rows = imports.parsed_lines(data, number, self.spark, self.broker_parts)
+        dropped = 0
         if on_duplicate == "skip":
-            new_rows = first_per_group(new_rows, list(NATURAL_KEY), ["listing_id"])
-            if self.current_state()["base"]:
-                known = self.table().select(*NATURAL_KEY).dropDuplicates()
-                new_rows = null_safe_match(new_rows, known, [], list(NATURAL_KEY), how="left_anti")
-        written_obs = Observation("uc7_written")
-        new_rows = new_rows.observe(written_obs, F.count(F.lit(1)).alias("n"))
-        seg = self._segment(clustered(new_rows), "base", batch_size)
-        try:
-            written = int(written_obs.get["n"])
-        except Exception:  # metrics not reported: count the new segment
-            written = self.spark.read.parquet(seg).count()
-        self._commit(lambda s: {"base": [*s["base"], seg], "row_count": s["row_count"] + written})
-        self.last_rejects_path = None
-        if keep_rejects:
-            bad = parse_listings_with_reasons(text).where(~ok).select(
-                F.col("src_pos").alias("row_id"), F.array_join("reasons", ",").alias("reasons"))
-            raw = text.select(F.col("src_pos").alias("row_id"),
-                              F.to_json(F.struct(*[F.col(c) for c in text.columns if c != "src_pos"])).alias("text"))
-            self.last_rejects_path = self._segment(bad.join(raw, "row_id"), f"rejects-{import_no}")
-        try:
-            m = obs.get  # counted during the write itself
-            return {"imported": int(m["imported"]), "rejected": int(m["rejected"])}
-        except Exception:
-            # metrics are not reported when the planner drops the observed node
-            # (seen when every row is skipped); count explicitly instead
-            c = parsed.agg(F.count(F.when(ok, F.lit(1))).alias("i"), F.count(F.when(~ok, F.lit(1))).alias("r")).first()
-            return {"imported": int(c["i"]), "rejected": int(c["r"])}
+            staged = materialize(rows, "import-rows")
+            valid = staged.where(F.col("kind") == imports.VALID)
+            first = first_per_group(valid.select(*NATURAL_KEY, "listing_id"), list(NATURAL_KEY), ["listing_id"])
+            new = null_safe_match(first, self.table().select(*NATURAL_KEY).dropDuplicates(), [], list(NATURAL_KEY), how="left_anti")
+            new = materialize(new.select("listing_id"), "import-new")
+            dropped = valid.count() - new.count()
+            rows = staged.where(F.col("kind") != imports.VALID).unionByName(valid.join(new, "listing_id", "left_semi"))
+        return self._publish(rows, number, batch_size, dropped)
+
+    def import_listings(self, listings: DataFrame, batch_size: int = 0) -> dict[str, int]:
+        """Import typed listings under their own ids."""
+        number = self._next_import()
+        return self._publish(imports.as_import(listings, number, self.broker_parts), number, batch_size)
+
+    def _next_import(self) -> int:
+        return (self.imports().agg(F.max("import_no")).first()[0] or 0) + 1
+
+    def _publish(self, rows: DataFrame, number: int, batch_size: int, dropped: int = 0) -> dict[str, int]:
+        """Write an import's rows, then the record that makes it seen."""
+        seen = imports.write_import(rows, self.rows_path, batch_size)
+        valid = seen[imports.VALID] + dropped
+        record = (valid, seen[imports.REJECT], seen[imports.SKIPPED], seen[imports.VALID])
+        self.spark.createDataFrame([record], "imported long, rejected long, skipped long, stored long").coalesce(1) \
+            .write.mode("overwrite").parquet(f"{self.base}/imports/import_no={number}")
+        return {"imported": valid, "rejected": seen[imports.REJECT]}
 
     # ------------------------------------------------------------ reads
     def usecase1_filter_properties(self, min_listings: int = DEFAULT_MIN_LISTINGS,
@@ -293,31 +145,18 @@ class ListingsEngine:
     def usecase2_update_prices(self, broker_id: str = DEFAULT_BROKER_ID,
                                percent_delta: float = DEFAULT_PERCENT_DELTA, limit: int = DEFAULT_LIMIT,
                                skip_null_price: bool = False, validate: bool = False) -> int:
-        """Price change of a broker's first ``limit`` listings, written as a patch; returns rows changed."""
-        changed = uc.uc2_changed_rows(self.table(), broker_id, percent_delta, limit, skip_null_price, validate)
-        if not self._state:  # no table yet: nothing to change (parameters are checked)
-            return 0
-        seq = self._commit(lambda s: {})["seq"]  # later patches have higher numbers
-        obs = Observation("uc2")
-        patch = changed.withColumn("_seq", F.lit(seq).cast("long")).observe(obs, F.count(F.lit(1)).alias("n"))
-        seg = self._segment(patch, "patch")
-        self._commit(lambda s: {"patch": [*s["patch"], seg]})
-        try:
-            n = int(obs.get["n"])  # counted during the write
-        except Exception:  # metrics not reported: count the patch (at most ``limit`` rows)
-            n = self.spark.read.parquet(seg).count()
-        if len(self._state["patch"]) > self.max_patches:
-            self.merge_patches()  # keeps the read-time merge small
-        return n
+        """Price change of a broker's first ``limit`` listings: the folders that hold them
+        are replaced; returns rows changed."""
+        part = params.parse_int_text(broker_id, "broker_id") % self.broker_parts
+        table = self._listings().where(F.col("broker_part") == part)
+        changed = materialize(uc.uc2_changed_rows(table, broker_id, percent_delta, limit, skip_null_price, validate), "uc2")
+        change_rows(table, self.rows_path, changed, "listing_id", imports.PLACE, imports.SORT)
+        return changed.count()
 
     def usecase3_add_solar_panels(self) -> int:
-        """Add ``solar_panels`` to the rows present: a reproducible ~50% flag of the id.
-
-        Recorded in the state for the segments it covers (no data rewritten),
-        evaluated on read and stored by ``compact()``; rows imported later have
-        NULL until it runs again.  Returns the number of rows.
-        """
-        if not self.current_state():
-            return 0
-        self._commit(lambda s: {"computed": {**s["computed"], "solar_panels": [*s["base"], *s["patch"]]}})
+        """Add ``solar_panels`` and fill it in every row: a reproducible ~50% flag of the id.
+        Returns the number of rows; rows imported later have NULL until it runs again."""
+        rows = self._listings()
+        replace_partitions(uc.uc3_add_solar_panels(rows).select(*rows.columns), self.rows_path, imports.PLACE, imports.SORT)
+        add_column_if_missing(self.spark.range(1), SOLAR, "boolean").write.mode("overwrite").parquet(f"{self.base}/columns/{SOLAR}")
         return self.get_total_count()

@@ -604,3 +604,38 @@ SELECT 2, (SELECT count(*) FROM b2), (SELECT count(*) FROM b2) - (SELECT count(*
 UNION ALL
 SELECT 3, (SELECT count(*) FROM b2), (SELECT count(*) FROM b2) - (SELECT count(*) FROM v2), 0, 0,
        (SELECT count(*) FROM b2 WHERE status = 'withdrawn')""", _LOADS_CTE)
+
+
+# ---------------------------------------------------------------- imports that account for every line
+ORACLE["uc2_stored"] = ORACLE["uc2_update_prices"].replace(",\n       t.listing_id IS NOT NULL AS updated", "")
+ORACLE["uc3_stored"] = ORACLE["uc3_solar_panels"]
+ORACLE["reset_and_import"] = with_listings("""
+SELECT 'import' AS step, count(*) AS n_rows, max(listing_id) AS top_id FROM L
+UNION ALL SELECT 'reset', 0, NULL UNION ALL SELECT 'again', count(*), max(listing_id) FROM L""")
+
+_NAMES = ("brokered_by", "status", "price", "bed", "bath", "lot_size_sqm", "street", "city", "state", "zip_code",
+          "house_size_sqm", "prev_sold_date")
+_LINE = " || ',' || ".join(_NAMES)
+_SHORT = " || ',' || ".join(_NAMES[:4])
+_LINES_CTE = PARSE_CTE + f""",
+lines AS (
+  SELECT src_pos, row_number() OVER (ORDER BY src_pos) + 1 AS line, src_pos // 2 % 109 = 0 AS blank,
+    CASE WHEN src_pos // 2 % 107 = 0 THEN '"' || {_LINE} WHEN src_pos // 2 % 103 = 0 THEN {_LINE} || ',x,y'
+         WHEN src_pos // 2 % 101 = 0 THEN {_SHORT} END AS broken, {_LINE} AS whole
+  FROM txt),
+good AS (SELECT recs.*, line FROM recs JOIN lines ON src_pos = listing_id WHERE NOT blank AND broken IS NULL),
+bad AS (SELECT line, CASE WHEN broken IS NULL THEN reasons ELSE 'malformed' END AS reasons, coalesce(broken, whole) AS line_text
+        FROM lines JOIN checked USING (src_pos) WHERE NOT blank AND (broken IS NOT NULL OR reasons <> ''))"""
+ORACLE["import_wide"] = with_listings("SELECT * EXCLUDE (listing_id) FROM good", _LINES_CTE)
+ORACLE["import_rejects"] = with_listings("SELECT * FROM bad", _LINES_CTE)
+ORACLE["import_counts"] = with_listings("""
+SELECT CAST(n AS INTEGER) AS import_no, (SELECT count(*) FROM good) AS imported, (SELECT count(*) FROM bad) AS rejected,
+       (SELECT 1 + count(*) FROM lines WHERE blank) AS skipped,
+       CASE n WHEN 1 THEN (SELECT count(*) FROM (SELECT DISTINCT brokered_by, status, price, prev_sold_date, street, zip_code,
+                                                 city, state FROM good)) ELSE 0 END AS stored
+FROM (VALUES (1), (2)) t(n)""", _LINES_CTE)
+
+ORACLE["runs_jsonl_rejects"] = RUNS_CTE + """
+SELECT CASE WHEN "index" % 50 <> 7 THEN "index" END AS "index", "index" % 50 = 7 AS malformed,
+       CASE WHEN "index" % 50 <> 7 THEN run_id END AS run_id,
+       CASE WHEN "index" % 50 = 7 THEN '{"index": ' || "index" END AS line_text FROM runs"""

@@ -19,11 +19,12 @@ from domus.operators import star as st
 from domus.operators import telemetry as tm
 from domus.plans.catalog import register
 from domus.plans.engine import ListingsEngine
+from domus.schema import LISTING_COLUMNS, RUN
 from domus.session import scratch_path
 from domus.sinks import writers
 from domus.sinks.star_load import Star
 from domus.sources.derived import clean_csv_text, raw_listings_text
-from domus.sources.files import FILE_ORDER, read_clean_csv, read_raw_csv
+from domus.sources.files import FILE_ORDER, json_lines, read_clean_csv, read_lines, read_raw_csv, with_line_numbers
 from domus.sources.runs import runs_from_events, runs_with_samples
 from domus.sources.tables import listings_from_tables
 
@@ -126,7 +127,7 @@ def q_engine_import(spark, sf_dir):
 
 @register("engine_uc2_uc3")
 def q_engine_changes(spark, sf_dir):
-    """UC3, then UC2 over up to 100,000 listings of a broker, read back through the patches."""
+    """UC3, then UC2 over up to 100,000 listings of a broker, read back from the table."""
     engine = _imported(spark, sf_dir)
     engine.usecase3_add_solar_panels()
     engine.usecase2_update_prices(broker_id="605.00", percent_delta=0.05, limit=100_000)
@@ -134,6 +135,106 @@ def q_engine_changes(spark, sf_dir):
         .drop("listing_id", "solar_panels")
 
 
+def _keyed(spark, sf_dir):
+    """An engine whose table holds the listing projection under its own ids."""
+    engine = ListingsEngine(spark, scratch_path(spark, "engine"))
+    engine.import_listings(listings_from_tables(spark, sf_dir))
+    return engine
+
+
+@register("uc2_stored")
+def q_uc2_stored(spark, sf_dir):
+    """K7: a broker's first ten prices changed in the stored table, read back with ids."""
+    engine = _keyed(spark, sf_dir)
+    engine.usecase2_update_prices("605.00", 0.05, 10)
+    return engine.table()
+
+
+@register("uc3_stored")
+def q_uc3_stored(spark, sf_dir):
+    """K8: the flag filled in every stored row."""
+    engine = _keyed(spark, sf_dir)
+    engine.usecase3_add_solar_panels()
+    return engine.table()
+
+
+@register("reset_and_import")
+def q_reset(spark, sf_dir):
+    """K6: rows after an import, after a reset, and after a second import."""
+    engine, counts = _keyed(spark, sf_dir), []
+    for step in ("import", "reset", "again"):
+        if step == "reset":
+            engine.reset_database()
+        elif step == "again":
+            engine.import_listings(listings_from_tables(spark, sf_dir))
+        counts.append(engine.table().agg(F.count(F.lit(1)).alias("n_rows"), F.max("listing_id").alias("top_id"))
+                      .select(F.lit(step).alias("step"), "n_rows", "top_id").first())
+    return spark.createDataFrame(counts, "step string, n_rows long, top_id long")
+
+
+# lines that a reader must not take for listings, by the listing's id
+BROKEN = ((101, "short"), (103, "long"), (107, "quote"), (109, "blank"))
+
+
+def _broken_export(spark, sf_dir):
+    """The cleaned export as text in one file, in file order, with lines that are broken."""
+    rows = clean_csv_text(spark, sf_dir)
+    names = [c for c in rows.columns if c != "src_pos"]
+    line, k = F.concat_ws(",", *names), F.floor(F.col("src_pos") / 2)
+    broken = {"short": F.concat_ws(",", *names[:4]), "long": F.concat(line, F.lit(",x,y")),
+              "quote": F.concat(F.lit('"'), line), "blank": F.lit("")}
+    text = line
+    for n, how in BROKEN:
+        text = F.when(k % n == 0, broken[how]).otherwise(text)
+    path = scratch_path(spark, "broken-export")
+    head = spark.range(1).select(F.lit(-1).cast("long").alias("src_pos"), F.lit(",".join(names)).alias("value"))
+    head.union(rows.select("src_pos", text.alias("value"))).coalesce(1).sortWithinPartitions("src_pos") \
+        .select("value").write.text(path)
+    return path
+
+
+@register("import_wide")
+def q_import_wide(spark, sf_dir):
+    """The export imported in one pass; every listing with the line that its id names."""
+    engine = ListingsEngine(spark, scratch_path(spark, "engine"))
+    engine.usecase7_bulk_import(_broken_export(spark, sf_dir))
+    every = engine.stored()
+    valid = every.where("kind = 'valid'").select("listing_id", "src_file", "src_block", *LISTING_COLUMNS[1:])
+    return with_line_numbers(valid, every.select("listing_id", "src_file", "src_block")) \
+        .drop("listing_id", "src_file", "src_block")
+
+
+@register("import_rejects")
+def q_import_rejects(spark, sf_dir):
+    """The lines that the import left out, with place, text and reasons."""
+    engine = ListingsEngine(spark, scratch_path(spark, "engine"))
+    engine.usecase7_bulk_import(_broken_export(spark, sf_dir))
+    return engine.rejects(1).drop("src_file")
+
+
+@register("runs_jsonl_rejects")
+def q_runs_rejects(spark, sf_dir):
+    """S3: run records as JSON lines, some cut off; every line is a record or a reject."""
+    path = scratch_path(spark, "broken-runs")
+    runs = runs_from_events(spark, sf_dir).drop("file_name")
+    whole = F.to_json(F.struct(*runs.columns))
+    runs.select(F.when(F.col("index") % 50 == 7, F.concat(F.lit('{"index": '), F.col("index").cast("string"))).otherwise(whole)
+                .alias("value")).write.text(path)
+    lines = json_lines(read_lines(spark, path), RUN).where(~F.col("skipped"))
+    return lines.select(F.when(~F.col("malformed"), F.col("index")).alias("index"), "malformed",
+                        F.when(~F.col("malformed"), F.col("run_id")).alias("run_id"),
+                        F.when(F.col("malformed"), F.col("line_text")).alias("line_text"))
+
+
+@register("import_counts")
+def q_import_counts(spark, sf_dir):
+    """K5: what two imports of the export counted, the second without listings already there."""
+    engine, path = ListingsEngine(spark, scratch_path(spark, "engine")), _broken_export(spark, sf_dir)
+    engine.usecase7_bulk_import(path, on_duplicate="skip")
+    engine.usecase7_bulk_import(path, on_duplicate="skip")
+    return engine.imports()
+
+
 @register("run_sample_summaries")
 def q_run_samples(spark, sf_dir):
     """Every run record's own samples summarized inside its row."""

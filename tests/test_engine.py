@@ -1,145 +1,163 @@
-"""The versioned use-case engine end to end on the sf0.001 tables."""
+"""The use-case engine over plain partitioned Parquet, end to end on the sf0.001 tables."""
+import glob
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from domus.plans.engine import ListingsEngine
+from domus.sinks import imports
 from domus.sources.derived import clean_csv_text
+from domus.sources.files import csv_lines, json_lines, read_lines, with_line_numbers
 
 SF = "/root/testdata/sf0.001"
 
 
+def by_id(df):
+    return {r.listing_id: r for r in df.collect()}
+
+
+def export(spark, path, n=None):
+    rows = clean_csv_text(spark, SF).drop("src_pos")
+    if n:
+        rows = rows.where("price <> '' and price <> 'nan' and brokered_by <> '' and city <> '' and status <> ''"
+                          " and lot_size_sqm not in ('', 'abc') and zip_code not like '%.0'").limit(n).coalesce(1)
+    rows.write.option("header", True).csv(path)
+    return path
+
+
 def test_engine_flow(spark, tmpdir_path):
-    csv = f"{tmpdir_path}/in"
+    csv = export(spark, f"{tmpdir_path}/in")
     text = clean_csv_text(spark, SF)
-    text.drop("src_pos").write.option("header", True).csv(csv)
     eng = ListingsEngine(spark, f"{tmpdir_path}/tbl")
     eng.reset_database()
     assert eng.get_total_count() == 0
-    counts = eng.usecase7_bulk_import(csv, batch_size=500, keep_rejects=True)
-    rejects = spark.read.parquet(eng.last_rejects_path)
-    assert rejects.count() == counts["rejected"] and rejects.where("reasons = ''").count() == 0
-    seg = eng.current_state()["base"][-1]
-    per_file = spark.read.parquet(seg).groupBy(F.input_file_name()).count().collect()
-    assert max(r["count"] for r in per_file) <= 500 and len(per_file) >= 3
+    counts = eng.usecase7_bulk_import(csv, batch_size=100)
+    per_file = spark.read.parquet(f"{eng.rows_path}/import_no=1/kind=valid").groupBy(F.input_file_name()).count().collect()
+    assert max(r["count"] for r in per_file) <= 100
     assert counts["imported"] + counts["rejected"] == text.count()
-    assert eng.get_total_count() == counts["imported"]
-    ids = eng.table().select("listing_id")
-    assert ids.distinct().count() == counts["imported"]
+    assert eng.get_total_count() == counts["imported"] == eng.table().select("listing_id").distinct().count()
+    rejects = eng.rejects(1)
+    assert rejects.count() == counts["rejected"] and rejects.where("reasons = '' or line < 2").count() == 0
     broker = eng.table().groupBy("brokered_by").count().orderBy("count", ascending=False).first()
-    before = {r["listing_id"]: r["price"] for r in eng.table().where(f"brokered_by = {broker['brokered_by']}").collect()}
+    own = lambda: by_id(eng.table().where(f"brokered_by = {broker['brokered_by']}"))
+    before, files = own(), set(glob.glob(f"{eng.rows_path}/*/*/*/*.parquet"))
     n = eng.usecase2_update_prices(str(broker["brokered_by"]), 0.05, 3)
-    assert n == min(3, broker["count"])
-    assert len(eng.current_state()["patch"]) == 1 and eng.get_total_count() == counts["imported"]
-    after = {r["listing_id"]: r["price"] for r in eng.table().where(f"brokered_by = {broker['brokered_by']}").collect()}
-    changed = sorted(i for i in before if before[i] != after[i])
-    assert changed == sorted(before)[:n]
-    # a second update of the same rows stacks on the first (newest patch wins)
-    eng.usecase2_update_prices(str(broker["brokered_by"]), 0.05, 1)
+    assert n == min(3, broker["count"]) and eng.get_total_count() == counts["imported"]
+    after = own()
+    assert sorted(i for i in before if before[i].price != after[i].price) == sorted(before)[:n]
+    # only the folder of that broker's part was written anew
+    now = set(glob.glob(f"{eng.rows_path}/*/*/*/*.parquet"))
+    assert {f.split("/")[-2] for f in files - now} == {f"broker_part={broker['brokered_by'] % 16}"}
     first = sorted(before)[0]
-    again = eng.table().where(f"listing_id = {first}").first()["price"]
-    assert again == round(round(before[first] * 1.05 + 1e-9, 2) * 1.05 + 1e-9, 2)
-    assert eng.get_total_count() == counts["imported"]
+    eng.usecase2_update_prices(str(broker["brokered_by"]), 0.05, 1)
+    assert own()[first].price == round(round(before[first].price * 1.05 + 1e-9, 2) * 1.05 + 1e-9, 2)
+    assert "solar_panels" not in eng.table().columns
     assert eng.usecase3_add_solar_panels() == counts["imported"]
-    assert "solar_panels" in eng.table().columns
-    assert list(eng.current_state()["computed"]) == ["solar_panels"]  # no data rewritten
-    flags = {r["listing_id"]: r["solar_panels"] for r in eng.table().collect()}
-    eng.compact()  # stores the column physically, folds the patches
-    st = eng.current_state()
-    assert st["patch"] == [] and len(st["base"]) == 1 and st["computed"] == {}
-    assert {r["listing_id"]: r["solar_panels"] for r in eng.table().collect()} == flags
-    # the kept row count equals a real count of the table
-    assert eng.get_total_count() == eng.table().count()
-    # a fresh engine on the same folder sees the same committed state
-    assert ListingsEngine(spark, f"{tmpdir_path}/tbl").current_state() == eng.current_state()
+    flags = {i: r.solar_panels for i, r in by_id(eng.table()).items()}
+    assert set(flags.values()) == {True, False}
+    # a fresh engine on the same folder sees the same table
+    assert {i: r.solar_panels for i, r in by_id(ListingsEngine(spark, f"{tmpdir_path}/tbl").table()).items()} == flags
     assert eng.usecase1_filter_properties(1, 1e12).count() == counts["imported"]
-    r = eng.usecase4_price_analysis("10000", 0.1, "nation_0")
-    assert r["sorted_by_city"].count() > 0
+    assert eng.usecase4_price_analysis("10000", 0.1, "nation_0")["sorted_by_city"].count() > 0
     assert eng.usecase5_average_price_per_city().count() > 0
-    # the same file again: "skip" drops rows already present by natural key,
-    # "append" adds them with new ids (ids never collide)
-    # (the n listings whose price UC2 changed no longer match their original row)
+    # the same file again: "skip" drops rows present by natural key (those that UC2
+    # changed aren't), "append" adds all under new ids
     eng.usecase7_bulk_import(csv, on_duplicate="skip")
     assert eng.get_total_count() == counts["imported"] + n
+    assert eng.table().where("solar_panels is null").count() == n  # imported after UC3
     eng.usecase7_bulk_import(csv)
-    assert eng.get_total_count() == 2 * counts["imported"] + n
-    assert eng.table().select("listing_id").distinct().count() == 2 * counts["imported"] + n
-    assert eng.get_total_count() == eng.table().count()
+    assert eng.get_total_count() == 2 * counts["imported"] + n == eng.table().select("listing_id").distinct().count()
 
 
 def test_engine_without_table(spark, tmpdir_path):
-    import pytest
     eng = ListingsEngine(spark, f"{tmpdir_path}/empty")
     assert eng.get_total_count() == 0
     assert eng.usecase2_update_prices("7", 0.05, 3) == 0
-    assert eng.usecase3_add_solar_panels() == 0
     assert eng.usecase1_filter_properties(1, 1.0).count() == 0
     with pytest.raises(ValueError):
         eng.usecase2_update_prices("7", -2.0, 3)
 
 
-def test_auto_compaction(spark, tmpdir_path):
-    csv = f"{tmpdir_path}/in"
-    clean_csv_text(spark, SF).drop("src_pos").write.option("header", True).csv(csv)
-    eng = ListingsEngine(spark, f"{tmpdir_path}/tbl", max_patches=2)
-    eng.reset_database()
+def test_an_import_that_died_is_not_seen_and_replaced(spark, tmpdir_path, monkeypatch):
+    csv = export(spark, f"{tmpdir_path}/in", 5)
+    eng = ListingsEngine(spark, f"{tmpdir_path}/tbl")
+    assert eng.usecase7_bulk_import(csv) == {"imported": 5, "rejected": 0}
+    real = imports.write_import
+
+    def dies(*a):
+        real(*a)
+        raise RuntimeError("lost")
+    monkeypatch.setattr(imports, "write_import", dies)
+    with pytest.raises(RuntimeError):
+        eng.usecase7_bulk_import(csv)
+    assert eng.get_total_count() == 5 and eng.imports().count() == 1
+    monkeypatch.setattr(imports, "write_import", real)
     eng.usecase7_bulk_import(csv)
-    broker = str(eng.table().groupBy("brokered_by").count().orderBy("count", ascending=False).first()[0])
-    before = eng.table().orderBy("listing_id").collect()
-    for _ in range(3):
-        eng.usecase2_update_prices(broker, 0.01, 2)
-    st = eng.current_state()
-    assert len(st["patch"]) == 1 and len(st["base"]) == 2  # third patch: merged into one, base as it was
-    after = eng.table().orderBy("listing_id").collect()
-    assert len(after) == len(before) == eng.get_total_count()
-    changed = [a["listing_id"] for a, b in zip(after, before) if a["price"] != b["price"]]
-    assert len(changed) == 2
-
-
-def small_csv(spark, path, n=2):
-    clean_csv_text(spark, SF).drop("src_pos").where("price <> '' and brokered_by <> ''").limit(n) \
-        .coalesce(1).write.option("header", True).csv(path)
-
-
-def test_two_engines_on_one_path(spark, tmpdir_path):
-    small_csv(spark, f"{tmpdir_path}/in")
-    a = ListingsEngine(spark, f"{tmpdir_path}/tbl")
-    a.reset_database()
-    n = a.usecase7_bulk_import(f"{tmpdir_path}/in")["imported"]
-    b, c = (ListingsEngine(spark, f"{tmpdir_path}/tbl") for _ in range(2))
-    b.usecase7_bulk_import(f"{tmpdir_path}/in")
-    c.usecase7_bulk_import(f"{tmpdir_path}/in")  # its state was loaded before b's import
-    assert a.get_total_count() == b.get_total_count() == c.get_total_count() == 3 * n == a.table().count()
-    assert a.table().select("listing_id").distinct().count() == 3 * n
-
-
-def test_uc3_covers_the_rows_present(spark, tmpdir_path):
-    small_csv(spark, f"{tmpdir_path}/in", 5)
-    for compacted in (False, True):
-        eng = ListingsEngine(spark, f"{tmpdir_path}/tbl{compacted}")
-        eng.reset_database()
-        n = eng.usecase7_bulk_import(f"{tmpdir_path}/in")["imported"]
-        assert eng.usecase3_add_solar_panels() == n
-        if compacted:
-            eng.compact()
-        eng.usecase7_bulk_import(f"{tmpdir_path}/in")
-        assert eng.table().where("solar_panels is null").count() == n == eng.table().where("solar_panels is not null").count()
-
-
-def test_unreadable_state_raises(spark, tmpdir_path):
-    import pytest
+    assert eng.get_total_count() == 10 == eng.table().select("listing_id").distinct().count()
+
+
+def test_dataframe_input_and_reset(spark, tmpdir_path):
     eng = ListingsEngine(spark, f"{tmpdir_path}/tbl")
+    text = clean_csv_text(spark, SF).drop("src_pos")
+    seen = eng.usecase7_bulk_import(text)
+    assert seen["imported"] + seen["rejected"] == text.count()
+    bad = eng.rejects(1).first()
+    assert json.loads(bad.line_text) and bad.reasons
+    eng.usecase3_add_solar_panels()
     eng.reset_database()
-    with open(eng._record(2).removeprefix("file:"), "w") as f:
-        f.write("not json")
-    with pytest.raises(ValueError):
-        ListingsEngine(spark, f"{tmpdir_path}/tbl")
+    assert eng.get_total_count() == 0 and eng.table().columns[-1] == "prev_sold_date"
+    assert eng.usecase7_bulk_import(text) == seen
 
 
 def test_uc2_plan_has_one_scan_and_no_join(spark, tmpdir_path):
     from domus.operators.usecases import uc2_changed_rows
-    small_csv(spark, f"{tmpdir_path}/in", 50)
     eng = ListingsEngine(spark, f"{tmpdir_path}/tbl")
-    eng.reset_database()
-    eng.usecase7_bulk_import(f"{tmpdir_path}/in")
-    plan = uc2_changed_rows(spark.read.parquet(eng.current_state()["base"][-1]), "7", 0.1, 5) \
-        ._jdf.queryExecution().executedPlan().toString()
+    eng.usecase7_bulk_import(export(spark, f"{tmpdir_path}/in", 50))
+    plan = uc2_changed_rows(eng._listings(), "7", 0.1, 5)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("FileScan") == 1 and "EqualTo(brokered_by,7)" in plan
+
+
+def test_import_reads_its_input_once(spark, tmpdir_path):
+    rows = imports.parsed_lines(export(spark, f"{tmpdir_path}/in"), 1, spark, 4)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+
+
+def test_lines_over_many_files_and_splits(spark, tmpdir_path):
+    """Ids are unique and ascend in a file, line numbers are those of the file, whatever the splits."""
+    body = {f"f{i}.csv": [f"{i},{j}" for j in range(200 * i + 1)] for i in range(3)}
+    for name, lines in body.items():
+        with open(f"{tmpdir_path}/{name}", "w") as f:
+            f.write("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500b")
+    try:
+        lines = read_lines(spark, tmpdir_path, 5).where("src_file like '%.csv'")
+        rows = with_line_numbers(lines, lines).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == sum(map(len, body.values())) == len({r.listing_id for r in rows})
+    assert len({(r.src_file, r.src_block) for r in rows}) > 4 and {r.listing_id >> 50 for r in rows} == {5}
+    for r in rows:
+        assert body[r.src_file.rsplit("/", 1)[1]][r.line - 1] == r.line_text
+    for bad in (0, 8192):
+        with pytest.raises(ValueError):
+            read_lines(spark, tmpdir_path, bad)
+
+
+def test_malformed_csv_and_json_lines(spark, tmpdir_path):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+    two = StructType([StructField("a", StringType()), StructField("b", StringType())])
+    text = ["a,b", "1,2", '"x, ""y""",3', "1", "1,2,3", "", '"1,2', ",", "1,2\r"]
+    with open(f"{tmpdir_path}/x.csv", "w", newline="") as f:
+        f.write("\n".join(text) + "\n")
+    got = csv_lines(read_lines(spark, f"{tmpdir_path}/x.csv"), two).orderBy("listing_id").collect()
+    assert [(r.skipped, r.malformed) for r in got if not r.skipped] == [(False, m) for m in (False, False, True, True, True, False, False)]
+    assert [r.line_text for r in got if r.skipped] == ["a,b", ""]
+    assert (got[2].a, got[2].b) == ('x, "y"', "3") and got[-1].b == "2"
+    one = StructType([StructField("a", StringType()), StructField("n", LongType())])
+    with open(f"{tmpdir_path}/x.jsonl", "w") as f:
+        f.write('{"a": "x", "n": 1}\n{"a": "x", "n": "z"}\n{"a": \n\n{}\n')
+    got = json_lines(read_lines(spark, f"{tmpdir_path}/x.jsonl"), one).orderBy("listing_id").collect()
+    assert [(r.skipped, r.malformed) for r in got if not r.skipped] == [(False, False), (False, True), (False, True), (False, False)]
