@@ -41,7 +41,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
-                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

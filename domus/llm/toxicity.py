@@ -9,22 +9,26 @@ largest weight of every term.  A query scores the blocks with the highest
 bounds, then those that can still reach its k-th neighbour, so the neighbours
 are exact.  Their distance-weighted votes, calibrated on the examples with each
 left out, are the score; the neighbours are its evidence.
+
+Words travel as 64-bit hashes.  Only the examples' words reach the driver and
+the broadcast index; examples are bounded in number and in characters.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from domus.llm.common import cut, text_or_empty
+from domus.llm.common import cut, drop, text_or_empty
+from domus.llm.minhash import WordHashes
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -32,6 +36,7 @@ WORD = re.compile(r"[^\W_]+")
 @dataclass(frozen=True)
 class Settings:
     max_examples: int = 8192  # labelled rows that the model may be fit on, those with the least hash
+    max_chars: int = 1 << 26  # and all characters of their texts; the row that passes this and those after it are no examples
     neighbours: int = 25
     block: int = 64
 
@@ -50,7 +55,11 @@ class BlockMaxIndex:
                  block: int, k: int):
         vectors = [as_vector(v) for v in vectors]
         # examples with the same heaviest terms stand together, so that block maxima are tight
-        order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][np.argsort(-vectors[i][1], kind="stable")].tolist(), ids[i]))
+        heavy = np.full((len(vectors), 3), -1, np.int64)
+        for row, (t, w) in zip(heavy, vectors):
+            top = t[np.argsort(-w, kind="stable")[:3]]
+            row[:len(top)] = top
+        order = np.lexsort((ids, *heavy.T[::-1]))
         self.ids, self.labels, self.block, self.k, self.n_terms = ids[order], labels[order], block, k, n_terms
         self.ends = np.append(0, np.cumsum([len(vectors[i][0]) for i in order])).astype(np.int64)
         self.terms = np.concatenate([np.empty(0, np.int32), *(vectors[i][0] for i in order)]).astype(np.int32)
@@ -58,13 +67,13 @@ class BlockMaxIndex:
         self.lists = None
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "lists": None}  # each task makes its own from the vectors
+        return {**self.__dict__, "lists": None, "dense": None}  # each worker makes its own from the vectors
 
     def _build(self) -> None:
         """Rows and weights by term, and every block's largest weight by term."""
-        self.row = np.repeat(np.arange(len(self.ids)), np.diff(self.ends))
         by = np.argsort(self.terms, kind="stable")
-        terms, rows, weights = self.terms[by], self.row[by], self.weights[by]
+        terms, weights = self.terms[by], self.weights[by]
+        rows = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.ends))[by]
         blocks = rows // self.block
         new = np.flatnonzero(np.append(True, (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1]))) if len(by) else by
         at = np.arange(self.n_terms + 1)
@@ -105,8 +114,7 @@ class BlockMaxIndex:
     def _score(self, blocks: np.ndarray, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the blocks that share a term with the query, and their cosines."""
         n, cuts = len(self.ids), self.lists[0][0]
-        start, stop = blocks * self.block, np.minimum((blocks + 1) * self.block, n)
-        if (self.ends[stop] - self.ends[start]).sum() > (cuts[t + 1] - cuts[t]).sum():
+        if len(blocks) > 4:  # from the terms' lists
             scores = self._add(self.lists[0], t, w, n)
             keep = np.zeros(-(-n // self.block), bool)
             keep[blocks] = True
@@ -114,9 +122,10 @@ class BlockMaxIndex:
             return rows, scores[rows].round(12)
         self.dense[t] = w
         rows, sims = [np.empty(0, np.int64)], [np.empty(0)]
-        for a, b in zip(start, stop):
+        for a, b in zip(blocks * self.block, np.minimum((blocks + 1) * self.block, n)):
             i, j = self.ends[a], self.ends[b]
-            scores = np.bincount(self.row[i:j] - a, self.dense[self.terms[i:j]] * self.weights[i:j], b - a)
+            scores = np.bincount(np.repeat(np.arange(b - a), np.diff(self.ends[a:b + 1])),
+                                 self.dense[self.terms[i:j]] * self.weights[i:j], b - a)
             at = np.flatnonzero(scores > 0)
             rows.append(at + a)
             sims.append(scores[at].round(12))
@@ -141,24 +150,24 @@ class BlockMaxIndex:
 
 @dataclass
 class Model:
-    terms: dict[str, int]  # the words of the examples
+    words: np.ndarray      # hashes of the examples' words, ascending
     weight: np.ndarray     # IDF times chi-square and one
     index: BlockMaxIndex
     prior: float           # share of toxic rows among all examples
     background: float      # the same among examples without any word
-    slope: float
-    shift: float
 
-    def vector(self, terms: np.ndarray, counts: np.ndarray) -> Vector:
-        """Terms and weights, not scaled to unit length."""
-        return terms, (1.0 + np.log(counts)) * self.weight[terms]
+    def vector(self, words: np.ndarray, counts: np.ndarray) -> tuple[Vector, np.ndarray]:
+        """Terms and weights, not scaled to unit length, and which words have one."""
+        at = np.searchsorted(self.words, words)
+        held = at < len(self.words)
+        held[held] = self.words[at[held]] == words[held]
+        t = at[held]
+        return (t, (1.0 + np.log(counts[held])) * self.weight[t]), held
 
-    def score(self, rows: np.ndarray, sims: np.ndarray) -> float:
-        return self.calibrate(self.index.vote(rows, sims, self.prior)) if len(rows) else self.background
 
-    def calibrate(self, vote: float) -> float:
-        v = min(max(vote, 1e-6), 1 - 1e-6)
-        return float(1 / (1 + np.exp(-(self.slope * np.log(v / (1 - v)) + self.shift))))
+def calibrated(votes: np.ndarray, slope: float, shift: float) -> np.ndarray:
+    v = np.clip(votes, 1e-6, 1 - 1e-6)
+    return 1 / (1 + np.exp(-(slope * np.log(v / (1 - v)) + shift)))
 
 
 def platt(votes: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[float, float]:
@@ -181,97 +190,129 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-def word_counts(texts: list[str]) -> list[Counter]:
-    return [Counter(WORD.findall(t.lower())) for t in texts]
+_hashes = WordHashes()
+
+
+def word_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's distinct words, ascending, and how often each stands there."""
+    words = WORD.findall(text.lower())
+    return np.unique(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)).view(np.int64), return_counts=True)
 
 
-def document_frequencies(docs: DataFrame, text_col: str, held_words: int = 1 << 17) -> DataFrame:
-    """(word, df) of every word; counts combine in the tasks."""
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """A list column from an array for each row."""
+    ends = np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int32)
+    flat = np.concatenate(parts) if parts else np.empty(0)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(kind.to_pandas_dtype()), kind))
+
+
+def document_frequencies(docs: DataFrame, text_col: str, held_words: int = 1 << 20) -> DataFrame:
+    """(word, df) of every word's hash; counts combine in the tasks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held, size = [], 0
         for b in batches:
-            for words in word_counts(b.column("text").to_pylist()):
-                held.update(words.keys())
-                if len(held) > held_words:
+            for t in b.column("text"):
+                held.append(word_counts(t.as_py())[0])
+                size += len(held[-1])
+                if size > held_words:
                     yield as_batch(held)
-                    held = Counter()
+                    held, size = [], 0
         yield as_batch(held)
 
-    def as_batch(held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())],
-                                          names=["word", "n"])
+    def as_batch(held: list[np.ndarray]) -> pa.RecordBatch:
+        words, n = np.unique(np.concatenate(held) if held else np.empty(0, np.int64), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(words), pa.array(n.astype(np.int64))], names=["word", "n"])
 
-    return docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "word string, n long") \
+    return docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "word long, n long") \
         .groupBy("word").agg(F.sum("n").alias("df"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
-        text_col: str = "text") -> tuple[Model, DataFrame, int]:
-    """The model, the (word, df) of all words, and the number of documents.
-
-    ``labels`` (doc_id, toxic 0 or 1): rows with a null are left out, of an
-    id's several labels the largest holds, of its several texts the least.  Of
-    the labelled rows that aren't held out, those with the least hash of their
-    id are the examples, at most ``max_examples``; only their words reach the
-    driver, and that bound is also what makes the example side safe to
-    broadcast and the index safe to send to every task.
-    """
-    s = settings
+def labelled_examples(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, toxic, words, counts) of the examples."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))) \
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_examples), "toxic-sample")
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")) \
+        .join(F.broadcast(sample), "doc_id")
+    first = cut(text.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxic-texts")
+    upto = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # max_examples rows at most
+    within = first.select("doc_id", upto.alias("upto")).where(F.col("upto") <= s.max_chars).select("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = word_counts(b.column("text").to_pylist())
+            found = [word_counts(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("toxic"), pa.array([list(c) for c in found], pa.list_(pa.string())),
-                 pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))],
-                names=["doc_id", "toxic", "words", "counts"])
-
-    examples = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-                   .join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-                   .select("doc_id", "toxic", "text")
-                   .mapInArrow(run, "doc_id long, toxic int, words array<string>, counts array<long>"), "toxic-examples")
+                [b.column("doc_id"), b.column("toxic"), _lists([w for w, _ in found], pa.int64()),
+                 _lists([c for _, c in found], pa.int32())], names=["doc_id", "toxic", "words", "counts"])
+
+    out = cut(first.join(F.broadcast(within), "doc_id").select("doc_id", "toxic", "text")
+              .mapInArrow(run, "doc_id long, toxic int, words array<long>, counts array<int>"), "toxic-examples")
+    drop(sample, first)
+    return out
+
+
+def leave_one_out(examples: DataFrame, shared: Broadcast) -> list[tuple[float, int]]:
+    """(vote, toxic) of every example that has words, by the others; a Spark job."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            votes = []
+            for i, words, counts in zip(b.column("doc_id").to_pylist(), b.column("words"), b.column("counts")):
+                (t, w), _ = m.vector(words.values.to_numpy(), counts.values.to_numpy())
+                near, sims = m.index.nearest((t, w / np.sqrt(w @ w)), skip=i)
+                votes.append(m.index.vote(near, sims, m.prior) if len(near) else m.prior)
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), b.column("toxic")], names=["vote", "toxic"])
+
+    rows = examples.where(F.size("words") > 0).select("doc_id", "toxic", "words", "counts") \
+        .repartition(32, "doc_id").mapInArrow(run, "vote double, toxic int").collect()  # max_examples rows at most
+    return sorted((r.vote, r.toxic) for r in rows)
+
+
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
+        text_col: str = "text") -> tuple[Broadcast, tuple[float, float], DataFrame, int]:
+    """The model (sent to the tasks once), slope and shift of its calibration, the
+    (word, df) of all words, and the number of documents.
+
+    ``labels`` (doc_id, toxic 0 or 1): rows with a null are left out, of an
+    id's several labels the largest holds, of its several texts the least.  Of
+    the labelled rows that aren't held out, those with the least hash of their
+    id are the examples, at most ``max_examples`` and ``max_chars``: that
+    bounds what reaches the driver, and the index sent to every task.
+    """
+    s, send = settings, docs.sparkSession.sparkContext.broadcast
+    examples = labelled_examples(docs, labels, s, id_col, text_col)
     dfs = cut(document_frequencies(docs, text_col), "toxic-df")
     n_docs = docs.count()
     total, toxic = examples.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    model = Model({}, np.empty(0), None, (toxic + 0.5) / (total + 1.0), 0.0, 1.0, 0.0)
-    model.background = model.prior
-    none = np.empty(0, np.int64)
-    model.index = BlockMaxIndex(none, np.empty(0), [], 0, s.block, s.neighbours)
+    prior, none = (toxic + 0.5) / (total + 1.0), np.empty(0, np.int64)
     if toxic in (0, total):
-        return model, dfs, n_docs
-    words = dfs.join(examples.select(F.explode("words").alias("word")).distinct(), "word").toArrow()
-    words = words.sort_by("word")
-    model.terms = {w: i for i, w in enumerate(words["word"].to_pylist())}
-    rows = examples.toArrow().sort_by("doc_id")  # at most max_examples
+        index = BlockMaxIndex(none, np.empty(0), [], 0, s.block, s.neighbours)
+        return send(Model(none, np.empty(0), index, prior, prior)), (1.0, 0.0), dfs, n_docs
+    seen = dfs.join(examples.select(F.explode("words").alias("word")).distinct(), "word").toArrow().sort_by("word")
+    words = seen["word"].to_numpy()
+    rows = examples.toArrow().sort_by("doc_id").combine_chunks()
     ids, y = rows["doc_id"].to_numpy(), rows["toxic"].to_numpy().astype(float)
-    sizes = np.array([len(x) for x in rows["words"]], np.int64)
-    flat = np.array([model.terms[w] for w in rows["words"].combine_chunks().flatten().to_pylist()], np.int64)
+    lists = rows["words"].combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    flat = np.searchsorted(words, lists.flatten().to_numpy())
     counts = rows["counts"].combine_chunks().flatten().to_numpy()
-    held, bad = (np.bincount(flat, w, len(model.terms)) for w in (None, np.repeat(y, sizes)))
+    held, bad = (np.bincount(flat, w, len(words)) for w in (None, np.repeat(y, sizes)))
     p = held / total
     spread = p * (1 - p) * (1 / toxic + 1 / (total - toxic))
     chi = np.where(spread > 0, (bad / toxic - (held - bad) / (total - toxic)) ** 2 / np.where(spread > 0, spread, 1.0), 0.0)
-    model.weight = idf(words["df"].to_numpy(), n_docs) * (1.0 + chi)
-    cuts = np.append(0, np.cumsum(sizes))
-    full = np.flatnonzero(sizes)
-    model.background = (y[sizes == 0].sum() + model.prior) / ((sizes == 0).sum() + 1.0)
-    vectors = []
+    weight = idf(seen["df"].to_numpy(), n_docs) * (1.0 + chi)
+    full, vectors, cuts = np.flatnonzero(sizes), [], np.append(0, np.cumsum(sizes))
     for i in full:
-        at = slice(cuts[i], cuts[i + 1])
-        by = np.argsort(flat[at])
-        t, w = model.vector(flat[at][by], counts[at][by])
+        t = flat[cuts[i]:cuts[i + 1]]
+        w = (1.0 + np.log(counts[cuts[i]:cuts[i + 1]])) * weight[t]
         vectors.append((t, w / np.sqrt(w @ w)))
-    model.index = BlockMaxIndex(ids[full], y[full], vectors, len(model.terms), s.block, s.neighbours)
-    votes = []
-    for i, v in zip(ids[full], vectors):
-        near, sims = model.index.nearest(v, skip=int(i))
-        votes.append(model.index.vote(near, sims, model.prior) if len(near) else model.prior)
-    if votes:
-        model.slope, model.shift = platt(np.array(votes), y[full])
-    return model, dfs, n_docs
+    index = BlockMaxIndex(ids[full], y[full], vectors, len(words), s.block, s.neighbours)
+    model = Model(words, weight, index, prior, (y[sizes == 0].sum() + prior) / ((sizes == 0).sum() + 1.0))
+    shared = send(model)
+    votes = leave_one_out(examples, shared)
+    line = platt(np.array([v for v, _ in votes]), np.array([float(t) for _, t in votes])) if votes else (1.0, 0.0)
+    drop(examples)
+    return shared, line, dfs, n_docs
 
 
 def idf(df: np.ndarray, n_docs: int) -> np.ndarray:
@@ -288,54 +329,58 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
     labels, or with one class only, every row scores the prior.  Null ids and
     repeated rows are scored like others; other columns are not read.
     """
-    model, dfs, n_docs = fit(docs, labels, settings, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_examples
-    pairs = pa.list_(pa.struct([("word", pa.string()), ("tf", pa.float64())]))
+    shared, line, dfs, n_docs = fit(docs, labels, settings, id_col, text_col)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Neighbours, with the weights of the words that examples hold; the others
         only lengthen the query's vector, so they change no neighbour."""
-        m = shared.value
+        m, none = shared.value, np.empty(0, np.int64)
         for b in batches:
-            near, dots, squares, others = [], [], [], []
-            for words in word_counts(b.column("text").to_pylist()):
-                at = sorted((m.terms[x], c) for x, c in words.items() if x in m.terms)
-                t, w = m.vector(np.array([x for x, _ in at], np.int64), np.array([c for _, c in at], np.int64))
+            near, dots, squares, others, often = [], [], [], [], []
+            for text in b.column("text"):
+                words, counts = word_counts(text.as_py())
+                (t, w), held = m.vector(words, counts)
                 square = float(w @ w)
-                rows, sims = m.index.nearest((t, w / np.sqrt(square))) if len(t) else (t, w)
+                rows, sims = m.index.nearest((t, w / np.sqrt(square))) if len(t) else (none, none)
                 near.append(rows)
                 dots.append(sims)
                 squares.append(square)
-                others.append([{"word": x, "tf": 1.0 + math.log(c)} for x, c in words.items() if x not in m.terms]
-                              if len(rows) else [])
+                others.append(words[~held] if len(rows) else none)
+                often.append(counts[~held] if len(rows) else none)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("content"), pa.array(near, pa.list_(pa.int32())),
-                 pa.array(dots, pa.list_(pa.float64())), pa.array(squares, pa.float64()), pa.array(others, pairs)],
-                names=["doc_id", "content", "near", "sims", "square", "others"])
+                [b.column("doc_id"), b.column("content"), _lists(near, pa.int32()), _lists(dots, pa.float64()),
+                 pa.array(squares, pa.float64()), _lists(others, pa.int64()), _lists(often, pa.int32())],
+                names=["doc_id", "content", "near", "sims", "square", "others", "often"])
 
     found = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("content"),
                             text_or_empty(text_col).alias("text"))
                 .mapInArrow(search, "doc_id long, content long, near array<int>, sims array<double>, square double, "
-                                    "others array<struct<word: string, tf: double>>")
+                                    "others array<long>, often array<int>")
                 .withColumn("row", F.monotonically_increasing_id()), "toxic-found")
-    weight = F.col("tf") * (F.log((F.lit(n_docs) + 1) / (F.col("df") + 1)) + 1)
-    rest = found.select("row", F.inline("others")).join(dfs, "word").groupBy("row").agg(F.sum(weight * weight).alias("rest"))
+    weight = (F.log("often") + 1) * (F.log((F.lit(n_docs) + 1) / (F.col("df") + 1)) + 1)
+    rest = found.select("row", F.inline(F.arrays_zip("others", "often"))).join(dfs, F.col("others") == F.col("word")) \
+        .groupBy("row").agg(F.sum(weight * weight).alias("rest"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            scores, evidence = [], []
-            for near, sims, square, more in zip(*(b.column(c).to_pylist() for c in ("near", "sims", "square", "rest"))):
-                rows = np.array(near, np.int64)
-                cosines = np.array(sims) * math.sqrt(square / (square + more)) if near else np.empty(0)
-                scores.append(m.score(rows, cosines))
-                evidence.append([{"doc_id": int(m.index.ids[r]), "cosine": float(c), "toxic": int(m.index.labels[r])}
-                                 for r, c in zip(rows, cosines)])
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("content"), pa.array(scores, pa.float64()),
-                                              pa.array(evidence, kind)], names=["doc_id", "content", "score", "evidence"])
-
-    return found.drop("others").join(rest, "row", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0))) \
+            sizes = pa.compute.list_value_length(b.column("near")).to_numpy()
+            each = np.repeat(np.arange(len(b)), sizes)
+            rows = b.column("near").flatten().to_numpy()
+            square, more = b.column("square").to_numpy(), b.column("rest").to_numpy()
+            shorter = np.sqrt(np.divide(square, square + more, out=np.ones(len(b)), where=square > 0))
+            cosines = b.column("sims").flatten().to_numpy() * shorter[each]
+            w = 1.0 / (1.05 - np.minimum(cosines, 1.0))
+            votes = (np.bincount(each, w * m.index.labels[rows], len(b)) + m.prior) / (np.bincount(each, w, len(b)) + 1.0)
+            scores = np.where(sizes > 0, calibrated(votes, *line), m.background)
+            evidence = pa.StructArray.from_arrays(
+                [pa.array(m.index.ids[rows], pa.int64()), pa.array(cosines), pa.array(m.index.labels[rows].astype(np.int32))],
+                names=["doc_id", "cosine", "toxic"])
+            ends = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("content"), pa.array(scores),
+                                              pa.ListArray.from_arrays(ends, evidence)], names=["doc_id", "content", "score", "evidence"])
+
+    return found.drop("others", "often").join(rest, "row", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0))) \
         .select("doc_id", "content", "near", "sims", "square", "rest").mapInArrow(
             vote, "doc_id long, content long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
 
