@@ -67,7 +67,7 @@ class BlockMaxIndex:
         self.lists = None
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "lists": None, "dense": None}  # each worker makes its own from the vectors
+        return {**self.__dict__, "lists": None, "dense": None, "matrix": None, "column": None}  # each worker makes its own from the vectors
 
     def _build(self) -> None:
         """Rows and weights by term, and every block's largest weight by term."""
@@ -80,6 +80,16 @@ class BlockMaxIndex:
         top = np.maximum.reduceat(weights, new) if len(new) else weights
         self.lists = ((np.searchsorted(terms, at), rows, weights), (np.searchsorted(terms[new], at), blocks[new], top))
         self.dense = np.zeros(self.n_terms)
+        # words that more than a 16th of the examples hold stand in a matrix, which many
+        # queries multiply at once; it has at most 16 cells for each of their postings
+        held = np.diff(self.lists[0][0])
+        common = np.flatnonzero(held > max(1, len(self.ids) // 16))
+        self.column = np.full(self.n_terms, -1, np.int64)
+        self.column[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), len(self.ids)))
+        for c, t in enumerate(common):
+            at = slice(self.lists[0][0][t], self.lists[0][0][t + 1])
+            self.matrix[c, rows[at]] = weights[at]
 
     @staticmethod
     def _add(lists: tuple[np.ndarray, ...], t: np.ndarray, w: np.ndarray, size: int) -> np.ndarray:
@@ -92,8 +102,20 @@ class BlockMaxIndex:
         at = np.repeat(cuts[t] - (np.cumsum(n) - n), n) + np.arange(total)
         return np.bincount(place[at], np.repeat(w, n) * weight[at], size)
 
-    def nearest(self, query: dict[int, float] | Vector, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples, ties to the smaller id."""
+    def nearest_of(self, queries: list[Vector]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of several queries; their common words are multiplied together."""
+        if self.lists is None:
+            self._build()
+        weight = np.zeros((len(queries), len(self.matrix)))
+        for row, (t, w) in zip(weight, queries):
+            c = self.column[t]
+            row[c[c >= 0]] = w[c >= 0]
+        return [self.nearest(q, common=c) for q, c in zip(queries, weight @ self.matrix)]
+
+    def nearest(self, query: dict[int, float] | Vector, skip: int | None = None,
+                common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines of the k nearest examples, ties to the smaller id; ``common``:
+        what the query's common words add to each example's score."""
         if self.lists is None:
             self._build()
         t, w = as_vector(query)
@@ -101,21 +123,30 @@ class BlockMaxIndex:
         bounds = self._add(self.lists[1], t, w, -(-n // self.block))
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
+        if common is not None and skip is None and len(common) > self.k:
+            # the k-th of what common words add alone is no more than the k-th score
+            least = np.partition(common, len(common) - self.k)[len(common) - self.k]
+            return self._best(*self._score(order[bounds[order] + 1e-9 >= least], t, w, common), skip)
         lead = 1 + -(-self.k // self.block)
         rows, sims = self._best(*self._score(order[:lead], t, w), skip)
         rest = order[lead:]
         if len(rows) == self.k:
             rest = rest[bounds[rest] + 1e-9 >= sims[-1]]
         if len(rest):
-            more = self._score(rest, t, w)
+            more = self._score(rest, t, w, common)
             rows, sims = self._best(np.append(rows, more[0]), np.append(sims, more[1]), skip)
         return rows, sims
 
-    def _score(self, blocks: np.ndarray, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _score(self, blocks: np.ndarray, t: np.ndarray, w: np.ndarray,
+               common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the blocks that share a term with the query, and their cosines."""
-        n, cuts = len(self.ids), self.lists[0][0]
+        n = len(self.ids)
         if len(blocks) > 4:  # from the terms' lists
-            scores = self._add(self.lists[0], t, w, n)
+            c = self.column[t]
+            rare = c < 0
+            if common is None:
+                common = w[~rare] @ self.matrix[c[~rare]]
+            scores = common + self._add(self.lists[0], t[rare], w[rare], n)
             keep = np.zeros(-(-n // self.block), bool)
             keep[blocks] = True
             rows = np.flatnonzero((scores > 0) & np.repeat(keep, self.block)[:n])
@@ -337,16 +368,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
         m, none = shared.value, np.empty(0, np.int64)
         for b in batches:
             near, dots, squares, others, often = [], [], [], [], []
-            for text in b.column("text"):
-                words, counts = word_counts(text.as_py())
-                (t, w), held = m.vector(words, counts)
-                square = float(w @ w)
-                rows, sims = m.index.nearest((t, w / np.sqrt(square))) if len(t) else (none, none)
-                near.append(rows)
-                dots.append(sims)
-                squares.append(square)
-                others.append(words[~held] if len(rows) else none)
-                often.append(counts[~held] if len(rows) else none)
+            for first in range(0, len(b), 64):
+                some, queries = [], []
+                for text in b.column("text").slice(first, 64):
+                    words, counts = word_counts(text.as_py())
+                    (t, w), held = m.vector(words, counts)
+                    square = float(w @ w)
+                    squares.append(square)
+                    some.append((words[~held], counts[~held]))
+                    queries.append((t, w / np.sqrt(square) if len(t) else w))
+                for (rows, sims), (words, counts) in zip(m.index.nearest_of(queries), some):
+                    near.append(rows)
+                    dots.append(sims)
+                    others.append(words if len(rows) else none)
+                    often.append(counts if len(rows) else none)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("content"), _lists(near, pa.int32()), _lists(dots, pa.float64()),
                  pa.array(squares, pa.float64()), _lists(others, pa.int64()), _lists(often, pa.int32())],

@@ -212,6 +212,9 @@ def test_block_max_search_is_exact():
         want = [(s, i) for s, i in all_scores[:10] if s < 0]
         assert [int(x) for x in index.ids[rows]] == [i for _, i in want]
         assert np.allclose(sims, [-s for s, _ in want])
+    for q, (rows, sims) in zip(vecs[:130], index.nearest_of([toxicity.as_vector(v) for v in vecs[:130]])):
+        one = index.nearest(q)
+        assert rows.tolist() == one[0].tolist() and np.allclose(sims, one[1])
 
 
 def plain_toxicity(docs, labels, k=25):
