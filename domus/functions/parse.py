@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from domus.functions.text import strip
@@ -44,7 +44,16 @@ def to_long_numeric(c: str | Column) -> Column:
 def iso_date_text(c: str | Column) -> Column:
     """The text if it starts with a whole ISO date, yyyyMMdd written with dashes,
     else NULL: a year, a month or parts without leading zeros are no date."""
-    t = F.regexp_replace(strip(_c(c)), r"^([0-9]{4})([0-9]{2})([0-9]{2})(?=$|[T ])", "$1-$2-$3")
+    return whole_date(dashed_date(c))
+
+
+def dashed_date(c: str | Column) -> Column:
+    """Stripped text, yyyyMMdd at its start written with dashes."""
+    return F.regexp_replace(strip(_c(c)), r"^([0-9]{4})([0-9]{2})([0-9]{2})(?=$|[T ])", "$1-$2-$3")
+
+
+def whole_date(t: Column) -> Column:
+    """Stripped text if it starts with a whole ISO date, else NULL."""
     return F.when(t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}($|[T ])"), t)
 
 
@@ -55,7 +64,11 @@ def to_utc_timestamp_ntz(c: str | Column, null_tokens: Iterable[str] = ()) -> Co
     naive wall clock (``TIMESTAMP_NTZ``); text with a zone designator (Z or
     +hh:mm) is read as an instant and converted to the UTC wall clock.
     """
-    t = strip(_c(c))
+    return utc_of_text(strip(_c(c)), null_tokens)
+
+
+def utc_of_text(t: Column, null_tokens: Iterable[str] = ()) -> Column:
+    """``to_utc_timestamp_ntz`` of stripped text."""
     zoned = t.rlike(r"(Z|[+-][0-9]{2}(:?[0-9]{2})?)$") & t.rlike(r"[0-9]T|[0-9] [0-9]")
     instant = F.try_to_timestamp(t)
     utc = F.convert_timezone(None, F.lit("UTC"), instant.cast("timestamp_ntz"))
@@ -70,3 +83,15 @@ def year_between(ts: Column, lo: int = MIN_SOLD_YEAR, hi: int = MAX_SOLD_YEAR) -
 
 def year_after(ts: Column, lo_exclusive: int) -> Column:
     return F.when(F.year(ts) > lo_exclusive, ts)
+
+
+def with_sold_date(df: DataFrame, text: Column, null_tokens: Iterable[str] = (), iso: bool = False) -> DataFrame:
+    """``df`` with ``_sold``, the UTC time of ``text`` (with ``iso`` only of whole ISO dates).
+
+    A projection for each step: every rule uses what the one before gives
+    several times, and inside one expression each use is worked out anew.
+    """
+    out = df.withColumn("_sold_text", dashed_date(text) if iso else strip(text))
+    if iso:
+        out = out.withColumn("_sold_text", whole_date(F.col("_sold_text")))
+    return out.withColumn("_sold", utc_of_text(F.col("_sold_text"), null_tokens)).drop("_sold_text")

@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from domus.functions.parse import (
-    iso_date_text, to_double, to_int_numeric, to_int_strict, to_long_numeric, to_utc_timestamp_ntz, year_after,
-    year_between,
+    to_double, to_int_numeric, to_int_strict, to_long_numeric, with_sold_date, year_after, year_between,
 )
 from domus.functions.text import null_if_token, strip, title_case
 from domus.operators.joins import first_per_group
@@ -50,7 +49,8 @@ def clean_raw(raw: DataFrame, order_cols=("src_pos",), narrow: bool = False) ->
     money/area columns (lossy above 2^24).
     """
     df = convert_units(raw)
-    sold = year_after(to_utc_timestamp_ntz(_opt(df, "prev_sold_date")), CLEANER_MIN_EXCLUSIVE_YEAR)
+    df = with_sold_date(df, _opt(df, "prev_sold_date"))
+    sold = year_after(F.col("_sold"), CLEANER_MIN_EXCLUSIVE_YEAR)
     status = null_if_token(_opt(df, "status"), CLEANER_NULL_TOKENS)
     city = title_case(null_if_token(_opt(df, "city"), CLEANER_NULL_TOKENS))
     state = null_if_token(_opt(df, "state"), CLEANER_NULL_TOKENS)
@@ -103,7 +103,7 @@ def format_clean_csv(clean: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- record parser
 def _parse_columns(text: DataFrame) -> list[Column]:
-    sold = year_between(to_utc_timestamp_ntz(iso_date_text(_opt(text, "prev_sold_date")), PARSER_DATE_NULL_TOKENS))
+    """Of text that has ``_sold`` (``with_sold_date``)."""
     return [
         to_double(_opt(text, "brokered_by")).alias("brokered_by"),
         strip(_opt(text, "status")).alias("status"),
@@ -116,7 +116,7 @@ def _parse_columns(text: DataFrame) -> list[Column]:
         to_int_strict(_opt(text, "bed")).alias("bed"),
         to_int_strict(_opt(text, "bath")).alias("bath"),
         to_double(_opt(text, "house_size_sqm")).alias("house_size_sqm"),
-        sold.alias("prev_sold_date"),
+        year_between(F.col("_sold")).alias("prev_sold_date"),
     ]
 
 
@@ -140,7 +140,8 @@ def _reasons() -> Column:
 def parse_listings_with_reasons(text: DataFrame, order_col: str = "src_pos", keep: Sequence[str] = ()) -> DataFrame:
     """Typed record columns plus ``reasons`` (array of failed mandatory fields) and the
     columns to ``keep``."""
-    parsed = text.select(F.col(order_col), *_parse_columns(text), *keep)
+    dated = with_sold_date(text, _opt(text, "prev_sold_date"), PARSER_DATE_NULL_TOKENS, iso=True)
+    parsed = dated.select(F.col(order_col), *_parse_columns(dated), *keep)
     return parsed.withColumn("reasons", _reasons())
 
 
