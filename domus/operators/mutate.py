@@ -1,8 +1,8 @@
 """Bulk changes as pure transforms (DataFrame -> DataFrame).
 
 Parquet files are immutable: a change yields a new frame that is written to
-a new directory (a segment of
-``ListingsEngine``); the version being read is never overwritten.
+a new place (staged, then whole partitions are replaced by
+``sinks.partitioned``); what is being read is never overwritten before it is staged.
 """
 
 from __future__ import annotations

@@ -1,5 +1,5 @@
 """Writers: cleaned CSV, clustered wide table, documents, star tables, run
-records.  Versions of the engine's table are in ``domus.plans.engine``.
+records.
 """
 
 from __future__ import annotations
