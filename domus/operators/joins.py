@@ -71,10 +71,3 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order_by: Sequence[str |
     best = F.min(F.struct(*order_fields, F.struct(*payload).alias("_row"))).alias("_best")
     return df.groupBy(*keys).agg(best).select(*keys, "_best._row.*").select(*df.columns)
 
-
-def semi(df: DataFrame, keys_df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(keys_df.select(*keys), list(keys), "left_semi")
-
-
-def anti(df: DataFrame, keys_df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(keys_df.select(*keys), list(keys), "left_anti")

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from domus.functions.text import hash_id
-from domus.schema import STATUS_VALUES
 
 
 def star_brokers(listings: DataFrame) -> DataFrame:
@@ -119,7 +118,3 @@ def star_to_wide(star: dict[str, DataFrame]) -> DataFrame:
     return d.select("listing_id", "brokered_by", "status", "price", "lot_size_sqm", "street", "city",
                     "state", "zip_code", "bed", "bath", "house_size_sqm", "prev_sold_date")
 
-
-def invalid_status(listings: DataFrame) -> DataFrame:
-    """Rows whose status is outside the three allowed values (NULL allowed)."""
-    return listings.where(F.col("status").isNotNull() & ~F.col("status").isin(list(STATUS_VALUES)))
