@@ -206,15 +206,58 @@ def _common(flat: np.ndarray, cuts: np.ndarray, left: np.ndarray, right: np.ndar
     return out
 
 
+def _block_pairs(rest: DataFrame, num: int, den: int, rows: int, shingles: int) -> DataFrame:
+    """``rest`` with (own, x, y): each member in its block ``own``, once for every
+    pair x <= y of blocks of its list that it takes part in.
+
+    A list of at most ``rows`` members and ``shingles`` shingles is one block.
+    In a longer one a component that fills half a block has blocks of its own;
+    the others are dealt by size class (sizes in ratio of the threshold), then
+    by component.  Two blocks meet unless both lie in the same component or no
+    size in one is within the threshold of a size in the other."""
+    def parts(count: str, total: str):
+        return F.ceil(F.greatest(F.col(count) / rows, F.col(total) / shingles)).cast("long")
+
+    size_class = F.floor(F.log("n") / math.log(den / num)).cast("long") if num < den else F.col("n")
+    groups = rest.withColumn("class", size_class).groupBy("value", "component", "class") \
+        .agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    lists = rest.groupBy("value").agg(F.count("*").alias("c"), F.sum("n").alias("s")) \
+        .withColumn("blocks", parts("c", "s")).select("value", "blocks")
+    lists = cut(lists, "near-blocks")
+    groups = cut(groups.join(lists.where("blocks > 1").select("value"), "value"), "near-groups")
+    large = groups.groupBy("value", "component").agg(F.sum("c").alias("c"), F.sum("s").alias("s")) \
+        .where((F.col("c") * 2 >= rows) | (F.col("s") * 2 >= shingles)) \
+        .select("value", "component", parts("c", "s").alias("large"))
+    small = groups.join(large, ["value", "component"], "left_anti").groupBy("value", "class") \
+        .agg(F.sum("c").alias("c"), F.sum("s").alias("s")).select("value", "class", parts("c", "s").alias("small"))
+    dealt = rest.withColumn("class", size_class).join(lists, "value") \
+        .join(large, ["value", "component"], "left").join(small, ["value", "class"], "left")
+    own = F.when(F.col("blocks") <= 1, F.lit(0).cast("long")) \
+        .when(F.col("large").isNotNull(),
+              F.xxhash64(F.lit("component"), "component", F.pmod(F.xxhash64("node"), "large"))) \
+        .otherwise(F.xxhash64(F.lit("class"), "class", F.pmod(F.xxhash64("component"), "small")))
+    dealt = cut(dealt.withColumn("own", own).drop("class", "blocks", "large", "small"), "near-dealt")
+    drop(groups)
+    block = dealt.groupBy("value", "own").agg(F.min("n").alias("lo"), F.max("n").alias("hi"),
+                                              F.min("component").alias("c1"), F.max("component").alias("c2"))
+    side = lambda c: block.select("value", *[F.col(f).alias(c + f) for f in ("own", "lo", "hi", "c1", "c2")])
+    apart = ~((F.col("ac1") == F.col("ac2")) & (F.col("bc1") == F.col("bc2")) & (F.col("ac1") == F.col("bc1")))
+    sized = (F.col("ahi") * den >= F.col("blo") * num) & (F.col("bhi") * den >= F.col("alo") * num)
+    pairs = side("a").join(side("b"), "value").where((F.col("aown") <= F.col("bown")) & apart & sized) \
+        .select("value", F.col("aown").alias("x"), F.col("bown").alias("y"))
+    ends = cut(pairs.select("value", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("own")), "near-meet")
+    return dealt.join(ends, ["value", "own"])
+
+
 def _across(rest: DataFrame, classes: DataFrame, k: int, num: int, den: int, sigmas: float, rows: int,
             shingles: int = 1 << 20) -> DataFrame:
     """(value, own, x, y, node, n, component): list members that may link with a
     member in another component, by the sketch of their union.  ``rest`` has
-    value, node, n, component, posted.  A list is cut into blocks of about
-    ``rows`` members and ``shingles`` shingles; each task holds two blocks of a
-    list and returns members, not pairs, so a list that many unlike documents
-    share (a passage) is compared whole without a row for each pair.  A pair
-    counts in the list of its least common posted value only."""
+    value, node, n, component, posted.  A list is cut into blocks
+    (``_block_pairs``); each task holds two blocks of a list and returns
+    members, not pairs, so a list that many unlike documents share (a passage)
+    is compared whole without a row for each pair.  A pair counts in the list
+    of its least common posted value only."""
     def run(t: pa.Table) -> pa.Table:
         n, comp, value = (t[c].to_numpy() for c in ("n", "component", "value"))
         sketch, posted = t["sketch"].combine_chunks(), t["posted"].combine_chunks()
@@ -246,16 +289,12 @@ def _across(rest: DataFrame, classes: DataFrame, k: int, num: int, den: int, sig
         cols = ("value", "own", "x", "y", "node", "n", "component")
         return t.select(cols).take(pa.array(np.unique(keep)))
 
-    sizes = cut(rest.groupBy("value").agg(
-        F.ceil(F.greatest(F.count("*") / rows, F.sum("n") / shingles)).cast("int").alias("blocks")), "near-blocks")
-    member = rest.join(sizes, "value").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")) \
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")) \
-        .withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other")
+    member = _block_pairs(rest, num, den, rows, shingles)
     jobs = shuffle_partitions(rest.sparkSession) * 8
     member = member.join(classes.select("node", "sketch"), "node") \
         .withColumn("job", F.pmod(F.xxhash64("value", "x", "y"), F.lit(jobs).cast("long")))
     return member.groupBy("job").applyInArrow(
-        run, "value long, own int, x int, y int, node long, n long, component long")
+        run, "value long, own long, x long, y long, node long, n long, component long")
 
 
 def _verify_blocks(met: DataFrame, sets: DataFrame, num: int, den: int, shingles: int = 1 << 22) -> DataFrame:
@@ -327,9 +366,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     two of it (the smallest and the largest class).  What then is in
     one component needs no more links; only pairs across components are left,
     and all of those are compared, blocks of about ``block_rows`` against each
-    other, so a member stands in as many rows as its list has blocks.  Sketches may miss a pair only where sets
-    are larger than ``k``, at a chance of ``sigmas`` standard deviations; no
-    list or group is cut short.
+    other.  Blocks of one component, or of sizes too unlike, don't meet.
+    Sketches may miss a pair only where sets are larger than ``k``, at a
+    chance of ``sigmas`` standard deviations; no list or group is cut short.
 
     Null and empty texts have no shingles and link with nothing; rows with a
     null id link with nothing and are kept (their component_id is null).  Rows
@@ -361,16 +400,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 .union(met.select(F.col("node").alias("a"), F.col("hi").alias("b"))).where("a <> b")
                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
 
-    def sets_of(nodes: DataFrame, name: str) -> DataFrame:
-        wanted = cut(classes.select("node", "rep", "set_key").join(nodes.distinct(), "node"), f"{name}-wanted")
-        sets = cut(full_sets(docs, wanted, id_col, text_col, width), f"{name}-sets")
+    def with_sets(sets: DataFrame | None, nodes: DataFrame, name: str) -> DataFrame:
+        """``sets`` and those of the ``nodes`` that it lacks; texts are read only if some are lacking."""
+        nodes = nodes.distinct() if sets is None else nodes.distinct().join(sets, "node", "left_anti")
+        wanted = cut(classes.select("node", "rep", "set_key").join(nodes, "node"), f"{name}-wanted")
+        if sets is None or wanted.limit(1).count():
+            new = cut(full_sets(docs, wanted, id_col, text_col, width), f"{name}-sets")
+            written.append(new)
+            sets = new if sets is None else sets.union(new)
         drop(wanted)
         return sets
 
+    written: list[DataFrame] = []
     close = cut(_filter_pairs(first, classes, k, num, den, sigmas), "near1-close")
-    sets = sets_of(close.select(F.col("a").alias("node")).union(close.select("b")), "near1")
+    sets = with_sets(None, close.select(F.col("a").alias("node")).union(close.select("b")), "near1")
     links = cut(_verify(close, sets, num, den).toDF("src", "dst"), "near1-links")
-    drop(close, sets)
+    drop(close)
     labels = connected_components(links, "near1")
     placed = cut(lists.join(labels.withColumnRenamed("id", "node"), "node", "left")
                  .select("value", "node", "n", F.coalesce("component", "node").alias("component")), "near-placed")
@@ -380,9 +425,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = cut(placed.join(mixed, "value").join(hubs, "value").where("node <> lo and node <> hi")
                .select("value", "node", "n", "component").join(posted, "node"), "near-rest")
     across = cut(_across(rest, classes, k, num, den, sigmas, block_rows), "near-across")
-    sets = sets_of(across.select("node"), "near2")
+    sets = with_sets(sets, across.select("node"), "near2")
     more = cut(_verify_blocks(across, sets, num, den), "near2-links")
-    drop(sets)
+    drop(*written)
     if more.limit(1).count():
         labels = connected_components(links.union(more), "near2")
     drop(common, lists, hubs, first, placed, rest, across)
