@@ -28,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from domus.operators.joins import null_safe_match
+from domus.operators.joins import bounded_broadcast, null_safe_match
 from domus.session import materialize
 
 
@@ -69,36 +69,104 @@ def top_n_per_group(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value_col: str, probs: Sequence[float],
-                    partitions: int | None = None) -> DataFrame:
+                    partitions: int | None = None, window_rows: int = 100_000, accuracy: int = 1000) -> DataFrame:
     """Exact interpolated quantiles (the ``percentile`` / ``quantile_cont`` rule) per key.
 
-    Output: keys, ``prob``, ``value``.  Equal values are counted first (inside
-    each task, then per value), so ties are one row however many there are.
-    The distinct values are range-partitioned, their counts summed up along
-    the order, and the two values around each target position picked by an
-    equi-join on the keys.
+    Output: keys, ``prob``, ``value``; keys without a value have no row.
+
+    Equal values are counted first and are one row from then on.  Where a key
+    has more than ``window_rows`` values, one pass takes a mergeable sketch of
+    each key, which brackets every quantile between two values, and a second
+    pass counts the values inside a bracket one by one and everything between
+    two brackets as one number; what is left to order is a small share of the
+    values (6 / ``accuracy`` a quantile).  Keys with at most ``window_rows``
+    values are counted whole.  Counts decide: if a quantile fell outside its
+    bracket, all values are counted.
+
+    The counts are summed up along the values in a window per key while no key
+    has more than ``window_rows`` of them, else range-partitioned, so a key
+    with a large share of all rows never meets in one task.
     """
-    keys = list(keys)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = df.where(F.col(value_col).isNotNull()).groupBy(*keys, F.col(value_col).alias("_v")) \
-        .agg(F.count(F.lit(1)).alias("_c"))
-    ordered = materialize(counted.repartitionByRange(n, *keys, "_v").withColumn("_pid", F.spark_partition_id()),
-                          "quantile-stage")
-    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ordered.groupBy(*keys, "_pid").agg(F.sum("_c").alias("_sum")) \
-        .select(*keys, "_pid", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    upto = null_safe_match(ordered.withColumn("_in", F.sum("_c").over(inside)), offsets, ["_pid"], keys) \
-        .select(*keys, "_v", (F.col("_before") + F.col("_in")).alias("_upto"), "_c")
-    sizes = ordered.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    p = F.explode(F.array(*[F.lit(float(x)) for x in probs])).alias("prob")
-    targets = (sizes.select(*keys, "_n", p)
-               .withColumn("_pos", (F.col("_n") - 1) * F.col("prob"))
-               .withColumn("_lo", F.floor("_pos").cast("long") + 1)
-               .withColumn("_hi", F.ceil("_pos").cast("long") + 1).drop("_n"))
-    around = null_safe_match(upto, targets, [], keys) \
-        .where((F.col("_upto") >= F.col("_lo")) & (F.col("_upto") - F.col("_c") < F.col("_hi")))
+    keys, probs = list(keys), [float(x) for x in probs]
+    rows = df.where(F.col(value_col).isNotNull()).select(*keys, F.col(value_col).alias("_v"))
+    whole = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"), F.lit(None).cast("int").alias("_between"))
+    if _largest(rows, keys) <= window_rows:
+        around = _around(_summed(whole, keys), keys, probs)
+    else:
+        counted = _bracketed(rows, keys, probs, window_rows, accuracy)
+        around = _around(_summed_widely(counted, keys, partitions, window_rows), keys, probs)
+        if around.where("_between is not null").limit(1).count():
+            counted = materialize(whole, "quantile-counts")
+            around = _around(_summed_widely(counted, keys, partitions, window_rows), keys, probs)
     frac = F.first("_pos") - (F.first("_lo") - 1)
     low, high = F.min("_v"), F.max("_v")  # the values at _lo and _hi
     return around.groupBy(*keys, "prob").agg(
         F.when(low == high, low).otherwise((1 - frac) * low + frac * high).alias("value"))
+
+
+def _bracketed(rows: DataFrame, keys: list[str], probs: list[float], window_rows: int,
+               accuracy: int) -> DataFrame:
+    """(keys, _v, _c, _between): the count of each value inside a bracket, and of
+    all values between two brackets (``_between`` not null, ``_v`` the least of
+    them)."""
+    reach = 3.0 / accuracy  # the sketch is off by 1 / accuracy of the rows
+    near = [x for p in probs for x in (max(p - reach, 0.0), min(p + reach, 1.0))]
+    bounds = materialize(rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", near, accuracy).alias("_near")), "quantile-bounds")
+    narrow = F.col("_n") > window_rows
+    edges = [(F.when(narrow & F.lit(p > reach), F.col("_near")[2 * i]).otherwise(F.col("_min")),
+              F.when(narrow & F.lit(p < 1 - reach), F.col("_near")[2 * i + 1]).otherwise(F.col("_max")))
+             for i, p in enumerate(probs)]
+    edges = bounds.select(*keys, *[e.alias(f"_e{i}_{side}") for i, pair in enumerate(edges)
+                                   for side, e in zip(("lo", "hi"), pair)])
+    placed = null_safe_match(rows, bounded_broadcast(edges, 100_000), [], keys)
+    inside, above = F.lit(False), F.lit(0)
+    for i in range(len(probs)):
+        inside = inside | F.col("_v").between(F.col(f"_e{i}_lo"), F.col(f"_e{i}_hi"))
+        above = above + (F.col("_v") > F.col(f"_e{i}_hi")).cast("int")
+    counted = placed.select(*keys, "_v", F.when(inside, F.col("_v")).alias("_cell"),
+                            F.when(~inside, above).alias("_between")) \
+        .groupBy(*keys, "_cell", "_between").agg(F.min("_v").alias("_v"), F.count(F.lit(1)).alias("_c")).drop("_cell")
+    return materialize(counted, "quantile-counts")
+
+
+def _largest(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the key that has most."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
+
+
+def _summed(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """``counted`` with _upto, the counts up to each value, and _n, those of the key."""
+    whole = Window.partitionBy(*keys)
+    along = whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    return counted.withColumn("_upto", F.sum("_c").over(along)).withColumn("_n", F.sum("_c").over(whole))
+
+
+def _summed_widely(counted: DataFrame, keys: list[str], partitions: int | None, window_rows: int) -> DataFrame:
+    """``_summed``, range-partitioned if a key has more than ``window_rows`` rows."""
+    if _largest(counted, keys) <= window_rows:
+        return _summed(counted, keys)
+    n = partitions or int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = materialize(counted.repartitionByRange(n, *keys, "_v").withColumn("_pid", F.spark_partition_id()),
+                          "quantile-stage")
+    whole = Window.partitionBy(*keys)  # a row for each partition that a key lies in
+    before = whole.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ordered.groupBy(*keys, "_pid").agg(F.sum("_c").alias("_sum")) \
+        .select(*keys, "_pid", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"),
+                F.sum("_sum").over(whole).alias("_n"))
+    inside = Window.partitionBy(*keys, "_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    return null_safe_match(ordered.withColumn("_in", F.sum("_c").over(inside)), offsets, ["_pid"], keys) \
+        .withColumn("_upto", F.col("_before") + F.col("_in"))
+
+
+def _around(summed: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """The rows that hold the two ranks around each quantile, with prob, _pos
+    (place from 0), _lo and _hi (ranks from 1)."""
+    place = lambda p: (F.col("_n") - 1) * F.lit(p)
+    targets = F.array(*[F.struct(F.lit(p).alias("prob"), place(p).alias("pos"), (F.floor(place(p)) + 1).alias("lo"),
+                                 (F.ceil(place(p)) + 1).alias("hi")) for p in probs])
+    hit = F.filter(targets, lambda t: (F.col("_upto") >= t["lo"]) & (F.col("_upto") - F.col("_c") < t["hi"]))
+    return summed.select(*keys, "_v", "_between", F.explode(hit).alias("_t")) \
+        .select(*keys, "_v", "_between", F.col("_t.prob").alias("prob"), F.col("_t.pos").alias("_pos"),
+                F.col("_t.lo").alias("_lo"), F.col("_t.hi").alias("_hi"))

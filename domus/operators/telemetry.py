@@ -133,23 +133,22 @@ def metric_quartiles(records: DataFrame,
                      method: str = "rank", accuracy: int = 10000, digits: int = 6) -> DataFrame:
     """Box-plot statistics (min, quartiles, max) per system and metric.
 
-    ``rank``: exact quantiles from distributed value counts
-    (``ranking.exact_quantiles``), no group gathered in one task.  ``approx``: ``percentile_approx``, a mergeable sketch with relative rank
+    ``rank``: exact quantiles by narrowing (``ranking.exact_quantiles``), no
+    group gathered in one task; a metric without values has no row.
+    ``approx``: ``percentile_approx``, a mergeable sketch with relative rank
     error 1/accuracy.
     """
-    from domus.operators.joins import null_safe_match
     from domus.operators.ranking import exact_quantiles
     if method not in ("rank", "approx"):
         raise ValueError("method must be 'rank' or 'approx'")
     long = records.unpivot(["database"], list(metrics), "metric", "v")
     probs = (0.25, 0.5, 0.75)
     keys = ["database", "metric"]
-    bounds = long.groupBy(*keys).agg(F.min("v").alias("min"), F.max("v").alias("max"))
     if method == "rank":
-        qs = exact_quantiles(long, keys, "v", probs)
-        wide = qs.groupBy(*keys).pivot("prob", list(probs)).agg(F.first("value"))
-        wide = wide.select(*keys, *[F.col(f"`{c}`").alias(n) for c, n in zip(wide.columns[2:], ("_q1", "_q2", "_q3"))])
-        stats = null_safe_match(bounds, wide, [], keys)
+        names = {0.0: "min", 0.25: "_q1", 0.5: "_q2", 0.75: "_q3", 1.0: "max"}
+        qs = exact_quantiles(long, keys, "v", list(names))
+        stats = qs.groupBy(*keys).agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n)
+                                        for p, n in names.items()])
         q1, q2, q3 = F.col("_q1"), F.col("_q2"), F.col("_q3")
     else:
         arr = F.array(*[F.lit(x) for x in probs])

@@ -57,3 +57,32 @@ def test_quantiles_of_one_common_value(spark):
     got = {r["prob"]: r["value"] for r in exact_quantiles(df, ["k"], "v", probs, 4).collect()}
     ref = df.agg(F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).first()["q"]
     assert all(abs(got[p] - x) < 1e-9 for p, x in zip(probs, ref))
+
+
+def test_quantiles_of_narrowed_groups(spark):
+    """Large keys keep only the values inside the brackets, in a window or range-partitioned."""
+    v = F.when(F.col("id") % 3 == 0, F.rand(7)).when(F.col("id") % 3 == 1, -F.exp(F.rand(8) * 9)).otherwise(F.lit(2.5))
+    df = spark.range(30000).select(F.when(F.col("id") % 10 > 0, (F.col("id") % 4 == 0).cast("int")).alias("k"), v.alias("v"))
+    probs = [0.0, 0.002, 0.25, 0.5, 0.75, 0.9, 1.0]
+    ref = {r["k"]: r["q"] for r in df.groupBy("k").agg(F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()}
+    for window_rows in (20000, 3000, 50):
+        got = {(r["k"], r["prob"]): r["value"] for r in exact_quantiles(df, ["k"], "v", probs, 4, window_rows).collect()}
+        assert len(got) == 3 * len(probs)
+        assert all(abs(got[(k, p)] - x) < 1e-9 for k, q in ref.items() for p, x in zip(probs, q))
+
+
+def test_quantiles_outside_their_brackets_are_counted_whole(spark, monkeypatch):
+    """Brackets that miss the quantiles cost a full count, not a wrong result."""
+    from domus.operators import ranking
+    df = spark.range(5000).select((F.col("id") * 1.0).alias("v"))
+    kind = F.percentile_approx
+    monkeypatch.setattr(ranking.F, "percentile_approx", lambda c, near, n: kind(c, [0.01] * len(near), n))
+    got = {r["prob"]: r["value"] for r in exact_quantiles(df, [], "v", [0.25, 0.5], 4, 100).collect()}
+    assert got == {0.25: 1249.75, 0.5: 2499.5}
+
+
+def test_quantiles_without_values(spark):
+    df = spark.createDataFrame([("a", None), ("b", 3.0), (None, 1.0), (None, 2.0)], "k string, v double")
+    got = {(r["k"], r["value"]) for r in exact_quantiles(df, ["k"], "v", [0.5]).collect()}
+    assert got == {("b", 3.0), (None, 1.5)}
+    assert exact_quantiles(df.limit(0), ["k"], "v", [0.5]).count() == 0
