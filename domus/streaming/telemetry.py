@@ -2,9 +2,12 @@
 
 Samples arrive as files in any order.  Each micro-batch writes mergeable
 partials (sums, counts, extremes) per system and window to
-``out/epoch=<id>`` (overwrite, so a replayed batch is idempotent), and
-``latest_windows`` merges them.  No sample is ever late: a file that arrives
-long after its window still adds to it, and the stream keeps no state.
+``out/level=0/run=<epoch>`` (overwrite, so a replayed batch is idempotent).
+Every ``fan`` runs of a level are merged into one run of the next, named by
+its place, so the windows are read from at most ``fan - 1`` runs a level, a
+number that grows with the logarithm of the epochs.  No sample is ever late:
+a file that arrives long after its window still adds to it, and the stream
+keeps no state.
 """
 
 from __future__ import annotations
@@ -14,8 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from domus.functions.measures import round_half_up
+from domus.session import path_exists
 
 MB = 1048576.0
+FAN = 8  # runs of a level that make one of the next
 
 EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -38,6 +43,13 @@ def windowed_partials(samples: DataFrame, window: str = "1 day") -> DataFrame:
                  F.count(F.lit(1)).alias("samples")))
 
 
+def combine_partials(partials: DataFrame) -> DataFrame:
+    """One row of partials per window from any number of them."""
+    how = {"cpu_sum": F.sum, "cpu_n": F.sum, "_peak_cpu": F.max, "mem_sum": F.sum, "mem_n": F.sum,
+           "_peak_mem": F.max, "_blk_max": F.max, "_blk_min": F.min, "samples": F.sum}
+    return partials.groupBy("w", "system").agg(*[f(c).alias(c) for c, f in how.items()])
+
+
 def merge_partials(partials: DataFrame) -> DataFrame:
     """One row per window from any number of partials."""
     return (partials.groupBy("w", "system")
@@ -81,11 +93,62 @@ def samples_stream(spark: SparkSession, events_path: str, max_files_per_trigger:
                      (F.col("event_id") * 4096).alias("blkio_bytes"))
 
 
+def _run_path(out: str, level: int, run: int) -> str:
+    return f"{out.rstrip('/')}/level={level}/run={run}"
+
+
+def _complete_runs(spark: SparkSession, out: str) -> dict[int, set[int]]:
+    """Runs that were written to the end, by level (a few names a level: merged
+    ones are removed)."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(f"{out.rstrip('/')}/level=*/run=*/_SUCCESS")
+    runs: dict[int, set[int]] = {}
+    for f in found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found) or []:
+        level, run = (int(part.split("=")[1]) for part in f.getPath().toString().split("/")[-3:-1])
+        runs.setdefault(level, set()).add(run)
+    return runs
+
+
+def add_partials(partials: DataFrame, out: str, epoch_id: int, fan: int = FAN) -> None:
+    """Write one epoch's partials, then merge every level that it completes.
+
+    A run that is complete is never written again, so a replayed epoch changes
+    nothing.  What a run was merged from stays until the run above it is
+    complete, for those who listed it before; then it is removed.
+    """
+    spark = partials.sparkSession
+    partials.write.mode("overwrite").parquet(_run_path(out, 0, epoch_id))
+    level, run = 0, epoch_id
+    while (run + 1) % fan == 0:
+        level, run = level + 1, run // fan
+        done = _complete_runs(spark, out)
+        if run not in done.get(level, ()):
+            parts = range(run * fan, (run + 1) * fan)
+            if not done.get(level - 1, set()).issuperset(parts):
+                raise RuntimeError(f"{out}: runs {parts} of level {level - 1} are not complete")
+            combine_partials(spark.read.parquet(*[_run_path(out, level - 1, r) for r in parts])) \
+                .write.mode("overwrite").parquet(_run_path(out, level, run))
+        for old in done.get(level - 2, set()) if level > 1 else ():
+            if old // fan ** 2 == run:
+                p = spark._jvm.org.apache.hadoop.fs.Path(_run_path(out, level - 2, old))
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def current_runs(spark: SparkSession, out: str, fan: int = FAN) -> list[str]:
+    """Paths of the complete runs that no complete run of a higher level holds."""
+    done = _complete_runs(spark, out)
+    top = max(done, default=0)
+    return [_run_path(out, level, run) for level in sorted(done) for run in sorted(done[level])
+            if not any(run // fan ** (up - level) in done.get(up, ()) for up in range(level + 1, top + 1))]
+
+
 def telemetry_stream(spark: SparkSession, events_path: str, out: str, checkpoint: str,
                      window: str = "1 day", available_now: bool = True, max_files_per_trigger: int = 1):
     """Start the windowed telemetry stream; returns the ``StreamingQuery``."""
+    if path_exists(spark, out) and not path_exists(spark, checkpoint):
+        raise ValueError(f"{out} belongs to another checkpoint: epochs would start at 0 again")
+
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        windowed_partials(batch, window).write.mode("overwrite").parquet(f"{out.rstrip('/')}/epoch={epoch_id}")
+        add_partials(windowed_partials(batch, window), out, epoch_id)
 
     w = (samples_stream(spark, events_path, max_files_per_trigger).writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint))
@@ -93,6 +156,9 @@ def telemetry_stream(spark: SparkSession, events_path: str, out: str, checkpoint
     return w.start()
 
 
-def latest_windows(spark: SparkSession, out: str) -> DataFrame:
+def latest_windows(spark: SparkSession, out: str, fan: int = FAN) -> DataFrame:
     """Current result: one row per (system, window) over all samples so far."""
-    return _finish(merge_partials(spark.read.parquet(out)))
+    runs = current_runs(spark, out, fan)
+    if not runs:
+        raise FileNotFoundError(f"no complete run under {out}")
+    return _finish(merge_partials(spark.read.parquet(*runs)))

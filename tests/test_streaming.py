@@ -1,6 +1,8 @@
 """Structured Streaming: incremental import and windowed telemetry."""
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from domus.operators import cleaning as cl
@@ -71,3 +73,36 @@ def test_telemetry_stream_counts_late_rows(spark, tmpdir_path):
     res = {r["window_start"].day: r for r in telemetry.latest_windows(spark, out).collect()}
     assert res[1]["samples"] == 3 and res[1]["peak_cpu"] == 1000.0
     assert res[3]["samples"] == 1
+
+
+def test_telemetry_partials_are_merged_by_level(spark, tmpdir_path):
+    """200 epochs are read from a few runs, replays change nothing, and sums are whole."""
+    out, fan = f"{tmpdir_path}/levels", 8
+    ts = dt.datetime
+    rows = [("a", ts(2024, 1, 1, 10), 1.0, 4.0, 8), ("b", ts(2024, 1, 2, 10), 3.0, None, 9)]
+    samples = spark.createDataFrame(rows, "system string, ts timestamp, cpu_percent double, mem_mb double, blkio_bytes long")
+    partials = telemetry.windowed_partials(samples.coalesce(1)).coalesce(1)
+    base = f"{tmpdir_path}/base"
+    partials.write.parquet(base)
+    one = spark.read.parquet(base)
+    for epoch in range(200):
+        telemetry.add_partials(one, out, epoch, fan)
+        if epoch in (6, 7, 63, 64, 127):  # the batch is run again after a failure
+            telemetry.add_partials(one, out, epoch, fan)
+            got = {r["system"]: r["samples"] for r in telemetry.latest_windows(spark, out, fan).collect()}
+            assert got == {"a": epoch + 1, "b": epoch + 1}
+    runs = telemetry.current_runs(spark, out, fan)
+    assert len(runs) == 3 + 1  # 200 = 3 * 64 + 1 * 8
+    assert len(spark.read.parquet(*runs).inputFiles()) <= 24
+    got = {r["system"]: (r["avg_cpu"], r["avg_mem"], r["samples"]) for r in telemetry.latest_windows(spark, out, fan).collect()}
+    assert got == {"a": (1.0, 4.0, 200), "b": (3.0, None, 200)}
+    # merged runs are kept until the run above theirs is complete: 24 of level 1 under level 2, 8 of level 0 under level 1
+    left = {level: len(found) for level, found in telemetry._complete_runs(spark, out).items()}
+    assert left == {2: 3, 1: 24 + 1, 0: 8}
+
+
+def test_telemetry_stream_refuses_a_folder_of_another_checkpoint(spark, tmpdir_path):
+    out = f"{tmpdir_path}/out"
+    telemetry.telemetry_stream(spark, f"{SF}/events.parquet", out, f"{tmpdir_path}/c1").awaitTermination()
+    with pytest.raises(ValueError, match="another checkpoint"):
+        telemetry.telemetry_stream(spark, f"{SF}/events.parquet", out, f"{tmpdir_path}/c2")
