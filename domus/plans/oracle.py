@@ -626,6 +626,7 @@ lines AS (
 good AS (SELECT recs.*, line FROM recs JOIN lines ON src_pos = listing_id WHERE NOT blank AND broken IS NULL),
 bad AS (SELECT line, CASE WHEN broken IS NULL THEN reasons ELSE 'malformed' END AS reasons, coalesce(broken, whole) AS line_text
         FROM lines JOIN checked USING (src_pos) WHERE NOT blank AND (broken IS NOT NULL OR reasons <> ''))"""
+ORACLE["import_interleaved"] = ORACLE["listings"]
 ORACLE["import_wide"] = with_listings("SELECT * EXCLUDE (listing_id) FROM good", _LINES_CTE)
 ORACLE["import_rejects"] = with_listings("SELECT * FROM bad", _LINES_CTE)
 ORACLE["import_counts"] = with_listings("""

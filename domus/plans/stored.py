@@ -22,6 +22,7 @@ from domus.plans.engine import ListingsEngine
 from domus.schema import LISTING_COLUMNS, RUN
 from domus.session import scratch_path
 from domus.sinks import writers
+from domus.sinks.layout import write_interleaved
 from domus.sinks.star_load import Star
 from domus.sources.derived import clean_csv_text, raw_listings_text
 from domus.sources.files import FILE_ORDER, json_lines, read_clean_csv, read_lines, read_raw_csv, with_line_numbers
@@ -204,6 +205,14 @@ def q_import_wide(spark, sf_dir):
         .drop("listing_id", "src_file", "src_block")
 
 
+@register("import_interleaved")
+def q_import_interleaved(spark, sf_dir):
+    """The listings written along a curve through broker and zip, read back."""
+    path = scratch_path(spark, "interleaved")
+    write_interleaved(listings_from_tables(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
 @register("import_rejects")
 def q_import_rejects(spark, sf_dir):
     """The lines that the import left out, with place, text and reasons."""
