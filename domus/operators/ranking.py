@@ -138,8 +138,9 @@ def _largest(df: DataFrame, keys: list[str]) -> int:
 
 def _summed(counted: DataFrame, keys: list[str]) -> DataFrame:
     """``counted`` with _upto, the counts up to each value, and _n, those of the key."""
-    whole = Window.partitionBy(*keys)
-    along = whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*keys).orderBy("_v")  # one order for both frames: one sort
+    along = order.rowsBetween(Window.unboundedPreceding, 0)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return counted.withColumn("_upto", F.sum("_c").over(along)).withColumn("_n", F.sum("_c").over(whole))
 
 
@@ -150,8 +151,9 @@ def _summed_widely(counted: DataFrame, keys: list[str], partitions: int | None,
     n = partitions or int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = materialize(counted.repartitionByRange(n, *keys, "_v").withColumn("_pid", F.spark_partition_id()),
                           "quantile-stage")
-    whole = Window.partitionBy(*keys)  # a row for each partition that a key lies in
-    before = whole.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*keys).orderBy("_pid")  # a row for each partition that a key lies in
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = ordered.groupBy(*keys, "_pid").agg(F.sum("_c").alias("_sum")) \
         .select(*keys, "_pid", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"),
                 F.sum("_sum").over(whole).alias("_n"))
