@@ -482,6 +482,13 @@ ORACLE["stream_import"] = with_listings("""
 SELECT brokered_by, status, price, lot_size_sqm, street, city, state, zip_code, bed, bath, house_size_sqm,
        prev_sold_date FROM recs""", PARSE_CTE)
 
+ORACLE["stream_import_skip"] = with_listings("""
+SELECT DISTINCT ON (brokered_by, status, price, prev_sold_date, street, zip_code, city, state)
+       brokered_by, status, price, lot_size_sqm, street, city, state, zip_code, bed, bath, house_size_sqm, prev_sold_date
+FROM (SELECT 1 AS delivery, * FROM recs WHERE listing_id % 6 < 4
+      UNION ALL SELECT 2, * REPLACE (CAST('1' || CAST(bed AS VARCHAR) AS INTEGER) AS bed) FROM recs) d
+ORDER BY brokered_by, status, price, prev_sold_date, street, zip_code, city, state, delivery, listing_id""", PARSE_CTE)
+
 ORACLE["top_n_per_broker_ranked"] = ORACLE["top_n_per_broker"]
 ORACLE["metric_quartiles_ranked"] = ORACLE["metric_quartiles"]
 

@@ -1,13 +1,17 @@
 """Structured Streaming: incremental import and windowed telemetry."""
 import datetime as dt
+import os
 
 import pytest
 
 from pyspark.sql import functions as F
 
+from domus.functions.ids import LOW_BITS
 from domus.operators import cleaning as cl
+from domus.schema import LISTING
 from domus.sources.derived import clean_csv_text
 from domus.streaming import ingest, telemetry
+from tests.fixtures import wide
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,6 +47,74 @@ def test_import_stream_skip_keeps_one_row_per_natural_key(spark, tmpdir_path):
     assert out.count() == keys == out.select(*NATURAL_KEY).distinct().count()
 
 
+CSV = "brokered_by,status,price,bed,bath,lot_size_sqm,street,city,state,zip_code,house_size_sqm,prev_sold_date"
+
+
+def _deliver(folder, name, *rows):
+    """A file of cleaned listings: (broker, price, bed, date) each."""
+    os.makedirs(folder, exist_ok=True)
+    lines = [f"{b},sold,{p},{bed},1,10.0,5.0,Alpha,X,10001,90.0,{d}" for b, p, bed, d in rows]
+    with open(f"{folder}/{name}.csv", "w") as f:
+        f.write("\n".join([CSV, *lines]) + "\n")
+
+
+def _skip(spark, base):
+    q = ingest.import_stream(spark, f"{base}/src", f"{base}/target", f"{base}/ckpt", on_duplicate="skip")
+    q.awaitTermination()
+    rows = spark.read.schema(LISTING).parquet(f"{base}/target").collect()
+    return q, sorted((r["brokered_by"], r["price"], r["bed"], r["prev_sold_date"]) for r in rows)
+
+
+def test_import_stream_skip_remembers_keys_over_restarts(spark, tmpdir_path):
+    src, day = f"{tmpdir_path}/src", dt.date(2020, 1, 2)
+    _deliver(src, "z", (1, 10, 1, day), (1, 10, 2, day), (2, 10, 3, ""), (2, "nan", 3, ""))
+    _, got = _skip(spark, tmpdir_path)
+    assert got == [(1, 10.0, 1, day), (2, 10.0, 3, None)]  # the first line of each key, NULL dates equal
+    # a name that sorts before: what was read first stays
+    _deliver(src, "a", (1, 10, 7, day), (2, 10, 8, ""), (2, 11, 9, ""), (1, 10, 9, ""))
+    q, got = _skip(spark, tmpdir_path)
+    after = [(1, 10.0, 1, day), (1, 10.0, 9, None), (2, 10.0, 3, None), (2, 11.0, 9, None)]
+    assert sorted(map(str, got)) == sorted(map(str, after))
+    state = q.lastProgress["stateOperators"][0]
+    assert state["numRowsTotal"] == 4 and q.lastProgress["numInputRows"] == 4  # its own rows, not those imported before
+    plan = q._jsq.explainInternal(False)
+    assert "StateStoreRestore" in plan and "/target" not in plan and "SortAggregate" not in plan
+    counts = sorted(map(tuple, ingest.batch_counts(spark, f"{tmpdir_path}/ckpt").collect()))
+    assert counts == [(0, 2, 1, 1), (1, 2, 0, 2)]
+    _, again = _skip(spark, tmpdir_path)  # nothing new
+    assert again == got
+
+
+def test_keep_first_stream_ignores_rows_that_are_written_again(spark, tmpdir_path):
+    """An import batch that failed while it was published is written again, in new files."""
+    _deliver(f"{tmpdir_path}/src", "one", (1, 10, 1, ""), (2, 10, 2, ""))
+    _, got = _skip(spark, tmpdir_path)
+    rows = f"{tmpdir_path}/ckpt_rows"
+    spark.createDataFrame(spark.read.schema(LISTING).parquet(f"{rows}/batch=0").collect(), LISTING) \
+        .write.mode("overwrite").parquet(f"{rows}/batch=0")
+    q, again = _skip(spark, tmpdir_path)
+    assert q.lastProgress["numInputRows"] == 2 and again == got
+
+
+def test_rows_with_ids_reads_the_batches_of_the_ids(spark, tmpdir_path):
+    rows = wide(spark).withColumn("batch", (F.col("listing_id") % 3).cast("int")) \
+        .withColumn("listing_id", F.shiftleft((F.col("batch") + 1).cast("long"), LOW_BITS) + F.col("listing_id"))
+    rows.write.partitionBy("batch").parquet(tmpdir_path + "/rows")
+    ids = rows.where("batch = 1").select("listing_id").limit(1)
+    out = ingest.rows_with_ids(spark, tmpdir_path + "/rows", ids)
+    assert out.count() == 1 and all("batch=1" in f for f in out.inputFiles() if "/rows/" in f)
+    assert ingest.rows_with_ids(spark, tmpdir_path + "/rows", ids.where("false")).count() == 0
+
+
+def test_import_stream_refuses_a_target_of_another_checkpoint(spark, tmpdir_path):
+    _deliver(f"{tmpdir_path}/src", "one", (1, 10, 1, ""))
+    for how in ("append", "skip"):
+        target = f"{tmpdir_path}/{how}"
+        ingest.import_stream(spark, f"{tmpdir_path}/src", target, f"{target}-c1", on_duplicate=how).awaitTermination()
+        with pytest.raises(ValueError, match="another checkpoint"):
+            ingest.import_stream(spark, f"{tmpdir_path}/src", target, f"{target}-c2", on_duplicate=how)
+
+
 def test_telemetry_stream_is_complete_in_any_file_order(spark, tmpdir_path):
     """Three files, newest first, and a folder of part files give the batch result."""
     ev = spark.read.parquet(f"{SF}/events.parquet")
