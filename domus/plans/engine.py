@@ -50,8 +50,13 @@ class ListingsEngine:
 
     def stored(self) -> DataFrame:
         """All lines of all finished imports, with their kind and origin."""
-        last = self.imports().agg(F.max("import_no")).first()[0] or 0
-        return read_table(self.spark, self.rows_path, STORED).where(F.col("import_no") <= last)
+        return read_table(self.spark, self.rows_path, STORED).where(F.col("import_no") <= self._last_import())
+
+    def _last_import(self) -> int:
+        """Number of the last finished import, from the names of the records (no job)."""
+        records = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/imports/import_no=*/part-*")
+        found = records.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(records) or []
+        return max((int(f.getPath().getParent().getName().split("=")[1]) for f in found), default=0)
 
     def _listings(self) -> DataFrame:
         """The listings with the columns that place them."""
@@ -93,7 +98,7 @@ class ListingsEngine:
             raise ValueError("on_duplicate must be 'append' or 'skip'")
         if not isinstance(batch_size, int) or batch_size < 0:
             raise ValueError("batch_size must be a non-negative integer")
-        number = self._next_import()
+        number = self._last_import() + 1
         rows = imports.parsed_lines(data, number, self.spark, self.broker_parts)
         dropped = 0
         if on_duplicate == "skip":
@@ -108,12 +113,9 @@ class ListingsEngine:
 
     def import_listings(self, listings: DataFrame, batch_size: int = 0) -> dict[str, int]:
         """Import typed listings under their own ids."""
-        number = self._next_import()
+        number = self._last_import() + 1
         return self._publish(imports.as_import(listings, number, self.broker_parts), number, batch_size)
 
-    def _next_import(self) -> int:
-        return (self.imports().agg(F.max("import_no")).first()[0] or 0) + 1
-
     def _publish(self, rows: DataFrame, number: int, batch_size: int, dropped: int = 0) -> dict[str, int]:
         """Write an import's rows, then the record that makes it seen."""
         seen = imports.write_import(rows, self.rows_path, batch_size)
