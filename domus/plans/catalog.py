@@ -147,6 +147,12 @@ def q_clean(spark, sf_dir):
     return cl.clean_raw(raw_listings_text(spark, sf_dir))
 
 
+@register("clean_listings_narrow")
+def q_clean_narrow(spark, sf_dir):
+    """the money and area columns in float32, duplicates found on the narrowed values."""
+    return cl.clean_raw(raw_listings_text(spark, sf_dir), narrow=True)
+
+
 @register("cleaned_csv_rows")
 def q_clean_csv(spark, sf_dir):
     return cl.format_clean_csv(cl.clean_raw(raw_listings_text(spark, sf_dir)))

@@ -126,8 +126,12 @@ ORACLE["total_count"] = with_listings("SELECT COUNT(*) AS n_rows FROM L")
 
 
 # ---------------------------------------------------------------- text exports
+def strip_sql(e: str) -> str:
+    return f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
+
+
 def title_sql(e: str) -> str:
-    return ("array_to_string(list_transform(regexp_extract_all(trim(" + e + "), '[A-Za-z]+|[^A-Za-z]+'), "
+    return ("array_to_string(list_transform(regexp_extract_all(" + strip_sql(e) + ", '[A-Za-z]+|[^A-Za-z]+'), "
             "lambda x: upper(x[1]) || lower(x[2:])), '')")
 
 
@@ -145,6 +149,12 @@ def ts_sql(e: str) -> str:
             f"ELSE TRY_CAST(trim({e}) AS TIMESTAMP) END)")
 
 
+def record_ts_sql(e: str) -> str:
+    """Of whole dates only, also written without dashes."""
+    d = f"regexp_replace({e}, '^([0-9]{{4}})([0-9]{{2}})([0-9]{{2}})($|[T ])', '\\1-\\2-\\3\\4')"
+    return f"(CASE WHEN regexp_matches({d}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}($|[T ])') THEN {ts_sql(d)} END)"
+
+
 def dirty_cte(layout: str) -> str:
     if layout == "raw":
         lot = "printf('%.4f', lot_size_sqm / 100.0)"
@@ -155,6 +165,9 @@ def dirty_cte(layout: str) -> str:
         house = "printf('%.2f', house_size_sqm)"
         names = ("lot_size_sqm", "house_size_sqm")
     k = "listing_id"
+    forms = "" if layout == "raw" else f"""WHEN {k} % 59 = 0 THEN strftime(prev_sold_date, '%Y%m%d')
+         WHEN {k} % 61 = 0 THEN strftime(prev_sold_date, '%Y-%m')
+         WHEN {k} % 67 = 0 THEN strftime(prev_sold_date, '%Y-%m-%d') || ' 13:45:10'"""
     return f"""
 dup AS (SELECT *, 0 AS _copy FROM L
         UNION ALL SELECT * REPLACE (bed + 1 AS bed), 1 AS _copy FROM L WHERE {k} % 41 = 0),
@@ -162,13 +175,14 @@ txt AS (
   SELECT {k} * 2 + _copy AS src_pos,
     CASE WHEN {k} % 53 = 0 THEN '' ELSE CAST(brokered_by AS VARCHAR) || '.0' END AS brokered_by,
     CASE WHEN {k} % 97 = 0 THEN 'nan' WHEN {k} % 89 = 0 THEN '' ELSE status END AS status,
-    CASE WHEN {k} % 37 = 0 THEN 'nan' ELSE printf('%.2f', price) END AS price,
+    CASE WHEN {k} % 37 = 0 THEN 'nan' WHEN {k} % 71 = 0 THEN printf('%.2f', price) || 'd'
+         WHEN {k} % 83 = 0 THEN '0x1p3' ELSE printf('%.2f', price) END AS price,
     CASE WHEN bed IS NULL THEN '' WHEN {k} % 11 = 0 THEN CAST(bed AS VARCHAR) || '.0'
          ELSE CAST(bed AS VARCHAR) END AS bed,
     COALESCE(CAST(bath AS VARCHAR), '') AS bath,
     CASE WHEN lot_size_sqm IS NULL THEN '' WHEN {k} % 43 = 0 THEN 'abc' ELSE {lot} END AS {names[0]},
     printf('%.1f', street) AS street,
-    CASE WHEN {k} % 31 = 0 THEN '' WHEN {k} % 5 = 1 THEN lower(city)
+    CASE WHEN {k} % 31 = 0 THEN '' WHEN {k} % 79 = 0 THEN chr(9) || city || chr(9) || ' ' WHEN {k} % 5 = 1 THEN lower(city)
          WHEN {k} % 5 = 2 THEN ' ' || lower(city) || ' ' WHEN {k} % 5 = 3 THEN upper(city)
          ELSE city END AS city,
     CASE WHEN {k} % 3 = 1 THEN lower(state) ELSE state END AS state,
@@ -176,7 +190,7 @@ txt AS (
     CASE WHEN house_size_sqm IS NULL THEN '' ELSE {house} END AS {names[1]},
     CASE WHEN {k} % 7 = 0 THEN '' WHEN {k} % 19 = 0 THEN 'not a date' WHEN {k} % 23 = 0 THEN '1969-05-01'
          WHEN {k} % 29 = 0 THEN strftime(prev_sold_date, '%Y-%m-%d') || 'T00:00:00+02:00'
-         ELSE strftime(prev_sold_date, '%Y-%m-%d') END AS prev_sold_date
+         {forms} ELSE strftime(prev_sold_date, '%Y-%m-%d') END AS prev_sold_date
   FROM dup)"""
 
 
@@ -184,7 +198,7 @@ TOKENS = "('', 'nan', 'NaN', 'None', 'none', 'NA', 'NaT', '<NA>', 'null')"
 
 
 def tok_sql(e: str) -> str:
-    return f"(CASE WHEN trim({e}) NOT IN {TOKENS} THEN trim({e}) END)"
+    return f"(CASE WHEN {strip_sql(e)} NOT IN {TOKENS} THEN {strip_sql(e)} END)"
 
 
 def integral_sql(e: str, t: str) -> str:
@@ -192,15 +206,18 @@ def integral_sql(e: str, t: str) -> str:
     return f"(CASE WHEN {d} = floor({d}) THEN CAST({d} AS {t}) END)"
 
 
-CLEAN_CTE = dirty_cte("raw") + f""",
+
+def clean_cte(narrow: bool = False) -> str:
+    f = (lambda e: f"CAST(CAST({e} AS FLOAT) AS DOUBLE)") if narrow else (lambda e: e)
+    return dirty_cte("raw") + f""",
 typed AS (
-  SELECT src_pos, {num_sql('brokered_by')} AS brokered_by, {tok_sql('status')} AS status,
-    {num_sql('price')} AS price, {integral_sql('bed', 'INTEGER')} AS bed,
+  SELECT src_pos, {f(num_sql('brokered_by'))} AS brokered_by, {tok_sql('status')} AS status,
+    {f(num_sql('price'))} AS price, {integral_sql('bed', 'INTEGER')} AS bed,
     {integral_sql('bath', 'INTEGER')} AS bath,
-    {num_sql('acre_lot')} * 4046.8564224 AS lot_size_sqm, {num_sql('street')} AS street,
+    {f(num_sql('acre_lot') + ' * 4046.8564224')} AS lot_size_sqm, {f(num_sql('street'))} AS street,
     CASE WHEN {tok_sql('city')} IS NOT NULL THEN {title_sql(tok_sql('city'))} END AS city,
     {tok_sql('state')} AS state, {integral_sql('zip_code', 'BIGINT')} AS zip_code,
-    {num_sql('house_size')} * 0.09290304 AS house_size_sqm,
+    {f(num_sql('house_size') + ' * 0.09290304')} AS house_size_sqm,
     CASE WHEN year({ts_sql('prev_sold_date')}) > 1970 THEN {ts_sql('prev_sold_date')} END AS prev_sold_date
   FROM txt),
 complete AS (
@@ -211,6 +228,9 @@ clean AS (
   SELECT DISTINCT ON (brokered_by, prev_sold_date, price, street, city, zip_code) *
   FROM complete ORDER BY brokered_by, prev_sold_date, price, street, city, zip_code, src_pos)"""
 
+
+CLEAN_CTE = clean_cte()
+
 PARSE_CTE = dirty_cte("clean_csv") + f""",
 parsed AS (
   SELECT src_pos, {num_sql('brokered_by')} AS brokered_by, trim(status) AS status, {num_sql('price')} AS price,
@@ -219,7 +239,7 @@ parsed AS (
     {strict_int_sql('bed')} AS bed, {strict_int_sql('bath')} AS bath,
     {num_sql('house_size_sqm')} AS house_size_sqm,
     CASE WHEN trim(prev_sold_date) IN ('', 'NaT', 'nan', 'None', 'NaN') THEN NULL
-         WHEN year({ts_sql('prev_sold_date')}) BETWEEN 1970 AND 2105 THEN {ts_sql('prev_sold_date')} END
+         WHEN year({record_ts_sql('prev_sold_date')}) BETWEEN 1970 AND 2105 THEN {record_ts_sql('prev_sold_date')} END
       AS prev_sold_date
   FROM txt),
 checked AS (
@@ -251,6 +271,7 @@ SELECT src_pos, {num_sql('acre_lot')} * 4046.8564224 AS lot_size_sqm,
        {num_sql('house_size')} * 0.09290304 AS house_size_sqm FROM txt""", dirty_cte("raw"))
 
 ORACLE["clean_listings"] = with_listings("SELECT * FROM clean", CLEAN_CTE)
+ORACLE["clean_listings_narrow"] = with_listings("SELECT * FROM clean", clean_cte(narrow=True))
 
 ORACLE["cleaned_csv_rows"] = with_listings("""
 SELECT CAST(src_pos AS VARCHAR) AS src_pos, printf('%.2f', brokered_by) AS brokered_by,

@@ -37,9 +37,14 @@ def _dirty_text(listings: DataFrame, layout: str) -> DataFrame:
     sold = (F.when(_every(k, 7), F.lit(""))
             .when(_every(k, 19), F.lit("not a date"))
             .when(_every(k, 23), F.lit("1969-05-01"))
-            .when(_every(k, 29), F.concat(date_txt, F.lit("T00:00:00+02:00")))
-            .otherwise(date_txt))
+            .when(_every(k, 29), F.concat(date_txt, F.lit("T00:00:00+02:00"))))
+    if layout == "clean_csv":  # forms that only the record parser has rules for
+        sold = (sold.when(_every(k, 59), F.date_format("prev_sold_date", "yyyyMMdd"))
+                .when(_every(k, 61), F.date_format("prev_sold_date", "yyyy-MM"))
+                .when(_every(k, 67), F.concat(date_txt, F.lit(" 13:45:10"))))
+    sold = sold.otherwise(date_txt)
     city = (F.when(_every(k, 31), F.lit(""))
+            .when(_every(k, 79), F.concat(F.lit("\t"), F.col("city"), F.lit("\t ")))
             .when(k % 5 == 1, F.lower("city"))
             .when(k % 5 == 2, F.concat(F.lit(" "), F.lower("city"), F.lit(" ")))
             .when(k % 5 == 3, F.upper("city"))
@@ -48,7 +53,9 @@ def _dirty_text(listings: DataFrame, layout: str) -> DataFrame:
     status = (F.when(_every(k, 97), F.lit("nan"))
               .when(_every(k, 89), F.lit(""))
               .otherwise(F.col("status")))
-    price = F.when(_every(k, 37), F.lit("nan")).otherwise(F.format_string("%.2f", "price"))
+    amount = F.format_string("%.2f", "price")
+    price = (F.when(_every(k, 37), F.lit("nan")).when(_every(k, 71), F.concat(amount, F.lit("d")))
+             .when(_every(k, 83), F.lit("0x1p3")).otherwise(amount))
     broker = F.when(_every(k, 53), F.lit("")).otherwise(F.concat(_txt("brokered_by"), F.lit(".0")))
     bed = (F.when(F.col("bed").isNull(), F.lit(""))
            .when(_every(k, 11), F.concat(_txt("bed"), F.lit(".0")))
