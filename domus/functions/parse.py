@@ -32,13 +32,16 @@ def to_int_strict(c: str | Column) -> Column:
 
 def to_int_numeric(c: str | Column) -> Column:
     """Text -> int via a number: "3.0" -> 3; fractional or invalid -> NULL."""
-    d = to_double(c)
-    return F.when(d == F.floor(d), d.try_cast("int"))
+    return whole_number(to_double(c), "int")
 
 
 def to_long_numeric(c: str | Column) -> Column:
-    d = to_double(c)
-    return F.when(d == F.floor(d), d.try_cast("bigint"))
+    return whole_number(to_double(c), "bigint")
+
+
+def whole_number(d: Column, kind: str) -> Column:
+    """A double as an integer; fractional or out of range -> NULL."""
+    return F.when(d == F.floor(d), d.try_cast(kind))
 
 
 def iso_date_text(c: str | Column) -> Column:

@@ -12,9 +12,16 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# what Unicode calls white space, and the four separators of ASCII
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+# ASCII text whose words start after blanks only: ``initcap`` alone is right there
+PLAIN_WORDS = r"^[A-Za-z ]*[^A-Za-z\x{80}-\x{10ffff}]*$"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends (``trim`` takes blanks only)."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    inside = F.substring(c, 1, 1).between("!", "~") & F.substring(c, -1, 1).between("!", "~")
+    return F.when(inside, c).otherwise(F.btrim(c, F.lit(WHITE)))
 
 
 def title_case(c: str | Column) -> Column:
@@ -24,9 +31,10 @@ def title_case(c: str | Column) -> Column:
     into letter / non-letter runs and capitalizing each letter run gives
     "Winston-Salem", "O'Fallon", "1St" — the usual title-case rule.
     """
-    runs = F.regexp_extract_all(strip(_c(c)), F.lit(r"(\p{L}+|\P{L}+)"), 1)
+    t = strip(_c(c))
+    runs = F.regexp_extract_all(t, F.lit(r"(\p{L}+|\P{L}+)"), 1)
     out = F.array_join(F.transform(runs, lambda r: F.initcap(r)), "")
-    return F.when(_c(c).isNotNull(), out)
+    return F.when(t.rlike(PLAIN_WORDS), F.initcap(t)).when(_c(c).isNotNull(), out)
 
 
 def null_if_token(c: str | Column, tokens: Iterable[str]) -> Column:

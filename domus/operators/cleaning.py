@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from domus.functions.parse import (
-    to_double, to_int_numeric, to_int_strict, to_long_numeric, with_sold_date, year_after, year_between,
+    to_double, to_int_strict, whole_number, with_sold_date, year_after, year_between,
 )
 from domus.functions.text import null_if_token, strip, title_case
 from domus.operators.joins import first_per_group
@@ -50,39 +50,40 @@ def clean_raw(raw: DataFrame, order_cols=("src_pos",), narrow: bool = False) ->
     """
     df = convert_units(raw)
     df = with_sold_date(df, _opt(df, "prev_sold_date"))
-    sold = year_after(F.col("_sold"), CLEANER_MIN_EXCLUSIVE_YEAR)
-    status = null_if_token(_opt(df, "status"), CLEANER_NULL_TOKENS)
-    city = title_case(null_if_token(_opt(df, "city"), CLEANER_NULL_TOKENS))
-    state = null_if_token(_opt(df, "state"), CLEANER_NULL_TOKENS)
+    order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    # numbers and tokens in a projection of their own, as the next one uses each several times
+    read = df.select(
+        *order_cols, "lot_size_sqm", "house_size_sqm", "_sold",
+        *[to_double(_opt(df, c)).alias(c) for c in ("brokered_by", "price", "bed", "bath", "street", "zip_code")],
+        *[null_if_token(_opt(df, c), CLEANER_NULL_TOKENS).alias(c) for c in ("status", "city", "state")],
+    )
 
     def num(c: str) -> Column:
-        v = to_double(_opt(df, c))
-        return v.cast("float").cast("double") if narrow else v
+        return (F.col(c).cast("float").cast("double") if narrow else F.col(c)).alias(c)
 
-    lot = F.col("lot_size_sqm").cast("float").cast("double") if narrow else F.col("lot_size_sqm")
-    house = F.col("house_size_sqm").cast("float").cast("double") if narrow else F.col("house_size_sqm")
-    order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    typed = df.select(
+    typed = read.select(
         *order_cols,
-        num("brokered_by").alias("brokered_by"),
-        status.alias("status"),
-        num("price").alias("price"),
-        to_int_numeric(_opt(df, "bed")).alias("bed"),
-        to_int_numeric(_opt(df, "bath")).alias("bath"),
-        lot.alias("lot_size_sqm"),
-        num("street").alias("street"),
-        city.alias("city"),
-        state.alias("state"),
-        to_long_numeric(_opt(df, "zip_code")).alias("zip_code"),
-        house.alias("house_size_sqm"),
-        sold.alias("prev_sold_date"),
+        num("brokered_by"),
+        "status",
+        num("price"),
+        whole_number(F.col("bed"), "int").alias("bed"),
+        whole_number(F.col("bath"), "int").alias("bath"),
+        num("lot_size_sqm"),
+        num("street"),
+        title_case("city").alias("city"),
+        "state",
+        whole_number(F.col("zip_code"), "bigint").alias("zip_code"),
+        num("house_size_sqm"),
+        year_after(F.col("_sold"), CLEANER_MIN_EXCLUSIVE_YEAR).alias("prev_sold_date"),
     )
     # a mandatory field that the file doesn't have at all can't be asked of its rows
     present = {*raw.columns, *(["lot_size_sqm"] if "acre_lot" in raw.columns else []),
                *(["house_size_sqm"] if "house_size" in raw.columns else [])}
-    checked = [c for c in REQUIRED_FIELDS if c in present]
-    complete = typed.dropna(subset=checked) if checked else typed
-    return first_per_group(complete, list(DEDUP_KEYS), order_cols)
+    complete = F.lit(True)
+    for c in REQUIRED_FIELDS:
+        if c in present:
+            complete = complete & F.col(c).isNotNull()
+    return first_per_group(typed, list(DEDUP_KEYS), order_cols, where=complete)
 
 
 def format_clean_csv(clean: DataFrame) -> DataFrame:
@@ -150,10 +151,12 @@ def parse_listings(text: DataFrame, order_col: str = "src_pos") -> tuple[DataFra
 
     One pass computes the typed columns and the reasons; both outputs filter
     the same lazily defined frame (cache or write it when both are consumed).
+    The rows' places are asked for too: without them the filter is moved below
+    the projections and works every field out a second time.
     """
-    parsed = parse_listings_with_reasons(text, order_col)
-    valid = parsed.where(F.size("reasons") == 0).drop("reasons")
-    rejects = parsed.where(F.size("reasons") > 0) \
+    parsed = parse_listings_with_reasons(text, order_col).withColumn("_at", F.monotonically_increasing_id())
+    valid = parsed.where((F.size("reasons") == 0) & (F.col("_at") >= 0)).drop("reasons", "_at")
+    rejects = parsed.where((F.size("reasons") > 0) & (F.col("_at") >= 0)) \
         .select(order_col, F.array_join("reasons", ",").alias("reasons"))
     return valid, rejects
 

@@ -54,12 +54,14 @@ def null_safe_match(left: DataFrame, right: DataFrame, keys: Sequence[str],
 
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column],
-                    nulls_last: bool = True) -> DataFrame:
+                    nulls_last: bool = True, where: Column | None = None) -> DataFrame:
     """One row per ``keys``: the row that sorts first by ``order_by`` (ascending).
 
     Ties on ``order_by`` are broken by the remaining columns, so the result is
     deterministic.  With ``nulls_last`` a null sorts after every value (the
-    relational default for ascending order).
+    relational default for ascending order).  Only rows that meet ``where`` are
+    taken; it is asked inside the aggregate, because a filter before it is moved
+    below the projections, where all that it asks for is worked out twice.
     """
     payload = [c for c in df.columns if c not in keys]
     order_fields = []
@@ -68,6 +70,9 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order_by: Sequence[str |
         if nulls_last:
             order_fields.append(col.isNull().alias(f"_n{i}"))
         order_fields.append(col.alias(f"_o{i}"))
-    best = F.min(F.struct(*order_fields, F.struct(*payload).alias("_row"))).alias("_best")
-    return df.groupBy(*keys).agg(best).select(*keys, "_best._row.*").select(*df.columns)
+    row = F.struct(*order_fields, F.struct(*payload).alias("_row"))
+    best = df.groupBy(*keys).agg(F.min(row if where is None else F.when(where, row)).alias("_best"))
+    if where is not None:
+        best = best.where("_best is not null")
+    return best.select(*keys, "_best._row.*").select(*df.columns)
 

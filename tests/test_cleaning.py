@@ -176,3 +176,34 @@ def test_sizes_are_chosen_for_a_local_master_only():
     assert "spark.driver.memory" not in settings_for("yarn", {})
     assert settings_for("local[8]", {})["spark.sql.shuffle.partitions"] == "8"
     assert "spark.driver.memory" not in settings_for("local[8]", {"spark.driver.memory": "4g"})
+
+
+def _filters(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in plan.splitlines() if "Filter " in line]
+
+
+def test_fields_are_worked_out_once(spark):
+    """No filter asks for parsed fields by parsing them again below the projections."""
+    raw = spark.createDataFrame([(0, *["1"] * len(RAW_LISTING.fields))], ["src_pos", *RAW_LISTING.fieldNames()])
+    valid, rejects = cl.parse_listings(clean_csv_rows(spark, [row()]))
+    for df in (cl.clean_raw(raw), valid, rejects):
+        assert not [f for f in _filters(df) if "RLIKE" in f or "btrim" in f.lower() or "regexp" in f]
+
+
+def test_first_complete_row_of_a_group_stays(spark):
+    """A row without a mandatory field is dropped before the first of its group is taken."""
+    names = ["src_pos", *RAW_LISTING.fieldNames()]
+    base = dict(brokered_by="7", status="sold", price="10", bed="1", bath="1", acre_lot="2", street="5", city="rome", state="x",
+                zip_code="100", house_size="50", prev_sold_date="2020-01-01")
+    rows = [dict(base, src_pos=0, status="nan"), dict(base, src_pos=1, bed="2"), dict(base, src_pos=2, bed="3"),
+            dict(base, src_pos=3, price="11", acre_lot="abc")]
+    raw = spark.createDataFrame([tuple(r[c] for c in names) for r in rows], names)
+    assert [(r.src_pos, r.bed, r.city) for r in cl.clean_raw(raw).collect()] == [(1, 2, "Rome")]
+
+
+def test_strip_takes_all_white_space(spark):
+    from domus.functions.text import strip
+    texts = ["a", "", None, " \t x  ", "　", "a b", "é ", "\x1c7\x1f", "​z", "~"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(strip(F.col("t"))).collect()]
+    assert got == ["a", "", None, "x", "", "a b", "é", "7", "​z", "~"]
