@@ -69,9 +69,10 @@ class ListingsEngine:
         """The listings; with ``solar_panels`` once UC3 has run (NULL in rows imported later)."""
         return self._listings().select(*LISTING_COLUMNS, *([SOLAR] if self._has_solar() else []))
 
-    def rejects(self, import_no: int) -> DataFrame:
-        """(src_file, line, reasons, line_text) of an import's rejected lines."""
-        return imports.rejects_with_lines(self.stored().where(F.col("import_no") == import_no))
+    def rejects(self, import_no: int, parts: bool = False) -> DataFrame:
+        """(src_file, line, reasons, line_text) of an import's rejected lines; with ``parts``
+        the files are one text, and lines count through them in the order of their names."""
+        return imports.rejects_with_lines(self.stored().where(F.col("import_no") == import_no), parts)
 
     def reset_database(self) -> None:
         """Remove the table's rows, records and added columns; ids start again."""

@@ -20,7 +20,7 @@ from domus.operators import telemetry as tm
 from domus.plans.catalog import register
 from domus.plans.engine import ListingsEngine
 from domus.schema import LISTING_COLUMNS, RUN
-from domus.session import scratch_path
+from domus.session import materialize, scratch_path
 from domus.sinks import writers
 from domus.sinks.layout import write_interleaved
 from domus.sinks.star_load import Star
@@ -77,7 +77,7 @@ def q_star_counts(spark, sf_dir):
 def _star_batches(spark, sf_dir):
     """Two overlapping batches of the listings, the later one with other prices and beds;
     some rows of each have a status that the star doesn't know."""
-    lst, k = listings_from_tables(spark, sf_dir), F.col("listing_id")
+    lst, k = materialize(listings_from_tables(spark, sf_dir), "star-listings"), F.col("listing_id")
     unknown = lambda n: F.when(k % n == 0, F.lit("withdrawn")).otherwise(F.col("status"))
     first = lst.where("zip_code < 11800").withColumn("status", unknown(97))
     later = lst.where("zip_code >= 11200").withColumn("status", unknown(89)) \
@@ -178,7 +178,8 @@ BROKEN = ((101, "short"), (103, "long"), (107, "quote"), (109, "blank"))
 
 
 def _broken_export(spark, sf_dir):
-    """The cleaned export as text in one file, in file order, with lines that are broken."""
+    """The cleaned export as one text, in parts whose names are in file order, with lines
+    that are broken.  Staged, as cutting it into parts reads it twice."""
     rows = clean_csv_text(spark, sf_dir)
     names = [c for c in rows.columns if c != "src_pos"]
     line, k = F.concat_ws(",", *names), F.floor(F.col("src_pos") / 2)
@@ -189,8 +190,8 @@ def _broken_export(spark, sf_dir):
         text = F.when(k % n == 0, broken[how]).otherwise(text)
     path = scratch_path(spark, "broken-export")
     head = spark.range(1).select(F.lit(-1).cast("long").alias("src_pos"), F.lit(",".join(names)).alias("value"))
-    head.union(rows.select("src_pos", text.alias("value"))).coalesce(1).sortWithinPartitions("src_pos") \
-        .select("value").write.text(path)
+    lines = materialize(head.union(rows.select("src_pos", text.alias("value"))), "broken-lines")
+    lines.orderBy("src_pos").select("value").write.text(path)
     return path
 
 
@@ -201,7 +202,7 @@ def q_import_wide(spark, sf_dir):
     engine.usecase7_bulk_import(_broken_export(spark, sf_dir))
     every = engine.stored()
     valid = every.where("kind = 'valid'").select("listing_id", "src_file", "src_block", *LISTING_COLUMNS[1:])
-    return with_line_numbers(valid, every.select("listing_id", "src_file", "src_block")) \
+    return with_line_numbers(valid, every.select("listing_id", "src_file", "src_block"), parts=True) \
         .drop("listing_id", "src_file", "src_block")
 
 
@@ -218,7 +219,7 @@ def q_import_rejects(spark, sf_dir):
     """The lines that the import left out, with place, text and reasons."""
     engine = ListingsEngine(spark, scratch_path(spark, "engine"))
     engine.usecase7_bulk_import(_broken_export(spark, sf_dir))
-    return engine.rejects(1).drop("src_file")
+    return engine.rejects(1, parts=True).drop("src_file")
 
 
 @register("runs_jsonl_rejects")

@@ -69,9 +69,10 @@ def as_import(listings: DataFrame, batch_no: int, broker_parts: int) -> DataFram
                            F.coalesce(F.pmod("brokered_by", F.lit(broker_parts)), F.lit(0)).alias("broker_part"))
 
 
-def rejects_with_lines(stored: DataFrame) -> DataFrame:
-    """(src_file, line, reasons, line_text) of the rejects among an import's stored rows."""
+def rejects_with_lines(stored: DataFrame, parts: bool = False) -> DataFrame:
+    """(src_file, line, reasons, line_text) of the rejects among an import's stored rows;
+    ``parts`` as in ``with_line_numbers``."""
     every = stored.select("listing_id", "src_file", "src_block")
     bad = stored.where(F.col("kind") == REJECT).select("listing_id", "src_file", "src_block", "reasons", "line_text")
-    return with_line_numbers(bad, every).select("src_file", "line", "reasons", "line_text")
+    return with_line_numbers(bad, every, parts).select("src_file", "line", "reasons", "line_text")
 

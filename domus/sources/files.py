@@ -100,12 +100,14 @@ def json_lines(lines: DataFrame, schema: StructType) -> DataFrame:
     return _with_parsed(lines, parsed, schema.fieldNames(), F.lit(False))
 
 
-def with_line_numbers(rows: DataFrame, every: DataFrame) -> DataFrame:
-    """``rows`` with ``line``, counted from 1 in their file.  ``every`` holds
-    (listing_id, src_file, src_block) of all lines: its counts by split say how
-    many lines the splits before hold.  A file has few splits, so they meet."""
+def with_line_numbers(rows: DataFrame, every: DataFrame, parts: bool = False) -> DataFrame:
+    """``rows`` with ``line``, counted from 1 in their file, or with ``parts`` through
+    all files in the order of their names (one text that was written in parts).
+    ``every`` holds (listing_id, src_file, src_block) of all lines: its counts by
+    split say how many lines the splits before hold.  A text has few splits, so they meet."""
     splits = every.groupBy("src_file", "src_block").agg(F.count(F.lit(1)).alias("_n"), F.min("listing_id").alias("_first"))
-    before = Window.partitionBy("src_file").orderBy("src_block").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy("src_file", "src_block") if parts else Window.partitionBy("src_file").orderBy("src_block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.select("src_file", "src_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     return rows.join(starts, ["src_file", "src_block"]) \
         .withColumn("line", F.col("_off") + F.col("listing_id") - F.col("_first") + 1).drop("_first", "_off")

@@ -161,3 +161,22 @@ def test_malformed_csv_and_json_lines(spark, tmpdir_path):
         f.write('{"a": "x", "n": 1}\n{"a": "x", "n": "z"}\n{"a": \n\n{}\n')
     got = json_lines(read_lines(spark, f"{tmpdir_path}/x.jsonl"), one).orderBy("listing_id").collect()
     assert [(r.skipped, r.malformed) for r in got if not r.skipped] == [(False, False), (False, True), (False, True), (False, False)]
+
+
+def test_export_in_parts_is_one_text(spark, tmpdir_path):
+    """The broken export is written by several tasks; its lines count through the parts."""
+    from domus.plans.stored import _broken_export
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = _broken_export(spark, SF)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    text = [open(f).read().splitlines() for f in sorted(glob.glob(f"{path.removeprefix('file:')}/part-*"))]
+    assert sum(map(bool, text)) > 1
+    whole = [line for part in text for line in part]
+    assert whole[0].startswith("brokered_by,") and len(whole) == clean_csv_text(spark, SF).count() + 1
+    eng = ListingsEngine(spark, f"{tmpdir_path}/tbl")
+    eng.usecase7_bulk_import(path)
+    rejects = eng.rejects(1, parts=True).collect()
+    assert rejects and all(whole[r.line - 1] == r.line_text for r in rejects)
+    assert max(r.line for r in eng.rejects(1).collect()) < max(r.line for r in rejects)
