@@ -24,21 +24,23 @@ LOW_BITS = 40
 MAX_BATCH = (1 << (63 - LOW_BITS)) - 1
 
 
-def with_batch_ids(df: DataFrame, batch_no: int, id_col: str = "listing_id") -> DataFrame:
+def with_batch_ids(df: DataFrame, batch_no: int, id_col: str = "listing_id", order: Sequence[str] = ()) -> DataFrame:
+    """``order``: columns that name the split a row was read from, such as file and start;
+    positions then follow them, not the partitions that the splits were dealt to."""
     if not 0 <= batch_no <= MAX_BATCH:
         raise ValueError(f"batch number must be in 0..{MAX_BATCH}")
     rows = (df.withColumn("_pid", F.spark_partition_id())
             .withColumn("_mid", F.monotonically_increasing_id()))
-    counts = rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per input partition: this window's single task sees at most
-    # (number of input partitions) rows
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    # broadcast bound: one row per input partition of ``df``
-    joined = rows.join(F.broadcast(offsets), "_pid")
-    inside = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    new_id = F.lit(batch_no << LOW_BITS).cast("long") + F.col("_off") + inside
-    return joined.withColumn(id_col, new_id).drop("_pid", "_mid", "_off")
+    part = list(order) or ["_pid"]
+    counts = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    # one row per input partition or split: this window's single task sees at
+    # most that many rows
+    before = Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*part, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    # broadcast bound: one row per input partition or split of ``df``
+    joined = rows.join(F.broadcast(offsets), part)
+    new_id = F.lit(batch_no << LOW_BITS).cast("long") + F.col("_off") + F.col("_mid") - F.col("_first")
+    return joined.withColumn(id_col, new_id).drop("_pid", "_mid", "_off", "_first")
 
 
 def with_next_ids(df: DataFrame, order: Sequence[str], id_col: str, start: int) -> DataFrame:

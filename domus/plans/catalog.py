@@ -26,7 +26,7 @@ from domus.operators import usecases as uc
 from domus.operators.joins import first_per_group, null_safe_match
 from domus.plans import sql as sq
 from domus.schema import CLEANER_NULL_TOKENS, DEDUP_KEYS, LISTING_COLUMNS
-from domus.session import scratch_path
+from domus.session import materialize, scratch_path
 from domus.sources.derived import clean_csv_text, raw_listings_text
 from domus.sources.runs import runs_from_events, samples_from_events, snapshots_from_events
 from domus.sources.tables import listings_from_tables, table
@@ -176,7 +176,6 @@ def q_rejects(spark, sf_dir):
 
 
 def _staged_listings(spark, sf_dir):
-    from domus.session import materialize
     return materialize(_l(spark, sf_dir), "listings-stage")
 
 
@@ -412,12 +411,11 @@ def q_stream_import_skip(spark, sf_dir):
     second; of listings with the same natural key the first one read stays.  The
     later delivery repeats the earlier one with more beds."""
     src, target, ckpt = (scratch_path(spark, n) for n in ("skip-src", "skip-target", "skip-ckpt"))
-    every = clean_csv_text(spark, sf_dir)
+    every = materialize(clean_csv_text(spark, sf_dir), "skip-export")
     more = F.when(F.col("bed") == "", F.lit("")).otherwise(F.concat(F.lit("1"), "bed"))
     for rows in (every.where("src_pos % 6 < 4"), every.withColumn("bed", more)):
-        rows.coalesce(1).sortWithinPartitions("src_pos").drop("src_pos") \
-            .write.mode("append").option("header", True).csv(src)
-        st_ingest.import_stream(spark, src, target, ckpt, on_duplicate="skip").awaitTermination()
+        rows.orderBy("src_pos").drop("src_pos").write.mode("append").option("header", True).csv(src)
+        st_ingest.import_stream(spark, src, target, ckpt, max_files_per_trigger=None, on_duplicate="skip").awaitTermination()
     return spark.read.parquet(target).drop("listing_id", "batch")
 
 

@@ -118,3 +118,10 @@ def test_uc4_arguments_reach_both_parts(spark, tmpdir_path):
     with pytest.raises(ValueError):
         engine.usecase4_price_analysis("3000", 0.1, "bern", validate=True)
     assert engine.usecase4_price_analysis("3000", 0.1, "bern", require_positive_price=False)["sorted_by_city"].count() == 0
+
+
+def test_batches_read_the_listings_once(spark):
+    """Three loads take their rows from one staged projection, not from three joins of the tables."""
+    from domus.plans.stored import _star_batches
+    for batch in _star_batches(spark, "/root/testdata/sf0.001"):
+        assert all("star-listings" in f for f in batch.inputFiles())

@@ -178,3 +178,16 @@ def test_telemetry_stream_refuses_a_folder_of_another_checkpoint(spark, tmpdir_p
     telemetry.telemetry_stream(spark, f"{SF}/events.parquet", out, f"{tmpdir_path}/c1").awaitTermination()
     with pytest.raises(ValueError, match="another checkpoint"):
         telemetry.telemetry_stream(spark, f"{SF}/events.parquet", out, f"{tmpdir_path}/c2")
+
+
+def test_delivery_in_parts_is_read_in_the_order_of_names(spark, tmpdir_path):
+    """One micro-batch reads all parts; the first part's listing stays, though the later part is older and larger."""
+    src, target, ckpt = (f"{tmpdir_path}/{n}" for n in ("src", "target", "ckpt"))
+    _deliver(src, "part-1", *[(7, "10.0", 9, "2020-01-01")] * 2, *[(b, "11.0", 1, "2020-01-01") for b in range(100, 300)])
+    _deliver(src, "part-0", (7, "10.0", 2, "2020-01-01"), (8, "10.0", 3, "2020-01-01"))
+    ingest.import_stream(spark, src, target, ckpt, max_files_per_trigger=None, on_duplicate="skip").awaitTermination()
+    assert len(ingest.batch_counts(spark, ckpt).collect()) == 1
+    out = spark.read.parquet(target)
+    assert out.count() == 202 and [r.bed for r in out.where("brokered_by = 7").collect()] == [2]
+    ids = sorted(r.listing_id for r in spark.read.parquet(f"{ckpt}_rows").collect())
+    assert ids == [(1 << LOW_BITS) + i for i in range(204)]
