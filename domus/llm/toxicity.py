@@ -5,9 +5,10 @@ counts, in examples and queries alike: its weight is its TF-IDF, document
 frequencies from all documents, times one more than its chi-square statistic
 in the examples, so that words which tell the classes apart count more and no
 word counts nothing.  Examples stand in an index cut into blocks, each with the
-largest weight of every term.  A query scores the blocks with the highest
-bounds, then those that can still reach its k-th neighbour, so the neighbours
-are exact.  Their distance-weighted votes, calibrated on the examples with each
+largest weight of every term.  A query multiplies its common words, which many
+examples hold, with all examples; the k-th of those scores and the blocks'
+bounds leave the blocks that can hold a neighbour, so the neighbours are
+exact.  Their distance-weighted votes, calibrated on the examples with each
 left out, are the score; the neighbours are its evidence.
 
 Words travel as 64-bit hashes.  Only the examples' words reach the driver and
@@ -28,9 +29,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from domus.llm.common import cut, drop, text_or_empty
-from domus.llm.minhash import WordHashes
+from domus.llm.minhash import _STEP, _mix
 
-WORD = re.compile(r"[^\W_]+")
+WORD, NO_WORD = re.compile(r"[^\W_]+"), re.compile(r"[\W_]")
 
 
 @dataclass(frozen=True)
@@ -61,107 +62,78 @@ class BlockMaxIndex:
             row[:len(top)] = top
         order = np.lexsort((ids, *heavy.T[::-1]))
         self.ids, self.labels, self.block, self.k, self.n_terms = ids[order], labels[order], block, k, n_terms
-        self.ends = np.append(0, np.cumsum([len(vectors[i][0]) for i in order])).astype(np.int64)
-        self.terms = np.concatenate([np.empty(0, np.int32), *(vectors[i][0] for i in order)]).astype(np.int32)
-        self.weights = np.concatenate([np.empty(0), *(vectors[i][1] for i in order)])
-        self.lists = None
+        # rows and weights by term
+        terms = np.concatenate([np.empty(0, np.int32), *(vectors[i][0].astype(np.int32) for i in order)])
+        by = np.argsort(terms, kind="stable")
+        cuts = np.searchsorted(terms[by], np.arange(n_terms + 1))
+        rows = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])[by]
+        self.lists = cuts, rows, np.concatenate([np.empty(0), *(vectors[i][1] for i in order)])[by]
+        self.matrix = None
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "lists": None, "dense": None, "matrix": None, "column": None}  # each worker makes its own from the vectors
+        return {**self.__dict__, "matrix": None, "column": None, "tops": None}  # each worker makes its own from the lists
 
     def _build(self) -> None:
-        """Rows and weights by term, and every block's largest weight by term."""
-        by = np.argsort(self.terms, kind="stable")
-        terms, weights = self.terms[by], self.weights[by]
-        rows = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.ends))[by]
-        blocks = rows // self.block
-        new = np.flatnonzero(np.append(True, (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1]))) if len(by) else by
-        at = np.arange(self.n_terms + 1)
-        top = np.maximum.reduceat(weights, new) if len(new) else weights
-        self.lists = ((np.searchsorted(terms, at), rows, weights), (np.searchsorted(terms[new], at), blocks[new], top))
-        self.dense = np.zeros(self.n_terms)
+        """The common terms' matrix, and every block's largest weight by other term."""
+        cuts, rows, weights = self.lists
         # words that more than a 16th of the examples hold stand in a matrix, which many
         # queries multiply at once; it has at most 16 cells for each of their postings
-        held = np.diff(self.lists[0][0])
+        held = np.diff(cuts)
         common = np.flatnonzero(held > max(1, len(self.ids) // 16))
         self.column = np.full(self.n_terms, -1, np.int64)
         self.column[common] = np.arange(len(common))
         self.matrix = np.zeros((len(common), len(self.ids)))
         for c, t in enumerate(common):
-            at = slice(self.lists[0][0][t], self.lists[0][0][t + 1])
+            at = slice(cuts[t], cuts[t + 1])
             self.matrix[c, rows[at]] = weights[at]
+        other = np.repeat(self.column < 0, held)
+        terms, blocks = np.repeat(np.arange(self.n_terms, dtype=np.int32), held)[other], rows[other] // self.block
+        new = np.flatnonzero(np.append(True, (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1]))) if len(terms) else terms
+        top = np.maximum.reduceat(weights[other], new) if len(new) else np.empty(0)
+        self.tops = np.searchsorted(terms[new], np.arange(self.n_terms + 1)), blocks[new], top
 
     @staticmethod
     def _add(lists: tuple[np.ndarray, ...], t: np.ndarray, w: np.ndarray, size: int) -> np.ndarray:
         """Sums of ``w`` times the listed weights of the terms ``t``."""
         cuts, place, weight = lists
         n = cuts[t + 1] - cuts[t]
-        total = int(n.sum())
-        if not total:
+        at = np.repeat(cuts[t] - (np.cumsum(n) - n), n)
+        if not len(at):
             return np.zeros(size)
-        at = np.repeat(cuts[t] - (np.cumsum(n) - n), n) + np.arange(total)
-        return np.bincount(place[at], np.repeat(w, n) * weight[at], size)
+        at += np.arange(len(at))
+        add = np.repeat(w, n)
+        add *= weight[at]
+        return np.bincount(place[at], add, size)
 
-    def nearest_of(self, queries: list[Vector]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def nearest_of(self, queries: list[Vector], skips: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """``nearest`` of several queries; their common words are multiplied together."""
-        if self.lists is None:
+        if not len(self.ids):
+            return [(np.empty(0, np.int64), np.empty(0))] * len(queries)
+        if self.matrix is None:
             self._build()
         weight = np.zeros((len(queries), len(self.matrix)))
         for row, (t, w) in zip(weight, queries):
             c = self.column[t]
             row[c[c >= 0]] = w[c >= 0]
-        return [self.nearest(q, common=c) for q, c in zip(queries, weight @ self.matrix)]
-
-    def nearest(self, query: dict[int, float] | Vector, skip: int | None = None,
-                common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples, ties to the smaller id; ``common``:
-        what the query's common words add to each example's score."""
-        if self.lists is None:
-            self._build()
-        t, w = as_vector(query)
-        n = len(self.ids)
-        bounds = self._add(self.lists[1], t, w, -(-n // self.block))
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        if common is not None and skip is None and len(common) > self.k:
-            # the k-th of what common words add alone is no more than the k-th score
-            least = np.partition(common, len(common) - self.k)[len(common) - self.k]
-            return self._best(*self._score(order[bounds[order] + 1e-9 >= least], t, w, common), skip)
-        lead = 1 + -(-self.k // self.block)
-        rows, sims = self._best(*self._score(order[:lead], t, w), skip)
-        rest = order[lead:]
-        if len(rows) == self.k:
-            rest = rest[bounds[rest] + 1e-9 >= sims[-1]]
-        if len(rest):
-            more = self._score(rest, t, w, common)
-            rows, sims = self._best(np.append(rows, more[0]), np.append(sims, more[1]), skip)
-        return rows, sims
-
-    def _score(self, blocks: np.ndarray, t: np.ndarray, w: np.ndarray,
-               common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the blocks that share a term with the query, and their cosines."""
-        n = len(self.ids)
-        if len(blocks) > 4:  # from the terms' lists
-            c = self.column[t]
-            rare = c < 0
-            if common is None:
-                common = w[~rare] @ self.matrix[c[~rare]]
-            scores = common + self._add(self.lists[0], t[rare], w[rare], n)
-            keep = np.zeros(-(-n // self.block), bool)
-            keep[blocks] = True
-            rows = np.flatnonzero((scores > 0) & np.repeat(keep, self.block)[:n])
-            return rows, scores[rows].round(12)
-        self.dense[t] = w
-        rows, sims = [np.empty(0, np.int64)], [np.empty(0)]
-        for a, b in zip(blocks * self.block, np.minimum((blocks + 1) * self.block, n)):
-            i, j = self.ends[a], self.ends[b]
-            scores = np.bincount(np.repeat(np.arange(b - a), np.diff(self.ends[a:b + 1])),
-                                 self.dense[self.terms[i:j]] * self.weights[i:j], b - a)
-            at = np.flatnonzero(scores > 0)
-            rows.append(at + a)
-            sims.append(scores[at].round(12))
-        self.dense[t] = 0.0
-        return np.concatenate(rows), np.concatenate(sims)
+        return [self._nearest(*q, *more) for q, *more in zip(queries, weight @ self.matrix, skips or [None] * len(queries))]
+
+    def nearest(self, query: dict[int, float] | Vector, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines of the k nearest examples other than ``skip``, ties to the smaller id."""
+        return self.nearest_of([as_vector(query)], [skip])[0]
+
+    def _nearest(self, t: np.ndarray, w: np.ndarray, common: np.ndarray, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """``common``: what the query's common words add to each example's score."""
+        n, k = len(self.ids), self.k + (skip is not None)
+        rare = self.column[t] < 0
+        t, w = t[rare], w[rare]
+        starts = np.arange(0, n, self.block)
+        bounds = np.maximum.reduceat(common, starts) + self._add(self.tops, t, w, len(starts))
+        # the k-th of what common words add alone is no more than the k-th score
+        least = np.partition(common, n - k)[n - k] if n > k else 0.0
+        keep = np.repeat((bounds > 0) & (bounds + 1e-9 >= least), self.block)[:n]
+        scores = common + self._add(self.lists, t, w, n)
+        rows = np.flatnonzero((scores > 0) & keep)
+        return self._best(rows, scores[rows].round(12), skip)
 
     def _best(self, rows: np.ndarray, sims: np.ndarray, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
         if skip is not None:
@@ -187,13 +159,20 @@ class Model:
     prior: float           # share of toxic rows among all examples
     background: float      # the same among examples without any word
 
-    def vector(self, words: np.ndarray, counts: np.ndarray) -> tuple[Vector, np.ndarray]:
-        """Terms and weights, not scaled to unit length, and which words have one."""
+    def vectors(self, counted: list[Vector]) -> Iterator[tuple[Vector, np.ndarray]]:
+        """For the words and counts of each text, terms and weights, not scaled to unit
+        length, and which words have one."""
+        words, counts = (np.concatenate(x) for x in zip(*counted))
         at = np.searchsorted(self.words, words)
         held = at < len(self.words)
         held[held] = self.words[at[held]] == words[held]
-        t = at[held]
-        return (t, (1.0 + np.log(counts[held])) * self.weight[t]), held
+        at = at[held]
+        weights = (1.0 + np.log(counts[held])) * self.weight[at]
+        ends = np.append(0, np.cumsum(held))[np.cumsum([0, *(len(w) for w, _ in counted)])]
+        first = 0
+        for (w, _), i, j in zip(counted, ends, ends[1:]):
+            yield (at[i:j], weights[i:j]), held[first:first + len(w)]
+            first += len(w)
 
 
 def calibrated(votes: np.ndarray, slope: float, shift: float) -> np.ndarray:
@@ -221,13 +200,67 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-_hashes = WordHashes()
-
-
-def word_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a text's distinct words, ascending, and how often each stands there."""
-    words = WORD.findall(text.lower())
-    return np.unique(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)).view(np.int64), return_counts=True)
+_PIECE = 1 << 16  # characters whose words are hashed together
+_in_word = np.full(0x110000, 2, np.uint8)  # by code point; 2: not looked up yet
+
+
+def _word_hashes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and 64-bit hash of every word among the code points of lower-cased text."""
+    inside = _in_word[points]
+    for c in np.unique(points[inside == 2]).tolist():
+        _in_word[c] = WORD.match(chr(c)) is not None
+    inside = _in_word[points]
+    edges = np.flatnonzero(np.diff(inside, prepend=np.uint8(0), append=np.uint8(0)))
+    starts, sizes = edges[::2], np.diff(edges)[::2]
+    if not len(starts):
+        return starts, np.empty(0, np.int64)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(first[-1] + sizes[-1], dtype=np.uint64) - np.repeat(first.astype(np.uint64), sizes)
+    # a sum of 64 mixed bits for each letter in its place
+    letters = points[inside.view(bool)].astype(np.uint64)
+    return starts, np.add.reduceat(_mix((place << np.uint64(21) | letters) * _STEP), first).view(np.int64)
+
+
+def _counted(texts: list[str]) -> list[Vector]:
+    points = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+    starts, hashes = _word_hashes(points)
+    ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+    for i, j in zip(np.append(0, ends), ends):
+        hashes[i:j].sort()
+    new = np.append(hashes[1:] != hashes[:-1], True)  # a word's last place in its text
+    new[ends[ends > 0] - 1] = True
+    last = np.flatnonzero(new[:len(hashes)])
+    words, counts = hashes[last], np.diff(last, prepend=-1)
+    ends = np.searchsorted(last, ends)
+    return [(words[i:j], counts[i:j]) for i, j in zip(np.append(0, ends), ends)]
+
+
+def word_counts(texts: list[str]) -> list[Vector]:
+    """Hashes of each text's distinct words, ascending, and how often each stands there."""
+    out, some, size = [], [], 0
+    for t in map(str.lower, texts):
+        if len(t) > _PIECE:  # cut where words end
+            cuts = [0]
+            while end := NO_WORD.search(t, cuts[-1] + _PIECE):
+                cuts.append(end.start())
+            parts = [_counted([t[i:j]])[0] for i, j in zip(cuts, [*cuts[1:], len(t)])]
+            words, place = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([c for _, c in parts]), len(words)).astype(np.int64)
+            out += [*(_counted(some) if some else []), (words, counts)]
+            some, size = [], 0
+            continue
+        some.append(t)
+        size += len(t)
+        if size > _PIECE:
+            out += _counted(some)
+            some, size = [], 0
+    return out + (_counted(some) if some else [])
+
+
+def _texts(column: pa.Array, rows: int = 64) -> Iterator[list[str]]:
+    """The texts of a column, some at a time."""
+    for first in range(0, len(column), rows):
+        yield column.slice(first, rows).to_pylist()
 
 
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -242,9 +275,10 @@ def document_frequencies(docs: DataFrame, text_col: str, held_words: int = 1 <<
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            for t in b.column("text"):
-                held.append(word_counts(t.as_py())[0])
-                size += len(held[-1])
+            for texts in _texts(b.column("text")):
+                some = [w for w, _ in word_counts(texts)]
+                held += some
+                size += sum(map(len, some))
                 if size > held_words:
                     yield as_batch(held)
                     held, size = [], 0
@@ -271,7 +305,7 @@ def labelled_examples(docs: DataFrame, labels: DataFrame, s: Settings, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [word_counts(t.as_py()) for t in b.column("text")]
+            found = [c for texts in _texts(b.column("text")) for c in word_counts(texts)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("toxic"), _lists([w for w, _ in found], pa.int64()),
                  _lists([c for _, c in found], pa.int32())], names=["doc_id", "toxic", "words", "counts"])
@@ -287,11 +321,13 @@ def leave_one_out(examples: DataFrame, shared: Broadcast) -> list[tuple[float, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            votes = []
-            for i, words, counts in zip(b.column("doc_id").to_pylist(), b.column("words"), b.column("counts")):
-                (t, w), _ = m.vector(words.values.to_numpy(), counts.values.to_numpy())
-                near, sims = m.index.nearest((t, w / np.sqrt(w @ w)), skip=i)
-                votes.append(m.index.vote(near, sims, m.prior) if len(near) else m.prior)
+            votes, ids = [], b.column("doc_id").to_pylist()
+            for first in range(0, len(b), 64):
+                some = [(w.values.to_numpy(), c.values.to_numpy())
+                        for w, c in zip(b.column("words").slice(first, 64), b.column("counts").slice(first, 64))]
+                queries = [(t, w / np.sqrt(w @ w)) for (t, w), _ in m.vectors(some)]
+                for near, sims in m.index.nearest_of(queries, ids[first:first + 64]):
+                    votes.append(m.index.vote(near, sims, m.prior) if len(near) else m.prior)
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), b.column("toxic")], names=["vote", "toxic"])
 
     rows = examples.where(F.size("words") > 0).select("doc_id", "toxic", "words", "counts") \
@@ -368,11 +404,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
         m, none = shared.value, np.empty(0, np.int64)
         for b in batches:
             near, dots, squares, others, often = [], [], [], [], []
-            for first in range(0, len(b), 64):
+            for texts in _texts(b.column("text")):
                 some, queries = [], []
-                for text in b.column("text").slice(first, 64):
-                    words, counts = word_counts(text.as_py())
-                    (t, w), held = m.vector(words, counts)
+                counted = word_counts(texts)
+                for (words, counts), ((t, w), held) in zip(counted, m.vectors(counted)):
                     square = float(w @ w)
                     squares.append(square)
                     some.append((words[~held], counts[~held]))

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -217,6 +218,38 @@ def test_block_max_search_is_exact():
         assert rows.tolist() == one[0].tolist() and np.allclose(sims, one[1])
 
 
+def test_block_max_search_of_several_leaves_each_out():
+    rng = np.random.default_rng(1)
+    vecs = [dict(zip(rng.choice(40, 6, replace=False).tolist(), rng.random(6) + 0.1)) for _ in range(130)]
+    ids = rng.permutation(130)
+    index = toxicity.BlockMaxIndex(ids, np.zeros(130), vecs, 40, 16, 10)
+    assert not hasattr(index, "terms")  # examples are held once, by term
+    found = index.nearest_of([toxicity.as_vector(v) for v in vecs], ids.tolist())
+    for i, (q, (rows, sims)) in enumerate(zip(vecs, found)):
+        scores = sorted((-round(sum(w * v.get(t, 0.0) for t, w in q.items()), 12), int(ids[j])) for j, v in enumerate(vecs) if j != i)
+        want = [(s, j) for s, j in scores[:10] if s < 0]
+        assert index.ids[rows].tolist() == [j for _, j in want] and np.allclose(sims, [-s for s, _ in want])
+
+
+def test_words_of_many_texts_at_once():
+    """Each text's words as the pattern finds them one text at a time, without a store of words."""
+    rng = random.Random(8)
+    junk = ["".join(rng.choice("aZ9_ é日\U0001d49cΣİ-\n\0½²") for _ in range(rng.randrange(200))) for _ in range(300)]
+    texts = ["", "ΑΣ", "Σ", "a_b A-B a", *junk, "x" * 150_000 + " y Y" * 60_000, "tail Tail"]
+    found, names = toxicity.word_counts(texts), {}
+    for t, (words, counts) in zip(texts, found, strict=True):
+        want = Counter(re.findall(r"[^\W_]+", t.lower()))
+        assert (words[1:] > words[:-1]).all() and sorted(counts.tolist()) == sorted(want.values())
+        for w, n in want.items():
+            h = int(toxicity.word_counts([w])[0][0][0])
+            assert names.setdefault(h, w) == w and counts[np.searchsorted(words, h)] == n
+    tracemalloc.start()
+    for i in range(40):
+        toxicity.word_counts([" ".join(f"w{i}x{j}x{k}" for k in range(500)) for j in range(10)])
+    assert tracemalloc.get_traced_memory()[0] < 2 << 20
+    tracemalloc.stop()
+
+
 def plain_toxicity(docs, labels, k=25):
     """Score of each (id, text): cosines over all words with every example."""
     words = {i: Counter(re.findall(r"[^\W_]+", (t or "").lower())) for i, t in docs}
