@@ -62,10 +62,11 @@ class BlockMaxIndex:
             row[:len(top)] = top
         order = np.lexsort((ids, *heavy.T[::-1]))
         self.ids, self.labels, self.block, self.k, self.n_terms = ids[order], labels[order], block, k, n_terms
-        # rows and weights by term
+        # rows and weights by term, made one after the other as they are large
         terms = np.concatenate([np.empty(0, np.int32), *(vectors[i][0].astype(np.int32) for i in order)])
-        by = np.argsort(terms, kind="stable")
-        cuts = np.searchsorted(terms[by], np.arange(n_terms + 1))
+        by = np.argsort(terms, kind="stable").astype(np.int32)
+        cuts = np.append(0, np.cumsum(np.bincount(terms, minlength=n_terms)))
+        del terms
         rows = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])[by]
         self.lists = cuts, rows, np.concatenate([np.empty(0), *(vectors[i][1] for i in order)])[by]
         self.matrix = None
@@ -335,6 +336,31 @@ def leave_one_out(examples: DataFrame, shared: Broadcast) -> list[tuple[float, i
     return sorted((r.vote, r.toxic) for r in rows)
 
 
+def _model(examples: DataFrame, dfs: DataFrame, n_docs: int, prior: float, s: Settings) -> Model:
+    """The examples' index and their words' weights, made on the driver."""
+    seen = dfs.join(examples.select(F.explode("words").alias("word")).distinct(), "word").toArrow().sort_by("word")
+    words, df = seen["word"].to_numpy(), seen["df"].to_numpy()
+    rows = examples.orderBy("doc_id").toArrow()
+    ids, y = rows["doc_id"].to_numpy(), rows["toxic"].to_numpy().astype(float)
+    sizes = pa.compute.list_value_length(rows["words"]).to_numpy()
+    flat = np.searchsorted(words, pa.compute.list_flatten(rows["words"]).to_numpy()).astype(np.int32)
+    counts = pa.compute.list_flatten(rows["counts"]).to_numpy()
+    del seen, rows
+    total, toxic = len(y), y.sum()
+    held, bad = (np.bincount(flat, w, len(words)) for w in (None, np.repeat(y, sizes)))
+    p = held / total
+    spread = p * (1 - p) * (1 / toxic + 1 / (total - toxic))
+    chi = np.where(spread > 0, (bad / toxic - (held - bad) / (total - toxic)) ** 2 / np.where(spread > 0, spread, 1.0), 0.0)
+    weight = idf(df, n_docs) * (1.0 + chi)
+    full, vectors, cuts = np.flatnonzero(sizes), [], np.append(0, np.cumsum(sizes))
+    for i in full:
+        t = flat[cuts[i]:cuts[i + 1]]
+        w = (1.0 + np.log(counts[cuts[i]:cuts[i + 1]])) * weight[t]
+        vectors.append((t, w / np.sqrt(w @ w)))
+    index = BlockMaxIndex(ids[full], y[full], vectors, len(words), s.block, s.neighbours)
+    return Model(words, weight, index, prior, (y[sizes == 0].sum() + prior) / ((sizes == 0).sum() + 1.0))
+
+
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
         text_col: str = "text") -> tuple[Broadcast, tuple[float, float], DataFrame, int]:
     """The model (sent to the tasks once), slope and shift of its calibration, the
@@ -355,27 +381,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     if toxic in (0, total):
         index = BlockMaxIndex(none, np.empty(0), [], 0, s.block, s.neighbours)
         return send(Model(none, np.empty(0), index, prior, prior)), (1.0, 0.0), dfs, n_docs
-    seen = dfs.join(examples.select(F.explode("words").alias("word")).distinct(), "word").toArrow().sort_by("word")
-    words = seen["word"].to_numpy()
-    rows = examples.toArrow().sort_by("doc_id").combine_chunks()
-    ids, y = rows["doc_id"].to_numpy(), rows["toxic"].to_numpy().astype(float)
-    lists = rows["words"].combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
-    flat = np.searchsorted(words, lists.flatten().to_numpy())
-    counts = rows["counts"].combine_chunks().flatten().to_numpy()
-    held, bad = (np.bincount(flat, w, len(words)) for w in (None, np.repeat(y, sizes)))
-    p = held / total
-    spread = p * (1 - p) * (1 / toxic + 1 / (total - toxic))
-    chi = np.where(spread > 0, (bad / toxic - (held - bad) / (total - toxic)) ** 2 / np.where(spread > 0, spread, 1.0), 0.0)
-    weight = idf(seen["df"].to_numpy(), n_docs) * (1.0 + chi)
-    full, vectors, cuts = np.flatnonzero(sizes), [], np.append(0, np.cumsum(sizes))
-    for i in full:
-        t = flat[cuts[i]:cuts[i + 1]]
-        w = (1.0 + np.log(counts[cuts[i]:cuts[i + 1]])) * weight[t]
-        vectors.append((t, w / np.sqrt(w @ w)))
-    index = BlockMaxIndex(ids[full], y[full], vectors, len(words), s.block, s.neighbours)
-    model = Model(words, weight, index, prior, (y[sizes == 0].sum() + prior) / ((sizes == 0).sum() + 1.0))
-    shared = send(model)
+    shared = send(_model(examples, dfs, n_docs, prior, s))
     votes = leave_one_out(examples, shared)
     line = platt(np.array([v for v, _ in votes]), np.array([float(t) for _, t in votes])) if votes else (1.0, 0.0)
     drop(examples)
