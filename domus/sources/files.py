@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from domus.schema import CLEAN_CSV, RAW_LISTING
+from domus.session import materialize
 
 
 def _with_position(df: DataFrame) -> DataFrame:
@@ -100,14 +101,27 @@ def json_lines(lines: DataFrame, schema: StructType) -> DataFrame:
     return _with_parsed(lines, parsed, schema.fieldNames(), F.lit(False))
 
 
+def _in_ranges(splits: DataFrame, ranges: int = 32) -> DataFrame:
+    """``splits`` with ``_range``, in the order of names and blocks, and ``_above``, the
+    lines of all ranges before: each range tells its total to those after it."""
+    dealt = materialize(splits.repartitionByRange(ranges, "src_file", "src_block").withColumn("_range", F.spark_partition_id()),
+                        "line-splits")
+    after = F.when(F.col("_range") < ranges - 1, F.sequence(F.col("_range") + 1, F.lit(ranges - 1)))
+    above = dealt.groupBy("_range").agg(F.sum("_n").alias("_all")).select(F.explode(after).alias("_range"), "_all") \
+        .groupBy("_range").agg(F.sum("_all").alias("_above"))
+    return dealt.join(above, "_range", "left").withColumn("_above", F.coalesce("_above", F.lit(0)))
+
+
 def with_line_numbers(rows: DataFrame, every: DataFrame, parts: bool = False) -> DataFrame:
     """``rows`` with ``line``, counted from 1 in their file, or with ``parts`` through
     all files in the order of their names (one text that was written in parts).
     ``every`` holds (listing_id, src_file, src_block) of all lines: its counts by
-    split say how many lines the splits before hold.  A text has few splits, so they meet."""
+    split say how many lines the splits before hold."""
     splits = every.groupBy("src_file", "src_block").agg(F.count(F.lit(1)).alias("_n"), F.min("listing_id").alias("_first"))
-    order = Window.orderBy("src_file", "src_block") if parts else Window.partitionBy("src_file").orderBy("src_block")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    starts = splits.select("src_file", "src_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    key, above = "src_file", F.lit(0)
+    if parts:
+        splits, key, above = _in_ranges(splits), "_range", F.col("_above")
+    before = Window.partitionBy(key).orderBy("src_file", "src_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("src_file", "src_block", "_first", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + above).alias("_off"))
     return rows.join(starts, ["src_file", "src_block"]) \
         .withColumn("line", F.col("_off") + F.col("listing_id") - F.col("_first") + 1).drop("_first", "_off")

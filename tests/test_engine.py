@@ -9,6 +9,7 @@ from domus.plans.engine import ListingsEngine
 from domus.sinks import imports
 from domus.sources.derived import clean_csv_text
 from domus.sources.files import csv_lines, json_lines, read_lines, with_line_numbers
+from tests.test_plans import plan, unpartitioned_windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -180,3 +181,19 @@ def test_export_in_parts_is_one_text(spark, tmpdir_path):
     rejects = eng.rejects(1, parts=True).collect()
     assert rejects and all(whole[r.line - 1] == r.line_text for r in rejects)
     assert max(r.line for r in eng.rejects(1).collect()) < max(r.line for r in rejects)
+
+
+def test_line_numbers_through_many_parts(spark):
+    """Parts and blocks are counted in the order of their names, not of the ids, and no task holds all splits."""
+    splits = [(f"part-{f:03}", b * 100, (f * 7 + b * 3) % 5 + 1) for f in range(40) for b in range(3)]
+    rows, want, line = [], {}, 0
+    for i, (name, block, n) in enumerate(splits):
+        for k in range(n):
+            line += 1
+            rows.append(((i * 37 % len(splits)) * 1000 + k, name, block))
+            want[rows[-1]] = line
+    lines = spark.createDataFrame(rows[::-1], "listing_id long, src_file string, src_block long").repartition(5)
+    got = with_line_numbers(lines, lines, parts=True)
+    assert not unpartitioned_windows(plan(got))
+    assert {(r.listing_id, r.src_file, r.src_block): r.line for r in got.collect()} == want
+    assert with_line_numbers(lines.limit(0), lines.limit(0), parts=True).count() == 0
